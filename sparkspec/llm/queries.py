@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
+from .embed import near_duplicate_vectors
 from .licenses import scan
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .topk import top_k
 from .work import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256).alias("kept_sha256"))
@@ -30,6 +40,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_license_scan, op7_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op4_license_scan, op6_embedding_near_dedup, op7_line_dedup, op9_mixing)}
 
-ORACLE_SQL = {"op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9}
+ORACLE_SQL = {"op1_topk_search": oracles.OP1, "op6_embedding_near_dedup": oracles.OP6, "op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application; they need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        top = Path(__file__).resolve().parents[2]
+        made = shutil.make_archive(str(Path(tempfile.mkdtemp()) / "sparkspec"), "zip", top, "sparkspec")
+        spark.sparkContext.addPyFile(made)
+        _SHIPPED.add(app)
+
+
 class Work:
     """Writes DataFrames as Parquet into the shared folder and reads them back.
 
@@ -29,6 +44,7 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
         self._n = 0
