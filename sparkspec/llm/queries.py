@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
 from .embed import near_duplicate_vectors
+from .langid import held_out, identify, learn
 from .licenses import scan
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .quality import classify
 from .topk import top_k
 from .work import table
 
@@ -22,10 +24,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = identify(docs.select("doc_id", "text"), learn(docs))
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +52,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op4_license_scan, op6_embedding_near_dedup, op7_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op3_language_id, op4_license_scan, op5_quality, op6_embedding_near_dedup, op7_line_dedup, op9_mixing)}
 
 ORACLE_SQL = {"op1_topk_search": oracles.OP1, "op6_embedding_near_dedup": oracles.OP6, "op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9}
