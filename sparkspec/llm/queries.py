@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import oracles
+from . import oracles, tokenbin
+from .bpe import encode
 from .embed import near_duplicate_vectors
 from .langid import held_out, identify, learn
 from .licenses import scan
@@ -13,7 +15,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .quality import classify
 from .topk import top_k
-from .work import table
+from .work import Work, table
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +49,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256).alias("kept_sha256"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op3_language_id, op4_license_scan, op5_quality, op6_embedding_near_dedup, op7_line_dedup, op9_mixing)}
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = Work(spark).path("tokens")
+    tokenbin.write(table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenbin.read(spark, at, ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op3_language_id, op4_license_scan, op5_quality, op6_embedding_near_dedup, op7_line_dedup, op8_bpe, op9_mixing, op10_token_binary)}
 
 ORACLE_SQL = {"op1_topk_search": oracles.OP1, "op6_embedding_near_dedup": oracles.OP6, "op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9}
