@@ -133,7 +133,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, n_ba
     lost = work.table(held.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost")).withColumnRenamed("doc_id", "_id"), "lost")
     work.drop(keys)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text_kept")]
-    joined = docs.select(*rest).join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # a merge join at every size: the text is dealt once, whatever the number of lost lines
+    joined = docs.select(*rest).join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = _split(F.col("text"))
     stays = F.filter(
         F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))),
