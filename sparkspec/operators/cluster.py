@@ -17,7 +17,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 100) -
     centres = np.array(centres)
     labels = np.full(len(x), -1)
     for _ in range(rounds):
-        new = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
         if (new == labels).all():
             break
         labels = new
@@ -31,15 +31,20 @@ def inertia(x: np.ndarray, labels: np.ndarray) -> float:
     return float(sum(((x[labels == j] - x[labels == j].mean(0)) ** 2).sum() for j in np.unique(labels)))
 
 
-def silhouettes(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Silhouette of each point by plain Euclidean distance; 0 for a cluster of one."""
-    d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(2)))
+def distances(x: np.ndarray) -> np.ndarray:
+    """All Euclidean distances; exact zeros for equal points."""
+    return np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if len(x) * len(x) * x.shape[1] < 2e7 else np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in x])
+
+
+def silhouettes(x: np.ndarray, labels: np.ndarray, d: np.ndarray | None = None) -> np.ndarray:
+    """Silhouette of each point by plain Euclidean distance; 0 for a cluster of one. ``d`` may hold the distances."""
+    d = distances(x) if d is None else d
     names, of = np.unique(labels, return_inverse=True)
-    size = np.bincount(of)
-    sums = np.stack([d[:, of == j].sum(1) for j in range(len(names))], 1)
+    member = (of[:, None] == np.arange(len(names))).astype(float)
+    size = member.sum(0)
+    sums = d @ member
     own = sums[np.arange(len(x)), of] / np.maximum(size[of] - 1, 1)
-    others = np.where(np.arange(len(names))[None] == of[:, None], np.inf, sums / size)
-    near = others.min(1)
+    near = np.where(member > 0, np.inf, sums / size).min(1)
     out = (near - own) / np.maximum(np.maximum(near, own), 1e-300)
     return np.where((size[of] > 1) & np.isfinite(near), out, 0.0)
 
@@ -55,13 +60,13 @@ def best_clustering(x: np.ndarray, k: int, rng: np.random.Generator, runs: int =
     """Labels of the best of ``runs`` clusterings by mean silhouette; each is tried again until no silhouette is negative or 0, the last try stands. NaN for k = 1."""
     if k <= 1:
         return np.zeros(len(x), int), float("nan")
-    best, score = None, -np.inf
+    best, score, d = None, -np.inf, distances(x)
     for _ in range(runs):
         for _ in range(tries):
             labels, _ = kmeans(x, k, rng)
             if len(np.unique(labels)) < 2:
                 continue
-            s = silhouettes(x, labels)
+            s = silhouettes(x, labels, d)
             if (s > 0).all():
                 break
         if len(np.unique(labels)) >= 2 and s.mean() > score:
