@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .work import Work
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least vertex of each vertex's component, for edges a - b among 0 .. n - 1."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: hang the larger (or the smaller and equal) neighbours of each vertex on the least one."""
     if large:

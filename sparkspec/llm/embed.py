@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, roots
 from .topk import _matrix, one_row_each, usable
 from .work import Work
 
@@ -67,20 +67,6 @@ def _assign(centres: dict[int, np.ndarray], least: float):
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least vertex of each vertex's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(least: float):
     """Links within one pair of blocks: each vector's number of links, and one edge to the least vector of its component here."""
 
@@ -102,7 +88,7 @@ def _compare(least: float):
             if len(a):
                 links = np.bincount(a, n[b], len(ids)) + np.bincount(b, n[a], len(ids))
                 some = np.flatnonzero(links)
-                out.append((ids[some], links[some].astype(np.int64), ids[_roots(len(ids), a, b)][some]))
+                out.append((ids[some], links[some].astype(np.int64), ids[roots(len(ids), a, b)][some]))
         cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3)]
         return pa.table({"vec_id": cols[0].astype(np.int64), "links": cols[1], "root": cols[2].astype(np.int64)})
 

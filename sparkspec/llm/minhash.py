@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, roots
 from .text import mix, pieces, shingles, words
 from .work import Work
 
@@ -112,7 +112,76 @@ def _sets(k: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, bands: int = 28, width: int = 6, small: int = 8, hubs: int = 16) -> DataFrame:
+def _block_links(percent: int, step: int = 8192):
+    """Edges between two blocks of sets: shared shingles become columns, a slice at a time, and products count intersections."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        reps, comps, side = (table[c].to_numpy(zero_copy_only=False) for c in ("rep", "c", "side"))
+        column = table["set"].combine_chunks()
+        column = column if isinstance(column, pa.ListArray) else pa.concat_arrays(column.chunks)
+        flat, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(len(reps)), sizes)
+        _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = count[name] > 1
+        row, name = row[shared], np.unique(name[shared], return_inverse=True)[1]
+        order = np.argsort(name, kind="stable")
+        row, name = row[order], name[order]
+        inter = np.zeros((len(reps), len(reps)), np.float32)
+        for first in range(0, int(name[-1]) + 1 if len(name) else 0, step):
+            a, b = np.searchsorted(name, [first, first + step])
+            part = np.zeros((len(reps), step), np.float32)
+            part[row[a:b], name[a:b] - first] = 1
+            inter += part @ part.T
+        union = sizes[:, None] + sizes[None] - inter
+        hit = (100 * inter >= percent * union) & (comps[:, None] != comps[None]) & (np.arange(len(reps))[:, None] < np.arange(len(reps)))
+        left, right = np.nonzero(hit)
+        root = roots(len(reps), left, right)
+        moved = np.flatnonzero(root != np.arange(len(reps)))
+        return pa.table({"a": reps[root[moved]], "b": reps[moved]})
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
+    sided = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    both = sided.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
+
+
+def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int, work: Work) -> DataFrame | None:
+    """Links between components that share a bucket, by comparing blocks of sets; None if every bucket is one component.
+
+    Buckets that share a class form a group. A group's large components are
+    cut into blocks of their own, its small ones share blocks, and pairs of
+    blocks are compared unless both belong to one large component: so a group
+    that is one large component and a few others costs blocks in proportion.
+    """
+    named = members.join(comp, members.rep == comp.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    several = named.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("lo")).where("x < y").select("bucket", "lo")
+    open_ = work.table(named.join(several, "bucket"), "open")
+    if open_.isEmpty():
+        return None
+    groups = components(open_.select(F.col("lo").alias("a"), F.col("rep").alias("b")), work)
+    rows = work.table(open_.select("rep", "c").distinct().join(groups, open_.rep == groups.id).select(F.col("component").alias("g"), "rep", "c"), "groups")
+    size = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
+    little = size.where(F.col("k") < block // 4).groupBy("g").agg(F.sum("k").alias("small"))
+    sized = rows.join(size, ["g", "c"]).join(little, "g", "left")
+    own = F.col("k") >= block // 4
+    parts = F.greatest(F.lit(1), F.ceil(F.when(own, F.col("k")).otherwise(F.col("small")) / block)).cast("int")
+    placed = work.table(sized.select("g", "rep", "c", F.when(own, F.col("c")).otherwise(F.lit(-(1 << 63))).alias("of"), F.pmod(F.when(own, F.xxhash64("rep", F.lit(3))).otherwise(F.xxhash64("c", F.lit(3))), parts).alias("n")), "placed")
+    blocks = placed.select("g", "of", "n").distinct()
+    other = blocks.select("g", F.col("of").alias("of2"), F.col("n").alias("n2"))
+    meet = blocks.join(other, "g").where((F.struct("of", "n") <= F.struct("of2", "n2")) & ((F.col("of") != F.col("of2")) | (F.col("of") == -(1 << 63))))
+    same = (F.col("of") == F.col("of2")) & (F.col("n") == F.col("n2"))
+    ends = meet.select("g", "of", "n", "of2", "n2", F.explode(F.when(same, F.array(F.struct("of", "n"))).otherwise(F.array(F.struct("of", "n"), F.struct(F.col("of2").alias("of"), F.col("n2").alias("n"))))).alias("e"))
+    ends = ends.select("g", F.xxhash64("of", "n").alias("p"), F.xxhash64("of2", "n2").alias("q"), F.col("e.of").alias("of"), F.col("e.n").alias("n"))
+    dealt = ends.join(placed, ["g", "of", "n"]).join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("g", "p", "q", "rep", "c", F.lit(0).alias("side"), "set")
+    return dealt.groupBy("g", "p", "q").applyInArrow(_block_links(percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, bands: int = 28, width: int = 6, small: int = 8, block: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut at white space; a row's set holds its
@@ -123,10 +192,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
     Rows with equal sets form a class, and its least doc_id stands for it.
     Classes that share a band of the signature share a bucket. Buckets of at
     most ``small`` classes compare all of them; in a larger one edges go from
-    one hub to all. Links are confirmed on the full sets. While a large bucket
-    still holds several components, up to ``hubs`` further hubs of the smaller
-    components are compared with every class of other components, until each
-    pair in a bucket was compared or is connected.
+    one hub to all, the class that shares most bands with others, which is the
+    middle of a group. Links are confirmed on the full sets. Where a large
+    bucket still holds several components, their sets are compared in blocks
+    of ``block`` (``_rest``), so that no pair in a bucket stays unseen.
 
     Null or empty texts have an empty set and link with nothing. Rows that
     repeat a doc_id are joined by it: the row with most shingles (then
@@ -139,50 +208,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = work.table(source.mapInArrow(_sign(bands, width, shingle), _SIGNED), "signed")
     one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "set_a", "set_b", "bands"), F.struct("n_shingles", "set_a", "set_b")).alias("s")).select("doc_id", "s.*")
-    least = one.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    least = work.table(least, "classes")
-
-    entries = least.select("rep", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    sizes = work.table(sizes.where("n > 1"), "buckets")
-    more = work.table(entries.join(sizes.where("n > 2").select("bucket", "n", "lo"), "bucket"), "members")
-    few = more.where(F.col("n") <= small).select("bucket", "rep")
+    classes = work.table(one.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+
+    entries = classes.select("rep", F.col("n_shingles").alias("m"), F.explode("bands").alias("bucket"))
+    sizes = work.table(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "m")).alias("lo"), F.max(F.struct("rep", "m")).alias("hi")).where("n > 1"), "buckets")
+    members = work.table(entries.join(sizes.where("n > 2").select("bucket", "n"), "bucket"), "members")
+    few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small).select("bucket", "rep", "m", "n")
+    fame = many.groupBy("rep").agg(F.sum("n").alias("fame"))
+    hubs = many.join(fame, "rep").groupBy("bucket").agg(F.max_by(F.struct("rep", "m"), F.struct("fame", -F.col("rep"))).alias("hub"))
+    pair = lambda x, y: [F.least(F.col(x + ".rep"), F.col(y + ".rep")).alias("a"), F.greatest(F.col(x + ".rep"), F.col(y + ".rep")).alias("b"), F.least(F.col(x + ".m"), F.col(y + ".m")).alias("u"), F.greatest(F.col(x + ".m"), F.col(y + ".m")).alias("v")]
     pairs = (
-        sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        .unionAll(few.alias("x").join(few.alias("y"), "bucket").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
-        .unionAll(more.where((F.col("n") > small) & (F.col("rep") > F.col("lo"))).select(F.col("lo").alias("a"), F.col("rep").alias("b")))
+        sizes.where("n = 2").select(*pair("lo", "hi"))
+        .unionAll(few.alias("x").join(few.alias("y"), "bucket").where("x.rep < y.rep").select(*pair("x", "y")))
+        .unionAll(many.join(hubs, "bucket").select(F.struct("rep", "m").alias("x"), F.col("hub").alias("y")).where("x.rep <> y.rep").select(*pair("x", "y")))
     )
-    left = work.table(more.where((F.col("n") > small) & (F.col("rep") > F.col("lo"))).select("bucket", "rep"), "left")
-    sets = None
-    links = None
-    while True:
-        pairs = work.table(pairs.distinct(), "pairs")
-        if sets is None:  # sets of all classes that stand in any bucket with another one
-            wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-            digests = least.join(wanted, least.rep == wanted.id, "left_semi").select(F.col("rep").alias("doc_id"), "n_shingles")
-            texts = source.join(digests, "doc_id").select("doc_id", "text")
-            found = texts.mapInArrow(_sets(shingle), "id long, set array<long>, digest long")
-            sets = work.table(found.groupBy("id").agg(F.max_by("set", F.struct(F.size("set"), "digest")).alias("set")), "sets")
-        sided = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        both = sided.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-        # sizes bound the similarity, so most unlike pairs are settled without an intersection
-        fits = F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent
-        inter = F.size(F.array_intersect("sa", "sb"))
-        linked = work.table(both.where(fits).withColumn("i", inter).where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b"), "links")
-        links = linked if links is None else links.unionAll(linked)
-        comp = work.table(components(links, work), "components")
-        open_ = left.join(comp, left.rep == comp.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-        counts = open_.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
-        totals = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main"))
-        open_ = work.table(open_.join(totals.where("parts > 1"), "bucket"), "open")
-        if open_.isEmpty():
-            break
-        order = W.partitionBy("bucket").orderBy("rep")
-        picked = work.table(open_.where("c <> main").withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs).select("bucket", F.col("rep").alias("hub"), F.col("c").alias("hc")), "hubs")
-        pairs = open_.join(picked, "bucket").where("c <> hc").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-        rest = open_.join(picked.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        left = work.table(rest, "left")
-    ids = one.join(least.drop("bands"), ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", "rep")
+    # the sizes alone bound the similarity
+    pairs = work.table(pairs.where(F.col("u") * 100 >= F.col("v") * percent).select("a", "b").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("rep")).distinct()
+    found = source.join(wanted, source.doc_id == wanted.id, "left_semi").mapInArrow(_sets(shingle), "id long, set array<long>, digest long")
+    if one.count() < signed.where("doc_id is not null").count():  # repeated doc_ids
+        found = found.groupBy("id").agg(F.max_by("set", F.struct(F.size("set"), "digest")).alias("set"))
+    sets = work.table(found.select("id", "set"), "sets")
+    links = work.table(_confirmed(pairs, sets, percent), "links")
+    comp = work.table(components(links, work), "components")
+    more = _rest(many.select("bucket", "rep"), comp, sets, percent, block, work)
+    if more is not None:
+        comp = work.table(components(links.unionAll(more), work), "components")
+    work.drop(sets, members, pairs)
+    ids = one.join(classes.drop("bands"), ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", "rep")
     ids = ids.join(comp, ids.rep == comp.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     rows = signed.select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n"))
     named = rows.where("_id is not null").join(ids, rows._id == ids.doc_id).select("doc_id", "n_shingles", "component_id")
