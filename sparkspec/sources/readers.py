@@ -108,8 +108,8 @@ def read_standards(spark: SparkSession, path: str, beam_kev: float) -> DataFrame
 
 
 def read_detector_calibrations(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, mode, spot_size, offset, scale) of all channel calibration files below a path."""
-    text = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file_name"), F.from_json("value", "map<string,struct<spot_size:double,offset:double,scale:double>>").alias("m"))
+    """(file_name, mode, spot_size, offset, scale) of all channel calibrations ``*.json`` (files, or directories of one) that a path names."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+\.json)(?:/[^/]+)?$", 1).alias("file_name"), F.from_json("value", "map<string,struct<spot_size:double,offset:double,scale:double>>").alias("m"))
     return text.select("file_name", F.explode("m").alias("mode", "c")).select("file_name", "mode", "c.*")
 
 

@@ -65,11 +65,11 @@ def clustering_info(n_collected: int, n_used: int, n_clusters: int, wcss: float,
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("error").text(path, lineSep="")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("error").text(path)
 
 
 def detector_calibration(spark: SparkSession, path: str, mode: str, spot_size: float, offset: float, scale: float, timestamp: str) -> str:
-    """A new, later-sorting calibration file with offset and scale at six decimals; returns its path."""
+    """A new, later-sorting calibration, ``<timestamp>.json``, with offset and scale at six decimals; returns its path."""
     at = f"{path.rstrip('/')}/{timestamp}.json"
     write_text(spark, json.dumps({mode: {"spot_size": spot_size, "offset": round(offset, 6), "scale": round(scale, 6)}}), at)
     return at
@@ -84,7 +84,9 @@ def standards_json(library: DataFrame, means: DataFrame) -> DataFrame:
     mean = means.select("mode", "el_line", F.struct(
         F.lit("Mean").alias("ID"), null("string").alias("Formula"), null("string").alias("Std_type"), null("string").alias("datetime"), F.col("mean_pb").alias("Corrected_PB"), null("double").alias("Measured_PB"),
         F.col("std_pb").alias("Stdev_PB"), null("boolean").alias("Use_for_mean_calc"), null("map<string,double>").alias("Mean_Z")).alias("e"), F.lit(1).alias("o"))
-    lines = entry.unionByName(mean).groupBy("mode", "el_line").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col("e.ID").alias("i"), "e"))), lambda s: s["e"]).alias("l"))
+    name = lambda s: F.concat(s["o"].cast("string"), s["i"])
+    order = lambda x, y: F.when(name(x) < name(y), -1).when(name(x) > name(y), 1).otherwise(0)
+    lines = entry.unionByName(mean).groupBy("mode", "el_line").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col("e.ID").alias("i"), "e")), order), lambda s: s["e"]).alias("l"))
     modes = lines.groupBy("mode").agg(F.map_from_entries(F.collect_list(F.struct("el_line", "l"))).alias("m"))
     return modes.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", "m")))).alias("value"))
 
