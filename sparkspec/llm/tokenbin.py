@@ -23,7 +23,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 class WordBpe:
     """A BPE with word ends of the tokenizers library that drops white space: words are encoded by themselves and remembered."""
 
-    def __init__(self, spec: str, most_words: int = 200_000):
+    def __init__(self, spec: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
