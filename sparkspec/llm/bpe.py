@@ -71,7 +71,7 @@ class ByteBpe:
     chunk has no safe place, the join takes in the next chunk too.
     """
 
-    def __init__(self, spec: str, every: int = 512, window: int = 16, most_pieces: int = 150_000, most_chunks: int = 12_000):
+    def __init__(self, spec: str, every: int = 512, window: int = 16, most_pieces: int = 250_000, most_chunks: int = 12_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
