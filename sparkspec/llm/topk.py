@@ -23,63 +23,65 @@ def one_row_each(vectors: DataFrame, *columns: str) -> DataFrame:
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors: in each dimension all vectors in descending order of value.
-
-    A segment is the run of postings of one dimension whose impact, the value
-    times the query's component, lies in one band of quantised impacts.
+    """Postings of a block of integer vectors, in levels of quantised impact.
+
+    A posting's impact is the magnitude of its value, quantised to its highest
+    binary digit; the postings of one level and dimension are a segment.
+    Levels are processed from the highest down, all segments of a level for a
+    batch of queries in one product. What a vector may still gain or lose is
+    at most the query's length times that of its postings below the level, so
+    a query stops when few vectors can reach k scores that are known exactly;
+    those vectors are scored anew from their whole values.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        self.postings = np.argsort(-self.vectors, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.values = np.ascontiguousarray(-np.sort(-self.vectors, axis=0).T)
-
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best (ties to the smaller id), the query's own id left out."""
-        n = len(self.ids)
-        active = np.flatnonzero(query)
-        lists = [(int(query[d]), self.postings[d] if query[d] > 0 else self.postings[d][::-1], self.values[d] if query[d] > 0 else self.values[d][::-1]) for d in active]
-        acc = np.zeros(n, np.int64)
-        done = [0] * len(lists)
-        band = max((q * int(v[0]) for q, _, v in lists), default=0)
-        least, maybe = None, None
-        skip = np.searchsorted(self.ids, own)
-        skip = int(skip) if skip < n and self.ids[skip] == own else -1
-        while True:
-            band = band // 2
-            rest = 0
-            for i, (q, posts, values) in enumerate(lists):
-                # descending impacts: all postings of at least this band's impact, positive ones only
-                floor = max(band, 1)
-                need = -(-floor // abs(q))
-                end = int(np.searchsorted(-values, -need, "right")) if q > 0 else int(np.searchsorted(values, -need, "right"))
-                if end > done[i]:
-                    seg = slice(done[i], end)
-                    acc[posts[seg]] += q * values[seg]
-                    done[i] = end
-                if end < n:
-                    rest += max(0, q * int(values[end]))
-            if least is None and n > k:
-                first = np.argpartition(acc, n - k - 1)[n - k - 1 :]
-                first = first[first != skip]
-                exact = np.sort(self.vectors[first] @ query)[::-1]
-                least = int(exact[k - 1]) if len(exact) >= k else None
-            if least is None and n <= k + 1:
-                maybe = np.arange(n)
-                break
-            if least is not None:
-                maybe = np.flatnonzero(acc + rest >= least)
-                # proof: every other vector stays below k known scores, whatever is left of it
-                if len(maybe) <= max(4 * k, n >> 5) or rest == 0:
-                    break
-            elif rest == 0:
-                maybe = np.arange(n)
+        size = np.abs(self.vectors)
+        top = int(size.max(initial=0)).bit_length()
+        # sums stay whole numbers that the float holds exactly
+        self.exact = lambda queries: np.float32 if int(size.max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1]) < 1 << 24 else np.float64
+        self.levels = [(self.vectors * ((size >> (b - 1)) == 1), np.sqrt((self.vectors.astype(float) ** 2 * (size < 1 << (b - 1))).sum(1))) for b in range(top, 0, -1)]
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, batch: int = 256):
+        """For each query the ids and scores of the k best (ties to the smaller id), its own id left out."""
+        for at in range(0, len(own), batch):
+            yield from self._batch(own[at : at + batch], queries[at : at + batch], k)
+
+    def _batch(self, own, queries, k):
+        n, kind = len(self.ids), self.exact(queries)
+        place = np.minimum(np.searchsorted(self.ids, own), n - 1)
+        acc = np.zeros((len(own), n), kind)
+        mine = np.flatnonzero(self.ids[place] == own)
+        acc[mine, place[mine]] = -np.inf
+        length = np.sqrt((queries.astype(float) ** 2).sum(1))
+        maybe: list = [None] * len(own)
+        if n <= k + 1 or not self.levels:
+            maybe = [np.flatnonzero(row > -np.inf) for row in acc]
+        least = None
+        open_ = np.flatnonzero([m is None for m in maybe])
+        whole = float((self.vectors.astype(float) ** 2).sum())
+        for level, (plane, rest) in enumerate(self.levels):
+            if not len(open_):
                 break
-        maybe = maybe[maybe != skip]
-        exact = self.vectors[maybe] @ query
-        best = np.lexsort((self.ids[maybe], -exact))[:k]
-        return self.ids[maybe[best]], exact[best]
+            acc[open_] += queries[open_].astype(kind) @ plane.astype(kind).T
+            last = level + 1 == len(self.levels)
+            if not last and (rest**2).sum() > whole / 4:
+                continue
+            if least is None:
+                best = np.argpartition(acc, n - k, axis=1)[:, n - k :]
+                least = np.einsum("qkd,qd->qk", self.vectors[best], queries).min(1)
+            # two units more: sums are whole and below the float's exact range, so no rounding reaches that
+            reach = acc[open_] + (length[open_, None] * rest[None] + 2).astype(kind)
+            can = reach >= least[open_, None]
+            for row, few in zip(open_, can.sum(1) <= max(4 * k, n >> 4)):
+                if few or last:
+                    maybe[row] = np.flatnonzero(can[np.searchsorted(open_, row)])
+            open_ = np.flatnonzero([m is None for m in maybe])
+        for row, some in enumerate(maybe):
+            exact = self.vectors[some] @ queries[row]
+            order = np.lexsort((self.ids[some], -exact))[:k]
+            yield self.ids[some[order]], exact[order]
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -95,10 +97,10 @@ def _search_block(k: int):
             ids, vectors = base["vec_id"].to_numpy(), _matrix(base["v"], base.num_rows)
             qids, queries = asked["vec_id"].to_numpy(), _matrix(asked["v"], asked.num_rows)
             top = lambda a: int(np.abs(a.astype(object)).max()) if a.size else 0
-            if top(vectors) * top(queries) * max(1, vectors.shape[1]) < 1 << 62:
+            if top(vectors) * top(queries) * max(1, vectors.shape[1]) < 1 << 52:
                 index = ImpactIndex(ids, vectors)
-                out = [(np.full(len(i), q), i, s) for q, (i, s) in ((q, index.search(q, x, k)) for q, x in zip(qids, queries))]
-            else:  # Python integers where 64 bits might overflow; scores end at the limits of a long
+                out = [(np.full(len(i), q), i, s) for q, (i, s) in zip(qids, index.search(qids, queries, k))]
+            else:  # Python integers where floats are not exact; scores end at the limits of a long
                 wide = vectors.astype(object)
                 for q, x in zip(qids, queries):
                     scores = wide @ x.astype(object) if vectors.shape[1] else np.zeros(len(ids), object)
