@@ -106,8 +106,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.98, cell_size
 
     Equal vectors of a label form a class first. Cells come from spherical
     k-means over at most ``sample`` classes (the least hashes of vec_id), one
-    for each ``cell_size`` classes, ``max_cells`` at most: so the codebook that
-    tasks receive is bounded. Every class goes to its nearest cell and to each
+    for each ``cell_size`` classes of the largest label, ``max_cells`` at most:
+    so the codebook that tasks receive is bounded. Every class goes to its nearest cell and to each
     cell across whose border a partner may lie, so no link is missed. Cells
     are compared in pairs of blocks of about ``block`` vectors, which give
     counts and one edge a vector, not pairs.
@@ -120,7 +120,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.98, cell_size
     good = rows.where("ok").select("vec_id", "label", doubles.alias("v"))
     classes = work.table(good.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")).select("label", "vec_id", "n", "v"), "classes")
     seen = classes.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample).toPandas()["v"]
-    k = min(max_cells, classes.count() // cell_size)
+    most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    k = min(max_cells, most // cell_size)
     centres: dict[int, np.ndarray] = {}
     for dim in {len(x) for x in seen}:
         points = [x for x in seen if len(x) == dim]
