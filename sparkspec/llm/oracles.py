@@ -75,3 +75,39 @@ m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, id = c AS kept FROM m LEFT JOIN n ON a = id
 """
+
+
+def op4() -> str:
+    """The licence scan in SQL, with the templates as VALUES."""
+    from .licenses import BASE_PHRASES, TEMPLATES, _COMMON
+
+    vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split() if w not in _COMMON} | {p.split()[0] for p in BASE_PHRASES} | {p.split()[0] for *_, p in TEMPLATES})
+    rows = lambda values: ", ".join("(" + ", ".join(repr(x) for x in v) + ")" for v in values)
+    postings = rows([(t, w, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in _COMMON])
+    return rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+h AS (SELECT doc_id, word, i - 1 AS pos, array_to_string(w[i:i + 7], ' ') AS ahead FROM u WHERE word IN ({", ".join(map(repr, vocabulary))})),
+b AS (SELECT doc_id, pos, label FROM h JOIN (VALUES {rows(BASE_PHRASES.items())}) p(phrase, label) ON ahead = phrase OR starts_with(ahead, phrase || ' ')),
+g AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM b GROUP BY doc_id),
+idf AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / count(DISTINCT doc_id)) AS idf FROM h GROUP BY word),
+p AS (SELECT * FROM (VALUES {postings}) x(template, word, at_)),
+k AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT template, p.word, coalesce(idf, 0) AS idf FROM p LEFT JOIN idf ON idf.word = p.word)),
+top AS (SELECT * FROM k WHERE r <= 6),
+need AS (SELECT template, sum(idf) AS need FROM top GROUP BY template),
+own AS (SELECT doc_id, word, idf, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT doc_id, word FROM h) JOIN idf USING (word)),
+a AS (SELECT h.doc_id, p.template, pos - at_ AS shift, need, sum(top.idf) AS got FROM h JOIN own ON own.doc_id = h.doc_id AND own.word = h.word AND own.r <= 12 JOIN p ON p.word = h.word
+  JOIN top ON top.template = p.template AND top.word = p.word JOIN need ON need.template = p.template GROUP BY ALL),
+s AS (SELECT doc_id, template, max(least(1.0::DOUBLE, got / need)) AS share FROM a GROUP BY ALL HAVING max(least(1.0::DOUBLE, got / need)) >= 0.6),
+m AS (SELECT s.doc_id, label, share FROM s JOIN (VALUES {rows([(t, label, phrase) for t, (label, _, phrase) in enumerate(TEMPLATES)])}) n(template, label, phrase) ON n.template = s.template
+  WHERE EXISTS (SELECT 1 FROM h WHERE h.doc_id = s.doc_id AND (ahead = phrase OR starts_with(ahead, phrase || ' ')))),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY doc_id),
+c AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bl.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  round(coalesce(share, CASE WHEN n_base > 0 THEN 1 ELSE 0 END)::DOUBLE, 6) AS score
+FROM t LEFT JOIN g USING (doc_id) LEFT JOIN bl ON bl.doc_id = t.doc_id LEFT JOIN l ON l.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id
+"""
+
+
+OP4 = op4()

@@ -33,7 +33,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op3_language_id, op4_license_scan, op5_quality, op6_embedding_near_dedup, op7_line_dedup, op8_bpe, op9_mixing, op10_token_binary)}
 
-ORACLE_SQL = {"op1_topk_search": oracles.OP1, "op6_embedding_near_dedup": oracles.OP6, "op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9}
+ORACLE_SQL = {"op1_topk_search": oracles.OP1, "op4_license_scan": oracles.OP4, "op6_embedding_near_dedup": oracles.OP6, "op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9}
