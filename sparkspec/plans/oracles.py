@@ -21,14 +21,14 @@ _V = """v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS value, (generat
 _STATS = _V + """,
 f AS (SELECT label, component, avg(value) AS mean, stddev_samp(value) AS std FROM v GROUP BY ALL),
 g AS (SELECT v.label, count(DISTINCT vec_id) AS n_points, sum((value - mean) ** 2) AS wcss FROM v JOIN f USING (label, component) GROUP BY v.label)"""
-_P = """p AS (SELECT vec_id, label, [x::DOUBLE * 0.2 FOR x IN embedding[1:6]] AS fr FROM embeddings),
+_P = """p AS (SELECT vec_id, label, [x::DOUBLE * 0.03 FOR x IN embedding] AS fr FROM embeddings),
 ref AS (SELECT label AS ref_idx, 'R' || label AS formula, arg_min(fr, vec_id) AS h, (label + 1)::DOUBLE AS w FROM p GROUP BY label)"""
 _M = _P + """,
 x AS (SELECT label, vec_id, unnest(fr) AS value, generate_subscripts(fr, 1) AS i FROM p),
 mean AS (SELECT label, i, avg(value) AS m FROM x GROUP BY ALL),
 rms AS (SELECT x.label, count(DISTINCT vec_id) AS n_points, sqrt(sum((value - m) ** 2) / count(DISTINCT vec_id)) AS rms FROM x JOIN mean USING (label, i) GROUP BY x.label),
 ce AS (SELECT label, list(m ORDER BY i) AS fr FROM mean GROUP BY label),
-d AS (SELECT ce.label, ref_idx, formula, rms, sqrt(list_sum([(ce.fr[i] - h[i]) ** 2 FOR i IN range(1, 7)])) AS distance FROM ce JOIN rms USING (label) CROSS JOIN ref),
+d AS (SELECT ce.label, ref_idx, formula, rms, sqrt(list_sum([(ce.fr[i] - h[i]) ** 2 FOR i IN range(1, len(h) + 1)])) AS distance FROM ce JOIN rms USING (label) CROSS JOIN ref),
 n AS (SELECT *, exp(-distance * distance / (2 * 0.03 * 0.03)) AS raw_conf FROM d WHERE distance <= greatest(0.1, rms * 5)),
 k AS (SELECT *, raw_conf * exp(-((1 - raw_conf) ** 2) / (2 * 0.3 * 0.3)) / sum(exp(-((1 - raw_conf) ** 2) / (2 * 0.3 * 0.3))) OVER (PARTITION BY label) AS conf FROM n)"""
 _LIB = """lib AS (SELECT p_brand AS el_line, 'std' || (p_partkey % 300) AS std_id, p_retailprice AS corrected_pb, p_size > 10 AS use_for_mean FROM part),
@@ -69,13 +69,13 @@ SELECT 's' AS sample_id, user_id % 40 AS particle_id FROM f WHERE r = 1 AND tota
 SELECT label, max(formula) FILTER (r = 1) AS ref1, max(conf) FILTER (r = 1) AS conf1, max(formula) FILTER (r = 2) AS ref2, max(conf) FILTER (r = 2) AS conf2, max(formula) FILTER (r = 3) AS ref3, max(conf) FILTER (r = 3) AS conf3 FROM rk GROUP BY label""",
     "convergence": f"""WITH {_M}, b AS (SELECT label, max(raw_conf) AS best FROM k GROUP BY label), z AS (SELECT (SELECT max(rms) FROM rms) AS max_rms, (SELECT min(best) FROM b) AS min_conf)
 SELECT round(max_rms, 6) AS max_rms, round(min_conf, 6) AS min_conf, min_conf > 0.8 AND max_rms < 0.03 AS with_refs, max_rms < 0.025 AS without_refs FROM z""",
-    "pairwise_mixture_fit": f"""WITH {_P}, pr AS (SELECT a.ref_idx AS ref1, b.ref_idx AS ref2, a.h AS h1, b.h AS h2, a.w / b.w AS r FROM ref a JOIN ref b ON a.ref_idx < b.ref_idx WHERE b.ref_idx < 4),
-w AS (SELECT label, ref1, ref2, fr, h1, h2, r, least(1, greatest(0, list_sum([(fr[i] - h2[i]) * (h1[i] - h2[i]) FOR i IN range(1, 7)]) / list_sum([(h1[i] - h2[i]) ** 2 FOR i IN range(1, 7)]))) AS s FROM p CROSS JOIN pr),
-e AS (SELECT label, ref1, ref2, list_sum([exp(15 * abs(fr[i] - (h1[i] * s + h2[i] * (1 - s)))) - 1 FOR i IN range(1, 7)]) AS e, r, s, (1 - s) * r / (1 - (1 - s) * (1 - r)) AS x2 FROM w),
+    "pairwise_mixture_fit": f"""WITH {_P}, pr AS (SELECT a.ref_idx AS ref1, b.ref_idx AS ref2, a.h AS h1, b.h AS h2, a.w / b.w AS r FROM ref a JOIN ref b ON a.ref_idx < b.ref_idx),
+w AS (SELECT label, ref1, ref2, fr, h1, h2, r, least(1, greatest(0, list_sum([(fr[i] - h2[i]) * (h1[i] - h2[i]) FOR i IN range(1, len(fr) + 1)]) / list_sum([(h1[i] - h2[i]) ** 2 FOR i IN range(1, len(fr) + 1)]))) AS s FROM p CROSS JOIN pr),
+e AS (SELECT label, ref1, ref2, fr, list_sum([exp(15 * abs(fr[i] - (h1[i] * s + h2[i] * (1 - s)))) - 1 FOR i IN range(1, len(fr) + 1)]) AS e, r, s, (1 - s) * r / (1 - (1 - s) * (1 - r)) AS x2 FROM w),
 m AS (SELECT *, s * (1 + x2 * (1 / r - 1)) AS x1 FROM e),
-t AS (SELECT label, ref1, ref2, count(*) AS n, sum(e) / (6 * count(*)) AS error, avg(x1) AS mm, stddev_pop(x1) AS ms FROM m GROUP BY ALL)
+t AS (SELECT label, ref1, ref2, count(*) AS n, sum(e) / sum(len(fr)) AS error, avg(x1) AS mm, stddev_pop(x1) AS ms FROM m GROUP BY ALL)
 SELECT label, ref1, ref2, n, round(error, 5) AS error, round(CASE WHEN error < 2 THEN exp(-error * error / 0.5) END, 5) AS conf, round(mm, 5) AS molar_fr_mean, round(ms, 5) AS molar_fr_std FROM t""",
-    "silhouette_exact": """WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 4),
+    "silhouette_exact": """WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT a.vec_id, a.label, b.label AS other, avg(list_distance(a.v, b.v)) AS m FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY ALL),
 s AS (SELECT vec_id, label, max(m) FILTER (label = other) AS own, min(m) FILTER (label <> other) AS near FROM d GROUP BY ALL)
 SELECT vec_id, label, round(CASE WHEN own IS NULL OR near IS NULL THEN 0 ELSE (near - own) / greatest(near, own) END, 5) AS silhouette FROM s""",

@@ -50,10 +50,9 @@ def compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(total, "l_suppkey").select("l_suppkey", "element", (F.col("q") / F.col("t")).alias("w_fr"))
 
 
-def points(spark: SparkSession, sf_dir: str, dims: int | None = None, scale: float = 1.0) -> DataFrame:
-    """(vec_id, label, fr) with the first ``dims`` components, scaled."""
-    v = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
-    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(v, lambda x: x.cast("double") * scale).alias("fr"))
+def points(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> DataFrame:
+    """(vec_id, label, fr) with all components, scaled."""
+    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * scale).alias("fr"))
 
 
 def _phases(pts: DataFrame) -> DataFrame:
@@ -61,12 +60,12 @@ def _phases(pts: DataFrame) -> DataFrame:
     return pts.groupBy("label").agg(F.min_by("fr", "vec_id").alias("fr")).select(F.col("label").alias("ref_idx"), F.concat(F.lit("R"), F.col("label").cast("string")).alias("formula"), "fr", (F.col("label") + 1).cast("double").alias("mix_weight"))
 
 
-def _centroids(pts: DataFrame, dims: int) -> DataFrame:
+def _centroids(pts: DataFrame) -> DataFrame:
     """(label, fr, rms) of points."""
     long = pts.select("label", "vec_id", F.posexplode("fr").alias("i", "value"))
     features, rows = stats.cluster_statistics(long, ["label"], feature="i", point="vec_id")
     centre = features.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("i", "mean"))).alias("m"))
-    return rows.join(centre, "label").select("label", "n_points", "rms", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.element_at("m", i)).alias("fr"))
+    return rows.join(centre, "label").select("label", "n_points", "rms", F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.element_at("m", i)).alias("fr"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +157,8 @@ def cluster_rms(spark, d):
 
 
 def _matches(spark, d):
-    pts = points(spark, d, 6, 0.2)
-    return refs.match_references(_centroids(pts, 6), _phases(pts), ["label"])
+    pts = points(spark, d, 0.03)
+    return refs.match_references(_centroids(pts), _phases(pts), ["label"])
 
 
 def cluster_reference_match(spark, d):
@@ -171,20 +170,20 @@ def cluster_reference_wide(spark, d):
 
 
 def convergence(spark, d):
-    pts = points(spark, d, 6, 0.2)
+    pts = points(spark, d, 0.03)
     conf = refs.assigned_confidence(_matches(spark, d).withColumn("all_", F.lit(1)), ["label"], ["all_"])
-    rms = _centroids(pts, 6).agg(F.max("rms").alias("max_rms"), F.lit(1).alias("all_")).join(conf, "all_", "left")
+    rms = _centroids(pts).agg(F.max("rms").alias("max_rms"), F.lit(1).alias("all_")).join(conf, "all_", "left")
     return _round(rms.select("max_rms", "min_conf", refs.converged(F.col("max_rms"), F.col("min_conf"), True).alias("with_refs"), refs.converged(F.col("max_rms"), F.col("min_conf"), False).alias("without_refs")))
 
 
 def pairwise_mixture_fit(spark, d):
-    pts = points(spark, d, 6, 0.2)
-    fits = mixtures.fit_pairs(pts, _phases(pts).where("ref_idx < 4"), ["label"])
+    pts = points(spark, d, 0.03)
+    fits = mixtures.fit_pairs(pts, _phases(pts), ["label"])
     return _round(fits.select("label", "ref1", "ref2", "n", "error", "conf", "molar_fr_mean", "molar_fr_std"), 5)
 
 
 def silhouette_exact(spark, d):
-    pts = points(spark, d).where("label < 4").withColumn("sample", F.lit(1))
+    pts = points(spark, d).withColumn("sample", F.lit(1))
     return _round(cluster.exact_silhouettes(pts, ["sample"], "vec_id", "label", "fr").drop("sample"), 5)
 
 
@@ -341,7 +340,7 @@ def zaf_factors(spark, d):
 
 
 def kmeans_labels(spark, d):
-    pts = points(spark, d).select((F.col("label") % 2).alias("sample_id"), F.col("vec_id").alias("spectrum_id"), "fr").where("spectrum_id < 400")
+    pts = points(spark, d).select(F.col("label").alias("sample_id"), F.col("vec_id").alias("spectrum_id"), "fr")
     return cluster.cluster_samples(pts, ["sample_id"], k=3)
 
 
@@ -370,7 +369,7 @@ def demo_tables() -> Tables:
 
 def fit_peaks(spark, d):
     """Noiseless spectra of the suppliers' compositions, fitted and quantified."""
-    c = compositions(spark, d).groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("element", "w_fr"))).alias("m")).where("l_suppkey < 16")
+    c = compositions(spark, d).groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("element", "w_fr"))).alias("m"))
     instrument, tables, stds = Instrument(), demo_tables(), {(e, "Ka1"): 3000.0 for e in ELEMENTS}
 
     def made(batches):
@@ -383,23 +382,22 @@ def fit_peaks(spark, d):
 
 
 def particles_in_images(spark, d):
-    """Discs drawn from the users' spectra, segmented."""
-    s = spectra_view(spark, d, 8).where("user_id < 40")
+    """Discs drawn from the users' spectra, one for each channel, segmented."""
 
     def drawn(batches):
+        import pandas as pd
+
+        y, x = np.mgrid[:168, :320]
         for rows in batches:
             out = []
             for user, counts in zip(rows["user_id"], rows["counts"]):
-                y, x = np.mgrid[:128, :256]
-                image = np.zeros((128, 256), np.uint8)
+                image = np.zeros((168, 320), np.uint8)
                 for i, n in enumerate(counts):
-                    image[(x - 16 - 31 * i) ** 2 + (y - 64) ** 2 <= min(12, 2 + n) ** 2] = 200
-                out.append((str(user), 128, 256, 0.5, image.tobytes()))
-            import pandas as pd
-
+                    image[(x - 16 - 32 * (i % 10)) ** 2 + (y - 14 - 28 * (i // 10)) ** 2 <= min(11, n) ** 2] = 200
+                out.append((str(user), 168, 320, 0.5, image.tobytes()))
             yield pd.DataFrame(out, columns=["image_id", "height", "width", "pixel_size_um", "pixels"])
 
-    images = s.mapInPandas(drawn, "image_id string, height int, width int, pixel_size_um double, pixels binary")
+    images = spectra_view(spark, d).mapInPandas(drawn, "image_id string, height int, width int, pixel_size_um double, pixels binary")
     return segment_particles(images, least_um2=1.0)
 
 
