@@ -40,7 +40,9 @@ class Work:
     """Writes DataFrames as Parquet into the shared folder and reads them back.
 
     A written table cuts lineage, survives lost executors and keeps file
-    statistics, so Spark sizes later joins by what is really there.
+    statistics, so Spark sizes later joins by what is really there. What an
+    operator does not drop itself goes when the application ends, since its
+    result may still read it.
     """
 
     def __init__(self, spark: SparkSession):
@@ -48,6 +50,10 @@ class Work:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
         self._n = 0
+        path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root), spark.sparkContext._jsc.hadoopConfiguration()
+        fs = path.getFileSystem(conf)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         self._n += 1
