@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.chemistry import MASS, Z
+from ..functions.chemistry import MASS, Z, parse_formula
 
 _ELEMENTS = ["Fe", "Mg", "Ca", "Al", "Si", "O"]
 _KINDS = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -37,6 +37,19 @@ _D = """ar AS (SELECT event_type AS frame_id, event_id AS particle_id, value AS
 _LINES = """lt AS (SELECT * FROM (VALUES ('Fe', 'Ka1', 6.4, 1.0), ('Fe', 'Kb1', 7.06, 0.13), ('Fe', 'La1', 0.7, 1.0), ('Mg', 'Ka1', 1.25, 1.0), ('Ca', 'Ka1', 3.69, 1.0), ('Ca', 'Kb1', 4.01, 0.13), ('Al', 'Ka1', 1.49, 1.0), ('Si', 'Ka1', 1.74, 1.0), ('O', 'Ka1', 0.525, 1.0)) t(element, line, e, w)),
 li AS (SELECT element, line, e::DOUBLE AS e, w::DOUBLE AS w FROM lt)"""
 
+
+
+def _phases(*formulas: str) -> str:
+    """Rows (index, formula, element, atomic fraction) over the six elements."""
+    rows = []
+    for i, formula in enumerate(formulas):
+        amounts = {e: parse_formula(formula).get(e, 0.0) for e in _ELEMENTS}
+        rows += [f"({i}, '{formula}', '{e}', {n / sum(amounts.values())!r}::DOUBLE)" for e, n in amounts.items()]
+    return ", ".join(rows)
+
+
+_PHASES = _phases("Fe2Mg5Ca3Al4Si4O7", "FeMg2CaAl2Si2O3", "FeMg2CaAl2Si2O4", "CaMgSi2O6", "Mg2SiO4")
+
 ORACLE_SQL = {
     "json_prop_extract": "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events",
     "spectrum_histogram": "SELECT user_id, floor(value / 10)::INT AS channel, count(*) AS n FROM events GROUP BY ALL",
@@ -140,4 +153,20 @@ t AS (SELECT *, zm * (1 - 0.0005 * zm) * ((15 - e) / e) ** (1 + 0.001 * zm) * e
   1 - eta * (0.33148 * l + 0.05596 * l ** 2 - 0.06339 * l ** 3 + 0.00947 * l ** 4 + eta * (2.87898 * l - 1.51307 * l ** 2 + 0.81312 * l ** 3 - 0.08241 * l ** 4) / u) ** 1.67 AS rp FROM s),
 f AS (SELECT l_suppkey, element, gs / gp AS zf, af, rp / (1 - (1 - rp) * (2 / (1 + eta)) ** 0.63 * (0.79 + 0.44 * e / 15.0)) AS rf FROM t)
 SELECT l_suppkey, element, 'Ka1' AS line, round(zf, 6) AS z_factor, round(af, 6) AS a_factor, round(rf, 6) AS r_factor, round(zf * af * rf, 6) AS zaf FROM f""",
+    "width_calibration": "SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 5) AS p1, round(regr_slope(p_retailprice, p_size), 5) AS p2, count(*) AS n FROM part GROUP BY p_brand",
+    "calibration_lookup": "SELECT 'm1' AS microscope, 'click' AS mode, round(arg_max(value, event_id), 6) AS scale, max(event_id) AS event_id, max(event_id) AS valid_from FROM events WHERE event_type = 'click'",
+    "sample_accuracy": f"""WITH {_C}, a AS (SELECT l_suppkey, sqrt(avg((w_fr * 100 - 100 / 6.0::DOUBLE) ** 2)) AS r, count(*) AS n FROM c WHERE l_suppkey % 4 - 1 IN (0, -1) GROUP BY l_suppkey)
+SELECT l_suppkey, round(r, 6) AS d_rms, n, r < 1 AS under_1, r < 2 AS under_2, r < 3 AS under_3 FROM a""",
+    "shuffled_frames": "SELECT c_name, row_number() OVER (ORDER BY md5('3:' || c_name), c_name)::INT AS place FROM customer",
+    "flagship": f"""WITH {_AT},
+ref AS (SELECT * FROM (VALUES {_PHASES}) t(ref_idx, formula, element, fr)),
+p AS (SELECT l_suppkey % 3 AS sample_id, (l_suppkey % 2)::INT AS cluster_id, l_suppkey, element, at_fr FROM a),
+m AS (SELECT sample_id, cluster_id, element, avg(at_fr) AS m FROM p GROUP BY ALL),
+g AS (SELECT sample_id, cluster_id, count(DISTINCT l_suppkey) AS n_points, sum((at_fr - m) ** 2) AS wcss FROM p JOIN m USING (sample_id, cluster_id, element) GROUP BY ALL),
+d AS (SELECT sample_id, cluster_id, ref_idx, formula, sqrt(sum((m - fr) ** 2)) AS d FROM m JOIN ref USING (element) GROUP BY ALL),
+n AS (SELECT d.*, exp(-d * d / 0.0018) AS raw FROM d JOIN g USING (sample_id, cluster_id) WHERE d <= greatest(0.1, 5 * sqrt(wcss / n_points))),
+k AS (SELECT *, raw * exp(-((1 - raw) ** 2) / 0.18) / sum(exp(-((1 - raw) ** 2) / 0.18)) OVER (PARTITION BY sample_id, cluster_id) AS conf FROM n),
+r AS (SELECT sample_id, cluster_id, formula, round_even(conf, 2) AS conf, row_number() OVER (PARTITION BY sample_id, cluster_id ORDER BY conf DESC, ref_idx) AS r FROM k WHERE conf > 0.01),
+w AS (SELECT sample_id, cluster_id, {", ".join(f"max(formula) FILTER (r = {i}) AS ref{i}, max(conf) FILTER (r = {i}) AS conf{i}" for i in (1, 2, 3))} FROM r GROUP BY ALL)
+SELECT sample_id, cluster_id, n_points, round(wcss, 6) AS wcss, round(sqrt(wcss / n_points), 6) AS rms, ref1, conf1, ref2, conf2, ref3, conf3 FROM g LEFT JOIN w USING (sample_id, cluster_id)""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Clustering
 from ..functions import chemistry, geometry, spectra, text
-from ..operators import cluster, corrections, interpolate, lines, mixtures, refs, select, standards, stats
+from ..operators import calibration, cluster, corrections, interpolate, lines, mixtures, refs, select, standards, stats
 from ..operators.fitting import quantified
 from ..operators.images import segment_particles
 from ..physics.fit import Instrument, Tables, simulate
@@ -339,6 +339,30 @@ def zaf_factors(spark, d):
     return _round(corrections.zaf_factors(compositions(spark, d), table, mu, ion, ["l_suppkey"], beam_kev=15.0, takeoff_deg=28.5, p="1.0 + 0.001 * z", f="1.0 - 0.0005 * z", beta="0.05 + 0.001 * z"))
 
 
+def width_calibration(spark, d):
+    p = _t(spark, d, "part").select("p_brand", F.col("p_size").cast("double").alias("energy_kev"), F.sqrt(F.col("p_retailprice")).alias("sigma"))
+    return _round(calibration.width_calibration(p, ["p_brand"]), 5)
+
+
+def calibration_lookup(spark, d):
+    e = _t(spark, d, "events").select(F.lit("m1").alias("microscope"), F.col("event_type").alias("mode"), F.concat(F.col("ts").cast("string"), F.lit(" "), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("valid_from"), F.col("value").alias("scale"), "event_id")
+    return _round(calibration.calibration_of(e.drop("valid_from").withColumn("valid_from", F.col("event_id")), "m1", "click"))
+
+
+def sample_accuracy(spark, d):
+    rows = compositions(spark, d).select("l_suppkey", (F.col("w_fr") * 100).alias("measured"), F.lit(100 / 6).alias("expected"), (F.col("l_suppkey") % 4 - 1).cast("int").alias("quant_flag"), F.lit(0.01).alias("an_err"))
+    return _round(calibration.accuracy(rows, ["l_suppkey"]))
+
+
+def shuffled_frames(spark, d):
+    return calibration.shuffled(_t(spark, d, "customer").select("c_name"), "c_name", 3)
+
+
+def histogram_fit(spark, d):
+    bins = stats.histogram(_areas(spark, d), "diameter").withColumn("k", F.lit(1))
+    return _round(calibration.lorentzian_of_histogram(bins, ["k"]), 3)
+
+
 def kmeans_labels(spark, d):
     pts = points(spark, d).select(F.col("label").alias("sample_id"), F.col("vec_id").alias("spectrum_id"), "fr")
     return cluster.cluster_samples(pts, ["sample_id"], k=3)
@@ -409,7 +433,7 @@ def flagship(spark, d):
     m = c.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("element", "at_fr"))).alias("at_fr"), F.map_from_entries(F.collect_list(F.struct("element", "w_fr"))).alias("w_fr"))
     rows = m.select((F.col("l_suppkey") % 3).alias("sample_id"), F.col("l_suppkey").alias("spectrum_id"), "at_fr", "w_fr", F.lit(0).alias("quant_flag"), F.lit(0.0).alias("an_err"))
     labels = rows.select("sample_id", "spectrum_id", (F.col("spectrum_id") % 2).cast("int").alias("cluster_id"))
-    done = analyze(rows, ELEMENTS, Clustering(ref_formulae=("CaMgSi2O6", "FeAl2O4", "Mg2SiO4", "CaAl2Si2O8", "FeSiO3")), labels=labels)
+    done = analyze(rows, ELEMENTS, Clustering(ref_formulae=("Fe2Mg5Ca3Al4Si4O7", "FeMg2CaAl2Si2O3", "FeMg2CaAl2Si2O4", "CaMgSi2O6", "Mg2SiO4")), labels=labels)
     return _round(done.clusters.select("sample_id", "cluster_id", "n_points", "wcss", "rms").join(refs.wide_references(done.references, ["sample_id", "cluster_id"]), ["sample_id", "cluster_id"], "left"))
 
 
@@ -418,5 +442,6 @@ QUERIES = {f.__name__: f for f in (
     normalise_mass_fractions, select_good, discard_report, post_fit_flag, first_spot_contaminated, substrate_contamination, cluster_stats, cluster_rms, cluster_reference_match, cluster_reference_wide,
     convergence, pairwise_mixture_fit, silhouette_exact, k_vote, line_choice, pb_stats, standards_mean, standards_upsert, k_ratio, incremental_requantify_merge, particle_stats, particle_filter,
     particle_histogram, grid_frames, frame_coordinates, excel_letters, clean_ids, line_keys, two_point_calibration, latest_calibration, interp_lookup, trapezoid, detector_sigma, rdev_shares,
-    element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, flagship,
+    element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors,
+    width_calibration, calibration_lookup, sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, flagship,
 )}

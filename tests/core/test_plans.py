@@ -132,3 +132,32 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
 def test_particles_until(spark):
     df = spark.createDataFrame([("A", i) for i in range(4)] + [("B", i) for i in range(4)], "frame_id string, particle_id long")
     assert sorted(tuple(r) for r in particles_until(df, 6).collect()) == [("A", 0), ("A", 1), ("A", 2), ("A", 3), ("B", 0), ("B", 1)]
+
+
+def test_detector_helpers():
+    e = I.energies()
+    flat = bg.respond(np.ones(len(e)), e, I.sigma)
+    assert np.allclose(flat[20:-20], 1, atol=0.02)
+    line = np.arange(10.0)
+    assert np.allclose(bg.padded(line + 5, 3), np.arange(2.0, 18)) and bg.padded(line, 3).min() == 0
+    assert bg.zero_strobe(np.array([0.0, 1.0]), 5.0)[0] == 5 and bg.zero_strobe(np.array([1.0]), 5.0)[0] < 1e-9
+    from sparkspec.physics.fit import SpectrumFit
+
+    fine, y = SpectrumFit(np.zeros(2048), ["Fe", "O"], I, T).fine_background({"Fe": 0.7, "O": 0.3})
+    assert len(fine) > 20000 and (y >= 0).all() and np.isfinite(y).all()
+
+
+def test_calibration_rows(spark):
+    from sparkspec.operators import calibration as cal
+
+    df = spark.createDataFrame([("d", e, float(np.sqrt(0.002 + 0.0004 * e))) for e in (1.0, 3.0, 6.4)], "k string, energy_kev double, sigma double")
+    r = cal.width_calibration(df, ["k"]).first()
+    assert r.p1 == pytest.approx(0.002) and r.p2 == pytest.approx(0.0004)
+    x = np.linspace(-5, 5, 40)
+    bins = spark.createDataFrame([(1, float(a), float(b), float(cal.lorentzian((a + b) / 2, 7, 0.4, 0.8))) for a, b in zip(x[:-1], x[1:])], "k int, lo double, hi double, n double")
+    f = cal.lorentzian_of_histogram(bins, ["k"]).first()
+    assert (f.height, f.center, f.width) == pytest.approx((7, 0.4, 0.8), rel=1e-3)
+    frames = spark.createDataFrame([(f"A{i}",) for i in range(20)], "label string")
+    one, two = ([r.label for r in cal.shuffled(frames.repartition(n), "label", 1).orderBy("place").collect()] for n in (1, 4))
+    assert one == two != sorted(one)
+    assert cal.calibration_of(spark.createDataFrame([("m", "point", 1, 0.1), ("m", "point", 2, 0.2)], "microscope string, mode string, valid_from int, scale double"), "m", "point").first().scale == 0.2
