@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .text import LOWER, SPACE, pieces, string_buffers
+from .text import LOWER, pieces
 from .work import ship
 
 _LETTER = np.zeros(256, bool)

@@ -1,6 +1,5 @@
 """Document operators against brute force on small tables with odd rows."""
 
-import hashlib
 import random
 import re
 import zlib
