@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkspec.config import Clustering
 from sparkspec.operators import standards
