@@ -118,8 +118,11 @@ def learn(docs: DataFrame, per_language: int = 300, symbols: int = 96) -> Contex
     empty, teach. The bound keeps what the driver gathers fixed.
     """
     may = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select("doc_id", "lang", "text")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = may.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    dealt = may.select("doc_id", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(64)))
+    # first within 64 parts of each language, so that a common one fills no single task
+    some = dealt.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("r") <= per_language)
+    chosen = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_language).drop("r", "salt")
     rows = may.join(F.broadcast(chosen), ["doc_id", "lang"])
     texts: dict[str, list[bytes]] = {}
     for lang, text in sorted((r.lang, r.text) for r in rows.toLocalIterator()):
