@@ -140,6 +140,13 @@ def canonical(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.array([place[j] for j in labels])
 
 
+def spread(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt out by key over a fixed number of tasks: groups that are small in bytes but long to compute would else be merged into few tasks."""
+    session = rows.sparkSession
+    n = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, *key)
+
+
 def cluster_samples(points: DataFrame, key: list[str], *, point: str = "spectrum_id", k: int | None = None, max_k: int = 6, method: str = "silhouette", seed: int = 0, least: int = 5) -> DataFrame:
     """(key, point, cluster_id, k, silhouette) for the points (key, point, fr) of each sample.
 
@@ -164,7 +171,7 @@ def cluster_samples(points: DataFrame, key: list[str], *, point: str = "spectrum
         out["cluster_id"], out["k"], out["silhouette"] = labels, len(np.unique(labels)), None if np.isnan(score) else score
         return out
 
-    return points.select(*key, point, "fr").groupBy(*key).applyInPandas(run, schema)
+    return spread(points.select(*key, point, "fr"), key).groupBy(*key).applyInPandas(run, schema)
 
 
 def k_vote(choices: DataFrame, key: list[str], *, last_round: bool = False) -> DataFrame:

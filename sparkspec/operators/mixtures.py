@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.chemistry import pretty_formula
+from .cluster import spread
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -127,4 +128,4 @@ def free_mixture(points: DataFrame, key: list[str], elements: list[str], *, seed
         conf = float(np.exp(-(error**2) / 0.5)) if error < 2 else None
         return pd.DataFrame([[*ids, *names, error, conf, float(w[:, 0].mean()), float(w[:, 0].std())]])
 
-    return points.select(*key, "fr").groupBy(*key).applyInPandas(run, schema)
+    return spread(points.select(*key, "fr"), key).groupBy(*key).applyInPandas(run, schema)

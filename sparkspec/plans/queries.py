@@ -394,6 +394,7 @@ def demo_tables() -> Tables:
 def fit_peaks(spark, d):
     """Noiseless spectra of the suppliers' compositions, fitted and quantified."""
     c = compositions(spark, d).groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("element", "w_fr"))).alias("m"))
+    c = cluster.spread(c, ["l_suppkey"])
     instrument, tables, stds = Instrument(), demo_tables(), {(e, "Ka1"): 3000.0 for e in ELEMENTS}
 
     def made(batches):
