@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
     # the sizes alone bound the similarity
     pairs = work.table(pairs.where(F.col("u") * 100 >= F.col("v") * percent).select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("rep")).distinct()
-    found = source.join(wanted, source.doc_id == wanted.id, "left_semi").mapInArrow(_sets(shingle), "id long, set array<long>, digest long")
+    # a merge join at every size: texts are dealt once, whatever the number of classes that share a bucket
+    found = source.join(wanted.hint("merge"), source.doc_id == wanted.id, "left_semi").mapInArrow(_sets(shingle), "id long, set array<long>, digest long")
     if one.count() < signed.where("doc_id is not null").count():  # repeated doc_ids
         found = found.groupBy("id").agg(F.max_by("set", F.struct(F.size("set"), "digest")).alias("set"))
     sets = work.table(found.select("id", "set"), "sets")
