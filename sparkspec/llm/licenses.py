@@ -78,12 +78,13 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, rarest: int = 6, share: float
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score. Words are runs of digits, letters and non-ASCII characters,
     A-Z lower-cased. Base places are where a base phrase's words stand
-    consecutively. For templates, each row's ``rarest`` licence words of
-    highest inverse document frequency (counted over all rows; ties by word)
-    are looked up in the positional index; a template is found where words
-    weighing at least ``share`` of its own rarest ones' idf agree on one
-    relative position and the key phrase stands in the row. ``score`` is the
-    largest such share, 1 where only base places were found, 0 without labels.
+    consecutively. The positional index holds each template's ``rarest`` words
+    of highest inverse document frequency (counted over all rows; ties by
+    word), and every place of such a word in a row is looked up in it; a
+    template is found where words weighing at least ``share`` of its rarest
+    ones' idf agree on one relative position and the key phrase stands in the
+    row. ``score`` is the largest such share, 1 where only base places were
+    found, 0 without labels.
 
     A null or empty text has no words, empty labels and null places. Rows
     repeat as they come; a null doc_id is kept. An empty table gives an empty
@@ -112,9 +113,7 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, rarest: int = 6, share: float
     need = top.groupBy("template").agg(F.sum("idf").alias("need"))
     index = work.table(postings.join(F.broadcast(top.drop("_r")), ["template", "word"]).join(F.broadcast(need), "template"), "index")
 
-    seen = each.join(F.broadcast(idf), "word")
-    own = seen.select("row", "word", "idf").distinct().withColumn("_r", F.row_number().over(W.partitionBy("row").orderBy(F.desc("idf"), "word"))).where(F.col("_r") <= 2 * rarest).select("row", "word")
-    aligned = each.select("row", "word", "pos").join(own, ["row", "word"]).join(F.broadcast(index), "word")
+    aligned = each.select("row", "word", "pos").join(F.broadcast(index), "word")
     agree = aligned.groupBy("row", "template", (F.col("pos") - F.col("at")).alias("shift"), "need").agg(F.sum("idf").alias("got"))
     likely = agree.groupBy("row", "template").agg(F.max(F.least(F.lit(1.0), F.col("got") / F.col("need"))).alias("share")).where(F.col("share") >= share)
     named = spark.createDataFrame([(t, label, phrase) for t, (label, _, phrase) in enumerate(templates)], "template int, label string, phrase string")

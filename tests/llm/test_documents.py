@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkspec.llm import minhash
+from sparkspec.llm import licenses, minhash
 from sparkspec.llm.components import components, roots
 from sparkspec.llm.langid import ContextTrees, identify, learn
 from sparkspec.llm.licenses import scan
@@ -209,6 +209,36 @@ def test_license_scan(spark):
     assert scan(df.limit(0)).count() == 0
 
 
+def brute_templates(docs, templates, rarest=6, share=0.6):
+    """(labels of templates, largest share) of each text, by every template at every shift."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rows = [word.findall((t or "").translate(LOW)) for t in docs]
+    df = Counter(w for r in rows for w in set(r))
+    out = [(set(), 0.0) for _ in rows]
+    for label, text, phrase in templates:
+        words, key = text.split(), phrase.split()
+        idf = {w: np.log1p(len(rows) / df[w]) if df[w] else 0.0 for w in words if w not in licenses._COMMON}
+        top = sorted(idf, key=lambda w: (-idf[w], w))[:rarest]
+        for n, r in enumerate(rows):
+            if not any(r[i : i + len(key)] == key for i in range(len(r))):
+                continue
+            got = max(sum(idf[w] for i, w in enumerate(words) if w in top and 0 <= i + shift < len(r) and r[i + shift] == w) for shift in range(-len(words), len(r)))
+            if got / sum(idf[w] for w in top) >= share - 1e-12:
+                out[n] = (out[n][0] | {label}, max(out[n][1], min(1.0, got / sum(idf[w] for w in top))))
+    return out
+
+
+def test_license_scan_of_files_with_many_licenses(spark):
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    docs = [". ".join(texts), ". ".join(texts[::-1]), *(f"{a}; {b}" for a, b in zip(texts, texts[3:])), *texts * 2, "mit license " * 3, "nothing here", None]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    for n, (labels, score) in enumerate(brute_templates(docs, licenses.TEMPLATES)):
+        base = set(got[n].base_labels.split(",")) - {""}
+        assert set(got[n].labels.split(",")) - {""} == labels | base
+        assert got[n].score == pytest.approx(score if labels else float(bool(base)))
+    assert {label for label, *_ in licenses.TEMPLATES} <= set(got[0].labels.split(","))
+
+
 def brute_ppm(sample, text, symbols=256):
     """Code length in nats of order-2 method C, from counts."""
     counts = [Counter(), {}, {}]
