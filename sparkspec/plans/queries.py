@@ -35,10 +35,16 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("value") / 10).cast("int").alias("channel")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def spectra_view(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
-    """(user_id, counts): one array of ``width`` channels a user."""
+def channel_range(spark: SparkSession, sf_dir: str, width: int = 60) -> tuple[int, int]:
+    """First and end channel that hold every event of the table: 0 and ``width``, or beyond where values are."""
+    low, high = channels(spark, sf_dir).agg(F.min("channel"), F.max("channel")).first()
+    return (0, width) if low is None else (min(0, low), max(width, high + 1))
+
+
+def spectra_view(spark: SparkSession, sf_dir: str, start: int, stop: int) -> DataFrame:
+    """(user_id, counts): one array of the channels start .. stop - 1 a user."""
     rows = channels(spark, sf_dir).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "n"))).alias("m"))
-    return rows.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("counts"))
+    return rows.select("user_id", F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("counts"))
 
 
 def compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,16 +89,19 @@ def spectrum_histogram(spark, d):
 
 
 def spectrum_total_counts(spark, d):
-    return spectra_view(spark, d).select("user_id", spectra.total_counts(F.col("counts")).alias("total"))
+    return spectra_view(spark, d, *channel_range(spark, d)).select("user_id", spectra.total_counts(F.col("counts")).alias("total"))
 
 
 def spectrum_validity_flag(spark, d):
-    axis = spectra.energy_axis(0, 60, 0.0, 0.1)
-    return spectra_view(spark, d).select("user_id", F.coalesce(select.spectrum_flag(F.col("counts"), axis, 66.0, 1.4), F.lit(0)).alias("flag"))
+    start, stop = channel_range(spark, d)
+    axis = spectra.energy_axis(start, stop, 0.0, 0.1)
+    return spectra_view(spark, d, start, stop).select("user_id", F.coalesce(select.spectrum_flag(F.col("counts"), axis, 66.0, 1.4), F.lit(0)).alias("flag"))
 
 
 def spectrum_smooth(spark, d):
-    return _round(spectra_view(spark, d).select("user_id", F.posexplode(spectra.box_smooth(F.col("counts"))).alias("channel", "value")))
+    start, stop = channel_range(spark, d)
+    smooth = spectra_view(spark, d, start, stop).select("user_id", F.posexplode(spectra.box_smooth(F.col("counts"))).alias("channel", "value"))
+    return _round(smooth.withColumn("channel", F.col("channel") + start))
 
 
 def composition_mass_fraction(spark, d):
@@ -134,7 +143,7 @@ def post_fit_flag(spark, d):
 
 
 def first_spot_contaminated(spark, d):
-    s = spectra_view(spark, d).select(F.lit("s").alias("sample_id"), (F.col("user_id") % 40).alias("particle_id"), F.col("user_id").alias("spectrum_id"), "counts")
+    s = spectra_view(spark, d, *channel_range(spark, d)).select(F.lit("s").alias("sample_id"), (F.col("user_id") % 40).alias("particle_id"), F.col("user_id").alias("spectrum_id"), "counts")
     return select.first_spot_contaminated(s, 70.0)
 
 
@@ -412,17 +421,19 @@ def particles_in_images(spark, d):
     def drawn(batches):
         import pandas as pd
 
-        y, x = np.mgrid[:168, :320]
+        height = 28 * -(-(stop - start) // 10)
+        y, x = np.mgrid[:height, :320]
         for rows in batches:
             out = []
             for user, counts in zip(rows["user_id"], rows["counts"]):
-                image = np.zeros((168, 320), np.uint8)
+                image = np.zeros((height, 320), np.uint8)
                 for i, n in enumerate(counts):
                     image[(x - 16 - 32 * (i % 10)) ** 2 + (y - 14 - 28 * (i // 10)) ** 2 <= min(11, n) ** 2] = 200
-                out.append((str(user), 168, 320, 0.5, image.tobytes()))
+                out.append((str(user), height, 320, 0.5, image.tobytes()))
             yield pd.DataFrame(out, columns=["image_id", "height", "width", "pixel_size_um", "pixels"])
 
-    images = spectra_view(spark, d).mapInPandas(drawn, "image_id string, height int, width int, pixel_size_um double, pixels binary")
+    start, stop = channel_range(spark, d)
+    images = spectra_view(spark, d, start, stop).mapInPandas(drawn, "image_id string, height int, width int, pixel_size_um double, pixels binary")
     return segment_particles(images, least_um2=1.0)
 
 

@@ -8,6 +8,7 @@ from sparkspec.physics import background as bg
 from sparkspec.physics.fit import Instrument, simulate
 from sparkspec.physics.peaks import charge_loss, find_peaks, gaussian, peak
 from sparkspec.physics.solve import fit_bounded, nnls
+from sparkspec.plans import queries
 from sparkspec.plans.analyze import analyze, build_standards, quantify_and_analyze
 from sparkspec.plans.queries import ELEMENTS, demo_tables
 from sparkspec.streaming.acquisition import Acquisition, particles_until, spectra_stream
@@ -161,3 +162,17 @@ def test_calibration_rows(spark):
     one, two = ([r.label for r in cal.shuffled(frames.repartition(n), "label", 1).orderBy("place").collect()] for n in (1, 4))
     assert one == two != sorted(one)
     assert cal.calibration_of(spark.createDataFrame([("m", "point", 1, 0.1), ("m", "point", 2, 0.2)], "microscope string, mode string, valid_from int, scale double"), "m", "point").first().scale == 0.2
+
+
+def test_spectra_hold_all_channels(spark, tmp_path):
+    values = {1: [-15.0, 0.0, 605.0, 605.0, 1234.5] * 14, 2: [5.0, 15.0, 599.0]}
+    spark.createDataFrame([(u, v) for u, vs in values.items() for v in vs], "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    seen = {(r.user_id, r.channel): r.n for r in queries.spectrum_histogram(spark, d).collect()}
+    assert {r.user_id: r.total for r in queries.spectrum_total_counts(spark, d).collect()} == {1: 70.0, 2: 3.0}
+    smooth = {(r.user_id, r.channel): r.value for r in queries.spectrum_smooth(spark, d).collect()}
+    assert smooth.keys() == {(u, c) for u in values for c in range(-2, 124)}
+    assert all(v == pytest.approx(sum(seen.get((u, c + i), 0) for i in (-1, 0, 1)) / 3, abs=1e-6) for (u, c), v in smooth.items())
+    assert {r.user_id: r.flag for r in queries.spectrum_validity_flag(spark, d).collect()} == {1: 0, 2: 2}
+    assert [r.particle_id for r in queries.first_spot_contaminated(spark, d).collect()] == [2]
+    assert queries.particles_in_images(spark, d).where("image_id = '1'").count() == 4
