@@ -378,10 +378,9 @@ def kmeans_labels(spark, d):
 
 
 def k_selection(spark, d):
-    """Two samples of points around two and three far centres."""
-    n = spark.range(120).select((F.col("id") % 2).alias("sample_id"), F.col("id").alias("spectrum_id"), (F.floor(F.col("id") / 2) % (F.col("id") % 2 + 2)).alias("g"))
-    fr = F.array(F.col("g") * 0.3 + F.sin(F.col("spectrum_id")) * 0.01, (F.col("g") == 1).cast("double") * 0.4 + F.cos(F.col("spectrum_id")) * 0.01)
-    return cluster.cluster_samples(n.withColumn("fr", fr), ["sample_id"], method="silhouette").groupBy("sample_id", "cluster_id", "k").count()
+    """As ``kmeans_labels``, with the k of each sample searched for."""
+    pts = points(spark, d).select(F.col("label").alias("sample_id"), F.col("vec_id").alias("spectrum_id"), "fr")
+    return cluster.cluster_samples(pts, ["sample_id"], method="silhouette")
 
 
 def free_mixture(spark, d):

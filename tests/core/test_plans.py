@@ -176,3 +176,14 @@ def test_spectra_hold_all_channels(spark, tmp_path):
     assert {r.user_id: r.flag for r in queries.spectrum_validity_flag(spark, d).collect()} == {1: 0, 2: 2}
     assert [r.particle_id for r in queries.first_spot_contaminated(spark, d).collect()] == [2]
     assert queries.particles_in_images(spark, d).where("image_id = '1'").count() == 4
+
+
+def test_k_selection_reads_the_table(spark, tmp_path):
+    """Two labels of points around two and three far centres."""
+    rows = [(i, i % 2, [g * 0.3 + float(np.sin(i)) * 0.01, (g == 1) * 0.4 + float(np.cos(i)) * 0.01]) for i in range(120) for g in [i // 2 % (i % 2 + 2)]]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.k_selection(spark, str(tmp_path)).collect()
+    assert sorted(r.spectrum_id for r in got) == list(range(120))
+    assert all(r.sample_id == r.spectrum_id % 2 and r.k == r.sample_id + 2 for r in got)
+    groups = {(r.sample_id, r.spectrum_id // 2 % (r.sample_id + 2), r.cluster_id) for r in got}
+    assert len(groups) == 5 == len({(s, c) for s, _, c in groups})
