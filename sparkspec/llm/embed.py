@@ -95,7 +95,7 @@ def _compare(least: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.98, cell_size: int = 1024, max_cells: int = 1024, sample: int = 8192, block: int = 1024) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.98, cell_size: int = 1024, max_cells: int = 1024, few: int = 4, least_cell: int = 32, sample: int = 8192, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vec_id of ``vectors`` (vec_id, embedding, label).
 
     Vectors with equal, not null labels and equal lengths are linked if their
@@ -107,7 +107,9 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.98, cell_size
     Equal vectors of a label form a class first. Cells come from spherical
     k-means over at most ``sample`` classes (the least hashes of vec_id), one
     for each ``cell_size`` classes of the largest label, ``max_cells`` at most:
-    so the codebook that tasks receive is bounded. Every class goes to its nearest cell and to each
+    so the codebook that tasks receive is bounded. Smaller labels have ``few``
+    cells, or as many as leave ``least_cell`` classes a cell; only under two
+    such cells is a label one cell. Every class goes to its nearest cell and to each
     cell across whose border a partner may lie, so no link is missed. Cells
     are compared in pairs of blocks of about ``block`` vectors, which give
     counts and one edge a vector, not pairs.
@@ -121,7 +123,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.98, cell_size
     classes = work.table(good.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")).select("label", "vec_id", "n", "v"), "classes")
     seen = classes.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample).toPandas()["v"]
     most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    k = min(max_cells, most // cell_size)
+    k = min(max_cells, max(most // cell_size, min(few, most // least_cell)))
     centres: dict[int, np.ndarray] = {}
     for dim in {len(x) for x in seen}:
         points = [x for x in seen if len(x) == dim]

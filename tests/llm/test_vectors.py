@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+from sparkspec.llm import embed
 from sparkspec.llm.embed import near_duplicate_vectors
 from sparkspec.llm.topk import ImpactIndex, top_k
 
@@ -92,6 +93,16 @@ def test_embedding_near_dedup_equals_brute_force(spark, cell, block):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_small_labels_have_cells(spark, monkeypatch):
+    asked, kmeans = [], embed.spherical_kmeans
+    monkeypatch.setattr(embed, "spherical_kmeans", lambda points, k, **how: asked.append(k) or kmeans(points, k, **how))
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3).astype(np.float32)], i % 2) for i in range(280)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).collect()}
+    assert asked == [4] and got == brute_links(rows) and max(n for n, *_ in got.values()) > 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
