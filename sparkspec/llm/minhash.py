@@ -198,16 +198,42 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
     of ``block`` (``_rest``), so that no pair in a bucket stays unseen.
 
     Null or empty texts have an empty set and link with nothing. Rows that
-    repeat a doc_id are joined by it: the row with most shingles (then
-    greatest digest) counts, and each row gets that result. A null doc_id
-    gets n_shingles of its row, a null component and kept true. An empty
-    table gives an empty result. Other columns are not read.
+    repeat a doc_id are compared each by its own text and may get different
+    components; kept is true for all rows of the component's least doc_id. A
+    null doc_id gets n_shingles of its row, a null component and kept true. An
+    empty table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    work = Work(spark)
+    how = {"shingle": shingle, "percent": percent, "bands": bands, "width": width, "small": small, "block": block}
+    work = Work(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if _repeats(source):
+        found = _by_row(work.table(source.withColumn("_row", F.monotonically_increasing_id()), "rows"), work, **how).drop("_row", "_stays")
+    else:
+        found = _components_of(source, work, **how)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id stands in several rows."""
+    return not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _by_row(keyed: DataFrame, work: Work, **how) -> DataFrame:
+    """(_row, doc_id, n_shingles, component_id, _stays) for the rows (_row, doc_id, text) of a written table; one row of each component stays, and all of null doc_ids."""
+    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
+    named = keyed.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _components_of(named, work, **how).select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_group"))
+    known = work.table(found.where("_row is not null").join(ids, "_row"), "known")
+    first = known.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
+    some = known.join(first, "_group").select("_row", "doc_id", "n_shingles", F.col("_first.doc_id").alias("component_id"), (F.col("_first._row") == F.col("_row")).alias("_stays"))
+    none = F.lit(None).cast("long")
+    return some.unionAll(found.where("_row is null").select("_row", none.alias("doc_id"), "n_shingles", none.alias("component_id"), F.lit(True).alias("_stays")))
+
+
+def _components_of(source: DataFrame, work: Work, *, shingle: int = 3, percent: int = 85, bands: int = 28, width: int = 6, small: int = 8, block: int = 256) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row (doc_id, text); no doc_id but null repeats."""
     signed = work.table(source.mapInArrow(_sign(bands, width, shingle), _SIGNED), "signed")
-    one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "set_a", "set_b", "bands"), F.struct("n_shingles", "set_a", "set_b")).alias("s")).select("doc_id", "s.*")
+    one = signed.where("doc_id is not null")
     classes = work.table(one.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
     entries = classes.select("rep", F.col("n_shingles").alias("m"), F.explode("bands").alias("bucket"))
@@ -227,8 +253,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("rep")).distinct()
     # a merge join at every size: texts are dealt once, whatever the number of classes that share a bucket
     found = source.join(wanted.hint("merge"), source.doc_id == wanted.id, "left_semi").mapInArrow(_sets(shingle), "id long, set array<long>, digest long")
-    if one.count() < signed.where("doc_id is not null").count():  # repeated doc_ids
-        found = found.groupBy("id").agg(F.max_by("set", F.struct(F.size("set"), "digest")).alias("set"))
     sets = work.table(found.select("id", "set"), "sets")
     links = work.table(_confirmed(pairs, sets, percent), "links")
     comp = work.table(components(links, work), "components")
@@ -237,14 +261,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
         comp = work.table(components(links.unionAll(more), work), "components")
     work.drop(sets, members, pairs)
     ids = one.join(classes.drop("bands"), ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", "rep")
-    ids = ids.join(comp, ids.rep == comp.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    rows = signed.select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n"))
-    named = rows.where("_id is not null").join(ids, rows._id == ids.doc_id).select("doc_id", "n_shingles", "component_id")
-    bare = rows.where("_id is null").select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_id").alias("component_id"))
-    return named.unionAll(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = ids.join(comp, ids.rep == comp.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    bare = signed.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.unionAll(bare)
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """Rows of ``docs`` that stay when one document of each group of near duplicates does."""
-    kept = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Rows of ``docs`` that stay when one row of each group of near duplicates does: one of the least doc_id. Rows of null doc_id all stay."""
+    work = Work(docs.sparkSession)
+    if not _repeats(docs):
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        kept = _components_of(source, work, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+        return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    keyed = work.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    stays = _by_row(keyed, work, **how).where("_stays and _row is not null").select("_row")
+    known = keyed.where("doc_id is not null").join(stays, "_row", "left_semi")
+    return known.unionAll(keyed.where("doc_id is null").select(*known.columns)).select(*docs.columns)

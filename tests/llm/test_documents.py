@@ -94,6 +94,17 @@ def test_near_duplicates_odd_rows(spark):
     assert sum(r.doc_id is None for r in drop_near_duplicates(df).collect()) == 2
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b + " more words here"), (2, b), (2, c), (3, c), (4, a), (5, "other words of its own"), (5, "other words of its own"), (None, a)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == Counter([(1, 58, 1, True)] * 2 + [(1, 61, 1, True), (2, 58, 1, False), (2, 58, 2, True), (3, 58, 2, False), (4, 58, 1, False)] + [(5, 3, 5, True)] * 2 + [(None, 58, None, True)])
+    left = drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, a), (1, a), (1, rows[2][1]), (2, c), (5, rows[7][1])])
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     probes = rng.integers(0, 168, (168, 64))
