@@ -51,16 +51,17 @@ def template_index(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 
 def word_hits(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(row columns, n_words, hits): hits are the places of words of templates and base phrases, each with the words up to 7 places on.
+    """(row columns, n_words, hits): hits are the places of words of templates and base phrases, each with as many words from there as the longest phrase has.
 
     One pass over the text; a row without such words carries an empty array.
     """
     vocabulary = sorted({w for _, text, _ in templates for w in text.split() if w not in _COMMON} | {p.split()[0] for p in BASE_PHRASES} | {p.split()[0] for *_, p in templates})
+    longest = max(len(p.split()) for p in [*BASE_PHRASES, *(p for *_, p in templates)])
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of(words: Column) -> Column:
         places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).isin(vocabulary))
-        near = F.when(F.size(words) > 0, F.transform(places, lambda i: F.struct(F.get(words, i - 1).alias("word"), (i - 1).alias("pos"), F.concat_ws(" ", F.slice(words, i, F.lit(8))).alias("ahead"))))
+        near = F.when(F.size(words) > 0, F.transform(places, lambda i: F.struct(F.get(words, i - 1).alias("word"), (i - 1).alias("pos"), F.concat_ws(" ", F.slice(words, i, F.lit(longest))).alias("ahead"))))
         return F.struct(F.size(words).cast("long").alias("n_words"), near.alias("hits"))
 
     # the array is bound once as a lambda variable, so the words are cut once a row

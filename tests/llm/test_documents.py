@@ -250,6 +250,14 @@ def test_license_scan_of_files_with_many_licenses(spark):
     assert {label for label, *_ in licenses.TEMPLATES} <= set(got[0].labels.split(","))
 
 
+def test_license_scan_of_long_key_phrases(spark):
+    phrase = "everyone may copy distribute and change this program provided notices remain"
+    own = [("own", phrase, phrase), *licenses.TEMPLATES]
+    df = spark.createDataFrame([(1, f"So: {phrase}."), (2, phrase.replace("remain", "go")), (3, "mit license")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in scan(df, templates=own).collect()}[1] == "own"
+    assert {r.doc_id: r.labels for r in scan(df, templates=own).collect()}[2] == ""
+
+
 def brute_ppm(sample, text, symbols=256):
     """Code length in nats of order-2 method C, from counts."""
     counts = [Counter(), {}, {}]
