@@ -23,13 +23,13 @@ def one_row_each(vectors: DataFrame, *columns: str) -> DataFrame:
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors, in levels of quantised impact.
+    """A block of integer vectors in levels of quantised impact; there are no posting lists.
 
-    A posting's impact is the magnitude of its value, quantised to its highest
-    binary digit; the postings of one level and dimension are a segment.
-    Levels are processed from the highest down, all segments of a level for a
-    batch of queries in one product. What a vector may still gain or lose is
-    at most the query's length times that of its postings below the level, so
+    A value's impact is its magnitude, quantised to its highest binary digit.
+    A level is the whole dense block with the values of other impacts set to
+    zero. Levels are processed from the highest down, each for a batch of
+    queries in one dense product. What a vector may still gain or lose is
+    at most the query's length times that of its values below the level, so
     a query stops when few vectors can reach k scores that are known exactly;
     those vectors are scored anew from their whole values.
     """
