@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, roots
+from .skew import salted_join
 from .text import mix, pieces, shingles, words
 from .work import Work
 
@@ -133,6 +134,7 @@ def _block_links(percent: int, step: int = 8192):
             part = np.zeros((len(reps), step), np.float32)
             part[row[a:b], name[a:b] - first] = 1
             inter += part @ part.T
+        inter = inter.astype(np.int64)  # counts of shared shingles, exact in the float up to 2**24
         union = sizes[:, None] + sizes[None] - inter
         hit = (100 * inter >= percent * union) & (comps[:, None] != comps[None]) & (np.arange(len(reps))[:, None] < np.arange(len(reps)))
         left, right = np.nonzero(hit)
@@ -145,26 +147,32 @@ def _block_links(percent: int, step: int = 8192):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
-    sided = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    both = sided.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    sided = salted_join(pairs, sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), ["b"], ["a"])
+    both = salted_join(sided, sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), ["a"], ["b"], counts=pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))).withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
 
 
-def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int, work: Work) -> DataFrame | None:
+def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int, most: int, work: Work) -> DataFrame | None:
     """Links between components that share a bucket, by comparing blocks of sets; None if every bucket is one component.
 
-    Buckets that share a class form a group. A group's large components are
-    cut into blocks of their own, its small ones share blocks, and pairs of
-    blocks are compared unless both belong to one large component: so a group
-    that is one large component and a few others costs blocks in proportion.
+    Buckets that share a class form a group; where that would join more than
+    ``most`` classes, each bucket is a group of its own (buckets of the same
+    classes one), so chains of overlapping buckets never grow into one group.
+    A group's large components are cut into blocks of their own, its small
+    ones share blocks, and pairs of blocks are compared unless both belong to
+    one large component: so a group that is one large component and a few
+    others costs blocks in proportion.
     """
     named = members.join(comp, members.rep == comp.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-    several = named.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("lo")).where("x < y").select("bucket", "lo")
-    open_ = work.table(named.join(several, "bucket"), "open")
-    if open_.isEmpty():
+    several = named.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("x < y")
+    several = work.table(several.select("bucket", "lo", "n", F.xxhash64(F.lit("bucket"), "same", "n").alias("alone")), "several")
+    if several.isEmpty():
         return None
+    open_ = work.table(salted_join(named, several.drop("n"), ["bucket"], ["rep"], counts=several), "open")
     groups = components(open_.select(F.col("lo").alias("a"), F.col("rep").alias("b")), work)
-    rows = work.table(open_.select("rep", "c").distinct().join(groups, open_.rep == groups.id).select(F.col("component").alias("g"), "rep", "c"), "groups")
+    joint = open_.join(groups, open_.rep == groups.id).select("rep", "c", "alone", "component")
+    wide = joint.select("component", "rep").distinct().groupBy("component").agg((F.count(F.lit(1)) > most).alias("wide"))
+    rows = work.table(joint.join(wide, "component").select(F.when(F.col("wide"), F.col("alone")).otherwise(F.col("component")).alias("g"), "rep", "c").distinct(), "groups")
     size = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
     little = size.where(F.col("k") < block // 4).groupBy("g").agg(F.sum("k").alias("small"))
     sized = rows.join(size, ["g", "c"]).join(little, "g", "left")
@@ -181,7 +189,7 @@ def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, bl
     return dealt.groupBy("g", "p", "q").applyInArrow(_block_links(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, bands: int = 28, width: int = 6, small: int = 8, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, bands: int = 28, width: int = 6, small: int = 8, block: int = 256, most: int = 8192) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut at white space; a row's set holds its
@@ -195,7 +203,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
     one hub to all, the class that shares most bands with others, which is the
     middle of a group. Links are confirmed on the full sets. Where a large
     bucket still holds several components, their sets are compared in blocks
-    of ``block`` (``_rest``), so that no pair in a bucket stays unseen.
+    of ``block`` (``_rest``), so that no pair in a bucket stays unseen. Joins
+    on buckets, hubs and classes are salted where a key is hot.
 
     Null or empty texts have an empty set and link with nothing. Rows that
     repeat a doc_id are compared each by its own text and may get different
@@ -203,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, ban
     null doc_id gets n_shingles of its row, a null component and kept true. An
     empty table gives an empty result. Other columns are not read.
     """
-    how = {"shingle": shingle, "percent": percent, "bands": bands, "width": width, "small": small, "block": block}
+    how = {"shingle": shingle, "percent": percent, "bands": bands, "width": width, "small": small, "block": block, "most": most}
     work = Work(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if _repeats(source):
@@ -230,15 +239,16 @@ def _by_row(keyed: DataFrame, work: Work, **how) -> DataFrame:
     return some.unionAll(found.where("_row is null").select("_row", none.alias("doc_id"), "n_shingles", none.alias("component_id"), F.lit(True).alias("_stays")))
 
 
-def _components_of(source: DataFrame, work: Work, *, shingle: int = 3, percent: int = 85, bands: int = 28, width: int = 6, small: int = 8, block: int = 256) -> DataFrame:
+def _components_of(source: DataFrame, work: Work, *, shingle: int = 3, percent: int = 85, bands: int = 28, width: int = 6, small: int = 8, block: int = 256, most: int = 8192) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row (doc_id, text); no doc_id but null repeats."""
     signed = work.table(source.mapInArrow(_sign(bands, width, shingle), _SIGNED), "signed")
     one = signed.where("doc_id is not null")
-    classes = work.table(one.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = work.table(one.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "classes")
 
     entries = classes.select("rep", F.col("n_shingles").alias("m"), F.explode("bands").alias("bucket"))
     sizes = work.table(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "m")).alias("lo"), F.max(F.struct("rep", "m")).alias("hi")).where("n > 1"), "buckets")
-    members = work.table(entries.join(sizes.where("n > 2").select("bucket", "n"), "bucket"), "members")
+    some = sizes.where("n > 2").select("bucket", "n")
+    members = work.table(salted_join(entries, some, ["bucket"], ["rep"], counts=some), "members")
     few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small).select("bucket", "rep", "m", "n")
     fame = many.groupBy("rep").agg(F.sum("n").alias("fame"))
     hubs = many.join(fame, "rep").groupBy("bucket").agg(F.max_by(F.struct("rep", "m"), F.struct("fame", -F.col("rep"))).alias("hub"))
@@ -246,7 +256,7 @@ def _components_of(source: DataFrame, work: Work, *, shingle: int = 3, percent:
     pairs = (
         sizes.where("n = 2").select(*pair("lo", "hi"))
         .unionAll(few.alias("x").join(few.alias("y"), "bucket").where("x.rep < y.rep").select(*pair("x", "y")))
-        .unionAll(many.join(hubs, "bucket").select(F.struct("rep", "m").alias("x"), F.col("hub").alias("y")).where("x.rep <> y.rep").select(*pair("x", "y")))
+        .unionAll(salted_join(many, hubs, ["bucket"], ["rep"], counts=some.where(F.col("n") > small)).select(F.struct("rep", "m").alias("x"), F.col("hub").alias("y")).where("x.rep <> y.rep").select(*pair("x", "y")))
     )
     # the sizes alone bound the similarity
     pairs = work.table(pairs.where(F.col("u") * 100 >= F.col("v") * percent).select("a", "b").distinct(), "pairs")
@@ -256,14 +266,16 @@ def _components_of(source: DataFrame, work: Work, *, shingle: int = 3, percent:
     sets = work.table(found.select("id", "set"), "sets")
     links = work.table(_confirmed(pairs, sets, percent), "links")
     comp = work.table(components(links, work), "components")
-    more = _rest(many.select("bucket", "rep"), comp, sets, percent, block, work)
+    more = _rest(many.select("bucket", "rep"), comp, sets, percent, block, most, work)
     if more is not None:
         comp = work.table(components(links.unionAll(more), work), "components")
-    work.drop(sets, members, pairs)
-    ids = one.join(classes.drop("bands"), ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", "rep")
-    named = ids.join(comp, ids.rep == comp.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    bare = signed.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionAll(bare)
+    work.drop(sets, members, pairs, sizes)
+    keys = ["n_shingles", "set_a", "set_b"]
+    named = work.table(classes.join(comp, classes.rep == comp.id, "left").select(*keys, "n", F.coalesce("component", "rep").alias("component_id")), "named")
+    work.drop(classes, links)
+    some = salted_join(one.where("n_shingles > 0").select("doc_id", *keys), named.drop("n"), keys, ["doc_id"], counts=named).select("doc_id", "n_shingles", "component_id")
+    bare = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.unionAll(bare)
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:

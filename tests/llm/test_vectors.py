@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkspec.llm import embed
@@ -77,7 +78,7 @@ def brute_links(rows, least=0.98):
     return {i: (links[i], find(i), find(i) == i) for i in comp}
 
 
-@pytest.mark.parametrize("cell, block", [(1024, 1024), (10, 16)])
+@pytest.mark.parametrize("cell, block", [(20, 1024), (4, 16)])
 def test_embedding_near_dedup_equals_brute_force(spark, cell, block):
     rng = np.random.default_rng(2)
     rows = []
@@ -86,21 +87,46 @@ def test_embedding_near_dedup_equals_brute_force(spark, cell, block):
         rows.append((i, [float(x) for x in v.astype(np.float32)], int(i // 4 % 3)))
     rows += [(i, rows[0][1], 0) for i in range(300, 330)] + [(340, [2 * x for x in rows[0][1]], 0), (341, None, 0), (342, rows[0][1], None), (343, [0.0] * 6, 0), (344, [float("nan")] * 6, 0), (345, [None] * 6, 0), (346, [], 0), (347, [1.0, 0.0], 0), (348, [1.0, 0.01], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, cell_size=cell, block=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, per_cell=cell, block=block).collect()}
     assert got == brute_links(rows)
     twice = df.unionAll(df.limit(5)).unionAll(spark.createDataFrame([(None, [1.0], 1)], df.schema))
-    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(twice, cell_size=cell, block=block).collect()} == got
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(twice, per_cell=cell, block=block).collect()} == got
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-def test_small_labels_have_cells(spark, monkeypatch):
+def test_every_table_has_cells(spark, monkeypatch):
     asked, kmeans = [], embed.spherical_kmeans
     monkeypatch.setattr(embed, "spherical_kmeans", lambda points, k, **how: asked.append(k) or kmeans(points, k, **how))
-    rng = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in rng.normal(size=3).astype(np.float32)], i % 2) for i in range(280)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    labels = df.groupBy("label").count().where("count >= 8").count()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).collect()}
-    assert asked == [4] and got == brute_links(rows) and max(n for n, *_ in got.values()) > 1
+    assert len(asked) == labels > 1 and min(asked) > 1
+    assert got == brute_links([(r.vec_id, r.embedding, r.label) for r in df.collect()])
+
+
+def test_guests_hold_all_partners_and_few_others():
+    """Cells of random vectors and of their near copies: every linked pair meets once, and copies stay few."""
+    rng = np.random.default_rng(4)
+    base = embed.unit(rng.normal(size=(2500, 64)))
+    rows = embed.unit(np.r_[base, base[:600] + rng.normal(size=(600, 64)) * 0.018])
+    book = embed.spherical_kmeans(rows, len(rows) // 20)
+    near = rows @ book.T
+    own = near.argmax(axis=1).astype(np.int32)
+    most = np.full((len(book), len(book)), -np.inf, np.float32)
+    for c in np.unique(own):
+        most[c] = (near[own == c] - near[own == c][:, [c]]).max(axis=0)
+    shared = type("Shared", (), {"value": ({(0, 64): book}, {(0, 64): most})})
+    n = len(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array([64] * n, pa.int32()), pa.array(own), pa.array(np.arange(n)), pa.array([1] * n), embed._lists(rows, pa.float64())], names=["label", "dim", "cell", "vec_id", "n", "v"])
+    placed = pa.Table.from_batches(list(embed._guests(shared, 0.98)([batch])))
+    at = {}
+    for i, c, home in zip(*(placed[x].to_pylist() for x in ("vec_id", "cell", "home"))):
+        at.setdefault(i, {})[c] = home
+    a, b = np.nonzero(np.triu(rows @ rows.T >= 0.98, 1))
+    assert len(a) > 300
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert sum(at[x][c] or at[y][c] for c in set(at[x]) & set(at[y])) == 1
+    assert placed.num_rows < 3 * n
 
 
 def test_pipeline_stages(spark):
