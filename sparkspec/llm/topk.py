@@ -23,64 +23,96 @@ def one_row_each(vectors: DataFrame, *columns: str) -> DataFrame:
 
 
 class ImpactIndex:
-    """A block of integer vectors in levels of quantised impact; there are no posting lists.
-
-    A value's impact is its magnitude, quantised to its highest binary digit.
-    A level is the whole dense block with the values of other impacts set to
-    zero. Levels are processed from the highest down, each for a batch of
-    queries in one dense product. What a vector may still gain or lose is
-    at most the query's length times that of its values below the level, so
-    a query stops when few vectors can reach k scores that are known exactly;
-    those vectors are scored anew from their whole values.
+    """Posting lists of integer vectors in descending quantised impact, processed score at a time.
+
+    A value's impact is its magnitude, quantised to one of ``levels`` levels of
+    about equally many postings. A segment holds the postings of one level and
+    one dimension: the rows and their values. Queries take in the segments
+    level by level, all dimensions of a level before the next.
+
+    What a row may still gain after a level is at most the length of its
+    values that are not taken in yet times the length of the query in those
+    dimensions alone; the second accumulator keeps the query's squares that
+    are spent. A query stops when few rows can reach k scores that are known
+    exactly; those are rescored from their whole values. ``stops`` counts
+    queries by the number of levels they took.
+
+    Sums are whole numbers which the accumulators hold exactly where values
+    allow it; else a slack covers rounding, and rescoring uses Python's
+    integers where 64 bits would not do.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 12):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        size = np.abs(self.vectors)
-        top = int(size.max(initial=0)).bit_length()
-        # sums stay whole numbers that the float holds exactly
-        self.exact = lambda queries: np.float32 if int(size.max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1]) < 1 << 24 else np.float64
-        self.levels = [(self.vectors * ((size >> (b - 1)) == 1), np.sqrt((self.vectors.astype(float) ** 2 * (size < 1 << (b - 1))).sum(1))) for b in range(top, 0, -1)]
-
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int, batch: int = 256):
+        n, dims = self.vectors.shape
+        size = np.abs(self.vectors.astype(float))
+        self.top, self.dims = float(size.max(initial=0)), dims
+        row, dim = np.nonzero(size)
+        values, inverse, count = np.unique(-size[row, dim], return_inverse=True, return_counts=True)
+        level = np.unique((np.cumsum(count) - count) * levels // max(1, len(row)), return_inverse=True)[1][inverse]
+        self.levels = int(level.max(initial=-1)) + 1
+        by = np.argsort(level * dims + dim, kind="stable")
+        self.rows, self.values = row[by], self.vectors[row, dim][by].astype(float)
+        self.ends = np.searchsorted((level * dims + dim)[by], np.arange(self.levels * dims + 1))
+        square = np.bincount(level * n + row, size[row, dim] ** 2, self.levels * n).reshape(self.levels, n)
+        self.rest = np.sqrt(np.maximum(0, square[::-1].cumsum(axis=0)[::-1] - square))
+        self.length = np.sqrt((size**2).sum(axis=1)).max(initial=0)
+        self.stops = np.zeros(self.levels + 1, np.int64)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, batch: int = 128):
         """For each query the ids and scores of the k best (ties to the smaller id), its own id left out."""
         for at in range(0, len(own), batch):
             yield from self._batch(own[at : at + batch], queries[at : at + batch], k)
 
+    def _exact(self, some: np.ndarray, query: np.ndarray) -> np.ndarray:
+        wide = self.top * float(np.abs(query.astype(float)).max(initial=0)) * max(1, self.dims) >= 1 << 62
+        return self.vectors[some].astype(object) @ query.astype(object) if wide and len(some) else self.vectors[some] @ query
+
     def _batch(self, own, queries, k):
-        n, kind = len(self.ids), self.exact(queries)
+        n, real = len(self.ids), queries.astype(float)
+        most = max(self.top, float(np.abs(real).max(initial=0)))
+        kind = np.float32 if most * most * max(1, self.dims) < 1 << 24 else np.float64
         place = np.minimum(np.searchsorted(self.ids, own), n - 1)
-        acc = np.zeros((len(own), n), kind)
-        mine = np.flatnonzero(self.ids[place] == own)
-        acc[mine, place[mine]] = -np.inf
-        length = np.sqrt((queries.astype(float) ** 2).sum(1))
-        maybe: list = [None] * len(own)
+        mine = self.ids[place] == own
+        length = np.sqrt((real**2).sum(axis=1))
+        slack = 2 + (1e-6 if kind is np.float32 else 1e-9) * length * self.length
+        members: list = [None] * len(own)
         if n <= k + 1 or not self.levels:
-            maybe = [np.flatnonzero(row > -np.inf) for row in acc]
-        least = None
-        open_ = np.flatnonzero([m is None for m in maybe])
-        whole = float((self.vectors.astype(float) ** 2).sum())
-        for level, (plane, rest) in enumerate(self.levels):
+            members = [np.setdiff1d(np.arange(n), place[q : q + 1] if mine[q] else []) for q in range(len(own))]
+        open_ = np.flatnonzero([m is None for m in members])
+        # one column a query, so that a posting adds to a run of neighbours
+        score, spent = np.zeros((n, len(open_)), kind), np.zeros((n, len(open_)), kind)
+        score[place[open_[mine[open_]]], np.flatnonzero(mine[open_])] = -np.inf
+        asked, least = real[open_].T.astype(kind), np.full(len(open_), -np.inf)
+        for level in range(self.levels):
             if not len(open_):
                 break
-            acc[open_] += queries[open_].astype(kind) @ plane.astype(kind).T
-            last = level + 1 == len(self.levels)
-            if not last and (rest**2).sum() > whole / 4:
+            for dim in range(self.dims):
+                a, b = self.ends[level * self.dims + dim : level * self.dims + dim + 2]
+                if a < b:
+                    rows = self.rows[a:b]
+                    score[rows] += self.values[a:b, None].astype(kind) * asked[dim]
+                    spent[rows] += asked[dim] ** 2
+            last = level + 1 == self.levels
+            if not last and 4 * (level + 1) < 2 * self.levels:
                 continue
-            if least is None:
-                best = np.argpartition(acc, n - k, axis=1)[:, n - k :]
-                least = np.einsum("qkd,qd->qk", self.vectors[best], queries).min(1)
-            # two units more: sums are whole and below the float's exact range, so no rounding reaches that
-            reach = acc[open_] + (length[open_, None] * rest[None] + 2).astype(kind)
-            can = reach >= least[open_, None]
-            for row, few in zip(open_, can.sum(1) <= max(4 * k, n >> 4)):
-                if few or last:
-                    maybe[row] = np.flatnonzero(can[np.searchsorted(open_, row)])
-            open_ = np.flatnonzero([m is None for m in maybe])
-        for row, some in enumerate(maybe):
-            exact = self.vectors[some] @ queries[row]
-            order = np.lexsort((self.ids[some], -exact))[:k]
+            best = np.argpartition(score, n - k, axis=0)[n - k :]
+            known = np.array([min(self._exact(best[:, j], queries[q])) for j, q in enumerate(open_)], float)
+            least = np.maximum(least, known)
+            left = np.sqrt(np.maximum(0, (length[open_] ** 2).astype(kind) - spent)) * self.rest[level][:, None].astype(kind)
+            can = score + left >= (least - slack[open_] - np.abs(least) * 1e-7).astype(kind)
+            close = np.full(len(open_), last) | (can.sum(axis=0) <= max(4 * k, n >> 3))
+            for j in np.flatnonzero(close):
+                members[open_[j]] = np.flatnonzero(can[:, j])
+            self.stops[level + 1] += close.sum()
+            stay = ~close
+            if not stay.all():
+                open_, least, asked = open_[stay], least[stay], asked[:, stay]
+                score, spent = np.ascontiguousarray(score[:, stay]), np.ascontiguousarray(spent[:, stay])
+        for q, some in enumerate(members):
+            exact = self._exact(some, queries[q])
+            order = np.array(sorted(range(len(some)), key=lambda i: (-exact[i], self.ids[some[i]]))[:k], np.int64) if exact.dtype == object else np.lexsort((self.ids[some], -exact))[:k]
             yield self.ids[some[order]], exact[order]
 
 
@@ -90,29 +122,36 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0), np.int64)
 
 
-def _search_block(k: int):
-    def run(key, base, asked):
-        out = []
-        if base.num_rows and asked.num_rows:
-            ids, vectors = base["vec_id"].to_numpy(), _matrix(base["v"], base.num_rows)
-            qids, queries = asked["vec_id"].to_numpy(), _matrix(asked["v"], asked.num_rows)
-            top = lambda a: int(np.abs(a.astype(object)).max()) if a.size else 0
-            if top(vectors) * top(queries) * max(1, vectors.shape[1]) < 1 << 52:
-                index = ImpactIndex(ids, vectors)
-                out = [(np.full(len(i), q), i, s) for q, (i, s) in zip(qids, index.search(qids, queries, k))]
-            else:  # Python integers where floats are not exact; scores end at the limits of a long
-                wide = vectors.astype(object)
-                for q, x in zip(qids, queries):
-                    scores = wide @ x.astype(object) if vectors.shape[1] else np.zeros(len(ids), object)
-                    best = sorted((-s, i) for s, i in zip(scores, ids) if i != q)[:k]
-                    out.append((np.full(len(best), q), np.array([i for _, i in best], np.int64), np.array([max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in best], np.int64)))
-        part = [np.concatenate([o[j] for o in out]).astype(np.int64) if out else np.zeros(0, np.int64) for j in range(3)]
-        return pa.table({"query_id": part[0], "vec_id": part[1], "score": part[2]})
+def _search(k: int):
+    """Streams sorted rows (dim, b, side, vec_id, v): the vectors of a block become an index, and its queries run over it as they come."""
+
+    def run(batches):
+        key, held, index = None, [], None
+        limits = np.iinfo(np.int64)
+        for batch in batches:
+            dims, blocks, sides, ids = (batch.column(i).to_numpy() for i in range(4))
+            turn = np.flatnonzero(np.r_[True, (np.diff(dims) != 0) | (np.diff(blocks) != 0) | (np.diff(sides) != 0)]) if len(ids) else np.zeros(0, np.int64)
+            for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(ids)]):
+                part = _matrix(pa.chunked_array([batch.column(4).slice(a, b - a)]), b - a)
+                if (dims[a], blocks[a]) != key:
+                    key, held, index = (dims[a], blocks[a]), [], None
+                if sides[a] == 0:
+                    held.append((ids[a:b], part))
+                    continue
+                if index is None and held:
+                    index, held = ImpactIndex(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])), []
+                if index is None:
+                    continue
+                found = list(index.search(ids[a:b], part, k))
+                exact = [np.array([min(limits.max, max(limits.min, int(x))) for x in s], np.int64) if s.dtype == object else s for _, s in found]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(ids[a:b], [len(s) for s in exact])), pa.array(np.concatenate([i for i, _ in found]).astype(np.int64)), pa.array(np.concatenate(exact).astype(np.int64)),
+                ], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose vec_id is divisible by ``every`` its k best other vectors.
 
     Components become floor(scale * x), x as double; the score is the integer
@@ -120,20 +159,21 @@ def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20,
     hold null or non-finite components take no part; vectors of another length
     than the query are no candidates of it. Rows that repeat a vec_id count
     once (the greatest vector). Fewer than k candidates give fewer rows; an
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. A score beyond a long ends at its
+    limits. Other columns are not read.
 
-    The index is built in blocks of about ``block`` vectors; blocks of queries
-    are dealt to each, so no task holds more than one block of either.
+    The index is built in blocks of about ``block`` vectors, each once; all
+    queries stream through every block, so a task holds one block's index and
+    one batch of queries.
     """
-    work = Work(vectors.sparkSession)
+    spark = vectors.sparkSession
+    work = Work(spark)
     whole = one_row_each(vectors.where(usable(F.col("embedding"))), "embedding")
     ints = work.table(whole.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")), "vectors")
-    n = ints.count()
-    asked = ints.where(F.col("vec_id") % every == 0)
-    n_blocks, n_asked = max(1, -(-n // block)), max(1, -(-n // (every * query_block)))
-    dealt = lambda df, own, other, count, others: df.withColumns({own: F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(count)).cast("int"), "dim": F.size("v"), other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
-    left = dealt(ints, "b", "q", n_blocks, n_asked).groupBy("b", "q", "dim")
-    right = dealt(asked, "q", "b", n_asked, n_blocks).groupBy("b", "q", "dim")
-    found = left.cogroup(right).applyInArrow(_search_block(k), _OUT)
+    n_blocks = max(1, -(-ints.count() // block))
+    rows = ints.withColumns({"dim": F.size("v"), "b": F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n_blocks)).cast("int"), "side": F.lit(0)})
+    asked = ints.where(F.col("vec_id") % every == 0).withColumns({"dim": F.size("v"), "b": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))), "side": F.lit(1)})
+    order = ["dim", "b", "side", "vec_id"]
+    dealt = rows.select(*order, "v").unionAll(asked.select(*order, "v")).repartition(n_blocks, "dim", "b").sortWithinPartitions(*order)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(_search(k), _OUT).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

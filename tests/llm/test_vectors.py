@@ -21,8 +21,8 @@ def brute_top(vectors, k=20, every=20):
     return out
 
 
-@pytest.mark.parametrize("block, asked", [(8192, 1024), (50, 5)])
-def test_top_k_equals_brute_force(spark, block, asked):
+@pytest.mark.parametrize("block", [8192, 50])
+def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(1)
     vectors = {i: rng.normal(size=8).astype(np.float32) for i in range(300)}
     for i in range(300, 340):
@@ -32,12 +32,12 @@ def test_top_k_equals_brute_force(spark, block, asked):
     rows = [(i, [float(x) for x in v], "x") for i, v in vectors.items()]
     odd = [(400, None, "x"), (420, [1.0, None] + [0.0] * 6, "x"), (440, [float("nan")] * 8, "x"), (460, [float("inf")] + [0.0] * 7, "x"), (480, [1.0, 2.0], "x"), (481, [1.0, 1.0], "x"), (500, [], "x"), (None, [1.0] * 8, "x"), (0, rows[0][1], "x"), (520, [1e30] * 8, "x")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, score string")
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, block=block, query_block=asked).collect() if 520 not in (r.query_id, r.vec_id)}
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, block=block).collect() if 520 not in (r.query_id, r.vec_id)}
     want = brute_top(vectors | {480: [1.0, 2.0], 481: [1.0, 1.0]})
-    huge = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(df, block=block, query_block=asked).collect() if r.query_id == 520}
+    huge = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(df, block=block).collect() if r.query_id == 520}
     assert huge[520, 1][1] == (1 << 63) - 1 and len(huge) == 20
     plain = df.where("vec_id <> 520")
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(plain, block=block, query_block=asked).collect()} == want
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(plain, block=block).collect()} == want
     assert len(got) <= len(want) and top_k(df.limit(0)).count() == 0
 
 
@@ -54,6 +54,20 @@ def test_index_alone():
             assert [(-int(y), int(x)) for x, y in zip(i, s)] == want
 
 
+def test_most_queries_stop_before_the_last_level(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    index = ImpactIndex(ids, np.floor(64 * np.array([r.embedding for r in rows], float)).astype(np.int64))
+    asked = ids[ids % 20 == 0]
+    whole = index.vectors @ index.vectors.T
+    for q, (i, s) in zip(asked, index.search(asked, index.vectors[np.searchsorted(index.ids, asked)], 20)):
+        row = whole[np.searchsorted(index.ids, q)]
+        want = sorted((-int(x), int(j)) for x, j in zip(row, index.ids) if j != q)[:20]
+        assert [(-int(y), int(x)) for x, y in zip(i, s)] == want
+    assert index.stops.sum() == len(asked) == 100 and index.levels >= 9
+    assert index.stops[-1] == 0 and index.stops[:-2].sum() >= 90, index.stops
+
+
 def brute_links(rows, least=0.98):
     ok = {}
     for i, v, l in rows:
