@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .text import pieces, powers
-from .work import ship
+from .work import ship, spare
 
 #: Characters that any definition of white space may hold; a cut never comes after one of them.
-_WIDE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0 ᠎ -‍    ⁠　﻿"
-_ODD = "\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿"
+_WIDE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+_ODD = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 #: Pieces of a text between safe places: those where white space follows something else.
 PIECE = re.compile(f"[{_WIDE}]*[^{_WIDE}]+(?:[{_ODD}][{_WIDE}]*[^{_WIDE}]*)*|[{_WIDE}]+")
 
@@ -188,10 +188,11 @@ def encode(docs: DataFrame, tokenizer: str, *, ids: bool = True) -> DataFrame:
         shared = spark.sparkContext.broadcast(file.read())
     added = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
     rest = [c for c in docs.columns if c not in added]
-    given = docs.select(*rest, F.col("text").cast("string").alias("_text"))
+    name = spare(docs, "_text")
+    given = docs.select(*rest, F.col("text").cast("string").alias(name))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.select(*rest).dtypes)
     extra = ", ids array<int>, decoded string" if ids else ""
-    run = _encode(shared, "_text")
+    run = _encode(shared, name)
     if not ids:
         inner = run
         run = lambda batches: (b.select(b.schema.names[:-2]) for b in inner(batches))

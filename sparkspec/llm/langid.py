@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .text import LOWER, pieces
-from .work import ship
+from .work import ship, spare
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -18,64 +18,148 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+class ByteTable:
+    """Rows of numbers by 64-bit key other than 0, found by open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self._slots = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_slots": None}  # made anew where it is used: a quarter of it is full
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _build(self) -> None:
+        slots, full = np.full(1 << self.bits, -1, np.int32), (1 << self.bits) - 1
+        left, at = np.arange(len(self.keys)), self._place(self.keys)
+        while len(left):
+            free = slots[at] < 0
+            slots[at[free]] = left[free]
+            lost = slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & full
+        self._slots, self._keys = slots, np.where(slots >= 0, self.keys[slots], 0) if len(self.keys) else np.zeros(1 << self.bits, np.uint64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row number of each key, -1 if absent."""
+        if self._slots is None:
+            self._build()
+        full = (1 << self.bits) - 1
+        at = self._place(keys)
+        there = self._keys[at]
+        hit = there == keys
+        out = np.where(hit, self._slots[at], -1)
+        left = np.flatnonzero(~hit & (there != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & full
+            there, wanted = self._keys[at], keys[left]
+            hit = there == wanted
+            out[left[hit]] = self._slots[at[hit]]
+            on = ~hit & (there != 0)
+            left, at = left[on], at[on]
+        return out
+
+
 class ContextTrees:
-    """Per language a byte context tree of order 2, flattened to one cost for each symbol after each context.
+    """Per language a byte context tree of variable order, kept as two sparse tables over all languages.
 
-    The cost is the exact code length, in nats, of method C: a symbol seen n
-    times after a context that saw d symbols in t places has probability
+    The cost of a byte is the code length, in nats, of method C: a symbol seen
+    n times after a context that saw d symbols in t places has probability
     n / (t + d); otherwise the escape d / (t + d) leads to the next shorter
-    context, and below order 0 all 256 bytes are alike. Statistics are frozen
-    after learning, so a text's code length is a sum over its places.
-
-    A-Z are lower-cased; the ``symbols`` - 1 most frequent bytes of the sample
-    have symbols of their own and the others share one, so a language takes
-    4 * symbols**3 bytes. Learning weighs every language alike.
+    context, and below order 0 all 256 bytes are alike. There is no exclusion:
+    a symbol that a longer context already ruled out keeps its share in the
+    shorter one, so the code wastes a little, alike for all languages.
+    Statistics are frozen after learning, so a text's code length is a sum over
+    its places. A-Z are lower-cased; a text begins after ``order`` spaces.
+
+    ``grams`` holds every context of every order with a symbol that any
+    language saw after it, and the whole cost for each language, escapes
+    included; ``escapes`` holds the contexts with the cost of leaving them. A
+    place whose gram is absent pays the escapes and takes the next shorter
+    gram. Keys are the bytes themselves, so no two grams share one. Both tables
+    hold at most (order + 2) rows for each byte of the sample, and more than
+    ``most_bytes`` of them is an error, since they are broadcast.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]], symbols: int = 96):
-        self.names = sorted(texts)
-        seen = sum((np.bincount(LOWER[np.frombuffer(b"".join(texts[x]), np.uint8)], minlength=256) / max(1, sum(map(len, texts[x]))) for x in self.names), np.zeros(256))
-        common = np.argsort(-seen, kind="stable")[: symbols - 1]
-        common = common[seen[common] > 0]
-        self.size = len(common) + 1
-        self.symbol = np.full(256, self.size - 1, np.int64)
-        self.symbol[common] = np.arange(len(common))
-        self.start = int(self.symbol[32])
-        self.cost = np.zeros((self.size**3, len(self.names)), np.float32)
-        for i, name in enumerate(self.names):
-            self.cost[:, i] = self._costs(texts[name])
-
-    def keys(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Index of (two symbols before, symbol) for each byte; rows begin after two spaces."""
-        s = self.symbol[LOWER[data]]
-        one, two = np.r_[self.start, s[:-1]], np.r_[self.start, self.start, s[:-2]][: len(s)]
-        begin = offsets[:-1][np.diff(offsets) > 0]
-        one[begin] = two[begin] = self.start
-        second = begin + 1
-        two[second[second < len(s)]] = self.start
-        return (two * self.size + one) * self.size + s
-
-    def _costs(self, texts: list[bytes]) -> np.ndarray:
-        m = self.size
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-        cube = np.bincount(self.keys(data, offsets), minlength=m**3).reshape(m, m, m) if len(data) else np.zeros((m, m, m))
-        p = np.full(m, 1 / 256)
-        p[m - 1] = (256 - (m - 1)) / 256
-        for counts in (cube.sum((0, 1)), cube.sum(0), cube):
-            total, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-            all_ = np.maximum(total + kinds, 1)
-            p = np.where(total == 0, p, np.where(counts > 0, counts / all_, kinds / all_ * p))
-        return -np.log(p).astype(np.float32).ravel()
+    def __init__(self, texts: dict[str, list[bytes]], order: int = 3, most_bytes: int = 512 << 20):
+        self.names, self.order = sorted(texts), order
+        n = len(self.names)
+        lower = np.full((1, n), np.log(256.0))
+        shorter = np.zeros(1, np.uint64)
+        data = [self._padded(texts[x]) for x in self.names]
+        grams, costs, contexts, escapes = [], [], [], []
+        for o in range(order + 1):
+            seen = [np.unique(self._grams(*d, o), return_counts=True) for d in data]
+            keys = np.unique(np.concatenate([k for k, _ in seen])) if seen else np.zeros(0, np.uint64)
+            places = np.unique(keys >> np.uint64(8))
+            cost, leave = np.full((len(keys), n), np.nan), np.zeros((len(places), n))
+            for i, (mine, count) in enumerate(seen):
+                if not len(mine):
+                    continue
+                lead = np.flatnonzero(np.r_[True, np.diff(mine >> np.uint64(8)) != 0])
+                total, kinds = np.add.reduceat(count, lead), np.diff(np.r_[lead, len(mine)])
+                both = (total + kinds).astype(float)
+                leave[np.searchsorted(places, mine[lead] >> np.uint64(8)), i] = np.log(both / kinds)
+                cost[np.searchsorted(keys, mine), i] = np.log(np.repeat(both, kinds) / count)
+            # what a language did not see costs its escape and the same symbol after the shorter context
+            below = lower[np.searchsorted(shorter, self._tag(keys & np.uint64((1 << 8 * o) - 1), o - 1))] if o else np.broadcast_to(lower, cost.shape)
+            cost = np.where(np.isnan(cost), leave[np.searchsorted(places, keys >> np.uint64(8))] + below, cost)
+            tagged = self._tag(keys, o)
+            lower, shorter = cost, tagged
+            grams.append(tagged)
+            costs.append(cost)
+            contexts.append(self._tag(places, o))
+            escapes.append(leave)
+        size = sum(map(len, grams + contexts)) * (8 + 4 * n)
+        if size > most_bytes:
+            raise ValueError(f"context tables of {size} bytes are too large to broadcast: learn from fewer texts or take a lower order")
+        self.grams = ByteTable(np.concatenate(grams), np.concatenate(costs).astype(np.float32))
+        self.escapes = ByteTable(np.concatenate(contexts), np.concatenate(escapes).astype(np.float32))
+
+    @staticmethod
+    def _tag(keys: np.ndarray, o: int) -> np.ndarray:
+        return keys | np.uint64((o + 1) << 56)
+
+    @staticmethod
+    def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+
+    def _grams(self, data: np.ndarray, offsets: np.ndarray, o: int) -> np.ndarray:
+        """The last ``o`` bytes and the byte of each place in one number, the byte lowest; spaces stand before a row."""
+        low = LOWER[data].astype(np.uint64)
+        out = low.copy()
+        for back in range(1, min(o, len(low) - 1) + 1):
+            out[back:] |= low[:-back] << np.uint64(8 * back)
+        size = np.diff(offsets)
+        spaces = np.uint64(0x2020202020202020 & ((1 << 8 * (o + 1)) - 1))
+        for have in range(1, o + 1):  # places with so many bytes of their row, their own included
+            at, own = offsets[:-1][size >= have] + have - 1, np.uint64((1 << 8 * have) - 1)
+            out[at] = (out[at] & own) | (spaces & ~own)
+        return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each row under each language."""
         out = np.zeros((len(offsets) - 1, len(self.names)))
         some = np.flatnonzero(np.diff(offsets) > 0)
-        if len(some):
-            keys = self.keys(data, offsets)
-            for i in range(len(self.names)):
-                out[some, i] = np.add.reduceat(self.cost[keys, i].astype(np.float64), offsets[some])
+        if not len(some) or not self.names:
+            return out
+        whole = self._grams(data, offsets, self.order)
+        cost = np.zeros((len(whole), len(self.names)), np.float32)
+        left = np.arange(len(whole))
+        for o in range(self.order, -1, -1):
+            keys = whole[left] & np.uint64((1 << 8 * (o + 1)) - 1)
+            row = self.grams.find(self._tag(keys, o))
+            hit = row >= 0
+            cost[left[hit]] += self.grams.values[row[hit]]
+            left, keys = left[~hit], keys[~hit]
+            row = self.escapes.find(self._tag(keys >> np.uint64(8), o))
+            cost[left[row >= 0]] += self.escapes.values[row[row >= 0]]
+        cost[left] += np.float32(np.log(256.0))
+        for i in range(len(self.names)):
+            out[some, i] = np.add.reduceat(cost[:, i].astype(np.float64), offsets[some])
         return out
 
 
@@ -88,12 +172,12 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return some
 
 
-def _predict(shared):
+def _predict(shared, name: str, evidence: int):
     def run(batches):
         trees = shared.value
         for batch in batches:
             names, scores = [], []
-            for _, _, data, offsets in pieces(batch.column(batch.schema.get_field_index("_text"))):
+            for _, _, data, offsets in pieces(batch.column(batch.schema.get_field_index(name)), 1 << 18):
                 letters = _has_letter(data, offsets)
                 if not trees.names:
                     names += ["und"] * len(letters)
@@ -101,47 +185,56 @@ def _predict(shared):
                     continue
                 length = trees.lengths(data, offsets)
                 best = length.argmin(axis=1)
+                # a long text would drive every share to 0 or 1, so lengths are scaled to ``evidence`` bytes
+                length *= np.minimum(1, evidence / np.maximum(1, np.diff(offsets)))[:, None]
                 share = 1 / np.exp(np.minimum(0, length[np.arange(len(best)), best][:, None] - length)).sum(axis=1)
                 names += [trees.names[i] if ok else "und" for i, ok in zip(best, letters)]
                 scores += np.where(letters, share, 0.0).tolist()
-            columns = [batch.column(i) for i, f in enumerate(batch.schema.names) if f != "_text"]
-            kept = [f for f in batch.schema.names if f != "_text"]
+            columns = [batch.column(i) for i, f in enumerate(batch.schema.names) if f != name]
+            kept = [f for f in batch.schema.names if f != name]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return run
 
 
-def learn(docs: DataFrame, per_language: int = 300, symbols: int = 96) -> ContextTrees:
+def learn(docs: DataFrame, per_language: int = 300, order: int = 3) -> ContextTrees:
     """Context trees from at most ``per_language`` whole texts a language, those of the least hash of doc_id.
 
     Only rows that are not held out, with a language and a text that is not
-    empty, teach. The bound keeps what the driver gathers fixed.
+    empty, teach; of rows that repeat a doc_id the greatest text does. The
+    bound keeps what the driver gathers fixed. A language's rows are thinned
+    by hash to about twice that many before they are ranked, so no task ranks
+    a common language.
     """
-    may = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select("doc_id", "lang", "text")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    dealt = may.select("doc_id", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(64)))
-    # first within 64 parts of each language, so that a common one fills no single task
-    some = dealt.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("r") <= per_language)
-    chosen = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_language).drop("r", "salt")
-    rows = may.join(F.broadcast(chosen), ["doc_id", "lang"])
+    may = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    # one row a language
+    sizes = may.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    some = may.join(F.broadcast(sizes), "lang").where(draw * F.col("n") <= 2 * per_language + 100)
+    one = some.groupBy("lang", "doc_id").agg(F.max("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id"))
+    rows = one.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "text")
     texts: dict[str, list[bytes]] = {}
     for lang, text in sorted((r.lang, r.text) for r in rows.toLocalIterator()):
         texts.setdefault(lang, []).append(text.encode())
-    return ContextTrees(texts, symbols)
+    return ContextTrees(texts, order)
 
 
-def identify(docs: DataFrame, trees: ContextTrees) -> DataFrame:
+def identify(docs: DataFrame, trees: ContextTrees, evidence: int = 24) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and score.
 
     Each whole text gets the language of the shortest code length (ties: the
-    first name by code point) and that language's share of the likelihood as
-    score. A null text, and one without a letter, gets ``und`` and 0, and so
-    does every text where no language was learned. Rows repeat as they come;
-    an empty table gives an empty result; columns of the added names are
-    replaced.
+    first name by code point). The score is that language's share of the
+    likelihood with code lengths scaled down to ``evidence`` bytes: near 1
+    where one language explains the text, near an equal share where several
+    do as well or none does. A null text, and one without a letter, gets
+    ``und`` and 0, and so does every text where no language was learned. Rows
+    repeat as they come; an empty table gives an empty result; columns of the
+    added names are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.select(*rest).dtypes)
-    return docs.select(*rest, F.col("text").alias("_text")).mapInArrow(_predict(spark.sparkContext.broadcast(trees)), f"{schema}, lang_pred string, score double")
+    name = spare(docs, "_text")
+    return docs.select(*rest, F.col("text").cast("string").alias(name)).mapInArrow(_predict(spark.sparkContext.broadcast(trees), name, evidence), f"{schema}, lang_pred string, score double")

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .work import Work
+from .skew import salted_join
+from .work import Work, spare
 
 _STRIP = "\t\n\x0b\x0c\r "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,21 +126,26 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, n_ba
         "keys", partition_by="batch",
     )
     runs = LineRuns(work, buckets)
-    for i in range(n_batches):
-        runs.add(keys.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
-    often = work.table(runs.all().where(F.col("n_docs") >= min_docs), "often")
-    runs.close()
-    held = keys.select("doc_id", "h1", "h2").join(often, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-    lost = work.table(held.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost")).withColumnRenamed("doc_id", "_id"), "lost")
-    work.drop(keys)
+    try:
+        for i in range(n_batches):
+            runs.add(keys.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
+        often = work.table(runs.all().where(F.col("n_docs") >= min_docs), "often")
+    finally:
+        runs.close()
+    # n_docs counts the documents of a key: enough to tell which keys are hot
+    held = salted_join(keys.select("doc_id", "h1", "h2"), often.drop("n_docs"), ["h1", "h2"], ["doc_id"], counts=often.withColumnRenamed("n_docs", "n")).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text_kept")]
+    given = docs.select(*rest)
+    own, dropped, left = spare(given, "_id"), spare(given, "_lost"), spare(given, "_kept")
+    lost = work.table(held.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias(dropped)).withColumnRenamed("doc_id", own), "lost")
+    work.drop(keys, often)
     # a merge join at every size: the text is dealt once, whatever the number of lost lines
-    joined = docs.select(*rest).join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = given.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)), "left")
     lines = _split(F.col("text"))
     stays = F.filter(
         F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))),
-        lambda x: (F.char_length(x["key"]) < min_chars) | ~F.array_contains(F.col("_lost"), _digest(x["key"])),
+        lambda x: (F.char_length(x["key"]) < min_chars) | ~F.array_contains(F.col(dropped), _digest(x["key"])),
     )
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.transform(stays, lambda x: x["line"]))
-    done = joined.withColumns({"n_lines": F.size(lines).cast("long"), "_kept": kept})
-    return done.select(*rest, "n_lines", (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.concat_ws("\n", "_kept").alias("text_kept"))
+    kept = F.when(F.col(dropped).isNull(), lines).otherwise(F.transform(stays, lambda x: x["line"]))
+    done = joined.withColumns({"n_lines": F.size(lines).cast("long"), left: kept})
+    return done.select(*rest, "n_lines", (F.col("n_lines") - F.size(left)).cast("long").alias("n_dropped"), F.concat_ws("\n", left).alias("text_kept"))

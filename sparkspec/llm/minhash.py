@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components, roots
 from .skew import salted_join
 from .text import mix, pieces, shingles, words
-from .work import Work
+from .work import Work, spare
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -282,10 +282,12 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """Rows of ``docs`` that stay when one row of each group of near duplicates does: one of the least doc_id. Rows of null doc_id all stay."""
     work = Work(docs.sparkSession)
     if not _repeats(docs):
+        kept = spare(docs, "_kept")
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        kept = _components_of(source, work, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-        return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    keyed = work.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    stays = _by_row(keyed, work, **how).where("_stays and _row is not null").select("_row")
-    known = keyed.where("doc_id is not null").join(stays, "_row", "left_semi")
+        stays = _components_of(source, work, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+        return docs.join(stays, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
+    row = spare(docs, "_row")
+    keyed = work.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    stays = _by_row(keyed.select(F.col(row).alias("_row"), "doc_id", "text"), work, **how).where("_stays and _row is not null").select(F.col("_row").alias(row))
+    known = keyed.where("doc_id is not null").join(stays, row, "left_semi")
     return known.unionAll(keyed.where("doc_id is null").select(*known.columns)).select(*docs.columns)

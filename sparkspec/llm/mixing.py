@@ -4,12 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .work import Work
-
-
-def word_count(text: Column) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text, 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+from .work import Work, repeats, spare
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_pct: int = 150, max_epochs: int = 2) -> DataFrame:
@@ -39,48 +34,93 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
     return level.select("source", "source_size", target.alias("target"))
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """Sampling weight of a document: 1 for a plausible mean word length, else a quarter."""
-    mean = F.char_length(text) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3, 12), F.lit(1.0)).otherwise(F.lit(0.25))
+#: Characters that are no letters: digits, marks and white space of ASCII.
+_NO_LETTERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ \t\n\x0b\x0c\r"
+_LEVELS = 16
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), budget_pct: int = 150, max_epochs: int = 2, seed: int = 17, bins: int = 4096) -> DataFrame:
-    """All rows and columns of ``docs`` with size, source_size, target and taken.
+def quality_level(words: Column, text: Column) -> Column:
+    """Quality of a text in levels 1 to 16, from the statistics of its words.
 
-    ``taken`` counts the words that the mix takes of a row: complete epochs of
-    its source first, then a fraction of one. For the fraction each row gets
-    an exponential key, -ln(u) / quality weight, with u from a hash of doc_id
-    and seed; rows in ascending order of key are taken until the source's
-    budget is spent, the last one in part. Null texts have size 0, take part
-    and give nothing. Ties are broken by doc_id (null first), then a hash of
-    the text. Reruns agree.
-
-    The running sums never order a whole source in one task: keys fall into
-    ``bins`` equal slices of their range, slices are summed first, and rows
-    are ordered within a slice only.
+    One level for being there, and up to five each for words of usual length
+    (five for a mean of 4 to 10 characters, two for 3 to 12), for letters among
+    the characters that are no white space, and for distinct words, measured
+    as their square over four times the number of words.
     """
+    n = F.greatest(F.size(words), F.lit(1))
+    solid = F.char_length(F.translate(text, "\t\n\x0b\x0c\r ", ""))
+    letters = F.char_length(F.translate(text, _NO_LETTERS, ""))
+    distinct = F.size(F.array_distinct(words)).cast("long")
+    usual = F.when(solid.between(n * 4, n * 10), 5).when(solid.between(n * 3, n * 12), 2).otherwise(0)
+    rich = F.least(F.lit(5), F.floor(distinct * distinct / (n * 4)))
+    return (F.lit(1) + usual + F.floor(letters * 5 / F.greatest(solid, F.lit(1))) + rich).cast("int")
+
+
+def draw(docs: DataFrame, *, key: str = "doc_id", weight: str | None = None, weights: tuple[int, ...] = (3, 1, 2), budget_pct: int = 150, max_epochs: int = 2, seed: int = 17, bins: int = 4096) -> DataFrame:
+    """(key, size, source_size, target, taken) for each row of ``docs`` (key, doc_id, source, text); see ``mix``."""
     work = Work(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
     u = (digest + 0.5) / float(1 << 48)
-    sized = docs.select(*rest, word_count(F.col("text")).alias("size"))
-    keyed = sized.withColumn("_key", -F.log(u) / quality_weight(F.coalesce("text", F.lit("")), F.col("size")))
-    keyed = keyed.withColumns({"_bin": F.floor((1 - F.exp(-F.col("_key"))) * bins).cast("int"), "_tie": F.xxhash64("text")})
-    slices = work.table(keyed.groupBy("source", "_bin").agg(F.sum("size").alias("_n")), "slices")
-    targets = source_targets(slices.groupBy("source").agg(F.sum("_n").cast("long").alias("source_size")), weights, budget_pct, max_epochs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    given = F.least(F.lit(_LEVELS), F.greatest(F.lit(1), F.round(F.coalesce(F.col(weight), F.lit(0)) * _LEVELS))).cast("int") if weight else None
+    # the array is bound once as a lambda variable, so the words are cut once a row
+    measure = lambda w: F.struct(F.size(w).cast("long").alias("size"), (given if weight else quality_level(w, text)).alias("level"))
+    found = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), 0)), measure), F.lit(0))
+    narrow = docs.select(F.col(key).alias("k"), "doc_id", "source", found.alias("f"), F.xxhash64("text").alias("tie"))
+    rows = work.table(narrow.select("k", "doc_id", "source", "f.size", "f.level", "tie", (-F.log(u) / (F.col("f.level") / float(_LEVELS))).alias("draw")), "drawn")
+    levels = rows.groupBy("source", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    # one row a source
+    sources = levels.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.sum("n").alias("rows"), *[F.coalesce(F.sum(F.when(F.col("level") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(1, _LEVELS + 1)])
+    sources = work.table(sources, "sources")
+    targets = source_targets(sources.select("source", "source_size"), weights, budget_pct, max_epochs)
     targets = work.table(
-        targets.withColumn("_epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
-        .withColumn("_want", F.round(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size")), "targets")
-    upto = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
+        .withColumn("want", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")), "targets")
+    # the share of a source's rows expected below a draw, from the numbers of rows of each weight: it grows with the draw, and its slices hold equal shares
+    below = sum(((F.col(f"n{i}") / F.col("rows")) * (1 - F.exp(-F.col("draw") * (i / _LEVELS))) for i in range(1, _LEVELS + 1)), F.lit(0.0))
+    shares = sources.select(F.col("source").alias("s"), "rows", *[f"n{i}" for i in range(1, _LEVELS + 1)])
+    binned = rows.join(shares, F.col("source").eqNullSafe(F.col("s"))).select("k", "doc_id", "source", "size", "tie", "draw", F.least(F.lit(bins - 1), F.floor(below * bins)).cast("int").alias("bin"))
+    slices = work.table(binned.groupBy("source", "bin").agg(F.sum("size").alias("n")), "slices")
+    upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     plan = slices.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("s.source").alias("_s"), F.col("_bin").alias("_b"), "_n", "_before", "source_size", "target", "_epochs", "_want")
-    dealt = keyed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
-    run = W.partitionBy("_s", "_b").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_tie").rowsBetween(W.unboundedPreceding, -1)
-    room = F.col("_want") - F.col("_before") - F.coalesce(F.sum("size").over(run), F.lit(0))
+        F.col("s.source").alias("s"), F.col("bin").alias("b"), "before", "source_size", "target", "epochs", "want")
+    dealt = binned.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    run = W.partitionBy("s", "b").orderBy("draw", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(W.unboundedPreceding, -1)
+    room = F.col("want") - F.col("before") - F.coalesce(F.sum("size").over(run), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), room))
-    return dealt.select(*rest, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return dealt.select(F.col("k").alias(key), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """All rows and columns of ``docs`` with size, source_size, target and taken.
+
+    ``taken`` counts the words that the mix takes of a row: complete epochs of
+    its source first, then a fraction of one. For the fraction each row gets
+    an exponential key, -ln(u) / weight, with u from a hash of doc_id and
+    ``seed``; rows in ascending order of key are taken until the source's
+    budget is spent, the last one in part. The weight is the row's quality, by
+    the statistics of its text in sixteenths (``quality_level``), or what the
+    column named ``weight`` gives, from 0 to 1 (null: 0), in sixteenths and
+    one at least. Null texts have size 0, take part and give nothing. Ties are
+    broken by doc_id (null first), then a hash of the text. Reruns agree. An
+    empty table gives an empty result.
+
+    Only narrow rows are ranked, and the running sums never order a whole
+    source in one task: keys fall into ``bins`` slices of a source that hold
+    equal shares of its rows, slices are summed first, and rows are ordered
+    within a slice. Texts meet their result by doc_id, or by a row number of a
+    written copy where doc_ids repeat.
+    """
+    added = ("size", "source_size", "target", "taken")
+    weight = how.get("weight")
+    rest = docs.select(*[c for c in docs.columns if c not in added])
+    key = spare(docs, "_key")
+    if repeats(docs):
+        keyed = Work(docs.sparkSession).table((docs if weight in added else rest).withColumn(key, F.monotonically_increasing_id()), "rows")
+        return keyed.join(draw(keyed, key=key, **how), key).select(*rest.columns, *added)
+    drawn = draw(docs, **how).withColumnRenamed("doc_id", key)
+    return rest.join(drawn, F.col("doc_id").eqNullSafe(F.col(key))).select(*rest.columns, *added)
 
 
 def mixed_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,9 +129,10 @@ def mixed_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
     ``mixed`` comes from ``mix``. Documents of which nothing is taken go,
     except those without words: they cost nothing and stay once.
     """
+    copy = spare(mixed, "_copy")
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
-    each = mixed.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    part = F.least(F.col("size"), F.col("taken") - F.col("size") * (F.col("_copy") - 1))
+    each = mixed.withColumn(copy, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    part = F.least(F.col("size"), F.col("taken") - F.col("size") * (F.col(copy) - 1))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
     cut = F.when(part < F.col("size"), F.concat_ws("", F.slice(words, F.lit(1), part.cast("int")))).otherwise(F.col("text"))
     changed = each.withColumn("text", cut)

@@ -31,11 +31,14 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
 OP9 = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH e AS (
+  SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS solid, length(regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS letters FROM documents),
+d AS (SELECT *, len(w) AS size, greatest(len(w), 1) AS n, len(list_distinct(w)) AS distinct_ FROM e),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
-    / CASE WHEN length(text) / greatest(size, 1) BETWEEN 3 AND 12 THEN 1.0 ELSE 0.25 END AS key FROM d),
+  SELECT doc_id, source, size, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+    / ((1 + CASE WHEN solid BETWEEN 4 * n AND 10 * n THEN 5 WHEN solid BETWEEN 3 * n AND 12 * n THEN 2 ELSE 0 END
+        + letters * 5 // greatest(solid, 1) + least(5, distinct_ * distinct_ // (4 * n))) / 16.0::DOUBLE) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 c AS (SELECT *, [3.0, 1.0, 2.0][(i % 3 + 1)::INT]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM s),
 o AS (
@@ -78,29 +81,29 @@ SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, id = c AS kep
 
 
 def op4() -> str:
-    """The licence scan in SQL, with the templates as VALUES."""
-    from .licenses import BASE_PHRASES, TEMPLATES, _COMMON
+    """The licence scan in SQL, with the templates and phrases as VALUES."""
+    from .licenses import BASE_PHRASES, TEMPLATES, template_words
 
-    vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split() if w not in _COMMON} | {p.split()[0] for p in BASE_PHRASES} | {p.split()[0] for *_, p in TEMPLATES})
-    rows = lambda values: ", ".join("(" + ", ".join(repr(x) for x in v) + ")" for v in values)
-    postings = rows([(t, w, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in _COMMON])
+    listed = lambda words: "[" + ", ".join(map(repr, words)) + "]"
+    texts = ", ".join(f"({t}, {label!r}, {listed(template_words(text))}, {listed(template_words(phrase))})" for t, (label, text, phrase) in enumerate(TEMPLATES))
+    base = ", ".join(f"({label!r}, {listed(template_words(phrase))})" for phrase, label in BASE_PHRASES.items())
     return rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 u AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
-h AS (SELECT doc_id, word, i - 1 AS pos, array_to_string(w[i:i + 7], ' ') AS ahead FROM u WHERE word IN ({", ".join(map(repr, vocabulary))})),
-b AS (SELECT doc_id, pos, label FROM h JOIN (VALUES {rows(BASE_PHRASES.items())}) p(phrase, label) ON ahead = phrase OR starts_with(ahead, phrase || ' ')),
+tp AS (SELECT * FROM (VALUES {texts}) x(template, label, words, phrase)),
+bp AS (SELECT * FROM (VALUES {base}) x(label, phrase)),
+b AS (SELECT doc_id, i - 1 AS pos, label FROM u JOIN bp ON u.word = bp.phrase[1] AND u.w[i:i + len(phrase) - 1] = phrase),
 g AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM b GROUP BY doc_id),
-idf AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / count(DISTINCT doc_id)) AS idf FROM h GROUP BY word),
-p AS (SELECT * FROM (VALUES {postings}) x(template, word, at_)),
-k AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT template, p.word, coalesce(idf, 0) AS idf FROM p LEFT JOIN idf ON idf.word = p.word)),
+p AS (SELECT template, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at_ FROM tp),
+idf AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / count(DISTINCT doc_id)) AS idf FROM u WHERE word IN (SELECT word FROM p) GROUP BY word),
+k AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT template, word, idf FROM p JOIN idf USING (word))),
 top AS (SELECT * FROM k WHERE r <= 6),
 need AS (SELECT template, sum(idf) AS need FROM top GROUP BY template),
-own AS (SELECT doc_id, word, idf, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT doc_id, word FROM h) JOIN idf USING (word)),
-a AS (SELECT h.doc_id, p.template, pos - at_ AS shift, need, sum(top.idf) AS got FROM h JOIN own ON own.doc_id = h.doc_id AND own.word = h.word AND own.r <= 12 JOIN p ON p.word = h.word
-  JOIN top ON top.template = p.template AND top.word = p.word JOIN need ON need.template = p.template GROUP BY ALL),
-s AS (SELECT doc_id, template, max(least(1.0::DOUBLE, got / need)) AS share FROM a GROUP BY ALL HAVING max(least(1.0::DOUBLE, got / need)) >= 0.6),
-m AS (SELECT s.doc_id, label, share FROM s JOIN (VALUES {rows([(t, label, phrase) for t, (label, _, phrase) in enumerate(TEMPLATES)])}) n(template, label, phrase) ON n.template = s.template
-  WHERE EXISTS (SELECT 1 FROM h WHERE h.doc_id = s.doc_id AND (ahead = phrase OR starts_with(ahead, phrase || ' ')))),
+a AS (SELECT u.doc_id, p.template, i - 1 - at_ AS shift, need, sum(idf) AS got FROM u JOIN p USING (word) JOIN top USING (template, word) JOIN need USING (template) GROUP BY ALL),
+s AS (SELECT doc_id, template, shift, least(1.0::DOUBLE, got / need) AS share FROM a WHERE least(1.0::DOUBLE, got / need) >= 0.6),
+f AS (SELECT doc_id, template, i - 1 AS start FROM u JOIN tp ON u.word = tp.phrase[1] AND u.w[i:i + len(phrase) - 1] = phrase),
+own AS (SELECT template, label, [x FOR x IN range(len(words)) IF words[x + 1:x + len(phrase)] = phrase][1] AS place FROM tp),
+m AS (SELECT s.doc_id, label, share FROM s JOIN f ON f.doc_id = s.doc_id AND f.template = s.template JOIN own ON own.template = s.template WHERE abs(start - shift - place) <= 8),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
 bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY doc_id),
 c AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)

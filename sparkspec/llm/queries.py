@@ -12,7 +12,7 @@ from .langid import held_out, identify, learn
 from .licenses import scan
 from .lines import dedup_lines
 from .minhash import near_duplicates
-from .mixing import mix
+from .mixing import draw
 from .quality import classify
 from .topk import top_k
 from .work import Work, table
@@ -57,8 +57,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return draw(table(spark, sf_dir, "documents"))
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

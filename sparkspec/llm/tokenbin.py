@@ -17,7 +17,7 @@ _L = "a-z\xdf-\xf6\xf8-\xff"
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^0-9{_L}]+")
 #: White space beyond ASCII, and controls that some count as such: a text with one is encoded as a whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 class WordBpe:

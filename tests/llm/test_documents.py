@@ -10,13 +10,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkspec.llm import licenses, minhash
+from sparkspec.llm import langid, licenses, minhash
 from sparkspec.llm.components import components, roots
 from sparkspec.llm.langid import ContextTrees, identify, learn
 from sparkspec.llm.licenses import scan
 from sparkspec.llm.lines import dedup_lines
 from sparkspec.llm.minhash import drop_near_duplicates, near_duplicates
-from sparkspec.llm.mixing import mix, mixed_documents
+from sparkspec.llm.mixing import draw, mix, mixed_documents
 from sparkspec.llm.quality import BoostedTrees, classify, features
 from sparkspec.llm.work import Work
 
@@ -168,9 +168,9 @@ def test_line_dedup_equals_brute_force(spark):
 def test_mixing_targets_and_sums(spark):
     rng = random.Random(5)
     docs = [(i, " ".join("abcd" for _ in range(rng.randint(0, 30))), rng.choice(["s0", "s0", "s0", "s1", "s2", "S3", None])) for i in range(400)] + [(900, None, "s1"), (901, "", None), (None, "one two", "s2"), (3, "again", "s0"), (3, "again", "s0")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("_key", F.lit("own"))
     rows = mix(df).collect()
-    assert len(rows) == len(docs)
+    assert len(rows) == len(docs) and {r._key for r in rows} == {"own"}
     size = {}
     for r in rows:
         size[r.source] = size.get(r.source, 0) + r.size
@@ -196,6 +196,44 @@ def test_mixing_targets_and_sums(spark):
     text = mixed_documents(mix(df.drop("size")), ["doc_id", "text", "source"]).collect()
     assert sum(len(WORD.findall(r.text or "")) for r in text) == sum(r.taken for r in rows)
     assert mix(df.limit(0)).count() == 0
+    plain = df.where("doc_id between 4 and 899")
+    assert Counter((r.doc_id, r.taken) for r in mix(plain).collect()) == Counter((r.doc_id, r.taken) for r in draw(plain.drop("size")).collect())
+
+
+def test_mixing_prefers_weight(spark):
+    docs = [(i, "word " * 10 + f"w{i}", "s0" if i < 2000 else "s1", 1.0 if i % 2 else 0.25) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, good double")
+    for how in ({"weight": "good"}, {"weight": "good", "bins": 4}):
+        taken = {True: 0, False: 0}
+        for r in mix(df, weights=(1, 3), budget_pct=50, **how).collect():
+            taken[r.good == 1.0] += r.taken if r.source == "s0" else 0
+        assert taken[True] > 2 * taken[False] > 0
+
+
+def test_slices_hold_equal_shares(spark, monkeypatch):
+    from sparkspec.llm import mixing
+
+    sizes, real = [], mixing.Work.table
+
+    def table(self, frame, name, **how):
+        out = real(self, frame, name, **how)
+        if name == "slices":
+            sizes.extend(r.n for r in out.collect())
+        return out
+
+    monkeypatch.setattr(mixing.Work, "table", table)
+    docs = [(i, "word", "s0", 1 / 16 if i % 3 == 0 else 0.5 if i % 3 == 1 else 1.0) for i in range(20000)]
+    draw(spark.createDataFrame(docs, "doc_id long, text string, source string, w double"), weight="w", bins=50).collect()
+    assert len(sizes) == 50 and max(sizes) < 1.3 * 20000 / 50
+
+
+def test_quality_levels(spark):
+    rows = [("plain words of usual length make a good text with many different ones in it " * 2,), ("aaaa " * 50,), ("12 34 5 6",), ("",), (None,)]
+    from sparkspec.llm.mixing import quality_level
+
+    text = F.coalesce("text", F.lit(""))
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(quality_level(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), 0), text)).collect()]
+    assert got[0] > got[1] > got[2] >= got[3] == got[4] == 1
 
 
 def test_license_scan(spark):
@@ -220,34 +258,37 @@ def test_license_scan(spark):
     assert scan(df.limit(0)).count() == 0
 
 
-def brute_templates(docs, templates, rarest=6, share=0.6):
+def brute_templates(docs, templates, rarest=6, share=0.6, slack=8):
     """(labels of templates, largest share) of each text, by every template at every shift."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     rows = [word.findall((t or "").translate(LOW)) for t in docs]
     df = Counter(w for r in rows for w in set(r))
     out = [(set(), 0.0) for _ in rows]
     for label, text, phrase in templates:
-        words, key = text.split(), phrase.split()
-        idf = {w: np.log1p(len(rows) / df[w]) if df[w] else 0.0 for w in words if w not in licenses._COMMON}
+        words, key = licenses.template_words(text), licenses.template_words(phrase)
+        idf = {w: np.log1p(len(rows) / df[w]) for w in words if df[w]}
         top = sorted(idf, key=lambda w: (-idf[w], w))[:rarest]
+        own = next((i for i in range(len(words)) if words[i : i + len(key)] == key), None)
         for n, r in enumerate(rows):
-            if not any(r[i : i + len(key)] == key for i in range(len(r))):
-                continue
-            got = max(sum(idf[w] for i, w in enumerate(words) if w in top and 0 <= i + shift < len(r) and r[i + shift] == w) for shift in range(-len(words), len(r)))
-            if got / sum(idf[w] for w in top) >= share - 1e-12:
-                out[n] = (out[n][0] | {label}, max(out[n][1], min(1.0, got / sum(idf[w] for w in top))))
+            starts = [i for i in range(len(r)) if r[i : i + len(key)] == key]
+            for shift in range(-len(words), len(r)) if starts else []:
+                near = [i for i in starts if (abs(i - shift - own) <= slack if own is not None else -len(key) <= i - shift <= len(words))]
+                got = sum(idf[w] for i, w in enumerate(words) if w in top and 0 <= i + shift < len(r) and r[i + shift] == w)
+                if near and got / sum(idf[w] for w in top) >= share - 1e-12:
+                    out[n] = (out[n][0] | {label}, max(out[n][1], min(1.0, got / sum(idf[w] for w in top))))
     return out
 
 
 def test_license_scan_of_files_with_many_licenses(spark):
     texts = [t for _, t, _ in licenses.TEMPLATES]
-    docs = [". ".join(texts), ". ".join(texts[::-1]), *(f"{a}; {b}" for a, b in zip(texts, texts[3:])), *texts * 2, "mit license " * 3, "nothing here", None]
+    far = "released under the licence " + "of others " * 9 + "mit license"
+    docs = [far, ". ".join(texts), ". ".join(texts[::-1]), *(f"{a}; {b}" for a, b in zip(texts, texts[3:])), *texts * 2, "mit license " * 3, "nothing here", None]
     got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     for n, (labels, score) in enumerate(brute_templates(docs, licenses.TEMPLATES)):
         base = set(got[n].base_labels.split(",")) - {""}
         assert set(got[n].labels.split(",")) - {""} == labels | base
         assert got[n].score == pytest.approx(score if labels else float(bool(base)))
-    assert {label for label, *_ in licenses.TEMPLATES} <= set(got[0].labels.split(","))
+    assert {label for label, *_ in licenses.TEMPLATES} <= set(got[1].labels.split(",")) and got[0].labels == ""
 
 
 def test_license_scan_of_long_key_phrases(spark):
@@ -258,19 +299,19 @@ def test_license_scan_of_long_key_phrases(spark):
     assert {r.doc_id: r.labels for r in scan(df, templates=own).collect()}[2] == ""
 
 
-def brute_ppm(sample, text, symbols=256):
-    """Code length in nats of order-2 method C, from counts."""
-    counts = [Counter(), {}, {}]
+def brute_ppm(sample, text, order):
+    """Code length in nats of method C, from counts."""
+    counts = [{} for _ in range(order + 1)]
     for t in sample:
-        t = b"  " + t.lower()
-        for i in range(2, len(t)):
-            counts[0][t[i]] += 1
-            counts[1].setdefault(t[i - 1 : i], Counter())[t[i]] += 1
-            counts[2].setdefault(t[i - 2 : i], Counter())[t[i]] += 1
-    total, t = 0.0, b"  " + text.lower()
-    for i in range(2, len(t)):
+        t = b" " * order + t.lower()
+        for i in range(order, len(t)):
+            for o in range(order + 1):
+                counts[o].setdefault(t[i - o : i], Counter())[t[i]] += 1
+    total, t = 0.0, b" " * order + text.lower()
+    for i in range(order, len(t)):
         p = 1.0
-        for c in (counts[2].get(t[i - 2 : i]), counts[1].get(t[i - 1 : i]), counts[0]):
+        for o in range(order, -1, -1):
+            c = counts[o].get(t[i - o : i])
             if not c:
                 continue
             n, d = sum(c.values()), len(c)
@@ -284,16 +325,40 @@ def brute_ppm(sample, text, symbols=256):
     return total
 
 
-def test_code_lengths_equal_brute_force():
-    sample = {"a": [b"the cat sat on the mat", b"The dog"], "b": ["été après la pluie".encode(), b"le chat"]}
-    trees = ContextTrees(sample, symbols=200)
-    texts = [b"the cat", "été".encode(), b"T", b"le the 12", b"mat"]
+@pytest.mark.parametrize("order", [0, 1, 3, 6])
+def test_code_lengths_equal_brute_force(order):
+    rng = random.Random(order)
+    sample = {"a": [b"the cat sat on the mat", b"The dog", b"a"], "b": ["été après la pluie".encode(), b"le chat"], "c": [bytes(rng.randrange(256) for _ in range(300))], "d": []}
+    trees = ContextTrees(sample, **({} if order == 3 else {"order": order}))
+    texts = [b"the cat", "été".encode(), b"T", b"", b"le the 12", "привет, 日本".encode(), b"mat", bytes(range(256)), b"\x00\xff"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
     got = trees.lengths(data, offsets)
     for i, t in enumerate(texts):
-        unseen = sum(c not in b"".join(sample["a"] + sample["b"]).lower() for c in t.lower())
-        if not unseen:
-            assert got[i] == pytest.approx([brute_ppm(sample[n], t) for n in ("a", "b")], rel=1e-5)
+        assert got[i] == pytest.approx([brute_ppm(sample[n], t, order) for n in "abcd"], rel=1e-5)
+    with pytest.raises(ValueError):
+        ContextTrees(sample, most_bytes=100)
+
+
+def test_language_scores_tell_mixed_texts():
+    sample = {"a": [b"the cat sat on the mat and the dog ran to the house " * 5], "b": ["été après la pluie le chat dort dans la maison ".encode() * 5]}
+    trees = ContextTrees(sample)
+    shared = type("Shared", (), {"value": trees})
+    rows = ["the dog and the cat ran " * 4, ("the dog ran to the house " + "le chat dort dans la pluie ") * 3, "zq7 xx ## kj " * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["t"])
+    clear, mixed, junk = pa.Table.from_batches(list(langid._predict(shared, "t", 24)([batch])))["score"].to_pylist()
+    assert clear > 0.999 and clear > mixed and clear > junk
+
+
+def test_learning_is_bounded(spark):
+    rows = [(1, "en", "the cat")] * 900 + [(i, "fr" if i % 3 else "en", f"le chat {i}") for i in range(2, 4000)]
+    trees = []
+    real = langid.ContextTrees
+    try:
+        langid.ContextTrees = lambda texts, order: trees.append(texts)
+        learn(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4))
+    finally:
+        langid.ContextTrees = real
+    assert {k: len(v) for k, v in trees[0].items()} == {"en": 300, "fr": 300} and len(set(trees[0]["en"])) == 300
 
 
 def test_language_id_rows(spark):
