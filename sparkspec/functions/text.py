@@ -13,15 +13,13 @@ def clean_id(name: Column) -> Column:
 
 
 def excel_letters(index: Column) -> Column:
-    """Letters of a zero-based column number: 0 is A, 25 Z, 26 AA, 702 AAA; null below 0 and from 18278 on."""
-    letter = lambda n: F.char((F.lit(65) + n % 26).cast("int"))
-    i = index.cast("long")
-    second, third = F.floor((i - 26) / 26), F.floor((i - 702) / 676)
-    return (
-        F.when((i >= 0) & (i < 26), letter(i))
-        .when((i >= 26) & (i < 702), F.concat(letter(second), letter(i - 26)))
-        .when((i >= 702) & (i < 18278), F.concat(letter(third), letter(F.floor((i - 702) / 26)), letter(i - 702)))
-    )
+    """Letters of a zero-based column number: 0 is A, 25 Z, 26 AA, 702 AAA, 18278 AAAA; null below 0 and beyond seven letters (8 353 082 581)."""
+    i, out, first = index.cast("long"), F.lit(None).cast("string"), 0
+    for digits in range(1, 8):
+        letters = [F.char((F.lit(65) + F.floor((i - first) / 26**d) % 26).cast("int")) for d in range(digits - 1, -1, -1)]
+        out = F.when((i >= first) & (i < first + 26**digits), F.concat(*letters)).otherwise(out)
+        first += 26**digits
+    return out
 
 
 def line_parts(key: Column) -> list[Column]:

@@ -147,11 +147,12 @@ def spread(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.repartition(n, *key)
 
 
-def cluster_samples(points: DataFrame, key: list[str], *, point: str = "spectrum_id", k: int | None = None, max_k: int = 6, method: str = "silhouette", seed: int = 0, least: int = 5) -> DataFrame:
+def cluster_samples(points: DataFrame, key: list[str], *, point: str = "spectrum_id", k: int | None = None, max_k: int = 6, method: str = "silhouette", seed: int = 0, least: int = 5, most: int = 10_000) -> DataFrame:
     """(key, point, cluster_id, k, silhouette) for the points (key, point, fr) of each sample.
 
     A sample is some hundred to some thousand spectra, which is what one group
-    holds; groups run side by side. Samples of fewer than ``least`` points
+    holds, since silhouettes need all distances; a sample of more than ``most``
+    points is an error. Groups run side by side. Samples of fewer than ``least`` points
     give no rows. ``k`` of 0 or None means to find it. Points are put in the
     order of their ids, so partitioning does not matter.
     """
@@ -162,6 +163,8 @@ def cluster_samples(points: DataFrame, key: list[str], *, point: str = "spectrum
         names = [*key, point, "cluster_id", "k", "silhouette"]
         if len(rows) < least:
             return pd.DataFrame(columns=names)
+        if len(rows) > most:
+            raise ValueError(f"sample {tuple(ids)} has {len(rows)} points; one task clusters {most} at most")
         rows = rows.sort_values(point, kind="stable")
         x = np.array(rows["fr"].tolist(), float)
         n = k or choose_k(x, max_k, method, seed)
@@ -185,12 +188,13 @@ def k_vote(choices: DataFrame, key: list[str], *, last_round: bool = False) -> D
     return out.select(*key, "top_k", F.when(F.col("clear"), F.col("top_k")).otherwise(other).cast("int").alias("accepted_k"))
 
 
-def exact_silhouettes(points: DataFrame, key: list[str], point: str, cluster: str, vector: str) -> DataFrame:
-    """(key, point, cluster, silhouette) by a self join within each sample: all pairs of a sample, so for samples of bounded size."""
-    a = points.select(*key, F.col(point).alias("_p"), F.col(cluster).alias("_c"), F.col(vector).alias("_v"))
-    b = points.select(*key, F.col(point).alias("_q"), F.col(cluster).alias("_d"), F.col(vector).alias("_u"))
+def exact_silhouettes(points: DataFrame, key: list[str], point: str, cluster: str, vector: str, blocks: int = 8) -> DataFrame:
+    """(key, point, cluster, silhouette) by comparing all pairs of each sample, as silhouettes ask for: samples are cut into ``blocks``, and each pair of blocks is a task of its own."""
+    block, all_ = F.pmod(F.xxhash64(point), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = points.select(*key, F.col(point).alias("_p"), F.col(cluster).alias("_c"), F.col(vector).alias("_v"), block.alias("_i"), all_.alias("_j"))
+    b = points.select(*key, F.col(point).alias("_q"), F.col(cluster).alias("_d"), F.col(vector).alias("_u"), block.alias("_j"), all_.alias("_i"))
     d = F.sqrt(F.aggregate(F.zip_with("_v", "_u", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, key).where(F.col("_p") != F.col("_q")) if key else a.join(b, F.col("_p") != F.col("_q"))
+    pairs = a.join(b, [*key, "_i", "_j"]).where(F.col("_p") != F.col("_q"))
     means = pairs.groupBy(*key, "_p", "_c", "_d").agg(F.avg(d).alias("m"))
     rows = means.groupBy(*key, "_p", "_c").agg(F.max(F.when(F.col("_c") == F.col("_d"), F.col("m"))).alias("own"), F.min(F.when(F.col("_c") != F.col("_d"), F.col("m"))).alias("near"))
     score = F.when(F.col("own").isNull() | F.col("near").isNull(), 0.0).otherwise((F.col("near") - F.col("own")) / F.greatest("near", "own"))

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chemistry import atomic_mass, atomic_number, mass_to_atomic
+from .shared import cut
 
 
 def polynomial(x: Column, coefficients: list[float]) -> Column:
@@ -63,7 +64,7 @@ def zaf_factors(compositions: DataFrame, lines: DataFrame, absorption: DataFrame
     ``compositions`` is long (key, element, w_fr); fractions are normalised.
     ``lines`` (element, line, energy_kev), ``absorption`` (element, line,
     absorber, mu) and ``ionisation`` (z, j_ev) are tables of the user, each a
-    few thousand rows at most, and are broadcast. ``p``, ``f`` and ``beta``
+    few thousand rows, which Spark broadcasts by their size. ``p``, ``f`` and ``beta``
     are SQL expressions of the calibration in a mean or elemental ``z``.
     """
     w = mass_to_atomic(compositions, key)
@@ -71,15 +72,15 @@ def zaf_factors(compositions: DataFrame, lines: DataFrame, absorption: DataFrame
     total = w.groupBy(*key).agg(F.sum("m").alias("_t"))
     w = w.join(total, key).withColumn("w", F.col("m") / F.col("_t")).select(*key, "element", "w")
     w = w.withColumns({"z": atomic_number(F.col("element")), "a": atomic_mass(F.col("element"))})
-    j = F.broadcast(ionisation.select(F.col("z").cast("double").alias("z"), F.log(F.col("j_ev") / 1000).alias("ln_j")))
+    j = (ionisation.select(F.col("z").cast("double").alias("z"), F.log(F.col("j_ev") / 1000).alias("ln_j")))
     w = w.join(j, "z")
     share = F.col("w") * F.col("z") / F.col("a")
     means = w.groupBy(*key).agg(
         (F.sum(F.col("w") * F.pow("z", 1.75) / F.col("a")) / F.sum(F.col("w") * F.pow("z", 0.75) / F.col("a"))).alias("z_mean"),
         F.sum(share).alias("m"), (F.sum(share * F.col("ln_j")) / F.sum(share)).alias("ln_j"),
         F.sum(F.col("w") * F.expr(beta)).alias("beta"), F.sum(F.col("w") * backscatter_coefficient(F.col("z"), beam_kev)).alias("eta"))
-    mu = w.select(*key, F.col("element").alias("absorber"), "w").join(F.broadcast(absorption), "absorber").groupBy(*key, "element", "line").agg(F.sum(F.col("w") * F.col("mu")).alias("mu"))
-    own = w.select(*key, "element", F.col("z").alias("z_own"), F.col("a").alias("a_own"), F.col("ln_j").alias("ln_j_own")).join(F.broadcast(lines), "element")
+    mu = w.select(*key, F.col("element").alias("absorber"), "w").join(absorption, "absorber").groupBy(*key, "element", "line").agg(F.sum(F.col("w") * F.col("mu")).alias("mu"))
+    own = w.select(*key, "element", F.col("z").alias("z_own"), F.col("a").alias("a_own"), F.col("ln_j").alias("ln_j_own")).join(lines, "element")
     rows = own.join(means, key).join(mu, [*key, "element", "line"], "left")
     of = lambda expression, column: F.expr(re.sub(r"\bz\b", column, expression))
     e = F.col("energy_kev")
@@ -97,7 +98,7 @@ def quantify_ratios(ratios: DataFrame, correct, key: list[str], *, rounds: int =
     from the ratios, scaled to one. Each round is a join; ``checkpoint`` cuts
     the lineage between rounds.
     """
-    keep = checkpoint or (lambda df: df.checkpoint())
+    keep = checkpoint or cut
     total = F.sum("k_ratio")
     start = ratios.join(ratios.groupBy(*key).agg(total.alias("_t")), key).withColumn("w_fr", F.col("k_ratio") / F.col("_t")).drop("_t")
     now = keep(start.withColumn("rounds", F.lit(0)).withColumn("done", F.lit(False)))

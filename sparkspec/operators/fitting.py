@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.spectra import total_counts
 from ..physics.fit import Instrument, SpectrumFit, Tables, quantify
-from .select import spectrum_flag
+from .lines import background_at
+from .select import background_comment, fit_quality, post_fit_flag, spectrum_flag
 
 _PEAK = "array<struct<element:string,line:string,energy_kev:double,center:double,sigma:double,fwhm:double,area:double,intensity:double,background:double,pb:double>>"
 RESULT = f"w_fr map<string,double>, at_fr map<string,double>, an_err double, r_squared double, redchi_sq double, quant_flag int, comments string, peaks {_PEAK}, background array<double>"
@@ -19,19 +21,34 @@ def flagged(spectra: DataFrame, instrument: Instrument, target: float, min_backg
     i = instrument
     window = F.slice("counts", i.start + 1, i.stop - i.start)
     axis = F.transform(F.sequence(F.lit(i.start), F.lit(i.stop - 1)), lambda c: F.lit(i.offset_kev) + F.lit(i.width_kev) * c)
-    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
-    low = spectrum_flag(window, axis, 0.0, min_background)
-    flag = F.when(F.col("counts").isNull(), 1).when(total < 0.9 * target, 2).otherwise(low).cast("int")
-    return spectra.withColumn("quant_flag", flag)
+    return spectra.withColumn("quant_flag", spectrum_flag(F.col("counts"), axis, target, min_background, window))
 
 
-def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument, tables: Tables, standards: dict[tuple[str, str], float] | None, *, key: list[str], target: float, min_background: float = 1.0, substrate: list[str] = (), parallelism: int | None = None) -> DataFrame:
+def judged(results: DataFrame, instrument: Instrument, min_background: float, substrate: list[str] = (), *, strict: bool = False) -> DataFrame:
+    """Fitted spectra with their final flag: poor fit, analytical error, substrate or a low background under the reference lines.
+
+    The share that a particle absorbs is not fitted, so flag 6 needs a column
+    ``absorbed`` of the caller. A low background is told in ``comments``.
+    """
+    flag, peaks = F.col("quant_flag"), F.col("peaks")
+    total = total_counts(F.col("counts"))
+    absorbed, particle = (F.col("absorbed"), F.lit(True)) if "absorbed" in results.columns else (F.lit(None).cast("double"), F.lit(False))
+    held = lambda e: F.aggregate(F.filter(peaks, lambda p: p["element"] == e), F.lit(0.0), lambda a, p: a + p["intensity"])
+    dirty = F.coalesce(F.greatest(F.lit(False), F.lit(False), *[held(e) > 0.1 * total for e in substrate]), F.lit(False))
+    low = background_at(F.col("background"), peaks, instrument.offset_kev + instrument.start * instrument.width_kev, instrument.width_kev)
+    found = post_fit_flag(fit_quality(F.col("redchi_sq"), total, F.col("an_err"), absorbed, particle), F.lit(False), dirty, low, min_background, flag == 0, strict=strict)
+    fitted = flag.isin(0, -1)
+    told = F.when(fitted & (low < min_background), background_comment(low, min_background)).otherwise(F.col("comments"))
+    return results.withColumns({"quant_flag": F.when(fitted, found).otherwise(flag).cast("int"), "comments": told})
+
+
+def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument, tables: Tables, standards: dict[tuple[str, str], float] | None, *, key: list[str], target: float, min_background: float = 1.0, substrate: list[str] = (), parallelism: int | None = None, strict: bool = False) -> DataFrame:
     """``spectra`` (key, counts, ...) with the result columns of ``RESULT``.
 
     Rows are independent, so one Arrow pass without a shuffle does it;
     ``parallelism`` deals few large files out first. Invalid spectra are
     flagged in Catalyst and skip the fit. A failing fit gets flag 9 and its
-    message; other rows are untouched. Without ``standards`` only the fit is
+    message; other rows are untouched. Fitted ones are judged (``judged``). Without ``standards`` only the fit is
     made, for standards themselves. Tables are the user's line, absorption and
     ionisation data, some hundred kilobytes, and travel with the function.
     """
@@ -62,7 +79,8 @@ def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument,
             done = done.astype(object).where(done.notna(), None)
             yield pd.concat([rows[names], done], axis=1)
 
-    return rows.mapInPandas(run, f"{base}, {RESULT}")
+    done = rows.mapInPandas(run, f"{base}, {RESULT}")
+    return done if standards is None else judged(done, instrument, min_background, list(substrate), strict=strict)
 
 
 def peak_rows(results: DataFrame, key: list[str]) -> DataFrame:
@@ -71,5 +89,8 @@ def peak_rows(results: DataFrame, key: list[str]) -> DataFrame:
 
 
 def fit_parameters(results: DataFrame, key: list[str]) -> DataFrame:
-    """Wide parameters of each spectrum that has an accepted flag, for ``stats.with_summary_rows``."""
-    return results.where(F.col("quant_flag").isin(0, -1)).select(*key, "an_err", "r_squared", "redchi_sq")
+    """Wide parameters of each spectrum that has an accepted flag, for ``stats.with_summary_rows``: those of the fit, and area, width, background and ratio of each element's line."""
+    good = results.where(F.col("quant_flag").isin(0, -1))
+    names = sorted(r.n for r in good.select(F.explode(F.transform("peaks", lambda p: F.concat_ws("_", p["element"], p["line"]))).alias("n")).distinct().collect())  # lines of the elements
+    of = lambda name, field: F.get(F.filter("peaks", lambda p: F.concat_ws("_", p["element"], p["line"]) == name), F.lit(0))[field]
+    return good.select(*key, "an_err", "r_squared", "redchi_sq", *[of(n, f).alias(f"{n}_{f}") for n in names for f in ("center", "sigma", "area", "background", "pb")])

@@ -20,7 +20,7 @@ def interpolate(rows: DataFrame, curve: DataFrame, *, at: str, x: str = "x", y:
     dealt = segments.withColumn("_bin", F.explode(F.sequence(cell(F.col("_a")), cell(F.col("_b")))))
     kept = rows.withColumn("_id", F.monotonically_increasing_id()).join(F.broadcast(ends)).withColumn("_at", F.least(F.greatest(F.col(at), F.col("_x0")), F.col("_x1")))
     kept = kept.withColumn("_bin", cell(F.col("_at")))
-    met = kept.join(F.broadcast(dealt), (kept["_bin"] == dealt["_bin"]) & (F.col("_at") >= F.col("_a")) & ((F.col("_at") < F.col("_b")) | ((F.col("_b") == F.col("_x1")) & (F.col("_at") == F.col("_x1")))), "left")
+    met = kept.join(dealt, (kept["_bin"] == dealt["_bin"]) & (F.col("_at") >= F.col("_a")) & ((F.col("_at") < F.col("_b")) | ((F.col("_b") == F.col("_x1")) & (F.col("_at") == F.col("_x1")))), "left")
     value = F.when(F.col("_x0") == F.col("_x1"), F.col("_y0")).otherwise(F.col("_ya") + (F.col("_yb") - F.col("_ya")) * (F.col("_at") - F.col("_a")) / (F.col("_b") - F.col("_a")))
     return met.select(*[rows[c] for c in rows.columns], value.alias(out))
 

@@ -41,15 +41,23 @@ def quantification_line(peaks: DataFrame, key: list[str], *, beam_kev: float) ->
 
 
 def sample_windows(center: Column, half: Column, offset: float, width: float) -> tuple[Column, Column]:
-    """First channel and number of channels within ``half`` keV of a centre, for use with slice."""
-    first = F.ceil((center - half - offset) / width)
-    last = F.floor((center + half - offset) / width)
-    return F.greatest(F.lit(0), first).cast("int"), F.greatest(F.lit(0), last - F.greatest(F.lit(0), first) + 1).cast("int")
+    """First channel and number of channels strictly within ``half`` keV of a centre, for use with slice."""
+    first = F.greatest(F.lit(0), F.floor((center - half - offset) / width) + 1)
+    last = F.ceil((center + half - offset) / width) - 1
+    return first.cast("int"), F.greatest(F.lit(0), last - first + 1).cast("int")
+
+
+def background_at(background: Column, peaks: Column, offset: float, width: float) -> Column:
+    """Least background within one FWHM of any of a spectrum's reference peaks (an array of center and fwhm); infinity where no channel lies there."""
+
+    def least(p: Column) -> Column:
+        first, n = sample_windows(p["center"], p["fwhm"], offset, width)
+        return F.coalesce(F.array_min(F.slice(background, first + 1, n)), F.lit(float("inf")))
+
+    return F.coalesce(F.array_min(F.transform(peaks, least)), F.lit(float("inf")))
 
 
 def least_reference_background(spectra: DataFrame, peaks: DataFrame, key: list[str], *, offset: float, width: float) -> DataFrame:
-    """Least background within one FWHM of any reference line of a spectrum; infinity where no channel lies there."""
-    first, n = sample_windows(F.col("center"), F.col("fwhm"), offset, width)
-    window = F.slice(F.col("background"), first + 1, n)
-    each = spectra.select(*key, "background").join(peaks.where("is_reference").select(*key, "center", "fwhm"), key)
-    return each.groupBy(*key).agg(F.min(F.coalesce(F.array_min(window), F.lit(float("inf")))).alias("ref_background"))
+    """(key, ref_background) of spectra (key, background) from long peaks (key, is_reference, center, fwhm); see ``background_at``."""
+    lines = peaks.where("is_reference").groupBy(*key).agg(F.collect_list(F.struct("center", "fwhm")).alias("_p"))
+    return spectra.select(*key, "background").join(lines, key).select(*key, background_at(F.col("background"), F.col("_p"), offset, width).alias("ref_background"))

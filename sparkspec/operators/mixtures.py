@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.chemistry import pretty_formula
 from .cluster import spread
+from .shared import small
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -49,19 +50,20 @@ def fit_pairs(points: DataFrame, refs: DataFrame, key: list[str], *, known: bool
     """Every pair of references as a mixture for the points (key, fr) of each cluster.
 
     Rows decouple, so each point's share has a closed form. Columns: ref1,
-    ref2, n, error, conf, molar_fr_mean, molar_fr_std (n) and mol_ratio.
-    ``refs`` is the user's list of phases and is broadcast.
+    ref2, name (both formulas), n, error, conf, molar_fr_mean, molar_fr_std (n)
+    and mol_ratio. ``refs`` is the user's list of phases; the pairs' number is
+    checked before they are broadcast.
     """
-    few = F.broadcast(refs)
-    a = few.select(F.col("ref_idx").alias("ref1"), F.col("fr").alias("h1"), F.col("mix_weight").alias("w1"))
-    b = few.select(F.col("ref_idx").alias("ref2"), F.col("fr").alias("h2"), F.col("mix_weight").alias("w2"))
+    few = small(refs, 500)
+    a = few.select(F.col("ref_idx").alias("ref1"), F.col("fr").alias("h1"), F.col("mix_weight").alias("w1"), F.col("formula").alias("f1"))
+    b = few.select(F.col("ref_idx").alias("ref2"), F.col("fr").alias("h2"), F.col("mix_weight").alias("w2"), F.col("formula").alias("f2"))
     pairs = a.join(b, F.col("ref1") < F.col("ref2"))
     each = points.join(F.broadcast(pairs), F.lit(True)).withColumn("share", mixing_share(F.col("fr"), F.col("h1"), F.col("h2"))).where("share is not null")
     each = each.withColumns({
         "_e": reconstruction_error(F.col("fr"), F.col("h1"), F.col("h2"), F.col("share")), "_k": F.size("fr"),
         "_m": molar_fraction(F.col("share"), F.col("w1"), F.col("w2")),
     })
-    out = each.groupBy(*key, "ref1", "ref2").agg(F.count(F.lit(1)).alias("n"), (F.sum("_e") / F.sum("_k")).alias("error"), F.avg("_m").alias("molar_fr_mean"), F.stddev_pop("_m").alias("molar_fr_std"))
+    out = each.groupBy(*key, "ref1", "ref2", F.concat_ws(", ", "f1", "f2").alias("name")).agg(F.count(F.lit(1)).alias("n"), (F.sum("_e") / F.sum("_k")).alias("error"), F.avg("_m").alias("molar_fr_mean"), F.stddev_pop("_m").alias("molar_fr_std"))
     out = out.withColumn("conf", mixture_confidence(F.col("error"), known))
     return out.withColumn("mol_ratio", F.col("molar_fr_mean") / (1 - F.col("molar_fr_mean")))
 

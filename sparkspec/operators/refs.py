@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.chemistry import formula_mass, mass_fractions_of, parse_formula
+from .shared import small
 
 
 def reference_phases(spark: SparkSession, formulas: list[str], elements: list[str], *, by_mass: bool = False) -> tuple[DataFrame, list[str]]:
@@ -40,14 +41,14 @@ def distance(a: Column, b: Column) -> Column:
 def match_references(centroids: DataFrame, refs: DataFrame, key: list[str], *, sigma: float = 0.03, ambiguity: float = 0.3, reach: float = 0.1, times_rms: float = 5.0) -> DataFrame:
     """References near each centroid (key, fr, rms): distance, raw and ambiguity-normalised confidence.
 
-    A reference is near within max(reach, times_rms * rms). The raw confidence
+    A reference is near under max(reach, times_rms * rms). The raw confidence
     is c = exp(-d^2 / 2 sigma^2); w = exp(-(1 - c)^2 / 2 ambiguity^2), scaled
     to a sum of one over the cluster's references, multiplies it.
-    ``refs`` is a list of phases given by the user, a few hundred at most, so
+    ``refs`` is a list of phases given by the user; its size is checked before
     it is broadcast.
     """
-    near = centroids.join(F.broadcast(refs.select("ref_idx", "formula", F.col("fr").alias("ref_fr"))), F.lit(True)).withColumn("distance", distance(F.col("fr"), F.col("ref_fr")))
-    near = near.where(F.col("distance") <= F.greatest(F.lit(reach), F.col("rms") * times_rms))
+    near = centroids.join(small(refs.select("ref_idx", "formula", F.col("fr").alias("ref_fr"))), F.lit(True)).withColumn("distance", distance(F.col("fr"), F.col("ref_fr")))
+    near = near.where(F.col("distance") < F.greatest(F.lit(reach), F.col("rms") * times_rms))
     raw = F.exp(-F.col("distance") * F.col("distance") / (2 * sigma * sigma))
     near = near.withColumn("raw_conf", raw).withColumn("_w", F.exp(-F.pow(1 - F.col("raw_conf"), 2) / (2 * ambiguity * ambiguity)))
     return near.withColumn("conf", F.col("raw_conf") * F.col("_w") / F.sum("_w").over(W.partitionBy(*key))).drop("_w", "ref_fr")
@@ -66,11 +67,11 @@ def wide_references(ranked: DataFrame, key: list[str], n: int = 3) -> DataFrame:
 
 
 def assigned_confidence(matches: DataFrame, key: list[str], over: list[str]) -> DataFrame:
-    """Least over the clusters of a sample of their best raw confidence; clusters without a reference do not count."""
-    best = matches.groupBy(*over, *key).agg(F.max("raw_conf").alias("best"))
+    """Least over the clusters of a sample of their best confidence, weights for ambiguity included; clusters without a reference do not count."""
+    best = matches.groupBy(*over, *key).agg(F.max("conf").alias("best"))
     return best.groupBy(*over).agg(F.min("best").alias("min_conf"))
 
 
-def converged(max_rms: Column, min_conf: Column, has_refs: bool) -> Column:
-    """Whether a sample's clusters suffice: all tight and, with references, all recognised."""
-    return (min_conf > 0.8) & (max_rms < 0.03) if has_refs else max_rms < 0.025
+def converged(max_rms: Column, min_conf: Column) -> Column:
+    """Whether a sample's clusters suffice: all tight and, where any has a reference near it, all of those recognised; without any near, tighter ones."""
+    return F.when(min_conf.isNull(), max_rms < 0.025).otherwise((min_conf > 0.8) & (max_rms < 0.03))

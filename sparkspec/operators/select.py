@@ -14,9 +14,10 @@ FLAGS = {
 }
 
 
-def spectrum_flag(counts: Column, energies: Column, target: float, min_background: float) -> Column:
-    """Flag of a spectrum before fitting, null if it may be fitted: 1 without data, 2 under 0.9 of the target counts, 3 with low background."""
-    return F.when(counts.isNull(), 1).when(total_counts(counts) < 0.9 * target, 2).when(low_background(counts, energies, min_background), 3).cast("int")
+def spectrum_flag(counts: Column, energies: Column, target: float, min_background: float, window: Column | None = None) -> Column:
+    """Flag of a spectrum before fitting, null if it may be fitted: 1 without data, 2 under 0.9 of the target counts, 3 with low background (in ``window``, if only some channels have ``energies``)."""
+    seen = counts if window is None else window
+    return F.when(counts.isNull(), 1).when(total_counts(counts) < 0.9 * target, 2).when(low_background(seen, energies, min_background), 3).cast("int")
 
 
 def first_spot_contaminated(spectra: DataFrame, target: float) -> DataFrame:
@@ -84,6 +85,7 @@ def detectable(elements: Column, undetectable: tuple[str, ...] = ("H", "He", "Li
 
 
 def substrate_only(substrate: Column, sample: Column) -> Column:
+    """Elements of the substrate that the sample does not have."""
     return F.array_except(F.array_distinct(substrate), sample)
 
 

@@ -38,11 +38,22 @@ def means_for_formulas(standards: DataFrame, formulas: list[str], key: list[str]
 
 def with_standard(peaks: DataFrame, means: DataFrame, key: list[str]) -> DataFrame:
     """Peaks with k_ratio = pb / mean_pb and an ``error``: ``no standard`` or ``standard not positive``, in which cases k_ratio is null."""
-    out = peaks.join(F.broadcast(means.select(*key, "mean_pb")), key, "left")
+    out = peaks.join(means.select(*key, "mean_pb"), key, "left")
     error = F.when(F.col("mean_pb").isNull() | F.isnan("mean_pb"), "no standard").when(F.col("mean_pb") <= 0, "standard not positive")
     return out.withColumn("error", error).withColumn("k_ratio", F.when(F.col("error").isNull(), F.col("pb") / F.col("mean_pb")))
 
 
+def standard_results(lines: DataFrame, factors: DataFrame, key: list[str]) -> DataFrame:
+    """The results table of measured standards: (key, measured_pb, stdev_pb, corrected_pb, rel_std_pct, n_spectra).
+
+    ``lines`` has the statistics of each reference line (mean_pb, std_pb,
+    rel_std_pct, n_spectra), ``factors`` its matrix factor and mass fraction
+    (zaf, w_fr); a line without a factor has no corrected ratio.
+    """
+    both = lines.join(factors.select(*key, "zaf", "w_fr"), key, "left")
+    return both.select(*key, F.col("mean_pb").alias("measured_pb"), F.col("std_pb").alias("stdev_pb"), corrected_pb(F.col("mean_pb"), F.col("zaf"), F.col("w_fr")).alias("corrected_pb"), "rel_std_pct", "n_spectra")
+
+
 def corrected_pb(mean_pb: Column, zaf: Column, w_fr: Column) -> Column:
     """A standard's ratio referred to the pure element."""
     return zaf * mean_pb / w_fr
@@ -52,7 +63,7 @@ def missing_reference_flag(peaks: DataFrame, references: DataFrame, key: list[st
     """(key, quant_flag): 10 for a standard's spectrum without one of the reference lines (element, line), else 0."""
     want = references.select("element", "line").distinct()
     n = want.count()  # lines of one standard
-    found = peaks.where("area > 0").join(F.broadcast(want), ["element", "line"], "left_semi").groupBy(*key).agg(F.countDistinct("element", "line").alias("_n"))
+    found = peaks.where("area > 0").join(want, ["element", "line"], "left_semi").groupBy(*key).agg(F.countDistinct("element", "line").alias("_n"))
     return peaks.select(*key).distinct().join(found, key, "left").select(*key, F.when(F.coalesce("_n", F.lit(0)) < n, 10).otherwise(0).alias("quant_flag"))
 
 

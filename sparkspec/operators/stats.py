@@ -35,7 +35,12 @@ def with_summary_rows(wide: DataFrame, key: list[str], label: str, values: list[
 
 
 def particle_statistics(particles: DataFrame, key: list[str], diameter: str = "diameter") -> DataFrame:
-    """Number, mean, standard deviation (n), extremes and exact percentiles of diameters."""
+    """Number, mean, standard deviation (n), extremes and exact percentiles of diameters.
+
+    Percentiles are exact, so an aggregate holds a count for each distinct
+    diameter of its group: areas are whole pixels, of which a group of any
+    number of particles has some thousand.
+    """
     d = F.col(diameter)
     q = F.percentile(d, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     out = particles.groupBy(*key).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("stdev"), F.max(d).alias("max"), F.min(d).alias("min"), q.alias("_q"))

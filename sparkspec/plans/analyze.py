@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import Clustering
 from ..operators import cluster, mixtures, refs, select, standards, stats
 from ..operators.fitting import fit_parameters, peak_rows, quantified
+from ..operators.shared import cut
 from ..physics.fit import Instrument, Tables
 
 KEY = ["sample_id", "cluster_id"]
@@ -45,7 +46,7 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, un
     good = named.where("reason = 'good'").select("sample_id", "spectrum_id", select.filled(fr, elements).alias("fr"))
     if labels is None:
         made = cluster.cluster_samples(good, ["sample_id"], k=settings.k, max_k=settings.max_k, method=settings.k_finding_method if settings.k_finding_method != "forced" else "silhouette", seed=settings.seed, least=least)
-        labels = (keep or (lambda df: df.checkpoint()))(made)
+        labels = (keep or cut)(made)
     points = good.join(labels.select("sample_id", "spectrum_id", "cluster_id"), ["sample_id", "spectrum_id"])
     names = F.array(*[F.lit(e) for e in elements])
     long = points.select(*KEY, "spectrum_id", F.explode(F.arrays_zip(names.alias("element"), F.col("fr").alias("value"))).alias("p")).select(*KEY, "spectrum_id", "p.element", "p.value")
@@ -57,7 +58,7 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, un
     if settings.ref_formulae:
         phases, _ = refs.reference_phases(spark, list(settings.ref_formulae), elements, by_mass=settings.features == "w_fr")
         found = refs.match_references(clusters, phases, KEY)
-        best = found.groupBy(*KEY).agg(F.max("raw_conf").alias("max_conf"))
+        best = found.groupBy(*KEY).agg(F.max("conf").alias("max_conf"))
     else:
         best = clusters.select(*KEY, F.lit(None).cast("double").alias("max_conf"))
     judged = clusters.join(best, KEY, "left")
@@ -71,12 +72,18 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, un
     free = mixtures.free_mixture(suspects, KEY, elements, seed=settings.seed)
     per = clusters.groupBy("sample_id").agg(F.max("rms").alias("max_rms"), F.count(F.lit(1)).alias("n_clusters"), F.sum("wcss").alias("wcss"), F.sum("n_points").alias("n_used"))
     conf = refs.assigned_confidence(found, ["cluster_id"], ["sample_id"]) if found is not None else per.select("sample_id", F.lit(None).cast("double").alias("min_conf"))
-    verdict = per.join(conf, "sample_id", "left").withColumn("converged", F.coalesce(refs.converged(F.col("max_rms"), F.col("min_conf"), found is not None), F.lit(False)))
+    verdict = per.join(conf, "sample_id", "left").withColumn("converged", F.coalesce(refs.converged(F.col("max_rms"), F.col("min_conf")), F.lit(False)))
     return Analysis(named, report, labels, features, clusters, refs.ranked_references(found, KEY) if found is not None else None, mix, free, verdict)
 
 
 def quantify_and_analyze(spectra: DataFrame, elements: list[str], instrument: Instrument, tables: Tables, library: dict[tuple[str, str], float], settings: Clustering, *, target: float, only_missing: bool = True, **how) -> tuple[DataFrame, Analysis]:
-    """Quantify the spectra that have no result yet (or all) and analyse everything."""
+    """Quantify the spectra that have no result yet (or all) and analyse everything.
+
+    Where ``spectra`` has a particle_id, particles whose first spot is
+    contaminated (``select.first_spot_contaminated``) are left out.
+    """
+    if "particle_id" in spectra.columns:
+        spectra = spectra.join(select.first_spot_contaminated(spectra, target), ["sample_id", "particle_id"], "left_anti")
     key = ["sample_id", "spectrum_id"]
     todo = select.needs_quantification(spectra) if only_missing and "an_err" in spectra.columns else spectra
     new = quantified(todo.select(*key, "counts"), elements, instrument, tables, library, key=key, target=target, **how)
@@ -98,18 +105,18 @@ def build_standards(spectra: DataFrame, formula: str, std_id: str, references: D
     fits = quantified(spectra.select(*key, "counts"), list(w), instrument, tables, None, key=key, target=target)
     peaks = peak_rows(fits.where("quant_flag = 0"), key)
     whole = standards.missing_reference_flag(peaks, references, key).where("quant_flag = 0")
-    lines = peaks.join(whole.select(*key), key, "left_semi").join(F.broadcast(references.select("element", "line").distinct()), ["element", "line"], "left_semi")
+    lines = peaks.join(whole.select(*key), key, "left_semi").join(references.select("element", "line").distinct(), ["element", "line"], "left_semi")
     pb = stats.standards_of_lines(lines, ["element", "line"], least=least_pb)
     factor = spectra.sparkSession.createDataFrame([(e, l, float(v), float(w[e])) for (e, l), v in zaf.items() if e in w], "element string, line string, zaf double, w double")
-    out = pb.join(F.broadcast(factor), ["element", "line"])
+    out = pb.join(factor, ["element", "line"])
     return out.select(F.lit(mode).alias("mode"), F.lit(int(beam_kev)).alias("beam_kev"), F.concat_ws("_", "element", "line").alias("el_line"), F.lit(std_id).alias("std_id"), F.lit(formula).alias("formula"),
                       F.col("mean_pb").alias("measured_pb"), standards.corrected_pb(F.col("mean_pb"), F.col("zaf"), F.col("w")).alias("corrected_pb"), F.col("std_pb").alias("stdev_pb"), "n_spectra", F.lit(True).alias("use_for_mean"))
 
 
 def fit_summary(results: DataFrame, key: list[str], label: str = "spectrum_id") -> DataFrame:
-    """Fit parameters of each spectrum with mean and deviation rows for each sample."""
+    """All fit parameters of each spectrum (``fit_parameters``) with mean and deviation rows for each sample."""
     wide = fit_parameters(results, [*key, label])
-    return stats.with_summary_rows(wide, key, label, ["an_err", "r_squared", "redchi_sq"])
+    return stats.with_summary_rows(wide, key, label, [c for c in wide.columns if c not in (*key, label)])
 
 
 def particle_sizes(images: DataFrame, key: list[str] = (), **how) -> DataFrame:

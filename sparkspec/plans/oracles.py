@@ -29,7 +29,7 @@ mean AS (SELECT label, i, avg(value) AS m FROM x GROUP BY ALL),
 rms AS (SELECT x.label, count(DISTINCT vec_id) AS n_points, sqrt(sum((value - m) ** 2) / count(DISTINCT vec_id)) AS rms FROM x JOIN mean USING (label, i) GROUP BY x.label),
 ce AS (SELECT label, list(m ORDER BY i) AS fr FROM mean GROUP BY label),
 d AS (SELECT ce.label, ref_idx, formula, rms, sqrt(list_sum([(ce.fr[i] - h[i]) ** 2 FOR i IN range(1, len(h) + 1)])) AS distance FROM ce JOIN rms USING (label) CROSS JOIN ref),
-n AS (SELECT *, exp(-distance * distance / (2 * 0.03 * 0.03)) AS raw_conf FROM d WHERE distance <= greatest(0.1, rms * 5)),
+n AS (SELECT *, exp(-distance * distance / (2 * 0.03 * 0.03)) AS raw_conf FROM d WHERE distance < greatest(0.1, rms * 5)),
 k AS (SELECT *, raw_conf * exp(-((1 - raw_conf) ** 2) / (2 * 0.3 * 0.3)) / sum(exp(-((1 - raw_conf) ** 2) / (2 * 0.3 * 0.3))) OVER (PARTITION BY label) AS conf FROM n)"""
 _LIB = """lib AS (SELECT p_brand AS el_line, 'std' || (p_partkey % 300) AS std_id, p_retailprice AS corrected_pb, p_size > 10 AS use_for_mean FROM part),
 means AS (SELECT el_line, avg(corrected_pb) AS mean_pb, stddev_pop(corrected_pb) AS std_pb, count(*) AS n_standards FROM lib WHERE use_for_mean AND std_id <> 'Mean' GROUP BY el_line)"""
@@ -80,8 +80,8 @@ SELECT 's' AS sample_id, user_id % 40 AS particle_id FROM f WHERE r = 1 AND tota
     "cluster_reference_match": f"WITH {_M} SELECT label, ref_idx, round(distance, 6) AS distance, round(raw_conf, 6) AS raw_conf, round(conf, 6) AS conf FROM k",
     "cluster_reference_wide": f"""WITH {_M}, rk AS (SELECT label, formula, round_even(conf, 2) AS conf, row_number() OVER (PARTITION BY label ORDER BY conf DESC, ref_idx) AS r FROM k WHERE conf > 0.01)
 SELECT label, max(formula) FILTER (r = 1) AS ref1, max(conf) FILTER (r = 1) AS conf1, max(formula) FILTER (r = 2) AS ref2, max(conf) FILTER (r = 2) AS conf2, max(formula) FILTER (r = 3) AS ref3, max(conf) FILTER (r = 3) AS conf3 FROM rk GROUP BY label""",
-    "convergence": f"""WITH {_M}, b AS (SELECT label, max(raw_conf) AS best FROM k GROUP BY label), z AS (SELECT (SELECT max(rms) FROM rms) AS max_rms, (SELECT min(best) FROM b) AS min_conf)
-SELECT round(max_rms, 6) AS max_rms, round(min_conf, 6) AS min_conf, min_conf > 0.8 AND max_rms < 0.03 AS with_refs, max_rms < 0.025 AS without_refs FROM z""",
+    "convergence": f"""WITH {_M}, b AS (SELECT label, max(conf) AS best FROM k GROUP BY label), z AS (SELECT (SELECT max(rms) FROM rms) AS max_rms, (SELECT min(best) FROM b) AS min_conf)
+SELECT round(max_rms, 6) AS max_rms, round(min_conf, 6) AS min_conf, CASE WHEN min_conf IS NULL THEN max_rms < 0.025 ELSE min_conf > 0.8 AND max_rms < 0.03 END AS with_refs, max_rms < 0.025 AS without_refs FROM z""",
     "pairwise_mixture_fit": f"""WITH {_P}, pr AS (SELECT a.ref_idx AS ref1, b.ref_idx AS ref2, a.h AS h1, b.h AS h2, a.w / b.w AS r FROM ref a JOIN ref b ON a.ref_idx < b.ref_idx),
 w AS (SELECT label, ref1, ref2, fr, h1, h2, r, least(1, greatest(0, list_sum([(fr[i] - h2[i]) * (h1[i] - h2[i]) FOR i IN range(1, len(fr) + 1)]) / list_sum([(h1[i] - h2[i]) ** 2 FOR i IN range(1, len(fr) + 1)]))) AS s FROM p CROSS JOIN pr),
 e AS (SELECT label, ref1, ref2, fr, list_sum([exp(15 * abs(fr[i] - (h1[i] * s + h2[i] * (1 - s)))) - 1 FOR i IN range(1, len(fr) + 1)]) AS e, r, s, (1 - s) * r / (1 - (1 - s) * (1 - r)) AS x2 FROM w),
@@ -97,7 +97,7 @@ r AS (SELECT *, row_number() OVER w AS r, lead(votes, 1, 0) OVER w AS second, ma
 SELECT p_brand, max(k) FILTER (r = 1) AS top_k, (CASE WHEN bool_or(r = 1 AND votes >= 2 * second) THEN max(k) FILTER (r = 1) ELSE min(k) FILTER (votes >= top / 2.0) END)::INT AS accepted_k FROM r GROUP BY p_brand""",
     "line_choice": """WITH p AS (SELECT l_orderkey, l_returnflag AS element, ['Ka1', 'La1', 'Ma1', 'Kb1'][l_linenumber % 4 + 1] AS line, l_quantity / 5 AS e, l_extendedprice AS area FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, element ORDER BY (e > 2 AND 15.0 / e > 1.65) DESC, area DESC, line) AS r FROM p WHERE line <> 'Kb1')
-SELECT l_orderkey, element, 1::BIGINT AS n, round(area, 6) AS area FROM r WHERE r = 1""",
+SELECT l_orderkey, element, line, round(e, 6) AS energy_kev, round(area, 6) AS area FROM r WHERE r = 1""",
     "pb_stats": """WITH p AS (SELECT l_suppkey % 20 AS el_line, CASE WHEN l_quantity > 3 AND l_quantity * 4 >= 10 THEN l_quantity * 4 END AS x FROM lineitem)
 SELECT el_line, round(avg(x), 6) AS mean_pb, round(stddev_pop(x), 6) AS std_pb, count(x) AS n_spectra, round(stddev_pop(x) / avg(x) * 100, 6) AS rel_std_pct FROM p GROUP BY el_line HAVING count(x) > 0""",
     "standards_mean": f"WITH {_LIB} SELECT el_line, round(mean_pb, 6) AS mean_pb, round(std_pb, 6) AS std_pb, n_standards, round(std_pb / mean_pb * 100, 6) AS rel_std_pct FROM means",
@@ -119,7 +119,7 @@ WHERE CASE WHEN shape = 'circle' THEN (i * s) ** 2 + (j * s * r) ** 2 < h * h EL
     "frame_coordinates": """WITH p AS (SELECT p_partkey, (p_size * 10.0)::DOUBLE AS px, (p_partkey % 700 * 1.0)::DOUBLE AS py FROM part)
 SELECT p_partkey, px, py, round(px / 1024 - 0.5, 6) AS rx, round((py / 768 - 0.5) * 0.75, 6) AS ry, px AS bx, py AS by FROM p""",
     "excel_letters": """WITH o AS (SELECT o_orderkey, (o_orderkey % 20000)::INT AS i FROM orders)
-SELECT o_orderkey, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(65 + (i - 26) // 26) || chr(65 + i % 26) WHEN i < 18278 THEN chr(65 + (i - 702) // 676) || chr(65 + ((i - 702) // 26) % 26) || chr(65 + (i - 702) % 26) END AS letters FROM o""",
+SELECT o_orderkey, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(65 + (i - 26) // 26) || chr(65 + i % 26) WHEN i < 18278 THEN chr(65 + (i - 702) // 676) || chr(65 + ((i - 702) // 26) % 26) || chr(65 + (i - 702) % 26) ELSE 'A' || chr(65 + (i - 18278) // 676) || chr(65 + ((i - 18278) // 26) % 26) || chr(65 + (i - 18278) % 26) END AS letters FROM o""",
     "clean_ids": "SELECT c_custkey, c_name AS id FROM customer",
     "line_keys": "SELECT p_partkey, string_split(p_name, ' ')[1] AS element, string_split(p_name, ' ')[2] AS line, CASE WHEN len(string_split(p_name, ' ')) > 2 THEN array_to_string(string_split(p_name, ' ')[3:], '_') END AS suffix FROM part",
     "two_point_calibration": """WITH s AS (SELECT s_suppkey, (1.4 + s_suppkey * 0.001 - 0.02) / 0.01 AS i, (8.0 + s_nationkey * 0.01 - 0.02) / 0.01 AS j FROM supplier)
@@ -164,9 +164,68 @@ p AS (SELECT l_suppkey % 3 AS sample_id, (l_suppkey % 2)::INT AS cluster_id, l_s
 m AS (SELECT sample_id, cluster_id, element, avg(at_fr) AS m FROM p GROUP BY ALL),
 g AS (SELECT sample_id, cluster_id, count(DISTINCT l_suppkey) AS n_points, sum((at_fr - m) ** 2) AS wcss FROM p JOIN m USING (sample_id, cluster_id, element) GROUP BY ALL),
 d AS (SELECT sample_id, cluster_id, ref_idx, formula, sqrt(sum((m - fr) ** 2)) AS d FROM m JOIN ref USING (element) GROUP BY ALL),
-n AS (SELECT d.*, exp(-d * d / 0.0018) AS raw FROM d JOIN g USING (sample_id, cluster_id) WHERE d <= greatest(0.1, 5 * sqrt(wcss / n_points))),
+n AS (SELECT d.*, exp(-d * d / 0.0018) AS raw FROM d JOIN g USING (sample_id, cluster_id) WHERE d < greatest(0.1, 5 * sqrt(wcss / n_points))),
 k AS (SELECT *, raw * exp(-((1 - raw) ** 2) / 0.18) / sum(exp(-((1 - raw) ** 2) / 0.18)) OVER (PARTITION BY sample_id, cluster_id) AS conf FROM n),
 r AS (SELECT sample_id, cluster_id, formula, round_even(conf, 2) AS conf, row_number() OVER (PARTITION BY sample_id, cluster_id ORDER BY conf DESC, ref_idx) AS r FROM k WHERE conf > 0.01),
 w AS (SELECT sample_id, cluster_id, {", ".join(f"max(formula) FILTER (r = {i}) AS ref{i}, max(conf) FILTER (r = {i}) AS conf{i}" for i in (1, 2, 3))} FROM r GROUP BY ALL)
 SELECT sample_id, cluster_id, n_points, round(wcss, 6) AS wcss, round(sqrt(wcss / n_points), 6) AS rms, ref1, conf1, ref2, conf2, ref3, conf3 FROM g LEFT JOIN w USING (sample_id, cluster_id)""",
 }
+
+_LP = f"""{_LINES}, us AS (SELECT DISTINCT user_id FROM events),
+pk AS (SELECT user_id, element, line, line IN ('Ka1', 'La1') AS is_reference, e + user_id % 7 * 0.03::DOUBLE AS center, 0.25::DOUBLE + e * 0.02::DOUBLE AS fwhm FROM us CROSS JOIN li)"""
+_RB = f"""{_S}, {_LP}, rb AS (SELECT pk.user_id, coalesce(min(n + 0.5) FILTER (0.1::DOUBLE * channel > center - fwhm AND 0.1::DOUBLE * channel < center + fwhm), 'infinity'::DOUBLE) AS low FROM pk JOIN s USING (user_id) WHERE is_reference GROUP BY pk.user_id)"""
+_MIX = """pr AS (SELECT a.ref_idx AS ref1, b.ref_idx AS ref2, a.formula || ', ' || b.formula AS name, a.h AS h1, b.h AS h2, a.w / b.w AS r FROM ref a JOIN ref b ON a.ref_idx < b.ref_idx),
+w AS (SELECT label, ref1, ref2, name, fr, h1, h2, r, least(1, greatest(0, list_sum([(fr[i] - h2[i]) * (h1[i] - h2[i]) FOR i IN range(1, len(fr) + 1)]) / list_sum([(h1[i] - h2[i]) ** 2 FOR i IN range(1, len(fr) + 1)]))) AS s FROM p CROSS JOIN pr),
+e AS (SELECT label, ref1, ref2, name, len(fr) AS k, list_sum([exp(15 * abs(fr[i] - (h1[i] * s + h2[i] * (1 - s)))) - 1 FOR i IN range(1, len(fr) + 1)]) AS e, r, s, (1 - s) * r / (1 - (1 - s) * (1 - r)) AS x2 FROM w),
+t AS (SELECT label, ref1, ref2, name, sum(e) / sum(k) AS error, avg(s * (1 + x2 * (1 / r - 1))) AS mm FROM e GROUP BY ALL)"""
+
+ORACLE_SQL |= {
+    "convergence_by_sample": f"""WITH {_P.replace("FROM p GROUP BY label)", "FROM p WHERE label % 2 = 0 GROUP BY label)")}, two AS (SELECT ref_idx, h FROM ref UNION ALL SELECT ref_idx + 100, [x * 1.01::DOUBLE FOR x IN h] FROM ref),
+x AS (SELECT label, vec_id, unnest(fr) AS value, generate_subscripts(fr, 1) AS i FROM p),
+mean AS (SELECT label, i, avg(value) AS m FROM x GROUP BY ALL),
+rms AS (SELECT x.label, sqrt(sum((value - m) ** 2) / count(DISTINCT vec_id)) / 5 AS rms FROM x JOIN mean USING (label, i) GROUP BY x.label),
+ce AS (SELECT label, list(m ORDER BY i) AS fr FROM mean GROUP BY label),
+d AS (SELECT label, rms, sqrt(list_sum([(fr[i] - h[i]) ** 2 FOR i IN range(1, len(h) + 1)])) AS d FROM ce JOIN rms USING (label) CROSS JOIN two),
+n AS (SELECT label, exp(-d * d / 0.0018) AS c FROM d WHERE d < greatest(0.036, 5 * rms)),
+k AS (SELECT label, c * exp(-((1 - c) ** 2) / 0.18) / sum(exp(-((1 - c) ** 2) / 0.18)) OVER (PARTITION BY label) AS conf FROM n),
+b AS (SELECT label, max(conf) AS best FROM k GROUP BY label)
+SELECT label, round(rms, 6) AS rms, round(best, 6) AS min_conf, CASE WHEN best IS NULL THEN rms < 0.025 ELSE best > 0.8 AND rms < 0.03 END AS converged FROM rms LEFT JOIN b USING (label)""",
+    "fit_quality": """WITH o AS (SELECT o_orderkey, o_orderkey AS k, o_totalprice::DOUBLE AS p FROM orders)
+SELECT o_orderkey, (CASE WHEN p / 1000 > 0.002 * (p * (k % 5 + 1) / 4) THEN 1 WHEN (k % 40) / 50 - 0.2::DOUBLE > 0.5 THEN 2 WHEN k % 3 = 0 AND (k % 100) / 100 > 0.7::DOUBLE THEN 3 END)::INT AS code FROM o""",
+    "post_fit_flag_strict": """WITH k AS (SELECT o_orderkey, o_orderkey % 7 AS b, o_orderkey % 17 = 0 AS failed, o_orderkey % 5 = 0 AS dirty, o_orderkey % 30 AS ground, o_orderkey % 19 <> 0 AS ok FROM orders)
+SELECT o_orderkey, CASE WHEN failed THEN 9 WHEN b < 3 THEN b + 4 WHEN dirty THEN 7 WHEN ground < 4 THEN 8 WHEN NOT ok THEN -1 ELSE 0 END::INT AS flag FROM k""",
+    "reference_background": f"WITH {_RB} SELECT user_id, round(low, 6) AS ref_background FROM rb",
+    "background_comments": f"WITH {_RB} SELECT user_id, printf('%.1f min. ref. bckgrnd counts%s', low, CASE WHEN low < 1.0 THEN ', too low' ELSE '' END) AS comment FROM rb",
+    "peak_windows": f"""WITH {_LP}, c AS (SELECT user_id, element, line, min(i) AS a, count(i) AS n, center, fwhm FROM pk LEFT JOIN range(1000) r(i) ON i > (center - fwhm) / 0.1::DOUBLE AND i < (center + fwhm) / 0.1::DOUBLE GROUP BY ALL)
+SELECT user_id, element, line, coalesce(a, greatest(0, floor((center - fwhm) / 0.1::DOUBLE) + 1))::INT AS first, n::INT AS n FROM c""",
+    "element_sets": f"""WITH {_C}, s AS (SELECT l_suppkey, list_sort(list(element)) AS own FROM c WHERE w_fr > 0.165 GROUP BY l_suppkey)
+SELECT l_suppkey, array_to_string(CASE WHEN list_contains(own, 'Fe') THEN own ELSE list_append(own, 'Fe') END, ',') AS seen,
+  array_to_string([x FOR x IN ['C', 'Al', 'O'] IF NOT list_contains(own, x)], ',') AS substrate FROM s""",
+    "mixture_ranking": f"""WITH {_P.replace("FROM p GROUP BY label)", "FROM p WHERE label < 5 GROUP BY label)")}, {_MIX}
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY exp(-error * error / 0.5) DESC, ref1, ref2)::INT AS rank, name, round_even(exp(-error * error / 0.5), 2) AS conf FROM t WHERE error < 2""",
+    "known_mixture": f"""WITH {_P.replace("FROM p GROUP BY label)", "FROM p WHERE label < 2 GROUP BY label)").replace("0.03", "0.3")}, {_MIX}
+SELECT label, name, round(error, 4) AS error, round(exp(-error * error / 0.5), 4) AS conf, round(mm / (1 - mm), 4) AS mol_ratio FROM t""",
+    "single_phase": f"""WITH {_M}, b AS (SELECT label, max(conf) AS best FROM k GROUP BY label)
+SELECT label, rms < 0.03 AND coalesce(best > 0.5, false) AS with_refs, rms < 0.03 AND n_points > 3 AS without_refs FROM rms LEFT JOIN b USING (label)""",
+    "clusters_csv": f"""WITH {_C}, p AS (SELECT s_nationkey::INT AS cluster_id, l_suppkey, element, w_fr FROM c JOIN supplier ON s_suppkey = l_suppkey),
+m AS (SELECT cluster_id, element, avg(w_fr) AS m, stddev_samp(w_fr) AS s FROM p GROUP BY ALL),
+g AS (SELECT cluster_id, count(DISTINCT l_suppkey) AS n_points, sum((w_fr - m) ** 2) AS wcss FROM p JOIN m USING (cluster_id, element) GROUP BY cluster_id)
+SELECT cluster_id, n_points, round(round_even(sqrt(wcss / n_points) * 100, 2), 1) AS rms_pct, round(round_even(wcss * 10000, 2), 1) AS wcss_pct, {", ".join(f"round(round_even(max({c}) FILTER (element = '{e}') * 100, 2), 1) AS {a}" for e, c, a in (("Fe", "m", "fe"), ("Fe", "s", "fe_std"), ("Mg", "m", "mg"), ("Mg", "s", "mg_std")))}
+FROM g JOIN m USING (cluster_id) GROUP BY cluster_id, n_points, wcss""",
+    "spectra_csv": f"""WITH {_C} SELECT l_suppkey AS id, round(round_even(max(w_fr) FILTER (element = 'Fe') * 100, 2), 1) AS fe, round(round_even(max(w_fr) FILTER (element = 'O') * 100, 2), 1) AS o,
+round(l_suppkey % 9, 1)::DOUBLE AS err, CASE WHEN l_suppkey % 5 = 0 THEN l_suppkey % 3 END::INT AS cluster, (l_suppkey % 5)::INT AS flag FROM c GROUP BY l_suppkey""",
+    "particle_table": f"WITH {_D} SELECT particle_id AS particle, frame_id AS frame, round(area, 6) AS area, round(diameter, 6) AS diameter FROM ar",
+    "standard_results": """WITH p AS (SELECT l_suppkey % 20 AS el_line, CASE WHEN l_quantity > 3 AND l_quantity * 4 >= 10 THEN l_quantity * 4 END::DOUBLE AS x FROM lineitem)
+SELECT el_line, round(avg(x), 6) AS measured_pb, round(stddev_pop(x), 6) AS stdev_pb, round(CASE WHEN el_line < 19 THEN avg(x) * (el_line / 10 + 0.5) / ((el_line + 1) / 20) END::DOUBLE, 6) AS corrected_pb,
+round(stddev_pop(x) / avg(x) * 100, 6) AS rel_std_pct, count(x) AS n_spectra FROM p GROUP BY el_line HAVING count(x) > 0""",
+    "standards_for_formulas": f"""WITH {_LIB}, f AS (SELECT *, ['SiO2', 'Si2O4', 'Fe2O3', 'FeO', 'Al2O3'][regexp_extract(std_id, '[0-9]+')::INT % 5 + 1] AS formula FROM lib),
+g AS (SELECT * FROM f WHERE el_line NOT LIKE '%4' OR formula = 'FeO'), m AS (SELECT el_line, avg(corrected_pb) AS mean_pb, count(*) AS n FROM g WHERE formula IN ('SiO2', 'Si2O4', 'Fe2O3') AND use_for_mean GROUP BY el_line)
+SELECT el_line, round(mean_pb, 6) AS mean_pb, coalesce(n, 0) AS n_standards FROM (SELECT DISTINCT el_line FROM g) LEFT JOIN m USING (el_line)""",
+    "missing_reference": """SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag || l_linestatus) FILTER (l_quantity > 5 AND l_returnflag || l_linestatus IN ('NO', 'RF')) < 2 THEN 10 ELSE 0 END::INT AS quant_flag FROM lineitem GROUP BY l_orderkey""",
+    "edge_particles": "WITH b AS (SELECT p_partkey, p_partkey % 997 AS x, p_size * 15 AS y, p_size AS w FROM part) SELECT p_partkey, x < 3 OR y < 3 OR x + w > 997 OR y + 10 > 757 AS near FROM b",
+    "particles_until": "SELECT user_id AS frame_id, event_id AS particle_id FROM (SELECT *, row_number() OVER (ORDER BY user_id, event_id) AS r FROM events) WHERE r <= 321",
+    "stage_coordinates": """SELECT p_partkey, round((p_partkey % 11 + (p_size * 10.0 - 512) * 0.25 / 1024)::DOUBLE, 6) AS x, round((-2.0 - (p_partkey % 700 - 384) * 0.25 / 1024)::DOUBLE, 6) AS y FROM part""",
+    "grid_offsets": """WITH c AS (SELECT s_suppkey, s_suppkey % 40 - 2 AS n, 0.25 * ceil((s_suppkey % 40 - 2) / 3) AS d FROM supplier)
+SELECT s_suppkey, round((CASE WHEN n >= 0 AND d <= 2.5 THEN CASE WHEN n % 3 = 2 THEN 0 ELSE d END END)::DOUBLE, 6) AS dx, round((CASE WHEN n >= 0 AND d <= 2.5 THEN CASE WHEN n % 3 = 1 THEN 0 ELSE d END END)::DOUBLE, 6) AS dy FROM c""",
+    "fwhm_sigma": "SELECT p_partkey, round(p_size / 100 / (2 * sqrt(2 * ln(2))), 6) AS sigma FROM part",
+}

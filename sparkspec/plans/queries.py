@@ -17,6 +17,8 @@ from ..operators import calibration, cluster, corrections, interpolate, lines, m
 from ..operators.fitting import quantified
 from ..operators.images import segment_particles
 from ..physics.fit import Instrument, Tables, simulate
+from ..sources import writers
+from ..streaming.acquisition import particles_until as until
 
 ELEMENTS = ["Fe", "Mg", "Ca", "Al", "Si", "O"]
 KINDS = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -153,6 +155,49 @@ def substrate_contamination(spark, d):
     return select.substrate_contamination(rows, totals, ["Al", "Si"], 0.17)
 
 
+def fit_quality(spark, d):
+    """Bad-fit codes over orders: reduced chi square, counts, error and absorbed share from their columns."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    code = select.fit_quality(price / 1000, price * (k % 5 + 1) / 4, (k % 40) / 50 - 0.2, (k % 100) / 100, k % 3 == 0)
+    return _t(spark, d, "orders").select("o_orderkey", code.alias("code"))
+
+
+def post_fit_flag_strict(spark, d):
+    """As ``post_fit_flag``, where flags 4 to 9 stand though the fit did not converge."""
+    k = F.col("o_orderkey")
+    flag = select.post_fit_flag(F.when(k % 7 < 3, (k % 7 + 1).cast("int")), k % 17 == 0, k % 5 == 0, (k % 30).cast("double"), 4.0, k % 19 != 0, strict=True)
+    return _t(spark, d, "orders").select("o_orderkey", flag.alias("flag"))
+
+
+def _line_peaks(spark, d):
+    """(user_id, element, line, is_reference, center, fwhm): the made-up lines for each user, moved by their id."""
+    table = spark.createDataFrame(LINES, "element string, line string, energy_kev double, weight double")
+    users = spectra_view(spark, d, *channel_range(spark, d)).select("user_id")
+    return users.join(F.broadcast(table)).select("user_id", "element", "line", F.col("line").isin("Ka1", "La1").alias("is_reference"), (F.col("energy_kev") + F.col("user_id") % 7 * 0.03).alias("center"), (0.25 + F.col("energy_kev") * 0.02).alias("fwhm"))
+
+
+def reference_background(spark, d):
+    start, stop = channel_range(spark, d)
+    ground = spectra_view(spark, d, start, stop).select("user_id", F.transform("counts", lambda c: c + 0.5).alias("background"))
+    return _round(lines.least_reference_background(ground, _line_peaks(spark, d), ["user_id"], offset=start * 0.1, width=0.1))
+
+
+def background_comments(spark, d):
+    return reference_background(spark, d).select("user_id", select.background_comment(F.col("ref_background"), 1.0).alias("comment"))
+
+
+def peak_windows(spark, d):
+    first, n = lines.sample_windows(F.col("center"), F.col("fwhm"), 0.0, 0.1)
+    return _line_peaks(spark, d).select("user_id", "element", "line", first.alias("first"), n.alias("n"))
+
+
+def element_sets(spark, d):
+    """Element lists of suppliers: what is detectable, and what a substrate adds."""
+    c = compositions(spark, d).where("w_fr > 0.165").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("element")).alias("own"))
+    both = F.concat("own", F.array(F.lit("He"), F.lit("Fe"), F.lit("H")))
+    return c.select("l_suppkey", F.array_join(select.detectable(both), ",").alias("seen"), F.array_join(select.substrate_only(F.array(*[F.lit(e) for e in ("C", "Al", "O", "C")]), F.col("own")), ",").alias("substrate"))
+
+
 def _long_points(spark, d):
     return points(spark, d).select("label", "vec_id", F.posexplode("fr").alias("component", "value"))
 
@@ -182,7 +227,20 @@ def convergence(spark, d):
     pts = points(spark, d, 0.03)
     conf = refs.assigned_confidence(_matches(spark, d).withColumn("all_", F.lit(1)), ["label"], ["all_"])
     rms = _centroids(pts).agg(F.max("rms").alias("max_rms"), F.lit(1).alias("all_")).join(conf, "all_", "left")
-    return _round(rms.select("max_rms", "min_conf", refs.converged(F.col("max_rms"), F.col("min_conf"), True).alias("with_refs"), refs.converged(F.col("max_rms"), F.col("min_conf"), False).alias("without_refs")))
+    none = F.lit(None).cast("double")
+    return _round(rms.select("max_rms", "min_conf", refs.converged(F.col("max_rms"), F.col("min_conf")).alias("with_refs"), refs.converged(F.col("max_rms"), none).alias("without_refs")))
+
+
+def convergence_by_sample(spark, d):
+    """As ``convergence``, each label a sample; only even labels have references, in pairs that are near each other, so some samples have none near."""
+    pts = points(spark, d, 0.03)
+    phases = _phases(pts).where("ref_idx % 2 = 0")
+    twins = phases.select((F.col("ref_idx") + 100).alias("ref_idx"), F.concat(F.lit("T"), "formula").alias("formula"), F.transform("fr", lambda x: x * 1.01).alias("fr"), "mix_weight")
+    centres = _centroids(pts).withColumn("rms", F.col("rms") / 5)
+    found = refs.match_references(centres.withColumn("sample", F.col("label")), phases.unionAll(twins), ["label"], reach=0.036)
+    conf = refs.assigned_confidence(found, ["label"], ["sample"])
+    rows = centres.join(conf, F.col("label") == F.col("sample"), "left")
+    return _round(rows.select("label", "rms", "min_conf", refs.converged(F.col("rms"), F.col("min_conf")).alias("converged")))
 
 
 def pairwise_mixture_fit(spark, d):
@@ -191,6 +249,49 @@ def pairwise_mixture_fit(spark, d):
     return _round(fits.select("label", "ref1", "ref2", "n", "error", "conf", "molar_fr_mean", "molar_fr_std"), 5)
 
 
+def mixture_ranking(spark, d):
+    """Ranked mixtures of each label's points, with the names of both phases."""
+    pts = points(spark, d, 0.03)
+    fits = mixtures.fit_pairs(pts, _phases(pts).where("ref_idx < 5"), ["label"])
+    return mixtures.ranked_mixtures(fits, ["label"]).select("label", "rank", "name", "conf")
+
+
+def known_mixture(spark, d):
+    """The confidence of a mixture that is known to be there: whatever its error."""
+    pts = points(spark, d, 0.3)
+    fits = mixtures.fit_pairs(pts, _phases(pts).where("ref_idx < 2"), ["label"], known=True)
+    return _round(fits.select("label", "name", "error", "conf", "mol_ratio"), 4)
+
+
+def single_phase(spark, d):
+    best = _matches(spark, d).groupBy("label").agg(F.max("conf").alias("best"))
+    rows = _centroids(points(spark, d, 0.03)).join(best, "label", "left")
+    return rows.select("label", mixtures.is_single_phase(F.col("rms"), F.col("best"), F.col("n_points"), True).alias("with_refs"), mixtures.is_single_phase(F.col("rms"), F.col("best"), F.col("n_points"), False).alias("without_refs"))
+
+
+def clusters_csv(spark, d):
+    """The clusters file of suppliers by nation: percentages of mean, deviation and radius."""
+    nation = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("cluster_id"))
+    long = compositions(spark, d).join(nation, "l_suppkey").select("cluster_id", F.col("l_suppkey").alias("spectrum_id"), "element", F.col("w_fr").alias("value"))
+    features, rows = stats.cluster_statistics(long, ["cluster_id"])
+    wide = writers.clusters_table(features, rows, None, None, ELEMENTS[:2], feature="w")
+    return wide.select("cluster_id", "n_points", *[F.round(f"`{c}`", 1).alias(a) for c, a in (("RMS_dist_w%", "rms_pct"), ("wcss_w%", "wcss_pct"), ("Fe_w%", "fe"), ("Fe_std_w%", "fe_std"), ("Mg_w%", "mg"), ("Mg_std_w%", "mg_std"))])
+
+
+def spectra_csv(spark, d):
+    """The data file of suppliers: percentages of fractions and error, flags, cluster ids."""
+    c = compositions(spark, d).groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("element", "w_fr"))).alias("w_fr"))
+    rows = c.select(F.lit("s").alias("sample_id"), F.col("l_suppkey").alias("spectrum_id"), "w_fr", (F.col("l_suppkey") % 9 / 100).alias("an_err"), (F.col("l_suppkey") % 5).cast("int").alias("quant_flag"))
+    labels = rows.where("quant_flag = 0").select("sample_id", "spectrum_id", (F.col("spectrum_id") % 3).cast("int").alias("cluster_id"))
+    out = writers.spectra_table(rows, ["Fe", "O"], labels)
+    return out.toDF(*["id", "fe", "o", "err", "cluster", "flag"][: len(out.columns)]).select("id", F.round("fe", 1).alias("fe"), F.round("o", 1).alias("o"), F.round("err", 1).alias("err"), "cluster", "flag")
+
+
+def particle_table(spark, d):
+    a = _areas(spark, d).select("particle_id", "frame_id", F.round("area", 6).alias("area_um2"), F.round("diameter", 6).alias("diameter_um"))
+    return writers.particle_table(a).toDF("particle", "frame", "area", "diameter")
+
+
 def silhouette_exact(spark, d):
     pts = points(spark, d).withColumn("sample", F.lit(1))
     return _round(cluster.exact_silhouettes(pts, ["sample"], "vec_id", "label", "fr").drop("sample"), 5)
@@ -204,7 +305,7 @@ def k_vote(spark, d):
 def line_choice(spark, d):
     p = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("element"), F.element_at(F.array(*[F.lit(x) for x in ("Ka1", "La1", "Ma1", "Kb1")]), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("line"), (F.col("l_quantity") / 5).alias("energy_kev"), F.col("l_extendedprice").alias("area"), F.col("l_partkey"), F.col("l_suppkey"))
     chosen = lines.quantification_line(p.withColumn("line", F.concat("line", F.lit(""))), ["l_orderkey"], beam_kev=15.0)
-    return _round(chosen.groupBy("l_orderkey", "element").agg(F.count(F.lit(1)).alias("n"), F.max("area").alias("area")))
+    return _round(chosen.select("l_orderkey", "element", "line", "energy_kev", "area"))
 
 
 def _pb(spark, d):
@@ -230,6 +331,27 @@ def standards_upsert(spark, d):
     return standards.upsert(library, new).select("el_line", "std_id", "corrected_pb", "use_for_mean")
 
 
+def standard_results(spark, d):
+    """The results table of standards: statistics of ratios with the matrix factor and mass fraction of each line."""
+    factors = spark.range(19).select(F.col("id").alias("el_line"), (F.col("id") / 10 + 0.5).alias("zaf"), ((F.col("id") + 1) / 20).alias("w_fr"))
+    return _round(standards.standard_results(stats.standards_of_lines(_pb(spark, d), ["el_line"]), factors, ["el_line"]))
+
+
+def standards_for_formulas(spark, d):
+    """Means over the standards of given formulas, which are compared when reduced, and the lines that have none."""
+    formula = F.element_at(F.array(*[F.lit(f) for f in ("SiO2", "Si2O4", "Fe2O3", "FeO", "Al2O3")]), (F.col("p_size") % 5 + 1).cast("int"))
+    library = _library(spark, d).withColumn("p_size", F.regexp_extract("std_id", r"\d+", 0).cast("int")).withColumn("formula", formula).where("el_line not like '%4' or formula = 'FeO'")
+    means, missing = standards.means_for_formulas(library, ["O2Si", "Fe4O6"], ["el_line"])
+    return _round(means.select("el_line", "mean_pb", "n_standards").unionAll(missing.select("el_line", F.lit(None).cast("double"), F.lit(0).cast("long"))))
+
+
+def missing_reference(spark, d):
+    """Spectra of standards that miss a reference line: orders with three kinds of lines."""
+    peaks = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("element"), F.col("l_linestatus").alias("line"), (F.col("l_quantity") - 5).alias("area"))
+    wanted = spark.createDataFrame([("N", "O"), ("R", "F"), ("N", "O")], "element string, line string")
+    return standards.missing_reference_flag(peaks, wanted, ["l_orderkey"])
+
+
 def k_ratio(spark, d):
     peaks = _t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("el_line"), F.col("p_size").cast("double").alias("pb"))
     means = standards.standard_means(_library(spark, d), ["el_line"]).where("el_line <> 'Brand#2'")
@@ -258,6 +380,33 @@ def particle_histogram(spark, d):
     return _round(stats.histogram(_areas(spark, d), "diameter"))
 
 
+def edge_particles(spark, d):
+    """Parts as bounding boxes in a frame, and whether they come near its border."""
+    x, y = F.col("p_partkey") % 997, F.col("p_size") * 15
+    near = stats.touches_edge(x, y, x + F.col("p_size"), y + 10, F.lit(1000), F.lit(760))
+    return _t(spark, d, "part").select("p_partkey", near.alias("near"))
+
+
+def particles_until(spark, d):
+    """Particles in order of frame and number until there are as many as wanted."""
+    p = _t(spark, d, "events").select(F.col("user_id").alias("frame_id"), F.col("event_id").alias("particle_id"))
+    return until(p, 321)
+
+
+def stage_coordinates(spark, d):
+    x, y = geometry.pixel_to_stage(F.col("p_size") * 10.0, F.col("p_partkey") % 700 * 1.0, 1024, 768, F.lit(0.25), F.col("p_partkey") % 11 * 1.0, F.lit(-2.0))
+    return _round(_t(spark, d, "part").select("p_partkey", x.alias("x"), y.alias("y")))
+
+
+def grid_offsets(spark, d):
+    dx, dy = geometry.grid_offset(F.col("s_suppkey") % 40 - 2, 0.25, 2.5)
+    return _round(_t(spark, d, "supplier").select("s_suppkey", dx.alias("dx"), dy.alias("dy")))
+
+
+def fwhm_sigma(spark, d):
+    return _round(_t(spark, d, "part").select("p_partkey", calibration.sigma_of_fwhm(F.col("p_size") / 100).alias("sigma")))
+
+
 def grid_frames(spark, d):
     round_ = geometry.grid(spark, half_width=3.0, spacing=0.25, ratio=0.75, margin=True).withColumn("shape", F.lit("circle"))
     return _round(round_.unionByName(geometry.grid(spark, half_width=2.0, spacing=0.5, circle=False, centre=(1.0, -1.0)).withColumn("shape", F.lit("square"))))
@@ -454,5 +603,7 @@ QUERIES = {f.__name__: f for f in (
     convergence, pairwise_mixture_fit, silhouette_exact, k_vote, line_choice, pb_stats, standards_mean, standards_upsert, k_ratio, incremental_requantify_merge, particle_stats, particle_filter,
     particle_histogram, grid_frames, frame_coordinates, excel_letters, clean_ids, line_keys, two_point_calibration, latest_calibration, interp_lookup, trapezoid, detector_sigma, rdev_shares,
     element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors,
-    width_calibration, calibration_lookup, sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, flagship,
+    width_calibration, calibration_lookup, convergence_by_sample, fit_quality, post_fit_flag_strict, reference_background, background_comments, peak_windows, element_sets, mixture_ranking, known_mixture,
+    single_phase, clusters_csv, spectra_csv, particle_table, standard_results, standards_for_formulas, missing_reference, edge_particles, particles_until, stage_coordinates, grid_offsets, fwhm_sigma,
+    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, flagship,
 )}

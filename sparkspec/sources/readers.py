@@ -85,13 +85,13 @@ def sample_dir(spark: SparkSession, root: str, sample_id: str) -> str:
     """The directory of a sample: directly below the root, or the first one nested deeper; an error if it is at both or at neither."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     inside = files.select(F.regexp_extract("path", rf"^(.*/{re.escape(sample_id)})/", 1).alias("dir")).where("dir <> ''").distinct()
-    found = sorted(r.dir for r in inside.limit(1000).collect())
-    top = [d for d in found if d.rstrip("/").rsplit("/", 1)[0].split(":")[-1].rstrip("/").lstrip("/") == root.split(":")[-1].strip("/")]
-    if not found:
+    parent = F.trim(F.regexp_replace(F.regexp_replace("dir", r"/[^/]*/*$", ""), "^[a-z0-9]+:", ""), F.lit("/"))
+    found = inside.agg(F.count(F.lit(1)).alias("n"), F.min("dir").alias("first"), F.max(parent == root.split(":")[-1].strip("/")).alias("top")).first()
+    if not found.n:
         raise FileNotFoundError(f"no directory {sample_id!r} below {root}")
-    if top and len(found) > 1:
-        raise ValueError(f"{sample_id!r} is at the root and below it: {found}")
-    return found[0]
+    if found.top and found.n > 1:
+        raise ValueError(f"{sample_id!r} is at the root and below it, in {found.n} places, such as {found.first}")
+    return found.first
 
 
 _ENTRY = "struct<ID:string,Formula:string,Std_type:string,datetime:string,Corrected_PB:double,Measured_PB:double,Stdev_PB:double,`Rel_stdev_PB (%)`:double,Use_for_mean_calc:boolean,Mean_Z:map<string,double>>"

@@ -44,18 +44,19 @@ def versioned(path: str, run_id: str) -> str:
     return f"{path.rstrip('/')}/v={run_id}"
 
 
-def clusters_table(stats: DataFrame, rms: DataFrame, refs: DataFrame | None, mixtures: DataFrame | None, elements: list[str], *, n_refs: int = 3, feature: str = "at") -> DataFrame:
-    """Columns of ``Clusters.csv`` from long tables: percentages with two decimals, wcss times 10 000, references and mixtures by rank."""
+def clusters_table(stats: DataFrame, rms: DataFrame, refs: DataFrame | None, mixtures: DataFrame | None, elements: list[str], *, feature: str = "at") -> DataFrame:
+    """Columns of ``Clusters.csv`` from long tables: percentages with two decimals, wcss times 10 000, all ranked references and mixtures by rank (as many columns as the longest list needs)."""
+    most = lambda df: df.agg(F.max("rank")).first()[0] or 0
     key = [c for c in ("sample_id", "cluster_id") if c in stats.columns]
     pick = lambda c, e: F.bround(F.max(F.when(F.col("element") == e, F.col(c))) * 100, 2)
     wide = stats.groupBy(*key).agg(*[x for e in elements for x in (pick("mean", e).alias(f"{e}_{feature}%"), pick("std", e).alias(f"{e}_std_{feature}%"))])
     out = rms.select(*key, "n_points", F.bround(F.col("rms") * 100, 2).alias(f"RMS_dist_{feature}%"), F.bround(F.col("wcss") * 10000, 2).alias(f"wcss_{feature}%")).join(wide, key)
     ranked = lambda c, i: F.max(F.when(F.col("rank") == i, F.col(c)))
-    if refs is not None:
-        out = out.join(refs.groupBy(*key).agg(*[x for i in range(1, n_refs + 1) for x in (ranked("formula", i).alias(f"Ref{i}"), ranked("conf", i).alias(f"Conf{i}"))]), key, "left")
-    if mixtures is not None:
+    if refs is not None and most(refs):
+        out = out.join(refs.groupBy(*key).agg(*[x for i in range(1, most(refs) + 1) for x in (ranked("formula", i).alias(f"Ref{i}"), ranked("conf", i).alias(f"Conf{i}"))]), key, "left")
+    if mixtures is not None and most(mixtures):
         named = {"name": "Mix", "conf": "ConfMix", "mol_ratio": "Mol_Ratio", "molar_fr_mean": "Icomp_Mol_Fr_Mean", "molar_fr_std": "Stddev"}
-        out = out.join(mixtures.groupBy(*key).agg(*[ranked(c, i).alias(f"{n}{i}") for i in range(1, n_refs + 1) for c, n in named.items()]), key, "left")
+        out = out.join(mixtures.groupBy(*key).agg(*[ranked(c, i).alias(f"{n}{i}") for i in range(1, most(mixtures) + 1) for c, n in named.items()]), key, "left")
     return out
 
 

@@ -14,20 +14,21 @@ from ..plans.analyze import analyze
 class Acquisition:
     """Runs ``prepare`` (spectra to results) on each micro-batch and keeps results in ``store``.
 
-    Batches are written to ``store/batch=<id>``, so a batch that is run again
-    after a restart replaces its own files and keys never double. Only samples
-    of the batch are analysed again. A sample is done when its clusters have
+    Batches are written to ``store/results/part=<p>/batch=<id>``, where p is a
+    hash of the sample in ``parts`` parts, so a batch that is run again after a
+    restart replaces its own files and keys never double. Only samples of the
+    batch are analysed again, and only their parts are read. A sample is done when its clusters have
     converged and it has ``least`` results, or at ``most``. ``stop_when`` is
     the number of samples; when so many are done the query is asked to stop.
     """
 
-    def __init__(self, spark: SparkSession, store: str, elements: list[str], settings: Clustering, *, prepare: Callable[[DataFrame], DataFrame] | None = None, least: int = 50, most: int = 100, stop_when: int | None = None):
+    def __init__(self, spark: SparkSession, store: str, elements: list[str], settings: Clustering, *, prepare: Callable[[DataFrame], DataFrame] | None = None, least: int = 50, most: int = 100, stop_when: int | None = None, parts: int = 64):
         self.spark, self.store, self.elements, self.settings = spark, store.rstrip("/"), elements, settings
         self.prepare, self.least, self.most, self.stop_when = prepare or (lambda df: df), least, most, stop_when
-        self.stopped = False
+        self.stopped, self.parts = False, parts
 
     def results(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.store}/results").parquet(f"{self.store}/results").drop("batch")
+        return self.spark.read.option("basePath", f"{self.store}/results").parquet(f"{self.store}/results").drop("batch", "part")
 
     def verdicts(self) -> DataFrame:
         """The last verdict of each sample."""
@@ -36,10 +37,12 @@ class Acquisition:
         return rows.groupBy("sample_id").agg(F.max_by(F.struct(*rest), "batch").alias("v")).select("sample_id", "v.*")
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
-        self.prepare(df).write.mode("overwrite").parquet(f"{self.store}/results/batch={batch_id}")
-        now = self.results()
-        touched = self.spark.read.parquet(f"{self.store}/results/batch={batch_id}").select("sample_id").distinct()
-        mine = now.join(touched, "sample_id", "left_semi")
+        own = self.prepare(df).withColumns({"part": F.pmod(F.xxhash64("sample_id"), F.lit(self.parts)).cast("int"), "batch": F.lit(batch_id)})
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{self.store}/results")
+        stored = self.spark.read.option("basePath", f"{self.store}/results").parquet(f"{self.store}/results")
+        touched = stored.where(F.col("batch") == batch_id).select("part", "sample_id").distinct()
+        parts = [r.part for r in touched.select("part").distinct().collect()]  # at most ``parts``
+        mine = stored.where(F.col("part").isin(parts)).join(touched, ["part", "sample_id"], "left_semi").drop("part", "batch")
         verdict = analyze(mine, self.elements, self.settings).verdict
         counts = mine.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_results"))
         judged = counts.join(verdict, "sample_id", "left").withColumn("done", (F.coalesce("converged", F.lit(False)) & (F.col("n_results") >= self.least)) | (F.col("n_results") >= self.most))
