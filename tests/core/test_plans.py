@@ -78,6 +78,62 @@ def test_quantification_recovers_fractions_and_isolates_failures(spark):
     assert all(r.quant_flag == 9 and "no positive standard" in r.comments for r in bad)
 
 
+def test_fits_are_flagged(spark):
+    mix = {"Fe": 0.3, "Mg": 0.1, "Ca": 0.1, "Al": 0.1, "Si": 0.2, "O": 0.2}
+    counts = simulate(mix, STDS, I, T, 50000.0)
+    silicon = simulate({"Fe": 0.1, "Mg": 0.1, "Ca": 0.05, "Al": 0.05, "Si": 0.5, "O": 0.2}, STDS, I, T, 50000.0)
+
+    def fitted(y, stds=STDS, elements=ELEMENTS, **how):
+        df = spark.createDataFrame([(1, y.tolist())], "spectrum_id long, counts array<double>")
+        return fitting.quantified(df, elements, I, T, stds, key=["spectrum_id"], target=float(y.sum()), **how)
+
+    assert fitted(counts, {k: v / 2 for k, v in STDS.items()}).first().quant_flag == 5
+    assert fitted(silicon, elements=[e for e in ELEMENTS if e != "Si"], substrate=["Si"]).first().quant_flag == 7
+    plain = spark.createDataFrame(fitted(counts).collect(), fitted(counts).schema)
+    assert plain.first().quant_flag == 0 and fitting.judged(plain.withColumn("absorbed", F.lit(0.8)), I, 1.0).first().quant_flag == 6
+    assert fitting.judged(plain.withColumn("redchi_sq", F.lit(101.0)), I, 1.0).first().quant_flag == 4
+    low = fitting.judged(plain, I, 1e4).first()
+    assert low.quant_flag == 8 and low.comments.endswith("min. ref. bckgrnd counts, too low")
+
+
+def test_convergence_rules_by_hand(spark):
+    from sparkspec.operators import refs
+
+    centres = spark.createDataFrame([("near", 0, [0.5, 0.5], 0.01), ("none", 0, [0.9, 0.1], 0.02), ("several", 0, [0.5, 0.5], 0.01), ("edge", 0, [0.0, 0.0], 0.01)], "sample_id string, cluster_id int, fr array<double>, rms double")
+    phases = spark.createDataFrame([(0, "A", [0.5, 0.51], 1.0), (1, "B", [0.51, 0.5], 1.0), (2, "C", [0.1, 0.0], 1.0)], "ref_idx int, formula string, fr array<double>, mix_weight double")
+    key = ["sample_id", "cluster_id"]
+    found = refs.match_references(centres.where("sample_id <> 'near'"), phases, key).unionAll(refs.match_references(centres.where("sample_id = 'near'"), phases.where("ref_idx = 0"), key))
+    assert found.where("sample_id in ('none', 'edge')").count() == 0  # a reference at exactly the radius is not near
+    best = {r.sample_id: r.min_conf for r in refs.assigned_confidence(found, ["cluster_id"], ["sample_id"]).collect()}
+    raw = np.exp(-(0.01**2) / (2 * 0.03**2))
+    assert best["near"] == pytest.approx(raw) and best["several"] == pytest.approx(raw / 2)
+    rows = centres.join(spark.createDataFrame(list(best.items()), "sample_id string, min_conf double"), "sample_id", "left")
+    assert {r.sample_id: r.c for r in rows.select("sample_id", refs.converged(F.col("rms"), F.col("min_conf")).alias("c")).collect()} == {"near": True, "none": True, "several": False, "edge": True}
+
+
+def test_clusters_file_with_mixtures(spark):
+    from sparkspec.operators import stats
+    from sparkspec.sources.writers import clusters_table
+
+    rows = [("a", i, {"Fe": f, "O": 1 - f}, {"Fe": f, "O": 1 - f}, 0, 0.0) for i, f in enumerate(np.linspace(0.36, 0.5, 30).tolist())]
+    df = spark.createDataFrame(rows, "sample_id string, spectrum_id long, at_fr map<string,double>, w_fr map<string,double>, quant_flag int, an_err double")
+    done = analyze(df, ["Fe", "O"], Clustering(k=1, ref_formulae=("FeO", "FeO2", "Fe2O3", "Fe3O4")))
+    table = clusters_table(done.features, done.clusters, done.references, done.mixtures, ["Fe", "O"])
+    row = table.first()
+    assert "Mix6" in table.columns and row["Mix1"] in ("FeO, FeO2", "FeO2, Fe2O3", "FeO2, Fe3O4") and 0 < row["ConfMix1"] <= 1 and row["n_points"] == 30
+
+
+def test_samples_too_large_are_an_error(spark):
+    from sparkspec.operators import cluster
+    from sparkspec.operators.shared import small
+
+    df = spark.range(40).select(F.lit("s").alias("sample_id"), F.col("id").alias("spectrum_id"), F.array(F.col("id").cast("double")).alias("fr"))
+    with pytest.raises(Exception, match="40 points"):
+        cluster.cluster_samples(df, ["sample_id"], k=2, most=30).collect()
+    with pytest.raises(ValueError):
+        small(df, 10)
+
+
 def test_spectra_to_phases(spark):
     df, _ = _spectra(spark)
     results, done = quantify_and_analyze(df, ELEMENTS, I, T, STDS, Clustering(k=2), target=50000.0)
