@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns a DataFrame; ``run`` writes each result as Parquet and reads it
-back for the next. All stages but the last return the columns of documents.
+back for the next. All stages but the last return the columns of documents;
+other columns are not read, whatever their names. An empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
@@ -22,30 +24,46 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (null text, no letter) or with one that has less than half of the likelihood; a missing ``lang`` is filled in."""
+    """Drop documents without a language or with one that has less than half of the likelihood; a missing ``lang`` is filled in.
+
+    A null or empty text, and one without a letter, has no language and goes.
+    Rows that repeat, or have no doc_id, are judged each by their text.
+    """
     docs = docs.select(*COLUMNS)
     named = identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace each text by what is left of it without repeated lines."""
+    """Replace each text by what is left of it without repeated lines; all documents stay, if need be with an empty text.
+
+    A null text becomes empty. Rows of one doc_id count as one document when
+    documents of a line are counted, a null doc_id as none.
+    """
     done = dedup_lines(docs.select(*COLUMNS)).withColumn("text", F.col("text_kept"))
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group with five-word shingles of similarity 0.8 or more."""
+    """Keep one document of each group with five-word shingles of similarity 0.8 or more.
+
+    Texts without words are like nothing and stay. Of rows that repeat a
+    doc_id with like texts one stays; rows without a doc_id all stay.
+    """
     return drop_near_duplicates(docs.select(*COLUMNS), shingle=5, percent=80, bands=34)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat, cut and drop documents so that sources come near their targets."""
+    """Repeat, cut and drop documents so that sources come near their targets.
+
+    Texts without words cost nothing and stay once; rows without a source are
+    a source of their own. Rows that repeat are drawn each for itself.
+    """
     return mixed_documents(mix(docs.select(*COLUMNS)), COLUMNS)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix."""
+    """Token ids of each document of the mix, in rows as they come; a null or empty text has no ids."""
     return encode(docs.select("doc_id", "source", "text"), TOKENIZER).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
