@@ -20,17 +20,19 @@ from sparkspec.llm.mixing import mix, mixed_documents
 from sparkspec.llm.work import Work, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Texts in two languages score about a half; under this no language explains a text better than the others.
+LEAST_SCORE = 0.3
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language or with one that has less than half of the likelihood; a missing ``lang`` is filled in.
+    """Drop documents without a language or with a score under ``LEAST_SCORE``; a missing ``lang`` is filled in.
 
     A null or empty text, and one without a letter, has no language and goes.
     Rows that repeat, or have no doc_id, are judged each by their text.
     """
     docs = docs.select(*COLUMNS)
-    named = identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
+    named = identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
