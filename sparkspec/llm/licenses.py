@@ -81,23 +81,37 @@ class TemplateIndex:
     """Positional postings of the ``rarest`` words of each template, and an anchor word for each phrase.
 
     Inverse document frequencies come from all rows. A word that no row holds
-    cannot be met and is left out, and so is a phrase with such a word.
+    cannot be met and is left out, and so are a phrase with such a word and a
+    template whose key phrase it is. ``leads`` holds of each template the
+    words of highest idf without which the others cannot reach ``share``: a
+    row without any of them has no template.
     """
 
-    def __init__(self, templates, frequencies: dict[str, int], n_rows: int, rarest: int):
+    def __init__(self, templates, frequencies: dict[str, int], n_rows: int, rarest: int, share: float):
         idf = {w: math.log1p(n_rows / n) for w, n in frequencies.items()}
         rare = lambda words: sorted((w for w in set(words) if w in idf), key=lambda w: (-idf[w], w))
         self.postings: list[tuple] = []
-        for t, (_, text, _) in enumerate(templates):
+        leads: set[str] = set()
+        for t, (_, text, phrase) in enumerate(templates):
+            if not all(w in idf for w in template_words(phrase)):
+                continue
             words = template_words(text)
             top = rare(words)[:rarest]
             need = sum(idf[w] for w in sorted(top))
             self.postings += [(w, t, i, idf[w], need) for i, w in enumerate(words) if w in top]
+            left = need
+            for w in top:
+                if left < share * need * (1 - 1e-9):
+                    break
+                leads.add(w)
+                left -= idf[w]
+        self.leads = sorted(leads)
         self.phrases: dict[str, tuple[str, int]] = {}
         for phrase in [*BASE_PHRASES, *(p for *_, p in templates)]:
             words = template_words(phrase)
             if words and all(w in idf for w in words):
                 self.phrases[phrase] = (rare(words)[0], words.index(rare(words)[0]))
+        self.base = sorted({self.phrases[p][0] for p in BASE_PHRASES if p in self.phrases})
         self.lookup = sorted({w for w, *_ in self.postings} | {w for w, _ in self.phrases.values()})
         self.longest = max((len(template_words(p)) for p in self.phrases), default=1)
 
@@ -105,13 +119,15 @@ class TemplateIndex:
 def word_hits(docs: DataFrame, index: TemplateIndex) -> DataFrame:
     """(row columns, n_words, hits): hits are the places of looked-up words, with the words before and after that the longest phrase may need.
 
-    One pass over the text; a row without such words carries an empty array.
+    A row without any leading word of a template is looked up for base phrases
+    only. One pass over the text; a row without hits carries an empty array.
     """
     reach = index.longest - 1
     joined = lambda words, a, n: F.concat_ws(" ", F.slice(words, a, n))
 
     def of(words: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).isin(index.lookup))
+        among = lambda some: F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).isin(some))
+        places = F.when(F.exists(words, lambda w: w.isin(index.leads)), among(index.lookup)).otherwise(among(index.base))
         near = F.when(F.size(words) > 0, F.transform(places, lambda i: F.struct(
             F.get(words, i - 1).alias("word"), (i - 1).alias("pos"),
             joined(words, F.greatest(F.lit(1), i - reach), i - F.greatest(F.lit(1), i - reach)).alias("behind"), joined(words, i, F.lit(reach + 1)).alias("ahead"))))
@@ -161,7 +177,7 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, rarest: int = 6, share: float
     work = Work(spark)
     docs = docs.select("doc_id", "text")
     vocabulary = sorted({w for _, text, phrase in templates for w in template_words(text) + template_words(phrase)} | {w for p in BASE_PHRASES for w in template_words(p)})
-    index = TemplateIndex(templates, document_frequencies(docs, vocabulary), docs.count(), rarest)
+    index = TemplateIndex(templates, document_frequencies(docs, vocabulary), docs.count(), rarest, share)
     hits = work.table(word_hits(docs, index).drop("text").withColumn("row", F.monotonically_increasing_id()), "hits")
     base = {p: label for p, label in BASE_PHRASES.items() if p in index.phrases}
     none = F.array().cast("array<struct<pos:int,label:string>>")
