@@ -17,6 +17,7 @@ from sparkspec.llm.licenses import scan
 from sparkspec.llm.lines import dedup_lines
 from sparkspec.llm.minhash import drop_near_duplicates, near_duplicates
 from sparkspec.llm.mixing import draw, mix, mixed_documents
+from sparkspec.llm.skew import salted_join
 from sparkspec.llm.quality import BoostedTrees, classify, features
 from sparkspec.llm.work import Work
 
@@ -133,6 +134,20 @@ def test_components_of_long_paths(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Work(spark)).count() == 0
 
 
+def test_components_and_joins_with_hot_keys(spark):
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000 + rng.randrange(40), 2000 + rng.randrange(40)) for _ in range(60)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    both = [{r.id: r.component for r in components(df, Work(spark), broadcast_edges=most).collect()} for most in (0, 500_000)]
+    assert both[0] == both[1] and {both[0][i] for i in range(400)} == {0} and {both[0][i] for i in range(1000, 1041)} == {1000}
+    rows = spark.createDataFrame([(1, i, 0) for i in range(500)] + [(2, i, 1) for i in range(70)] + [(3 + i, i, 2) for i in range(90)], "k int, x int, y int")
+    side = spark.createDataFrame([(1, "a"), (2, "b"), (5, "c"), (999, "d")], "k int, name string")
+    for how in ("inner", "left"):
+        got = salted_join(rows, side, ["k"], ["x"], how=how, parts=20)
+        assert got.columns == ["k", "x", "y", "name"] and Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(side, "k", how).collect()))
+    assert salted_join(rows.limit(0), side, ["k"], ["x"]).count() == 0
+
+
 def brute_lines(docs, least=40, often=5):
     key = lambda l: l.strip(" \t\n\x0b\x0c\r").translate(LOW)
     held = {}
