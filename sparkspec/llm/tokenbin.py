@@ -150,7 +150,7 @@ def _tokens(shared, end_id: int):
     return run
 
 
-_BLOCK = "part int, block int, first long, n_tokens long, docs binary, sizes binary, points binary, data binary"
+_BLOCK = "part int, block int, first long, n_tokens long, docs binary, sizes binary, points binary, every int, data binary"
 
 
 def _blocks(shared, kind: str, block: int, every: int):
@@ -165,8 +165,8 @@ def _blocks(shared, kind: str, block: int, every: int):
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()),
                 pa.array([_doc_ids(docs)], pa.binary()), pa.array([np.array(sizes, "<i8").tobytes()], pa.binary()),
-                pa.array([points.astype("<i8").tobytes()], pa.binary()), pa.array([data], pa.binary()),
-            ], names=["part", "block", "first", "n_tokens", "docs", "sizes", "points", "data"])
+                pa.array([points.astype("<i8").tobytes()], pa.binary()), pa.array([every], pa.int32()), pa.array([data], pa.binary()),
+            ], names=["part", "block", "first", "n_tokens", "docs", "sizes", "points", "every", "data"])
 
         for batch in batches:
             for doc, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -198,7 +198,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, limit:
     ids; ``path/blocks`` holds blocks of whole documents of about ``block``
     ids: the part and number give their order, ``first`` the ids before the
     block in its part, ``docs`` and ``sizes`` its documents, ``data`` the bits,
-    and ``points`` the bit offset of each ``every``-th id, so that a block is
+    and ``points`` the bit offset of each ``every``-th id (``every`` is kept beside them), so that a block is
     decoded alone and in many places at once. The files are Parquet, the
     format that Spark's writers can put in any store.
 
@@ -228,13 +228,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, limit:
     work.drop(coded)
 
 
-def _decode(shared, every: int):
+def _decode(shared):
     def run(batches):
         book = Codebook(shared.value)
         for batch in batches:
             for row in batch.to_pylist():
                 n = row["n_tokens"]
-                ids = book.unpack(row["data"], np.frombuffer(row["points"], "<i8"), n, every)
+                ids = book.unpack(row["data"], np.frombuffer(row["points"], "<i8"), n, row["every"])
                 sizes = np.frombuffer(row["sizes"], "<i8")
                 k = len(sizes)
                 null, docs = row["docs"][:k], np.frombuffer(row["docs"][k:], "<i8")
@@ -248,8 +248,8 @@ def _decode(shared, every: int):
     return run
 
 
-def read(spark: SparkSession, path: str, *, every: int = 64, ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids, ids_crc32) of each document in files of ``write``; ``start`` counts the ids of all documents before it."""
+def read(spark: SparkSession, path: str, *, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids, ids_crc32) of each document in files of ``write``; ``start`` counts the ids of all documents before it. Files of no documents give no rows; a null text has its end id alone."""
     book = spark.read.parquet(f"{path}/codebook").collect()  # at most the vocabulary
     lengths = np.zeros(max((r.id for r in book), default=0) + 1, np.int64)
     for r in book:
@@ -259,8 +259,8 @@ def read(spark: SparkSession, path: str, *, every: int = 64, ids: bool = True) -
     before = totals.select(F.col("part").alias("_part"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("_before"))
     # one row a part: as many as write() was told to make
     placed = blocks.join(F.broadcast(before), F.col("part") == F.col("_part")).withColumn("start", F.col("first") + F.col("_before"))
-    given = placed.select("start", "n_tokens", "docs", "sizes", "points", "data")
-    run = _decode(spark.sparkContext.broadcast(lengths), every)
+    given = placed.select("start", "n_tokens", "docs", "sizes", "points", "every", "data")
+    run = _decode(spark.sparkContext.broadcast(lengths))
     if ids:
         return given.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long")
     return given.mapInArrow(lambda b: (x.select(["doc_id", "start", "n_tokens", "ids_crc32"]) for x in run(b)), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -18,7 +18,7 @@ from sparkspec.llm.lines import dedup_lines
 from sparkspec.llm.minhash import drop_near_duplicates, near_duplicates
 from sparkspec.llm.mixing import draw, mix, mixed_documents
 from sparkspec.llm.skew import salted_join
-from sparkspec.llm.quality import BoostedTrees, classify, features
+from sparkspec.llm.quality import FEATURES, BoostedTrees, classify, features
 from sparkspec.llm.work import Work
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -402,6 +402,54 @@ def test_quality_rows(spark):
     assert features(pa.array([None, ""])).sum() == 0
 
 
+def brute_features(text):
+    """The statistics of one text, word by word."""
+    data = text.encode()
+    n, ws = len(data), re.findall(rb"[^\x20\x09-\x0D]+", data)
+    ls = [l for l in data.split(b"\n") if l]
+    share = lambda chars: sum(data.count(bytes([c])) for c in chars) / n
+    marks = [c for c in range(33, 127) if not chr(c).isalnum()]
+    out = dict.fromkeys(FEATURES, 0.0)
+    out |= {"log_bytes": np.log1p(n), "log_words": np.log1p(len(ws)), "log_lines": np.log1p(len(ls)), "mean_line": n / max(1, len(ls))}
+    out |= {"upper": share(range(65, 91)), "digits": share(range(48, 58)), "marks": share(marks), "wide": share(range(128, 256)), "bars": share(b"|"), "bangs": share(b"!"), "symbols": share(b"#$%&*"), "stops": share(b".?"), "spaces": share(b"\t\n\x0b\x0c\r ")}
+    out["entropy"] = -sum(k / n * np.log2(k / n) for k in Counter(data).values())
+    if ws:
+        low, k = [w.lower() for w in ws], len(ws)
+        c = Counter(low)
+        out |= {"mean_word": sum(map(len, ws)) / k, "max_word": max(map(len, ws)), "short_words": sum(len(w) <= 2 for w in ws) / k}
+        out |= {"distinct_words": len(c) / k, "top_word": max(c.values()) / k, "repeats": sum(a == b for a, b in zip(low, low[1:])) / k, "twice": sum(v for v in c.values() if v > 1) / k}
+        out |= {"marked_words": sum(w[-1] in marks for w in ws) / k, "capital_words": sum(2 * sum(65 <= x <= 90 for x in w) > len(w) for w in ws) / k}
+    if ls:
+        out["distinct_lines"] = len(set(ls)) / len(ls)
+    return [out[f] for f in FEATURES]
+
+
+def test_statistics_equal_brute_force():
+    texts = ["The cat, the CAT sat!\nthe cat\n\nthe cat\nOK 12 | # é 日本", "a", "\n\n", "x " * 3000 + "end.", "word " * 300000]  # the last is longer than a piece
+    got = features(pa.array(texts))
+    for row, text in zip(got, texts):
+        assert row.tolist() == pytest.approx(brute_features(text), rel=1e-5, abs=1e-6)
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    y = (x[:, 2] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    t = BoostedTrees(x, y, trees=1, depth=1, rate=0.2, bins=16, smooth=2.0)
+    p = y.mean()
+    grad, hess = y - p, np.full(300, p * (1 - p))
+    gains = {}
+    for f in range(4):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1]).astype(np.float32)):
+            left = x[:, f] <= cut
+            if min(hess[left].sum(), hess[~left].sum()) >= 2:
+                gains[f, float(cut)] = sum(grad[m].sum() ** 2 / (hess[m].sum() + 2) for m in (left, ~left))
+    f, cut = max(gains, key=gains.get)
+    assert (t.feature[0, 0], float(t.threshold[0, 0])) == (f, cut)
+    left = x[:, f] <= cut
+    assert t.value[0] == pytest.approx([0.2 * grad[m].sum() / (hess[m].sum() + 2) for m in (left, ~left)])
+
+
 def test_flat_trees_equal_recursion():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 5)).astype(np.float32)

@@ -81,11 +81,11 @@ def test_encode_rows(spark):
     assert encode(docs.limit(0), BYTE).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 1 << 18])
-def test_files_round_trip(spark, tmp_path, block):
+@pytest.mark.parametrize("block, every", [(4, 3), (1 << 18, 64)])
+def test_files_round_trip(spark, tmp_path, block, every):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, start string")
     at = f"file://{tmp_path}/t"
-    tokenbin.write(docs, at, WORD, block=block, parts=3)
+    tokenbin.write(docs, at, WORD, block=block, every=every, parts=3)
     rows = sorted(tokenbin.read(spark, at).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, 1, 3, 3, 3, 5, 9]
     at = 0
