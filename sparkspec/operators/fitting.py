@@ -12,7 +12,7 @@ from .lines import background_at
 from .select import background_comment, fit_quality, post_fit_flag, spectrum_flag
 
 _PEAK = "array<struct<element:string,line:string,energy_kev:double,center:double,sigma:double,fwhm:double,area:double,intensity:double,background:double,pb:double>>"
-RESULT = f"w_fr map<string,double>, at_fr map<string,double>, an_err double, r_squared double, redchi_sq double, quant_flag int, comments string, peaks {_PEAK}, background array<double>"
+RESULT = f"w_fr map<string,double>, at_fr map<string,double>, an_err double, r_squared double, redchi_sq double, quant_flag int, comments string, peaks {_PEAK}, background array<double>, absorbed double"
 _FIELDS = ("element", "line", "energy_kev", "center", "sigma", "fwhm", "area", "intensity", "background", "pb")
 
 
@@ -27,8 +27,8 @@ def flagged(spectra: DataFrame, instrument: Instrument, target: float, min_backg
 def judged(results: DataFrame, instrument: Instrument, min_background: float, substrate: list[str] = (), *, strict: bool = False) -> DataFrame:
     """Fitted spectra with their final flag: poor fit, analytical error, substrate or a low background under the reference lines.
 
-    The share that a particle absorbs is not fitted, so flag 6 needs a column
-    ``absorbed`` of the caller. A low background is told in ``comments``.
+    ``absorbed`` is the share that a particle absorbs, null for others. A low
+    background is told in ``comments``.
     """
     flag, peaks = F.col("quant_flag"), F.col("peaks")
     total = total_counts(F.col("counts"))
@@ -49,16 +49,18 @@ def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument,
     ``parallelism`` deals few large files out first. Invalid spectra are
     flagged in Catalyst and skip the fit. A failing fit gets flag 9 and its
     message; other rows are untouched. Fitted ones are judged (``judged``). Without ``standards`` only the fit is
-    made, for standards themselves. Tables are the user's line, absorption and
+    made, for standards themselves. A row whose ``is_particle`` is true gets
+    the way out of a particle fitted. Tables are the user's line, absorption and
     ionisation data, some hundred kilobytes, and travel with the function.
     """
-    rows = flagged(spectra.drop("quant_flag"), instrument, target, min_background)
+    spectra = spectra.drop("quant_flag", "absorbed")
+    rows = flagged(spectra, instrument, target, min_background)
     if parallelism:
         rows = rows.repartition(parallelism)
-    base = ", ".join(f"`{c}` {k}" for c, k in spectra.drop("quant_flag").dtypes)
-    names = [c for c in spectra.columns if c != "quant_flag"]
+    base = ", ".join(f"`{c}` {k}" for c, k in spectra.dtypes)
+    names, particles = spectra.columns, "is_particle" in spectra.columns
 
-    def one(counts, flag):
+    def one(counts, flag, particle):
         if flag is not None and flag == flag:
             return {"quant_flag": int(flag)}
         try:
@@ -67,7 +69,7 @@ def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument,
                 got = fit.solve(fit.shape({e: 1 / len(elements) for e in elements}))
                 out = {"r_squared": got["r2"], "redchi_sq": got["redchi"], "quant_flag": 0 if got["ok"] else -1, "peaks": fit.peaks(got), "background": got["background"].tolist()}
             else:
-                out = quantify(counts, elements, instrument, tables, standards, substrate)
+                out = quantify(counts, elements, instrument, tables, standards, substrate, particle=particle is not None and bool(particle))
         except Exception as error:  # a row's failure is that row's result
             return {"quant_flag": 9, "comments": f"{type(error).__name__}: {error}"[:500]}
         out["peaks"] = [{k: p[k] for k in _FIELDS} for p in out["peaks"]]
@@ -75,7 +77,7 @@ def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument,
 
     def run(batches):
         for rows in batches:
-            done = pd.DataFrame([one(None if c is None else np.asarray(c, float), f) for c, f in zip(rows["counts"], rows["quant_flag"])], index=rows.index, columns=["w_fr", "at_fr", "an_err", "r_squared", "redchi_sq", "quant_flag", "comments", "peaks", "background"])
+            done = pd.DataFrame([one(None if c is None else np.asarray(c, float), f, p) for c, f, p in zip(rows["counts"], rows["quant_flag"], rows["is_particle"] if particles else [None] * len(rows))], index=rows.index, columns=["w_fr", "at_fr", "an_err", "r_squared", "redchi_sq", "quant_flag", "comments", "peaks", "background", "absorbed"])
             done = done.astype(object).where(done.notna(), None)
             yield pd.concat([rows[names], done], axis=1)
 

@@ -5,18 +5,24 @@ from __future__ import annotations
 import numpy as np
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """x >= 0 of least |a x - b|, by an active set on the normal equations."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 200, guess: np.ndarray | None = None) -> np.ndarray:
+    """x >= 0 of least |a x - b|, by an active set on the normal equations; ``guess`` (columns likely above 0) is tried first."""
     scale = np.sqrt((a * a).sum(0))
     scale[scale == 0] = 1
     a = a / scale
     g, c = a.T @ a, a.T @ b
     n = len(c)
+    least = 1e-9 * max(1.0, np.abs(c).max())
+    if guess is not None and guess.any():
+        x = np.zeros(n)
+        x[guess] = np.linalg.lstsq(g[np.ix_(guess, guess)], c[guess], rcond=None)[0]
+        if (x[guess] > 0).all() and (c - g @ x)[~guess].max(initial=-np.inf) <= least:
+            return x / scale
     x, free = np.zeros(n), np.zeros(n, bool)
     for _ in range(rounds):
         grad = c - g @ x
         grad[free] = -np.inf
-        if free.all() or grad.max() <= 1e-9 * max(1.0, np.abs(c).max()):
+        if free.all() or grad.max() <= least:
             break
         free[grad.argmax()] = True
         while True:

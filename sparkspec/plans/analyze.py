@@ -80,13 +80,16 @@ def quantify_and_analyze(spectra: DataFrame, elements: list[str], instrument: In
     """Quantify the spectra that have no result yet (or all) and analyse everything.
 
     Where ``spectra`` has a particle_id, particles whose first spot is
-    contaminated (``select.first_spot_contaminated``) are left out.
+    contaminated (``select.first_spot_contaminated``) are left out, and rows
+    with one are fitted as particles.
     """
+    particle = [F.col("particle_id").isNotNull().alias("is_particle")] if "particle_id" in spectra.columns else []
     if "particle_id" in spectra.columns:
         spectra = spectra.join(select.first_spot_contaminated(spectra, target), ["sample_id", "particle_id"], "left_anti")
     key = ["sample_id", "spectrum_id"]
     todo = select.needs_quantification(spectra) if only_missing and "an_err" in spectra.columns else spectra
-    new = quantified(todo.select(*key, "counts"), elements, instrument, tables, library, key=key, target=target, **how)
+    new = quantified(todo.select(*key, "counts", *particle), elements, instrument, tables, library, key=key, target=target, **how)
+    new = new.drop("is_particle")
     rest = spectra.drop("counts", "background")
     results = select.merge_requantified(rest, new.drop("counts"), key) if only_missing and "an_err" in spectra.columns else new
     return results, analyze(results, elements, settings)
