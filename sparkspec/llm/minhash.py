@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components, roots
 from .skew import salted_join
-from .text import mix, pieces, shingles, words
+from .text import mix, pieces, release, shingles, words
 from .work import Work, spare
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -95,6 +95,8 @@ def _sign(bands: int, width: int, k: int):
                     sets = []
             if sets:
                 yield flush(sets, done)
+            del batch, ids, column, sets
+            release()
 
     return run
 
@@ -109,6 +111,8 @@ def _sets(k: int):
                     offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))), _digest(sets)], names=["id", "set", "digest"])
                     done, sets = done + len(sets), []
+            del batch, sets
+            release()
 
     return run
 
@@ -116,7 +120,7 @@ def _sets(k: int):
 def _block_links(percent: int, step: int = 8192):
     """Edges between two blocks of sets: shared shingles become columns, a slice at a time, and products count intersections."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         reps, comps, side = (table[c].to_numpy(zero_copy_only=False) for c in ("rep", "c", "side"))
         column = table["set"].combine_chunks()
@@ -142,6 +146,11 @@ def _block_links(percent: int, step: int = 8192):
         moved = np.flatnonzero(root != np.arange(len(reps)))
         return pa.table({"a": reps[root[moved]], "b": reps[moved]})
 
+    def run(table: pa.Table) -> pa.Table:
+        done = links(table)
+        release()
+        return done
+
     return run
 
 
@@ -159,21 +168,22 @@ def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, bl
     ``most`` classes, each bucket is a group of its own (buckets of the same
     classes one), so chains of overlapping buckets never grow into one group.
     A group's large components are cut into blocks of their own, its small
-    ones share blocks, and pairs of blocks are compared unless both belong to
+    ones share blocks (long sets count as several), and pairs of blocks are compared unless both belong to
     one large component: so a group that is one large component and a few
     others costs blocks in proportion.
     """
-    named = members.join(comp, members.rep == comp.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    named = members.join(comp, members.rep == comp.id, "left").select("bucket", "rep", "m", F.coalesce("component", "rep").alias("c"))
     several = named.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("x < y")
     several = work.table(several.select("bucket", "lo", "n", F.xxhash64(F.lit("bucket"), "same", "n").alias("alone")), "several")
     if several.isEmpty():
         return None
     open_ = work.table(salted_join(named, several.drop("n"), ["bucket"], ["rep"], counts=several), "open")
     groups = components(open_.select(F.col("lo").alias("a"), F.col("rep").alias("b")), work)
-    joint = open_.join(groups, open_.rep == groups.id).select("rep", "c", "alone", "component")
+    joint = open_.join(groups, open_.rep == groups.id).select("rep", "m", "c", "alone", "component")
     wide = joint.select("component", "rep").distinct().groupBy("component").agg((F.count(F.lit(1)) > most).alias("wide"))
-    rows = work.table(joint.join(wide, "component").select(F.when(F.col("wide"), F.col("alone")).otherwise(F.col("component")).alias("g"), "rep", "c").distinct(), "groups")
-    size = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
+    rows = work.table(joint.join(wide, "component").select(F.when(F.col("wide"), F.col("alone")).otherwise(F.col("component")).alias("g"), "rep", "m", "c").distinct(), "groups")
+    # a long set counts as several, so a block holds some 2**20 shingles at most
+    size = rows.groupBy("g", "c").agg(F.sum(1 + F.floor(F.col("m") * block / (1 << 20))).alias("k"))
     little = size.where(F.col("k") < block // 4).groupBy("g").agg(F.sum("k").alias("small"))
     sized = rows.join(size, ["g", "c"]).join(little, "g", "left")
     own = F.col("k") >= block // 4
@@ -266,7 +276,7 @@ def _components_of(source: DataFrame, work: Work, *, shingle: int = 3, percent:
     sets = work.table(found.select("id", "set"), "sets")
     links = work.table(_confirmed(pairs, sets, percent), "links")
     comp = work.table(components(links, work), "components")
-    more = _rest(many.select("bucket", "rep"), comp, sets, percent, block, most, work)
+    more = _rest(many.select("bucket", "rep", "m"), comp, sets, percent, block, most, work)
     if more is not None:
         comp = work.table(components(links.unionAll(more), work), "components")
     work.drop(sets, members, pairs, sizes)

@@ -7,6 +7,7 @@ character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,16 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = {}
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers wait for later tasks while the executor's JVM needs room."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (one more than rows) of a string column; null reads as empty."""
     column = column.cast(pa.large_string())
