@@ -114,3 +114,101 @@ FROM t LEFT JOIN g USING (doc_id) LEFT JOIN bl ON bl.doc_id = t.doc_id LEFT JOIN
 
 
 OP4 = op4()
+
+
+def op11(entries: int = 256, rounds: int = 4) -> str:
+    """Codes by integer codebooks: a list of entries for each part, assigned and averaged ``rounds`` times."""
+    ctes = []
+    for r in range(rounds + 1):
+        ctes.append(f"""
+a{r} AS (
+  SELECT p.vec_id, p.part, any_value(p.x) AS x, arg_min(b.entry, (d, b.entry)) AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.part, p.x, b.entry, list_sum([(p.x[i] - b.c[i]) * (p.x[i] - b.c[i]) FOR i IN range(1, len(p.x) + 1)])::BIGINT AS d FROM p JOIN b{r} b USING (part)) p
+  JOIN b{r} b ON b.part = p.part AND b.entry = p.entry GROUP BY p.vec_id, p.part)""")
+        if r < rounds:
+            ctes.append(f"""
+u{r} AS (SELECT part, entry, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{r}),
+g{r} AS (SELECT part, entry, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM u{r} GROUP BY ALL),
+m{r} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM g{r} GROUP BY ALL),
+b{r + 1} AS (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (part, entry))""")
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT vec_id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM v CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < {entries}),{",".join(ctes)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM b{rounds}),
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM e JOIN v USING (vec_id) CROSS JOIN h
+"""
+
+
+OP11 = op11()
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+o AS (SELECT row, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+v AS (SELECT lang, count(*) AS kinds FROM k GROUP BY lang),
+l AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+t AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + kinds) AS p,
+    1 + (1000000000::HUGEINT * (t.n + 1)) // (l.total + kinds) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN l USING (lang) JOIN t USING (lang, term)
+  LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def op13(depth: int = 6, fan: int = 8) -> str:
+    """The rules, then the tree of templates, level by level."""
+    from .urls import RULES
+
+    rules = ", ".join(f"({verdict!r}, {rule!r}, {rule.split('/', 1)[0]!r}, {'/' + rule.split('/', 1)[1]!r})" for verdict, rule in RULES)
+    ctes = []
+    for i in range(depth + 1):
+        ctes.append(f"""
+q{i} AS (SELECT *, segs[{i + 1}] AS seg, CASE WHEN len(segs) > {i + 1} THEN segs[{i + 2}] ELSE '/' END AS next FROM l{i} WHERE len(segs) > {i}),
+c{i} AS (SELECT host, prefix, seg, sum(n) AS n, count(*) OVER (PARTITION BY host, prefix) AS shapes, sum(sum(n)) OVER (PARTITION BY host, prefix) AS pages FROM q{i} GROUP BY host, prefix, seg),
+b{i} AS (SELECT host, prefix, seg, CASE WHEN shapes > {fan} AND n * {fan} < pages THEN '*' ELSE seg END AS branch FROM c{i}),
+s{i} AS (SELECT host, prefix, branch, next, sum(n) AS n, sum(bad) AS bad, sum(good) AS good FROM q{i} JOIN b{i} USING (host, prefix, seg) GROUP BY ALL),
+e{i} AS (SELECT host, prefix, branch, sum(n) AS n, sum(bad) AS bad, sum(good) AS good, sum(sum(n)) OVER w AS tn, sum(sum(bad)) OVER w AS tbad, sum(sum(good)) OVER w AS tgood
+  FROM s{i} GROUP BY host, prefix, branch WINDOW w AS (PARTITION BY host, prefix)),
+a{i} AS (SELECT *, sum(n) OVER (PARTITION BY host, prefix, next) AS every_ FROM s{i}),
+m{i} AS (SELECT host, prefix, branch, sum(least(a.n::HUGEINT * tn, every_::HUGEINT * e.n))::DOUBLE AS met FROM a{i} a JOIN e{i} e USING (host, prefix, branch) GROUP BY ALL),
+f{i} AS (SELECT *, bad + good AS labelled, tbad::DOUBLE / greatest(1, tbad + tgood) AS rate, 1 - met / (n::DOUBLE * tn::DOUBLE) <= 0.25::DOUBLE + 1 / sqrt(n::DOUBLE) AS alike FROM e{i} JOIN m{i} USING (host, prefix, branch)),
+k{i} AS (SELECT host, prefix, branch, CASE WHEN NOT alike THEN '=' || branch WHEN labelled = 0 THEN 'none'
+  WHEN abs(bad::DOUBLE - rate * labelled::DOUBLE) <= 2.58::DOUBLE * sqrt(rate * (1 - rate) * labelled::DOUBLE) THEN 'some' ELSE '=' || branch END AS grp FROM f{i}),
+j{i} AS (SELECT host, prefix, grp, CASE WHEN count(*) = 1 THEN any_value(branch) ELSE '{{' || string_agg(branch, '|' ORDER BY branch) || '}}' END AS name FROM k{i} GROUP BY ALL),
+l{i + 1} AS (SELECT host, segs, n, bad, good, CASE WHEN len(segs) > {i} THEN prefix || '/' || name ELSE prefix END AS prefix
+  FROM (SELECT *, CASE WHEN len(segs) > {i} THEN segs[{i + 1}] END AS seg FROM l{i}) LEFT JOIN (b{i} JOIN k{i} USING (host, prefix, branch) JOIN j{i} USING (host, prefix, grp)) USING (host, prefix, seg))""")
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url[instr(url, '://') + 3:], '^[^?#]*') ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), {_AZ}) AS host, regexp_replace(rest, '^[^/]*', '') AS path FROM u),
+r AS (SELECT * FROM (VALUES {rules}) x(kind, rule, at_, start)),
+o AS (SELECT row_number() OVER () AS row, * FROM h),
+w AS (SELECT row, arg_max(rule, length(rule)) AS rule, arg_max(kind, length(rule)) AS kind FROM o JOIN r ON (host = at_ OR ends_with(host, '.' || at_)) AND starts_with(path, start) GROUP BY row),
+z AS (SELECT o.*, rule, kind, CASE WHEN path = '' THEN [] ELSE string_split(path[2:], '/') END AS parts FROM o LEFT JOIN w USING (row)),
+y AS (SELECT *, [CASE WHEN regexp_full_match(s, '[0-9A-Fa-f-]{{16,}}') OR length(regexp_replace(s, '[0-9]+', '0', 'g')) > 64 THEN 'x' ELSE regexp_replace(s, '[0-9]+', '0', 'g') END FOR s IN parts[1:{depth}]]
+  || CASE WHEN len(parts) > {depth} THEN ['**'] ELSE [] END AS segs FROM z),
+l0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (kind = 'block') AS bad, count(*) FILTER (kind = 'allow') AS good, '' AS prefix FROM y GROUP BY host, segs),
+base AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(bad) + sum(good) + 2)::DOUBLE AS base FROM l0),{",".join(ctes)},
+t AS (SELECT host, prefix, (sum(bad)::DOUBLE + 4 * base) / (sum(bad) + sum(good) + 4)::DOUBLE AS purity FROM l{depth + 1} CROSS JOIN base GROUP BY host, prefix, base)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, prefix AS template, round(purity, 9) AS purity
+FROM y JOIN l{depth + 1} USING (host, segs) JOIN t USING (host, prefix)
+"""
+
+
+OP13 = op13()

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles, tokenbin
 from .bpe import encode
+from .codes import compress
+from .divergence import audit
 from .embed import near_duplicate_vectors
 from .langid import held_out, identify, learn
 from .licenses import scan
@@ -15,6 +17,7 @@ from .minhash import near_duplicates
 from .mixing import draw
 from .quality import classify
 from .topk import top_k
+from .urls import judge_urls
 from .work import Work, table
 
 
@@ -66,6 +69,19 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, at, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op3_language_id, op4_license_scan, op5_quality, op6_embedding_near_dedup, op7_line_dedup, op8_bpe, op9_mixing, op10_token_binary)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
 
-ORACLE_SQL = {"op1_topk_search": oracles.OP1, "op4_license_scan": oracles.OP4, "op6_embedding_near_dedup": oracles.OP6, "op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9}
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_minhash_near_dedup, op3_language_id, op4_license_scan, op5_quality, op6_embedding_near_dedup, op7_line_dedup, op8_bpe, op9_mixing, op10_token_binary, op11_vector_codes, op12_source_divergence, op13_url_filters)}
+
+ORACLE_SQL = {"op1_topk_search": oracles.OP1, "op4_license_scan": oracles.OP4, "op6_embedding_near_dedup": oracles.OP6, "op2_minhash_near_dedup": oracles.OP2, "op7_line_dedup": oracles.OP7, "op9_mixing": oracles.OP9, "op11_vector_codes": oracles.OP11, "op12_source_divergence": oracles.OP12, "op13_url_filters": oracles.OP13}
