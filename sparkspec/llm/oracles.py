@@ -205,8 +205,8 @@ y AS (SELECT *, [CASE WHEN regexp_full_match(s, '[0-9A-Fa-f-]{{16,}}') OR length
   || CASE WHEN len(parts) > {depth} THEN ['**'] ELSE [] END AS segs FROM z),
 l0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (kind = 'block') AS bad, count(*) FILTER (kind = 'allow') AS good, '' AS prefix FROM y GROUP BY host, segs),
 base AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(bad) + sum(good) + 2)::DOUBLE AS base FROM l0),{",".join(ctes)},
-t AS (SELECT host, prefix, (sum(bad)::DOUBLE + 4 * base) / (sum(bad) + sum(good) + 4)::DOUBLE AS purity FROM l{depth + 1} CROSS JOIN base GROUP BY host, prefix, base)
-SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, prefix AS template, round(purity, 9) AS purity
+t AS (SELECT host, prefix, sum(bad) > 0 AS seen, (sum(bad)::DOUBLE + 4 * base) / (sum(bad) + sum(good) + 4)::DOUBLE AS purity FROM l{depth + 1} CROSS JOIN base GROUP BY host, prefix, base)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN seen AND purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, prefix AS template, round(purity, 9) AS purity
 FROM y JOIN l{depth + 1} USING (host, segs) JOIN t USING (host, prefix)
 """
 

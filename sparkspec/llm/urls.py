@@ -112,9 +112,9 @@ def judge_urls(pages: DataFrame, *, rules=RULES, labels: str | None = None, url:
     node keeps at most ``fan`` + 1 branches. A path's branches make its
     template, whose purity is the share of bad labelled pages, smoothed with
     ``weight`` pages of the share over all labelled pages. Pages without a rule
-    are blocked where purity is at least ``reject``: a template without labels,
-    so without evidence, is as pure as all pages are, and allowed unless most
-    labelled pages are bad. Past ``depth`` segments a path counts as ended.
+    are blocked where purity is at least ``reject`` and the template holds a bad
+    labelled page; without such evidence they are allowed. Past ``depth``
+    segments a path counts as ended.
 
     A null URL, or one without ``://``, has an empty host and path, and no rule.
     Repeated rows and null ids stay and count each. An empty table gives an
@@ -133,8 +133,8 @@ def judge_urls(pages: DataFrame, *, rules=RULES, labels: str | None = None, url:
     found = found.withColumns({"rule": rule, kind: verdict, seg: shapes(F.col("path"), depth)}).withColumn(lab, F.coalesce(F.col(kind) == "block", F.col(lab)))
     found = work.table(found, "found")
     templates = work.table(path_templates(found.select("host", F.col(seg).alias("segs"), F.col(lab).alias("bad")), work, depth=depth, fan=fan, weight=weight), "templates")
-    side = templates.select("host", F.col("segs").alias(seg), "template", "purity")
+    side = templates.select("host", F.col("segs").alias(seg), "template", "purity", (F.col("bad") > 0).alias(lab + "_"))
     counts = templates.select("host", F.col("segs").alias(seg), "n")
     joined = salted_join(found, side, ["host", seg], ["path", *taken[:1]], counts=counts)
-    method = F.when(F.col("purity") >= reject, "block").otherwise("allow")
+    method = F.when(F.col(lab + "_") & (F.col("purity") >= reject), "block").otherwise("allow")
     return joined.select(*taken, "host", "path", "rule", F.coalesce(kind, method).alias("verdict"), "template", "purity")
