@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_SHIPPED: set[str] = set()
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset, in a folder of its own in local mode, and an error elsewhere."""
-    session = df.sparkSession
-    context = session.sparkContext
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application; they need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        top = Path(__file__).resolve().parents[2]
+        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp()) / "sparkspec"), "zip", top, "sparkspec"))
+        _SHIPPED.add(app)
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = session.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="sparkspec-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which goes when the application ends; where that is unset, under one of our own in local mode, and an error elsewhere."""
+    context = spark.sparkContext
+    at = f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset, in a folder of its own in local mode, and an error elsewhere."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

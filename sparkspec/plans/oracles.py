@@ -14,7 +14,7 @@ _AT = _C + """,
 a AS (SELECT *, (w_fr / mass) / sum(w_fr / mass) OVER (PARTITION BY l_suppkey) AS at_fr FROM c)"""
 _S = """ch AS (SELECT user_id, floor(value / 10)::INT AS channel, count(*) AS n FROM events GROUP BY ALL),
 u AS (SELECT DISTINCT user_id FROM events),
-s AS (SELECT u.user_id, r.i::INT AS channel, coalesce(ch.n, 0)::DOUBLE AS n FROM u CROSS JOIN range(60) r(i) LEFT JOIN ch ON ch.user_id = u.user_id AND ch.channel = r.i)"""
+s AS (SELECT u.user_id, r.i::INT AS channel, coalesce(ch.n, 0)::DOUBLE AS n FROM u CROSS JOIN (SELECT unnest(range(least(0, min(channel)), greatest(60, max(channel) + 1))) AS i FROM ch) r LEFT JOIN ch ON ch.user_id = u.user_id AND ch.channel = r.i)"""
 _R = """o AS (SELECT o_orderkey, o_custkey, o_orderkey % 11 - 1 AS quant_flag, (o_totalprice % 100) / 500 - 0.1 AS an_err, o_orderkey % 13 <> 0 AS quantified FROM orders),
 r AS (SELECT *, CASE WHEN NOT quantified THEN 'null' WHEN quant_flag NOT IN (0, -1) THEN 'flagged' WHEN an_err > 0.05 OR an_err < -(0.05 + 0.02) THEN 'error' ELSE 'good' END AS reason FROM o)"""
 _V = """v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS value, (generate_subscripts(embedding, 1) - 1)::INT AS component FROM embeddings)"""
@@ -158,6 +158,17 @@ SELECT l_suppkey, element, 'Ka1' AS line, round(zf, 6) AS z_factor, round(af, 6)
     "sample_accuracy": f"""WITH {_C}, a AS (SELECT l_suppkey, sqrt(avg((w_fr * 100 - 100 / 6.0::DOUBLE) ** 2)) AS r, count(*) AS n FROM c WHERE l_suppkey % 4 - 1 IN (0, -1) GROUP BY l_suppkey)
 SELECT l_suppkey, round(r, 6) AS d_rms, n, r < 1 AS under_1, r < 2 AS under_2, r < 3 AS under_3 FROM a""",
     "shuffled_frames": "SELECT c_name, row_number() OVER (ORDER BY md5('3:' || c_name), c_name)::INT AS place FROM customer",
+    "acquisition_rounds": """WITH p AS (SELECT floor(vec_id / 40)::BIGINT AS s, vec_id, label % 3 AS c, embedding, row_number() OVER (PARTITION BY floor(vec_id / 40) ORDER BY vec_id) AS i FROM embeddings),
+f AS (SELECT s, vec_id, c, ((i - 1) // 10)::INT AS r, [x::DOUBLE * (0.024::DOUBLE + s % 6 * 0.001::DOUBLE) FOR x IN embedding] AS fr FROM p WHERE i <= 35),
+t AS (SELECT DISTINCT s, r, max(r) OVER (PARTITION BY s) AS last FROM f),
+x AS (SELECT s, c, r, unnest(fr) AS x, generate_subscripts(fr, 1) AS j FROM f),
+m AS (SELECT t.s, t.r, c, j, var_pop(x) AS v FROM t JOIN x ON x.s = t.s AND x.r <= t.r GROUP BY ALL),
+g AS (SELECT s, r, c, sqrt(sum(v)) AS rms FROM m GROUP BY ALL),
+h AS (SELECT s, r, count(*) AS n_clusters, max(rms) AS max_rms FROM g GROUP BY ALL),
+n AS (SELECT t.s, t.r, any_value(last) AS last, count(*) AS n_results, count(*) FILTER (f.r = t.r) AS admitted FROM t JOIN f ON f.s = t.s AND f.r <= t.r GROUP BY t.s, t.r),
+w AS (SELECT n.*, n_clusters, max_rms, max_rms < 0.025 AS converged, (max_rms < 0.025 AND n_results >= 20) OR n_results >= 35 OR n.r = last AS done FROM n JOIN h USING (s, r)),
+e AS (SELECT s, min(r) AS stop FROM w WHERE done GROUP BY s)
+SELECT s AS sample_id, r AS round, admitted, n_results, n_clusters, round(max_rms, 6) AS max_rms, converged, done FROM w JOIN e USING (s) WHERE r <= stop""",
     "flagship": f"""WITH {_AT},
 ref AS (SELECT * FROM (VALUES {_PHASES}) t(ref_idx, formula, element, fr)),
 p AS (SELECT l_suppkey % 3 AS sample_id, (l_suppkey % 2)::INT AS cluster_id, l_suppkey, element, at_fr FROM a),

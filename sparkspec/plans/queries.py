@@ -18,7 +18,9 @@ from ..operators.fitting import quantified
 from ..operators.images import segment_particles
 from ..physics.fit import Instrument, Tables, simulate
 from ..sources import writers
+from ..operators.shared import shared_folder
 from ..streaming.acquisition import particles_until as until
+from ..streaming.running import Rounds, enqueue
 
 ELEMENTS = ["Fe", "Mg", "Ca", "Al", "Si", "O"]
 KINDS = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -585,6 +587,18 @@ def particles_in_images(spark, d):
     return segment_particles(images, least_um2=1.0)
 
 
+def acquisition_rounds(spark, d):
+    """Forty vectors are a sample, label modulo three its phase; samples of unlike scale converge early, late or not: what each round admits and how it is judged, run as a stream."""
+    v = _t(spark, d, "embeddings").withColumn("s", F.floor(F.col("vec_id") / 40))
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.lit(0.024) + F.col("s") % 6 * 0.001))
+    at = shared_folder(spark, "rounds")
+    enqueue(v.select(F.col("s").alias("sample_id"), F.col("vec_id").alias("spectrum_id"), (F.col("label") % 3).alias("cluster_id"), scaled.alias("fr")), at, least=20, most=35)
+    rounds = Rounds(spark, at, least=20, most=35)
+    rounds.run()
+    judged = rounds.verdicts().withColumn("sample_id", F.col("sample_id").cast("long"))
+    return _round(judged.select("sample_id", "round", "admitted", "n_results", "n_clusters", "max_rms", "converged", "done"))
+
+
 def flagship(spark, d):
     """Compositions of all suppliers, clustered by a given label, against reference formulas."""
     from .analyze import analyze
@@ -605,5 +619,5 @@ QUERIES = {f.__name__: f for f in (
     element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors,
     width_calibration, calibration_lookup, convergence_by_sample, fit_quality, post_fit_flag_strict, reference_background, background_comments, peak_windows, element_sets, mixture_ranking, known_mixture,
     single_phase, clusters_csv, spectra_csv, particle_table, standard_results, standards_for_formulas, missing_reference, edge_particles, particles_until, stage_coordinates, grid_offsets, fwhm_sigma,
-    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, flagship,
+    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, acquisition_rounds, flagship,
 )}
