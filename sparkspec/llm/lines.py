@@ -28,10 +28,17 @@ def _digest(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
 
 
+def _text_mark(text: Column) -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h1, h2): each key of at least ``min_chars`` code points once per row."""
-    keys = F.array_distinct(F.filter(F.transform(_split(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars))
-    return docs.select("doc_id", F.explode(F.transform(keys, _digest)).alias("k")).select("doc_id", "k.h1", "k.h2")
+    """(doc_id, mark, pos, h1, h2): the lines whose keys have at least ``min_chars`` code points, by their place in the text."""
+    keyed = F.transform(F.transform(_split(F.col("text")), line_key), lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(i.alias("pos"), _digest(k).alias("k"))))
+    # the mark is made before lines become rows, so no row carries the text
+    marked = docs.select("doc_id", _text_mark(F.col("text")).alias("mark"), F.filter(keyed, lambda x: x.isNotNull()).alias("keys"))
+    return marked.select("doc_id", "mark", F.explode("keys").alias("x")).select("doc_id", "mark", "x.pos", "x.k.h1", "x.k.h2")
 
 
 class LineRuns:
@@ -133,19 +140,18 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, n_ba
     finally:
         runs.close()
     # n_docs counts the documents of a key: enough to tell which keys are hot
-    held = salted_join(keys.select("doc_id", "h1", "h2"), often.drop("n_docs"), ["h1", "h2"], ["doc_id"], counts=often.withColumnRenamed("n_docs", "n")).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    held = salted_join(keys.select("doc_id", "mark", "pos", "h1", "h2"), often.drop("n_docs"), ["h1", "h2"], ["doc_id"], counts=often.withColumnRenamed("n_docs", "n")).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text_kept")]
     given = docs.select(*rest)
-    own, dropped, left = spare(given, "_id"), spare(given, "_lost"), spare(given, "_kept")
-    lost = work.table(held.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias(dropped)).withColumnRenamed("doc_id", own), "lost")
+    own, mark, dropped, left = spare(given, "_id"), spare(given, "_mark"), spare(given, "_lost"), spare(given, "_kept")
+    # places, not keys: what is left of a text is found in time linear in its lines
+    lost = work.table(held.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias(dropped)).withColumnsRenamed({"doc_id": own, "mark": mark}), "lost")
     work.drop(keys, often)
     # a merge join at every size: the text is dealt once, whatever the number of lost lines
-    joined = given.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)), "left")
+    joined = given.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)) & (_text_mark(F.col("text")) == F.col(mark)), "left")
     lines = _split(F.col("text"))
-    stays = F.filter(
-        F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))),
-        lambda x: (F.char_length(x["key"]) < min_chars) | ~F.array_contains(F.col(dropped), _digest(x["key"])),
-    )
-    kept = F.when(F.col(dropped).isNull(), lines).otherwise(F.transform(stays, lambda x: x["line"]))
+    # the outer array holds the lines once; without it each place would split the text anew
+    left_over = F.transform(F.array(lines), lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(dropped)), lambda i: F.get(all_, i)))
+    kept = F.when(F.col(dropped).isNull(), lines).otherwise(F.get(left_over, F.lit(0)))
     done = joined.withColumns({"n_lines": F.size(lines).cast("long"), left: kept})
     return done.select(*rest, "n_lines", (F.col("n_lines") - F.size(left)).cast("long").alias("n_dropped"), F.concat_ws("\n", left).alias("text_kept"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -463,3 +464,25 @@ def test_flat_trees_equal_recursion():
 
     want = [1 / (1 + np.exp(-(t.base + sum(walk(k, r) for k in range(30))))) for r in x[:20]]
     assert np.allclose(t.score(x[:20]), want) and ((t.score(x) > 0.5) == y).mean() > 0.97
+
+
+def test_lines_of_one_long_document(spark):
+    """A document of 120,000 lines, nearly all common: its places are found in linear time."""
+    lines = [f"line number {i} is long enough to count as a passage" for i in range(30_000)]
+    rows = [(d, "\n".join(lines)) for d in range(5)] + [(7, "\n".join(x for line in lines for x in (line, "", line.upper(), f"own {line}")))]
+    rows += [(0, "\n".join(lines[:3])), (0, "\n".join(["short", lines[1]]))]  # rows of one doc_id with texts of their own
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    begun = time.time()
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text_kept[:60]) for r in dedup_lines(df).collect())
+    assert time.time() - begun < 60
+    assert got == sorted([(d, 30_000, 30_000, "") for d in range(5)] + [(0, 3, 3, ""), (0, 2, 1, "short"), (7, 120_000, 0, lines[0] + "\n\n" + lines[0].upper()[: 60 - len(lines[0]) - 2])])
+
+
+def test_quality_gathers_one_row_a_document(spark):
+    rng = random.Random(2)
+    docs = [(i, ("word " * (3 + i % 9) + "!!!" * (i % 2)), i % 2) for i in range(160)]
+    once = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    many = once.unionAll(spark.range(30_000).select(F.lit(docs[3][0]).cast("long"), F.lit(docs[3][1])))
+    labels = spark.createDataFrame([(d, q, rng.random()) for d, _, q in docs], "doc_id long, quality int, x double")
+    scores = lambda df: {(r.doc_id, round(r.score, 12)) for r in classify(df, labels).collect()}
+    assert scores(many) == scores(once)
