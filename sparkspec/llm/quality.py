@@ -149,7 +149,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = 20000, thresho
     fixed. Statistics come from whole texts; nothing else enters a score.
 
     Null and empty texts have zero statistics and get a score like any other.
-    Null labels and null doc_ids teach nothing; without two kinds of labels
+    Rows that repeat a doc_id teach once. Null labels and null doc_ids teach nothing; without two kinds of labels
     every score is the share of label 1 (0.5 without labels). Rows repeat as
     they come; an empty table gives an empty result.
     """
@@ -159,7 +159,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = 20000, thresho
     measured = work.table(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_measure, f"doc_id {kind}, x array<float>"), "measured")
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = measured.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    # one row a document, so that a repeated doc_id adds nothing to what is gathered
+    rows = measured.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("x").alias("x"), F.max("quality").alias("quality")).orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     trees = BoostedTrees(x, rows["quality"].to_numpy(float))
     rated = measured.mapInArrow(_rate(spark.sparkContext.broadcast(trees)), f"doc_id {kind}, score double")
