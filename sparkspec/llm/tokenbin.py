@@ -214,7 +214,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, limit:
 
     kind = "<u2" if Tokenizer.from_str(spec).get_vocab_size() <= 1 << 16 else "<u4"
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
-    coded = work.table(given.mapInArrow(_tokens(spark.sparkContext.broadcast(spec), end_id), "doc_id long, tie long, n long, ids binary, counts array<long>"), "ids")
+    coded = work.table(given.mapInArrow(_tokens(spark.sparkContext.broadcast(spec), end_id), "doc_id long, tie long, n long, ids binary, counts array<long>").withColumn("row", F.monotonically_increasing_id()), "ids")
     sums = coded.where("counts is not null").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("n")).where("n > 0").collect()  # at most the vocabulary
     counts = np.zeros(max([end_id, *(r.pos for r in sums)]) + 1, np.int64)
     for r in sums:
@@ -222,7 +222,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, limit:
     lengths = limited_lengths(counts, max(limit, int(np.ceil(np.log2(max(2, len(sums)))))))
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.where("counts is null").select("doc_id", "n", "ids", "tie").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    # rows of one doc_id, or of none, may be any number: their texts and places range them too
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc(), F.col("row").asc()]
+    ordered = coded.where("counts is null").select("doc_id", "n", "ids", "tie", "row").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     blocks = ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(lengths), kind, block, every), _BLOCK)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     work.drop(coded)

@@ -7,11 +7,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkspec.llm import tokenbin
 from sparkspec.llm.bpe import ByteBpe, encode
 from sparkspec.llm.tokenbin import Codebook, WordBpe, limited_lengths
+from sparkspec.llm.work import Work
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ATOMS = ["the", " ", "  ", "\n", "\r\n", "\t", "é", "über", "'s", "'S", "'ll", "can't", "12", "٣", "x1", "!!", "...", "<|endoftext|>", "<|startoftext|>", "<|", "\xa0", "\x85", "\x1c", " ", "​", "᠎", "　", "日本", "é", "İ", "Σ", "ΟΔΟΣ", "ß", "×", "ª", "²", "😀", "\x00", "﻿", "naïve", "A", "#$%", "_"]
@@ -119,3 +121,15 @@ def test_queries_on_documents(spark):
         ids = [*WORD_WHOLE.encode(docs[r.doc_id], add_special_tokens=False).ids, 1]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_binary_of_rows_without_ids(spark):
+    """Rows that share a doc_id, or have none, are ranged by their texts and places: no part holds them all."""
+    rows = [(None, f"the word {i}") for i in range(300)] + [(5, "the same text")] * 300
+    at = Work(spark).path("tokens")
+    tokenbin.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), at, public_tokenizers.path("word_bpe_49k.json"), parts=6)
+    sizes = [r.n for r in spark.read.parquet(f"{at}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+    got = tokenbin.read(spark, at).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 300 + [5] * 300
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
