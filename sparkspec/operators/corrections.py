@@ -8,11 +8,13 @@ Barkshire and Statham (2001).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chemistry import atomic_mass, atomic_number, mass_to_atomic
-from .shared import cut
+
+Calibration = Callable[[Column], Column]
 
 
 def polynomial(x: Column, coefficients: list[float]) -> Column:
@@ -90,24 +92,51 @@ def zaf_factors(compositions: DataFrame, lines: DataFrame, absorption: DataFrame
     return rows.select(*key, "element", "line", "z_factor", "a_factor", "r_factor", (F.col("z_factor") * F.col("a_factor") * F.col("r_factor")).alias("zaf"))
 
 
-def quantify_ratios(ratios: DataFrame, correct, key: list[str], *, rounds: int = 20, tol: float = 1e-4, checkpoint=None) -> DataFrame:
-    """(key, element, line, w_fr, rounds): fixed point of w = k_ratio * zaf(w), at most ``rounds`` rounds, per group until no fraction moves by ``tol``.
+def quantify_ratios(ratios: DataFrame, lines: DataFrame, absorption: DataFrame, ionisation: DataFrame, key: list[str], *, beam_kev: float, takeoff_deg: float, p: Calibration, f: Calibration, beta: Calibration, rounds: int = 20, tol: float = 1e-4) -> DataFrame:
+    """(key, element, line, w_fr, rounds, converged): fixed point of w = k_ratio * zaf(w), at most ``rounds`` rounds, until no fraction moves by more than ``tol``.
 
-    ``ratios`` has (key, element, line, k_ratio); ``correct`` maps a long table
-    (key, element, w_fr) to factors (key, element, line, zaf). Fractions start
-    from the ratios, scaled to one. Each round is a join; ``checkpoint`` cuts
-    the lineage between rounds.
+    ``ratios`` has (key, element, line, k_ratio), a line an element; the tables
+    are those of ``zaf_factors``, the calibration functions of a column z. Fractions start from the
+    ratios, scaled to one. What does not change between rounds is joined to
+    the ratios once; a composition's elements, some dozens at most, become an
+    array, and the rounds are an ``aggregate`` over it: no join, job or
+    checkpoint a round. Ratios that are null, or of elements or lines the
+    tables lack, take no part.
     """
-    keep = checkpoint or cut
-    total = F.sum("k_ratio")
-    start = ratios.join(ratios.groupBy(*key).agg(total.alias("_t")), key).withColumn("w_fr", F.col("k_ratio") / F.col("_t")).drop("_t")
-    now = keep(start.withColumn("rounds", F.lit(0)).withColumn("done", F.lit(False)))
-    for i in range(rounds):
-        factors = correct(now.where("not done").select(*key, "element", "w_fr")).select(*key, "element", "line", "zaf")
-        new = now.join(factors, [*key, "element", "line"], "left").withColumn("_w", F.when(F.col("done"), F.col("w_fr")).otherwise(F.col("k_ratio") * F.col("zaf")))
-        moved = new.groupBy(*key).agg(F.max(F.abs(F.col("_w") - F.col("w_fr"))).alias("_d"))
-        new = new.join(moved, key).select(*key, "element", "line", "k_ratio", F.col("_w").alias("w_fr"), F.when(F.col("done"), F.col("rounds")).otherwise(i + 1).alias("rounds"), (F.col("done") | (F.col("_d") < tol)).alias("done"))
-        now = keep(new)
-        if now.where("not done").isEmpty():
-            break
-    return now.select(*key, "element", "line", "w_fr", "rounds", F.col("done").alias("converged"))
+    z, e = F.col("z"), F.col("energy_kev")
+    j = ionisation.select(F.col("z").cast("double").alias("z"), F.log(F.col("j_ev") / 1000).alias("ln_j"))
+    mu = absorption.groupBy("element", "line").agg(F.map_from_entries(F.collect_list(F.struct("absorber", "mu"))).alias("mu"))
+    rows = ratios.where("k_ratio is not null").select(*key, "element", "line", "k_ratio").withColumns({"z": atomic_number(F.col("element")), "a": atomic_mass(F.col("element"))})
+    rows = rows.join(j, "z").join(lines.select("element", "line", "energy_kev"), ["element", "line"]).join(mu, ["element", "line"], "left")
+    pure = generated_continuum(e, z, p(z), f(z), beta(z), z / F.col("a"), F.col("ln_j"), beam_kev)
+    fixed = F.struct("element", "line", F.col("k_ratio").alias("k"), e.alias("e"), (F.pow(z, 1.75) / F.col("a")).alias("up"), (F.pow(z, 0.75) / F.col("a")).alias("down"), (z / F.col("a")).alias("share"), (z / F.col("a") * F.col("ln_j")).alias("loss"),
+                     beta(z).alias("beta"), backscatter_coefficient(z, beam_kev).alias("eta"), pure.alias("pure"), F.coalesce("mu", F.create_map().cast("map<string,double>")).alias("mu"))
+    groups = rows.groupBy(*key).agg(F.array_sort(F.collect_list(fixed), lambda x, y: F.when(x["element"] < y["element"], -1).when(x["element"] > y["element"], 1).otherwise(0)).alias("els"))
+    els = F.col("els")
+    names = F.transform(els, lambda x: x["element"])
+    # absorption of each line by each element, in the order of the elements
+    matrix = F.transform(els, lambda x: F.transform(names, lambda n: F.coalesce(F.element_at(x["mu"], n), F.lit(0.0))))
+    groups = groups.select(*key, "els", matrix.alias("matrix"), F.transform(els, lambda x: x["k"] / F.aggregate(els, F.lit(0.0), lambda s, y: s + y["k"])).alias("start"))
+    dot = lambda w, values: F.aggregate(F.zip_with(w, values, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    field = lambda name: F.transform(F.col("els"), lambda x: x[name])
+
+    def factors(w: Column) -> Column:
+        means = F.struct((dot(w, field("up")) / dot(w, field("down"))).alias("z"), dot(w, field("share")).alias("m"), dot(w, field("loss")).alias("loss"), dot(w, field("beta")).alias("beta"), dot(w, field("eta")).alias("eta"))
+
+        def each(mean: Column) -> Column:
+            sample = lambda x: generated_continuum(x["e"], mean["z"], p(mean["z"]), f(mean["z"]), mean["beta"], mean["m"], mean["loss"] / mean["m"], beam_kev)
+            return F.zip_with("els", "matrix", lambda x, mu_: x["k"] * sample(x) / x["pure"] * absorption_factor(dot(w, mu_), x["e"], beam_kev, takeoff_deg) * backscatter_factor(mean["eta"], x["e"], beam_kev))
+
+        return F.get(F.transform(F.array(means), each), F.lit(0))
+
+    def turn(now: Column, _: Column) -> Column:
+        total = F.aggregate(now["w"], F.lit(0.0), lambda s, x: s + x)
+        scaled = F.get(F.transform(F.array(total), lambda t: F.transform(now["w"], lambda x: x / t)), F.lit(0))
+        new = F.get(F.transform(F.array(scaled), factors), F.lit(0))
+        step = lambda w: F.struct(w.alias("w"), (now["rounds"] + 1).alias("rounds"), (F.array_max(F.zip_with(w, now["w"], lambda x, y: F.abs(x - y))) <= tol).alias("done"))
+        return F.when(now["done"], now).otherwise(F.get(F.transform(F.array(new), step), F.lit(0)))
+
+    first = F.struct(F.col("start").alias("w"), F.lit(0).alias("rounds"), F.lit(False).alias("done"))
+    solved = groups.select(*key, "els", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, turn).alias("end"))
+    out = solved.select(*key, F.explode(F.arrays_zip(field("element").alias("element"), field("line").alias("line"), F.col("end.w").alias("w_fr"))).alias("x"), F.col("end.rounds").alias("rounds"), F.col("end.done").alias("converged"))
+    return out.select(*key, "x.element", "x.line", "x.w_fr", "rounds", "converged")

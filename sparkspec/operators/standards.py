@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chemistry import reduced_formula
+from ..functions.formulas import reduced_formula_of
 
 
 def standard_means(standards: DataFrame, key: list[str]) -> DataFrame:
@@ -21,17 +22,8 @@ def upsert(library: DataFrame, entries: DataFrame) -> DataFrame:
 
 def means_for_formulas(standards: DataFrame, formulas: list[str], key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Means over the standards whose formula is among ``formulas`` (equal when reduced), and the lines that have none."""
-    spark = standards.sparkSession
-    given = [r.formula for r in standards.select("formula").distinct().collect()]  # formulas of standards: tens
-    wanted = {reduced_formula(f) for f in formulas}
-    same = []
-    for formula in given:
-        try:
-            if formula and reduced_formula(formula) in wanted:
-                same.append((formula,))
-        except ValueError:
-            continue
-    kept = standards.join(F.broadcast(spark.createDataFrame(same, "formula string")), "formula", "left_semi")
+    wanted = sorted({reduced_formula(f) for f in formulas})
+    kept = standards.where(reduced_formula_of(F.col("formula")).isin(wanted))
     means = standard_means(kept, key)
     return means, standards.select(*key).distinct().join(means.select(*key), key, "left_anti")
 

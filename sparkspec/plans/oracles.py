@@ -153,6 +153,36 @@ t AS (SELECT *, zm * (1 - 0.0005 * zm) * ((15 - e) / e) ** (1 + 0.001 * zm) * e
   1 - eta * (0.33148 * l + 0.05596 * l ** 2 - 0.06339 * l ** 3 + 0.00947 * l ** 4 + eta * (2.87898 * l - 1.51307 * l ** 2 + 0.81312 * l ** 3 - 0.08241 * l ** 4) / u) ** 1.67 AS rp FROM s),
 f AS (SELECT l_suppkey, element, gs / gp AS zf, af, rp / (1 - (1 - rp) * (2 / (1 + eta)) ** 0.63 * (0.79 + 0.44 * e / 15.0)) AS rf FROM t)
 SELECT l_suppkey, element, 'Ka1' AS line, round(zf, 6) AS z_factor, round(af, 6) AS a_factor, round(rf, 6) AS r_factor, round(zf * af * rf, 6) AS zaf FROM f""",
+    "zaf_fixed_point": f"""WITH RECURSIVE {_C}, {_LINES},
+k AS (SELECT l_suppkey, element, z, mass AS a, w_fr * (0.9::DOUBLE + l_suppkey % 5 * 0.05::DOUBLE) AS k, e, 15.0::DOUBLE / e AS u, ln(11.5 * z / 1000) AS lj, ln(15.0::DOUBLE / e) AS l,
+  (-52.3791 + 150.48371 * z - 1.67373 * z ** 2 + 0.00716 * z ** 3) * 1e-4 * (1 + (-1112.8 + 30.289 * z - 0.15498 * z ** 2) * 1e-4 * ln(15.0::DOUBLE / 20)) AS eta FROM c JOIN li USING (element) WHERE line = 'Ka1'),
+r AS (
+  SELECT *, k / sum(k) OVER (PARTITION BY l_suppkey) AS w, 0 AS rounds, false AS done FROM k
+  UNION ALL
+  SELECT l_suppkey, element, z, a, k, e, u, lj, l, eta, nw, rounds + 1, max(abs(nw - w)) OVER (PARTITION BY l_suppkey) <= 1e-4
+  FROM (SELECT *, k * gs / gp * (1 + 3.34e-6 * x + 5.59e-13 * x ** 2) / (1 + 3.0e-6 * x + 4.5e-13 * x ** 2) * rp / (1 - (1 - rp) * (2 / (1 + me)) ** 0.63 * (0.79 + 0.44 * e / 15.0)) AS nw
+  FROM (SELECT *, zm * (1 - 0.0005 * zm) * ((15 - e) / e) ** (1 + 0.001 * zm) * e / (e + mb) / ((1 + 16.05 * sqrt(exp(mlj) / e) * q) / mm) AS gs,
+    z * (1 - 0.0005 * z) * ((15 - e) / e) ** (1 + 0.001 * z) * e / (e + 0.05 + 0.001 * z) / ((1 + 16.05 * sqrt(exp(lj) / e) * q) / (z / a)) AS gp,
+    1 - me * (0.33148 * l + 0.05596 * l ** 2 - 0.06339 * l ** 3 + 0.00947 * l ** 4 + me * (2.87898 * l - 1.51307 * l ** 2 + 0.81312 * l ** 3 - 0.08241 * l ** 4) / u) ** 1.67 AS rp
+  FROM (SELECT *, ((sqrt(u) - 1) / (u - 1)) ** 1.07 AS q, mmu / e ** 2 / sin(radians(28.5)) * (15.0 ** 1.65 - e ** 1.65) AS x
+  FROM (SELECT *, sum(w * z ** 1.75 / a) OVER s / sum(w * z ** 0.75 / a) OVER s AS zm, sum(w * z / a) OVER s / t AS mm, sum(w * z / a * lj) OVER s / sum(w * z / a) OVER s AS mlj,
+    sum(w * (0.05 + 0.001 * z)) OVER s / t AS mb, sum(w * eta) OVER s / t AS me, sum(w * 3000.0 * z ** 1.5 / 100) OVER s / t AS mmu
+  FROM (SELECT *, sum(w) OVER (PARTITION BY l_suppkey) AS t FROM r WHERE NOT done AND rounds < 20) WINDOW s AS (PARTITION BY l_suppkey)))))),
+f AS (SELECT *, max(rounds) OVER (PARTITION BY l_suppkey) AS last FROM r)
+SELECT l_suppkey, element, 'Ka1' AS line, round(w, 6) AS w_fr, rounds::INT AS rounds, done AS converged FROM f WHERE rounds = last""",
+    "formulas_read": f"""WITH {_EL}, p AS (SELECT p_partkey, p_partkey % 11 = 0 AS bad, {_ELEMENTS}[p_partkey % 6 + 1] AS e1, {_ELEMENTS}[p_partkey // 6 % 6 + 1] AS e2, {_ELEMENTS}[p_size % 6 + 1] AS e3,
+  p_size % 4 + 1 AS n1, (p_partkey % 5 + 1) * 0.5 AS n2, p_partkey % 3 + 1 AS n3 FROM part),
+a AS (SELECT p_partkey, unnest([e1, e2, e3]) AS element, unnest([n1, n2, n3 * 2 * n2])::DOUBLE AS n FROM p WHERE NOT bad),
+s AS (SELECT p_partkey, element, sum(n) AS n, round(sum(n) * 1000)::BIGINT AS k FROM a GROUP BY ALL),
+g AS (SELECT p_partkey, list_reduce(list(k), lambda x, y: gcd(x, y)) AS g, sum(n * mass) AS mass, coalesce(sum(n * mass) FILTER (element = 'O'), 0) AS o FROM s JOIN el USING (element) GROUP BY p_partkey),
+r AS (SELECT p_partkey, string_agg(element || CASE WHEN k = g THEN '' ELSE (k // g)::VARCHAR END, '' ORDER BY element) AS reduced, any_value(mass) AS mass, any_value(o) AS o FROM s JOIN g USING (p_partkey) GROUP BY p_partkey),
+h AS (SELECT *, e1 || CASE n1 WHEN 1 THEN '' ELSE '_{{' || n1 || '}}' END || '(' || e2 || '[' || e3 AS head, CASE n3 WHEN 1 THEN '' ELSE '_{{' || n3 || '}}' END AS third FROM p)
+SELECT p_partkey, reduced, '$' || head || CASE WHEN bad THEN '_{{' || n3 || '2}}' ELSE third || ']_{{2}}' END || ' )' || CASE n2 WHEN 1 THEN '' ELSE '_{{' || n2::DECIMAL(3, 1) || '}}' END || '$' AS latex,
+  round(mass, 4) AS mass, round(o / mass, 4) AS oxygen FROM h LEFT JOIN r USING (p_partkey)""",
+    "pretty_formulas": f"""WITH {_AT}, k AS (SELECT l_suppkey, element, z, at_fr / min(at_fr) OVER (PARTITION BY l_suppkey) AS n FROM a WHERE at_fr >= 1 / 6::DOUBLE),
+t AS (SELECT l_suppkey, element, z, regexp_replace(round(n, 1)::DECIMAL(18, 1)::VARCHAR, '[.]0$', '') AS n FROM k),
+g AS (SELECT l_suppkey, string_agg(element || CASE n WHEN '1' THEN '' ELSE n END, '' ORDER BY z) AS formula FROM t GROUP BY l_suppkey)
+SELECT l_suppkey, coalesce(formula, '') AS formula FROM (SELECT DISTINCT l_suppkey FROM a) LEFT JOIN g USING (l_suppkey)""",
     "width_calibration": "SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 5) AS p1, round(regr_slope(p_retailprice, p_size), 5) AS p2, count(*) AS n FROM part GROUP BY p_brand",
     "calibration_lookup": "SELECT 'm1' AS microscope, 'click' AS mode, round(arg_max(value, event_id), 6) AS scale, max(event_id) AS event_id, max(event_id) AS valid_from FROM events WHERE event_type = 'click'",
     "sample_accuracy": f"""WITH {_C}, a AS (SELECT l_suppkey, sqrt(avg((w_fr * 100 - 100 / 6.0::DOUBLE) ** 2)) AS r, count(*) AS n FROM c WHERE l_suppkey % 4 - 1 IN (0, -1) GROUP BY l_suppkey)

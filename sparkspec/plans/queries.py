@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Clustering
-from ..functions import chemistry, geometry, spectra, text
+from ..functions import chemistry, formulas, geometry, spectra, text
 from ..operators import calibration, cluster, corrections, interpolate, lines, mixtures, refs, select, standards, stats
 from ..operators.fitting import quantified
 from ..operators.images import segment_particles
@@ -491,12 +491,46 @@ def reference_lines(spark, d):
     return rows.select("*", lines.reference_line(F.col("element"), F.col("line"), F.col("has_la1")).alias("ref"))
 
 
-def zaf_factors(spark, d):
+def _line_tables(spark):
+    """Made-up tables of main lines, absorption and ionisation potentials."""
     main = [x for x in LINES if x[1] == "Ka1"]
     table = spark.createDataFrame([(e, l, k) for e, l, k, _ in main], "element string, line string, energy_kev double")
     mu = spark.createDataFrame([(e, l, a, 3000.0 * chemistry.Z[a] ** 1.5 / 100 / k**2) for e, l, k, _ in main for a in ELEMENTS], "element string, line string, absorber string, mu double")
     ion = spark.createDataFrame([(chemistry.Z[e], 11.5 * chemistry.Z[e]) for e in ELEMENTS], "z int, j_ev double")
-    return _round(corrections.zaf_factors(compositions(spark, d), table, mu, ion, ["l_suppkey"], beam_kev=15.0, takeoff_deg=28.5, p="1.0 + 0.001 * z", f="1.0 - 0.0005 * z", beta="0.05 + 0.001 * z"))
+    return table, mu, ion
+
+
+def zaf_factors(spark, d):
+    return _round(corrections.zaf_factors(compositions(spark, d), *_line_tables(spark), ["l_suppkey"], beam_kev=15.0, takeoff_deg=28.5, p="1.0 + 0.001 * z", f="1.0 - 0.0005 * z", beta="0.05 + 0.001 * z"))
+
+
+def zaf_fixed_point(spark, d):
+    """Fractions from ratios that are off by up to a tenth, corrected until they stand."""
+    ratios = compositions(spark, d).select("l_suppkey", "element", F.lit("Ka1").alias("line"), (F.col("w_fr") * (0.9 + F.col("l_suppkey") % 5 * 0.05)).alias("k_ratio"))
+    return _round(corrections.quantify_ratios(ratios, *_line_tables(spark), ["l_suppkey"], beam_kev=15.0, takeoff_deg=28.5, p=lambda z: 1.0 + 0.001 * z, f=lambda z: 1.0 - 0.0005 * z, beta=lambda z: 0.05 + 0.001 * z))
+
+
+def _part_formulas(spark, d):
+    """A formula for each part, with nested brackets and decimal amounts; of every eleventh one bracket is missing."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    names = F.array(*[F.lit(e) for e in ELEMENTS])
+    pick = lambda i: F.get(names, i.cast("int"))
+    text = F.concat(pick(k % 6), (size % 4 + 1).cast("string"), F.lit("("), pick(F.floor(k / 6) % 6), F.lit("["), pick(size % 6), (k % 3 + 1).cast("string"), F.when(k % 11 == 0, "").otherwise("]"), F.lit("2 )"), ((k % 5 + 1) * 0.5).cast("decimal(3,1)").cast("string"))
+    return _t(spark, d, "part").select("p_partkey", text.alias("formula"))
+
+
+def formulas_read(spark, d):
+    """Formulas of parts read as columns: reduced, as LaTeX, their mass and what share of it is oxygen."""
+    amounts = formulas.formula_amounts(F.col("formula"))
+    read = _part_formulas(spark, d).withColumn("amounts", amounts)
+    share = F.coalesce(F.element_at(formulas.mass_fractions_of_amounts(F.col("amounts")), "O"), F.when(F.col("amounts").isNotNull(), 0.0))
+    return _round(read.select("p_partkey", formulas.reduced_of(F.col("amounts")).alias("reduced"), formulas.latex_of(F.col("formula")).alias("latex"), formulas.formula_mass_of(F.col("amounts")).alias("mass"), share.alias("oxygen")), 4)
+
+
+def pretty_formulas(spark, d):
+    """A formula for each supplier's atomic fractions, of those over a sixth."""
+    at = chemistry.mass_to_atomic(compositions(spark, d), ["l_suppkey"]).groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("element", "at_fr"))).alias("m"))
+    return at.select("l_suppkey", formulas.pretty_of(F.col("m"), 1 / 6).alias("formula"))
 
 
 def width_calibration(spark, d):
@@ -616,7 +650,7 @@ QUERIES = {f.__name__: f for f in (
     normalise_mass_fractions, select_good, discard_report, post_fit_flag, first_spot_contaminated, substrate_contamination, cluster_stats, cluster_rms, cluster_reference_match, cluster_reference_wide,
     convergence, pairwise_mixture_fit, silhouette_exact, k_vote, line_choice, pb_stats, standards_mean, standards_upsert, k_ratio, incremental_requantify_merge, particle_stats, particle_filter,
     particle_histogram, grid_frames, frame_coordinates, excel_letters, clean_ids, line_keys, two_point_calibration, latest_calibration, interp_lookup, trapezoid, detector_sigma, rdev_shares,
-    element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors,
+    element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors, zaf_fixed_point, formulas_read, pretty_formulas,
     width_calibration, calibration_lookup, convergence_by_sample, fit_quality, post_fit_flag_strict, reference_background, background_comments, peak_windows, element_sets, mixture_ranking, known_mixture,
     single_phase, clusters_csv, spectra_csv, particle_table, standard_results, standards_for_formulas, missing_reference, edge_particles, particles_until, stage_coordinates, grid_offsets, fwhm_sigma,
     sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, acquisition_rounds, flagship,

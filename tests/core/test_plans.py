@@ -56,7 +56,11 @@ def test_sql_corrections_equal_the_numpy_ones(spark):
     assert [got[e] for e in els] == pytest.approx(want.tolist(), rel=1e-9)
     spark.sparkContext.setCheckpointDir("/tmp/sparkspec-checkpoints")
     ratios = spark.createDataFrame([(1, e, "Ka1", float(w[e] / z)) for e, z in zip(els, want)], "k int, element string, line string, k_ratio double")
-    fixed = corrections.quantify_ratios(ratios, lambda c: corrections.zaf_factors(c, lines, mu, ion, ["k"], beam_kev=15.0, takeoff_deg=28.5, p="1.0", f="1.0", beta="0.0"), ["k"]).collect()
+    fixed = corrections.quantify_ratios(ratios.unionAll(spark.createDataFrame([(1, "Xx", "Ka1", 0.1), (1, "Mg", "Ka1", None), (2, "Fe", "Ka1", 1.0)], ratios.schema)), lines, mu, ion, ["k"], beam_kev=15.0, takeoff_deg=28.5, p=lambda z: F.lit(1.0), f=lambda z: F.lit(1.0), beta=lambda z: F.lit(0.0))
+    plan = fixed._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
+    fixed, other = fixed.where("k = 1").collect(), fixed.where("k = 2").collect()
+    assert [(r.element, r.w_fr) for r in other] == [("Fe", pytest.approx(1.0))]
     assert {r.element: r.w_fr for r in fixed} == pytest.approx(w, abs=2e-4) and all(r.converged and r.rounds <= 20 for r in fixed)
 
 
