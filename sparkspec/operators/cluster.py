@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .shared import cut
+
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centres: k-means++ start, then Lloyd's steps until labels stay."""
@@ -148,33 +150,52 @@ def spread(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def cluster_samples(points: DataFrame, key: list[str], *, point: str = "spectrum_id", k: int | None = None, max_k: int = 6, method: str = "silhouette", seed: int = 0, least: int = 5, most: int = 10_000) -> DataFrame:
-    """(key, point, cluster_id, k, silhouette) for the points (key, point, fr) of each sample.
+    """(key, point, cluster_id, k, silhouette, error) for the points (key, point, fr) of each sample.
 
     A sample is some hundred to some thousand spectra, which is what one group
-    holds, since silhouettes need all distances; a sample of more than ``most``
-    points is an error. Groups run side by side. Samples of fewer than ``least`` points
-    give no rows. ``k`` of 0 or None means to find it. Points are put in the
-    order of their ids, so partitioning does not matter.
+    holds, since silhouettes need all distances; samples of more than ``most``
+    points are clustered over all partitions instead (``cluster_large``) and
+    have no silhouette. Groups run side by side. Samples of fewer than ``least`` points
+    give no rows. A sample that cannot be clustered gives one row without a
+    point, with the reason as its error; the others go on. ``k`` of 0 or None
+    means to find it. Points are put in the order of their ids, so
+    partitioning does not matter.
     """
+    from .cluster_large import cluster_large
+
     kinds = dict(points.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*key, point]) + ", cluster_id int, k int, silhouette double"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*key, point]) + ", cluster_id int, k int, silhouette double, error string"
+    names = [*key, point, "cluster_id", "k", "silhouette", "error"]
 
-    def run(ids, rows: pd.DataFrame) -> pd.DataFrame:
-        names = [*key, point, "cluster_id", "k", "silhouette"]
-        if len(rows) < least:
-            return pd.DataFrame(columns=names)
-        if len(rows) > most:
-            raise ValueError(f"sample {tuple(ids)} has {len(rows)} points; one task clusters {most} at most")
+    def clustered(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(point, kind="stable")
         x = np.array(rows["fr"].tolist(), float)
+        if not np.isfinite(x).all():
+            raise ValueError("a composition holds null or non-finite fractions")
         n = k or choose_k(x, max_k, method, seed)
         labels, score = best_clustering(x, min(n, len(x)), np.random.default_rng(seed))
-        labels = canonical(x, labels)
         out = rows[[*key, point]].copy()
-        out["cluster_id"], out["k"], out["silhouette"] = labels, len(np.unique(labels)), None if np.isnan(score) else score
+        labels = canonical(x, labels)
+        out["cluster_id"], out["k"], out["silhouette"], out["error"] = labels, len(np.unique(labels)), None if np.isnan(score) else score, None
         return out
 
-    return spread(points.select(*key, point, "fr"), key).groupBy(*key).applyInPandas(run, schema)
+    def run(ids, rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) < least:
+            return pd.DataFrame(columns=names)
+        try:
+            return clustered(rows)
+        except Exception as e:  # one bad sample is reported, not the end of the job
+            return pd.DataFrame([[*ids, None, None, None, None, f"{type(e).__name__}: {e}"]], columns=names)
+
+    rows = points.select(*key, point, "fr")
+    large = [tuple(r) for r in rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*key).limit(1).collect()]
+    if not large:
+        return spread(rows, key).groupBy(*key).applyInPandas(run, schema)
+    sizes = cut(rows.groupBy(*key).agg((F.count(F.lit(1)) > most).alias("_large")))
+    sized = rows.join(sizes, key)  # a row a sample; samples that are large are split by adaptive execution
+    done = spread(sized.where("not _large").drop("_large"), key).groupBy(*key).applyInPandas(run, schema)
+    many = cluster_large(sized.where("_large").drop("_large"), key, point=point, k=k, max_k=max_k, method=method, seed=seed)
+    return done.unionByName(many.withColumns({"silhouette": F.lit(None).cast("double"), "error": F.lit(None).cast("string")}))
 
 
 def k_vote(choices: DataFrame, key: list[str], *, last_round: bool = False) -> DataFrame:

@@ -28,6 +28,7 @@ class Analysis:
     mixtures: DataFrame | None
     free_mixtures: DataFrame | None
     verdict: DataFrame
+    failed: DataFrame
 
 
 def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, undetectable: float = 0.0, labels: DataFrame | None = None, least: int = 5, keep=None) -> Analysis:
@@ -35,7 +36,8 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, un
 
     Samples with fewer than ``least`` good spectra drop out. ``labels``
     (sample_id, spectrum_id, cluster_id) replaces the clustering if given.
-    ``keep`` cuts lineage of the labels, which cost most to make again
+    A sample that cannot be clustered is in ``failed`` with its error, and in
+    no other table but the report. ``keep`` cuts lineage of the labels, which cost most to make again
     (default: a checkpoint).
     """
     spark = results.sparkSession
@@ -47,6 +49,10 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, un
     if labels is None:
         made = cluster.cluster_samples(good, ["sample_id"], k=settings.k, max_k=settings.max_k, method=settings.k_finding_method if settings.k_finding_method != "forced" else "silhouette", seed=settings.seed, least=least)
         labels = (keep or cut)(made)
+        failed = labels.where("error is not null").select("sample_id", "error")
+        labels = labels.where("error is null")
+    else:
+        failed = good.select("sample_id", F.lit(None).cast("string").alias("error")).limit(0)
     points = good.join(labels.select("sample_id", "spectrum_id", "cluster_id"), ["sample_id", "spectrum_id"])
     names = F.array(*[F.lit(e) for e in elements])
     long = points.select(*KEY, "spectrum_id", F.explode(F.arrays_zip(names.alias("element"), F.col("fr").alias("value"))).alias("p")).select(*KEY, "spectrum_id", "p.element", "p.value")
@@ -73,7 +79,7 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, un
     per = clusters.groupBy("sample_id").agg(F.max("rms").alias("max_rms"), F.count(F.lit(1)).alias("n_clusters"), F.sum("wcss").alias("wcss"), F.sum("n_points").alias("n_used"))
     conf = refs.assigned_confidence(found, ["cluster_id"], ["sample_id"]) if found is not None else per.select("sample_id", F.lit(None).cast("double").alias("min_conf"))
     verdict = per.join(conf, "sample_id", "left").withColumn("converged", F.coalesce(refs.converged(F.col("max_rms"), F.col("min_conf")), F.lit(False)))
-    return Analysis(named, report, labels, features, clusters, refs.ranked_references(found, KEY) if found is not None else None, mix, free, verdict)
+    return Analysis(named, report, labels, features, clusters, refs.ranked_references(found, KEY) if found is not None else None, mix, free, verdict, failed)
 
 
 def quantify_and_analyze(spectra: DataFrame, elements: list[str], instrument: Instrument, tables: Tables, library: dict[tuple[str, str], float], settings: Clustering, *, target: float, only_missing: bool = True, **how) -> tuple[DataFrame, Analysis]:

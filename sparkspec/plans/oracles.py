@@ -18,6 +18,19 @@ s AS (SELECT u.user_id, r.i::INT AS channel, coalesce(ch.n, 0)::DOUBLE AS n FROM
 _R = """o AS (SELECT o_orderkey, o_custkey, o_orderkey % 11 - 1 AS quant_flag, (o_totalprice % 100) / 500 - 0.1 AS an_err, o_orderkey % 13 <> 0 AS quantified FROM orders),
 r AS (SELECT *, CASE WHEN NOT quantified THEN 'null' WHEN quant_flag NOT IN (0, -1) THEN 'flagged' WHEN an_err > 0.05 OR an_err < -(0.05 + 0.02) THEN 'error' ELSE 'good' END AS reason FROM o)"""
 _V = """v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS value, (generate_subscripts(embedding, 1) - 1)::INT AS component FROM embeddings)"""
+
+
+def _lloyd(rounds: int = 4) -> str:
+    """Lloyd's rounds from the first vectors of even and odd labels, a materialised step each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT p.s, k, vec_id, arg_min(cluster, (list_sum([(p.fr[i] - c.fr[i]) ** 2 FOR i IN range(1, len(p.fr) + 1)]), cluster)) AS cluster FROM p JOIN c{r} c ON c.s = p.s GROUP BY p.s, k, vec_id),
+x{r} AS (SELECT d.s, d.k, d.cluster, vec_id, unnest(fr) AS x, generate_subscripts(fr, 1) AS i FROM d{r} d JOIN p USING (vec_id)),
+m{r} AS MATERIALIZED (SELECT s, k, cluster, i, avg(x) AS m, count(*) AS n, count(*) * var_pop(x) AS w FROM x{r} GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT s, k, cluster, coalesce(m.fr, c.fr) AS fr FROM c{r} c LEFT JOIN (SELECT s, k, cluster, list(m ORDER BY i) AS fr FROM m{r} GROUP BY ALL) m USING (s, k, cluster))""")
+    return ",\n".join(steps)
+
+
 _STATS = _V + """,
 f AS (SELECT label, component, avg(value) AS mean, stddev_samp(value) AS std FROM v GROUP BY ALL),
 g AS (SELECT v.label, count(DISTINCT vec_id) AS n_points, sum((value - mean) ** 2) AS wcss FROM v JOIN f USING (label, component) GROUP BY v.label)"""
@@ -188,6 +201,15 @@ SELECT l_suppkey, coalesce(formula, '') AS formula FROM (SELECT DISTINCT l_suppk
     "sample_accuracy": f"""WITH {_C}, a AS (SELECT l_suppkey, sqrt(avg((w_fr * 100 - 100 / 6.0::DOUBLE) ** 2)) AS r, count(*) AS n FROM c WHERE l_suppkey % 4 - 1 IN (0, -1) GROUP BY l_suppkey)
 SELECT l_suppkey, round(r, 6) AS d_rms, n, r < 1 AS under_1, r < 2 AS under_2, r < 3 AS under_3 FROM a""",
     "shuffled_frames": "SELECT c_name, row_number() OVER (ORDER BY md5('3:' || c_name), c_name)::INT AS place FROM customer",
+    "kmeans_rounds": f"""WITH p AS MATERIALIZED (SELECT label % 2 AS s, vec_id, embedding::DOUBLE[] AS fr FROM embeddings),
+f AS (SELECT s, fr, row_number() OVER (PARTITION BY s ORDER BY vec_id) AS r FROM p QUALIFY r <= 3),
+c0 AS MATERIALIZED (SELECT s, k, r - 1 AS cluster, fr FROM f JOIN (SELECT unnest([2, 3]) AS k) ON r <= k),
+{_lloyd()},
+t AS (SELECT s, k, cluster, any_value(n) AS n, sum(w) AS inertia FROM m4 GROUP BY ALL),
+g AS (SELECT s, k, i, sum(n * m) / sum(n) AS gm FROM m4 GROUP BY ALL),
+b AS (SELECT m4.s, m4.k, sum(n * (m - gm) ** 2) AS between_ FROM m4 JOIN g USING (s, k, i) GROUP BY ALL),
+h AS (SELECT s, k, any_value(between_) / sum(inertia) * (sum(n) - count(*)) / (count(*) - 1) AS ch FROM t JOIN b USING (s, k) GROUP BY ALL)
+SELECT s AS sample_id, k, cluster::INT AS cluster, n, round(inertia, 6) AS inertia, round(ch, 6) AS calinski_harabasz FROM t JOIN h USING (s, k)""",
     "acquisition_rounds": """WITH p AS (SELECT floor(vec_id / 40)::BIGINT AS s, vec_id, label % 3 AS c, embedding, row_number() OVER (PARTITION BY floor(vec_id / 40) ORDER BY vec_id) AS i FROM embeddings),
 f AS (SELECT s, vec_id, c, ((i - 1) // 10)::INT AS r, [x::DOUBLE * (0.024::DOUBLE + s % 6 * 0.001::DOUBLE) FOR x IN embedding] AS fr FROM p WHERE i <= 35),
 t AS (SELECT DISTINCT s, r, max(r) OVER (PARTITION BY s) AS last FROM f),

@@ -9,11 +9,11 @@ line are elements), ``embeddings`` for clustered points.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import Clustering
 from ..functions import chemistry, formulas, geometry, spectra, text
-from ..operators import calibration, cluster, corrections, interpolate, lines, mixtures, refs, select, standards, stats
+from ..operators import calibration, cluster, cluster_large, corrections, interpolate, lines, mixtures, refs, select, standards, stats
 from ..operators.fitting import quantified
 from ..operators.images import segment_particles
 from ..physics.fit import Instrument, Tables, simulate
@@ -559,13 +559,25 @@ def histogram_fit(spark, d):
 
 def kmeans_labels(spark, d):
     pts = points(spark, d).select(F.col("label").alias("sample_id"), F.col("vec_id").alias("spectrum_id"), "fr")
-    return cluster.cluster_samples(pts, ["sample_id"], k=3)
+    return cluster.cluster_samples(pts, ["sample_id"], k=3).drop("error")
 
 
 def k_selection(spark, d):
     """As ``kmeans_labels``, with the k of each sample searched for."""
     pts = points(spark, d).select(F.col("label").alias("sample_id"), F.col("vec_id").alias("spectrum_id"), "fr")
-    return cluster.cluster_samples(pts, ["sample_id"], method="silhouette")
+    return cluster.cluster_samples(pts, ["sample_id"], method="silhouette").drop("error")
+
+
+def kmeans_rounds(spark, d):
+    """Four rounds over all vectors of even and of odd labels, for two and three clusters at once, from the first vectors as centres; with the Calinski-Harabasz score of each."""
+    pts = points(spark, d).select((F.col("label") % 2).alias("sample_id"), F.col("vec_id").alias("spectrum_id"), "fr")
+    dims = pts.select(F.size("fr")).first()[0]
+    first = pts.withColumn("r", F.row_number().over(W.partitionBy("sample_id").orderBy("spectrum_id"))).where("r <= 3").groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "fr"))), lambda x: x["fr"]).alias("c"))
+    start = first.select("sample_id", F.array(F.slice("c", 1, 2), F.slice("c", 1, 3)).alias("tries"))
+    ended = cluster_large.lloyd(pts, start, ["sample_id"], "spectrum_id", dims, rounds=4)
+    sums = cluster_large.lloyd_sums(pts, ended, ["sample_id"], "spectrum_id", dims)
+    good = cluster_large.scores(sums, ["sample_id"]).select("sample_id", "k", "calinski_harabasz")
+    return _round(sums.join(good, ["sample_id", "k"]).select("sample_id", "k", F.col("cluster").cast("int").alias("cluster"), "n", "inertia", "calinski_harabasz"))
 
 
 def free_mixture(spark, d):
@@ -653,5 +665,5 @@ QUERIES = {f.__name__: f for f in (
     element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors, zaf_fixed_point, formulas_read, pretty_formulas,
     width_calibration, calibration_lookup, convergence_by_sample, fit_quality, post_fit_flag_strict, reference_background, background_comments, peak_windows, element_sets, mixture_ranking, known_mixture,
     single_phase, clusters_csv, spectra_csv, particle_table, standard_results, standards_for_formulas, missing_reference, edge_particles, particles_until, stage_coordinates, grid_offsets, fwhm_sigma,
-    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, free_mixture, fit_peaks, particles_in_images, acquisition_rounds, flagship,
+    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, kmeans_rounds, free_mixture, fit_peaks, particles_in_images, acquisition_rounds, flagship,
 )}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkspec.config import Clustering, Sample, dumps, loads
 from sparkspec.functions import geometry, spectra, text
-from sparkspec.operators import cluster, interpolate, mixtures, refs, select, standards, stats
+from sparkspec.operators import cluster, cluster_large, interpolate, mixtures, refs, select, standards, stats
 
 
 def test_spectrum_flags(spark):
@@ -83,6 +83,59 @@ def test_clusters_are_found_and_stable(spark, k):
     assert {r[3] for r in one} == {k} and len({(r[1] % 1000 % k, r[2]) for r in one if r[0] == 1}) == k
 
 
+def _inertia(rows, points):
+    at = {}
+    for r in rows:
+        at.setdefault((r.sample_id, r.cluster_id), []).append(points[r.sample_id, r.spectrum_id])
+    return sum(((np.array(x) - np.mean(x, axis=0)) ** 2).sum() for x in at.values())
+
+
+def test_large_samples_are_clustered_over_all_partitions(spark):
+    """The same points as one group and over partitions: inertia within a hundredth, k found alike, groups and large samples side by side."""
+    rng = np.random.default_rng(1)
+    centres = rng.uniform(0, 1, (4, 5))
+    rows = [("big", i, (centres[i % 4] + rng.normal(0, 0.05, 5)).tolist()) for i in range(3000)] + [("small", i, (centres[i % 2] + rng.normal(0, 0.01, 5)).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_id string, spectrum_id long, fr array<double>").repartition(4)
+    points = {(s, i): x for s, i, x in rows}
+    one = cluster.cluster_samples(df, ["sample_id"], k=4).where("sample_id = 'big'").collect()
+    two = cluster.cluster_samples(df, ["sample_id"], k=4, most=1000).collect()
+    big = [r for r in two if r.sample_id == "big"]
+    assert len(big) == 3000 and len(two) == 3040 and {r.k for r in big} == {4} and all(r.silhouette is None for r in big)
+    assert _inertia(big, points) <= 1.01 * _inertia(one, points)
+    found = {r.sample_id: r.k for r in cluster.cluster_samples(df, ["sample_id"], most=1000).select("sample_id", "k").distinct().collect()}
+    assert found == {"big": 4, "small": 2}
+    same = df.select("sample_id", "spectrum_id", F.array(F.lit(0.25), F.lit(0.75)).alias("fr"))
+    assert {(r.cluster_id, r.k) for r in cluster_large.cluster_large(same, ["sample_id"], k=3).collect()} == {(0, 1)}
+    assert cluster_large.cluster_large(df.limit(0), ["sample_id"]).count() == 0
+
+
+def test_a_sample_of_many_points(spark):
+    """Rounds are sums of partitions: a plan without a group of points, and a result near the true centres."""
+    x = [F.when(F.col("id") % 3 == 0, 0.2).when(F.col("id") % 3 == 1, 0.5).otherwise(0.9) + (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) - 500) / 20000 for i in range(3)]
+    df = spark.range(150_000).select(F.lit("s").alias("sample_id"), F.col("id").alias("spectrum_id"), F.array(*x).alias("fr"))
+    got = cluster_large.cluster_large(df, ["sample_id"], k=3).groupBy("cluster_id", F.col("spectrum_id") % 3).count().collect()
+    assert len(got) == 3 and {r["count"] for r in got} == {50_000}
+    centres = spark.createDataFrame([("s", [[[0.2] * 3, [0.5] * 3]])], "sample_id string, tries array<array<array<double>>>")
+    plan = cluster_large.lloyd_sums(df, centres, ["sample_id"], "spectrum_id", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "collect_list" not in plan
+
+
+def test_sums_of_a_salted_side(spark):
+    df = _blobs(spark, 2)
+    side = df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    for most in (1 << 20, 0):
+        assert {(r.sample_id, r.n) for r in cluster_large.with_sample(df, side, ["sample_id"], "spectrum_id", 1, most).collect()} == {(1, 40), (2, 40)}
+        assert cluster_large.with_sample(df, side, ["sample_id"], "spectrum_id", 1, most).count() == 80
+
+
+def test_a_bad_sample_is_reported(spark):
+    df = _blobs(spark, 2).unionAll(spark.createDataFrame([(9, i, [0.5, None] if i else [0.5]) for i in range(8)], "sample_id long, spectrum_id long, fr array<double>"))
+    rows = cluster.cluster_samples(df, ["sample_id"]).collect()
+    (bad,) = [r for r in rows if r.error]
+    assert bad.sample_id == 9 and bad.cluster_id is None and bad.spectrum_id is None and "ValueError" in bad.error
+    assert len(rows) == 81 and {r.sample_id for r in rows if not r.error} == {1, 2}
+
+
 def test_small_samples_drop_out(spark):
     assert cluster.cluster_samples(_blobs(spark, 1, n=4), ["sample_id"]).count() == 0
 
