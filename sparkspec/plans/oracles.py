@@ -210,6 +210,14 @@ g AS (SELECT s, k, i, sum(n * m) / sum(n) AS gm FROM m4 GROUP BY ALL),
 b AS (SELECT m4.s, m4.k, sum(n * (m - gm) ** 2) AS between_ FROM m4 JOIN g USING (s, k, i) GROUP BY ALL),
 h AS (SELECT s, k, any_value(between_) / sum(inertia) * (sum(n) - count(*)) / (count(*) - 1) AS ch FROM t JOIN b USING (s, k) GROUP BY ALL)
 SELECT s AS sample_id, k, cluster::INT AS cluster, n, round(inertia, 6) AS inertia, round(ch, 6) AS calinski_harabasz FROM t JOIN h USING (s, k)""",
+    "latest_version": "SELECT doc_id, 1 - quality AS quality, count(*) OVER () AS n_rows FROM labels WHERE doc_id IS NOT NULL",
+    "image_regions": """WITH RECURSIVE e AS (SELECT floor(vec_id / 64)::BIGINT AS image, vec_id % 64 AS y, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings),
+p AS (SELECT image, y, x, image * 100000 + y * 1000 + x AS id FROM e WHERE v::DOUBLE > 0.08::DOUBLE),
+n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN (SELECT unnest([-1001, -1000, -999, -1, 1, 999, 1000, 1001]) AS step) ON true JOIN p b ON b.id = a.id + step),
+r AS (SELECT id, id AS c FROM p UNION SELECT n.b, r.c FROM r JOIN n ON n.a = r.id WHERE r.c < n.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+g AS (SELECT image, c, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, avg(x) AS cx, avg(y) AS cy FROM p JOIN m USING (id) GROUP BY ALL)
+SELECT image, row_number() OVER (PARTITION BY image ORDER BY c) - 1 AS region, area, x0, y0, x1, y1, round(cx, 6) AS cx, round(cy, 6) AS cy FROM g""",
     "acquisition_rounds": """WITH p AS (SELECT floor(vec_id / 40)::BIGINT AS s, vec_id, label % 3 AS c, embedding, row_number() OVER (PARTITION BY floor(vec_id / 40) ORDER BY vec_id) AS i FROM embeddings),
 f AS (SELECT s, vec_id, c, ((i - 1) // 10)::INT AS r, [x::DOUBLE * (0.024::DOUBLE + s % 6 * 0.001::DOUBLE) FOR x IN embedding] AS fr FROM p WHERE i <= 35),
 t AS (SELECT DISTINCT s, r, max(r) OVER (PARTITION BY s) AS last FROM f),

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import Clustering
 from ..functions import chemistry, formulas, geometry, spectra, text
-from ..operators import calibration, cluster, cluster_large, corrections, interpolate, lines, mixtures, refs, select, standards, stats
+from ..operators import calibration, cluster, cluster_large, corrections, interpolate, lines, mixtures, refs, regions, select, standards, stats
 from ..operators.fitting import quantified
 from ..operators.images import segment_particles
 from ..physics.fit import Instrument, Tables, simulate
 from ..sources import writers
+from ..sources.versions import Versions
 from ..operators.shared import shared_folder
 from ..streaming.acquisition import particles_until as until
 from ..streaming.running import Rounds, enqueue
@@ -633,6 +634,24 @@ def particles_in_images(spark, d):
     return segment_particles(images, least_um2=1.0)
 
 
+def latest_version(spark, d):
+    """Quality labels written as three versions, the last of them cut off before its manifest: what a reader sees, with the number of rows that the manifest states."""
+    rows = _t(spark, d, "labels").where("doc_id is not null")
+    store = Versions(spark, shared_folder(spark, "versions"))
+    store.write({"Labels": rows.where("doc_id % 2 = 0")})
+    store.write({"Labels": rows.withColumn("quality", 1 - F.col("quality"))})
+    killed = store.claim()
+    rows.limit(1).write.parquet(f"{store.root}/v={killed}/Labels")
+    return store.read("Labels").select("doc_id", "quality", F.lit(store.manifest()["tables"]["Labels"]["rows"]).cast("long").alias("n_rows"))
+
+
+def image_regions(spark, d):
+    """Sixty-four vectors are the rows of an image, large components its foreground: its regions with area, box and centroid."""
+    v = _t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("image"), (F.col("vec_id") % 64).alias("y"), F.posexplode("embedding").alias("x", "value"))
+    runs = regions.regions_of(v.where("value > 0.08"), ["image"])
+    return _round(regions.region_statistics(runs, ["image"]))
+
+
 def acquisition_rounds(spark, d):
     """Forty vectors are a sample, label modulo three its phase; samples of unlike scale converge early, late or not: what each round admits and how it is judged, run as a stream."""
     v = _t(spark, d, "embeddings").withColumn("s", F.floor(F.col("vec_id") / 40))
@@ -665,5 +684,5 @@ QUERIES = {f.__name__: f for f in (
     element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors, zaf_fixed_point, formulas_read, pretty_formulas,
     width_calibration, calibration_lookup, convergence_by_sample, fit_quality, post_fit_flag_strict, reference_background, background_comments, peak_windows, element_sets, mixture_ranking, known_mixture,
     single_phase, clusters_csv, spectra_csv, particle_table, standard_results, standards_for_formulas, missing_reference, edge_particles, particles_until, stage_coordinates, grid_offsets, fwhm_sigma,
-    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, kmeans_rounds, free_mixture, fit_peaks, particles_in_images, acquisition_rounds, flagship,
+    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, kmeans_rounds, free_mixture, fit_peaks, particles_in_images, image_regions, latest_version, acquisition_rounds, flagship,
 )}

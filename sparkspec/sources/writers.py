@@ -36,14 +36,10 @@ def spectra_table(rows: DataFrame, elements: list[str], clusters: DataFrame | No
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A new directory of CSV files; an existing one is an error, so nothing is overwritten. Versions go to paths of their own (``versioned``)."""
+    """A new directory of CSV files; an existing one is an error, so nothing is overwritten. Runs in versions are ``versions.Versions``."""
     df.write.option("header", True).option("escape", '"').mode("error").csv(path)
 
 
-def versioned(path: str, run_id: str) -> str:
-    return f"{path.rstrip('/')}/v={run_id}"
-
-
 def clusters_table(stats: DataFrame, rms: DataFrame, refs: DataFrame | None, mixtures: DataFrame | None, elements: list[str], *, feature: str = "at") -> DataFrame:
     """Columns of ``Clusters.csv`` from long tables: percentages with two decimals, wcss times 10 000, all ranked references and mixtures by rank (as many columns as the longest list needs)."""
     most = lambda df: df.agg(F.max("rank")).first()[0] or 0
