@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .text import excel_letters
@@ -29,19 +27,27 @@ def equivalent_diameter(area: Column) -> Column:
     return 2 * F.sqrt(area / F.pi())
 
 
-def grid(spark: SparkSession, *, half_width: float, spacing: float, circle: bool = True, ratio: float = 1.0, margin: bool = False, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """(label, x, y): a lattice of frame centres, with letters for columns and numbers for rows.
+def grids(given: DataFrame, key: list[str]) -> DataFrame:
+    """(key, label, x, y): for each row of ``given`` (key, half_width, spacing, ratio, circle, margin, cx, cy) a lattice of frame centres, with letters for columns and numbers for rows.
 
     Rows are ``ratio`` (frame height by width) times the spacing apart. Points
     lie strictly inside the circle, or in the rectangle with its border. With
     ``margin`` a frame's diagonal, spacing * sqrt(1 + ratio**2), is kept free.
     """
-    reach = half_width - (spacing * math.sqrt(1 + ratio * ratio) if margin else 0.0)
-    nx, ny = int(half_width / spacing) + 1, int(half_width / (spacing * ratio)) + 1
-    at = spark.range(1).select(F.explode(F.sequence(F.lit(-nx), F.lit(nx))).alias("i")).select("i", F.explode(F.sequence(F.lit(-ny), F.lit(ny))).alias("j"))
-    dx, dy = F.col("i") * spacing, F.col("j") * (spacing * ratio)
-    inside = dx * dx + dy * dy < reach * reach if circle else (F.abs(dx) <= reach) & (F.abs(dy) <= reach * ratio)
-    return at.where(inside).select(F.concat(excel_letters(F.col("i") + nx), (F.col("j") + ny).cast("string")).alias("label"), (dx + centre[0]).alias("x"), (dy + centre[1]).alias("y"))
+    step, tall = F.col("spacing"), F.col("spacing") * F.col("ratio")
+    reach = F.col("half_width") - F.when(F.col("margin"), step * F.sqrt(1 + F.col("ratio") * F.col("ratio"))).otherwise(0.0)
+    number = lambda size: (F.floor(F.col("half_width") / size) + 1).cast("int")
+    wide = given.withColumns({"_reach": reach, "_nx": number(step), "_ny": number(tall)}).withColumn("_i", F.explode(F.sequence(-F.col("_nx"), F.col("_nx"))))
+    at = wide.withColumn("_j", F.explode(F.sequence(-F.col("_ny"), F.col("_ny"))))
+    dx, dy = F.col("_i") * step, F.col("_j") * tall
+    inside = F.when(F.col("circle"), dx * dx + dy * dy < F.col("_reach") * F.col("_reach")).otherwise((F.abs(dx) <= F.col("_reach")) & (F.abs(dy) <= F.col("_reach") * F.col("ratio")))
+    return at.where(inside).select(*key, F.concat(excel_letters(F.col("_i") + F.col("_nx")), (F.col("_j") + F.col("_ny")).cast("string")).alias("label"), (dx + F.col("cx")).alias("x"), (dy + F.col("cy")).alias("y"))
+
+
+def grid(spark: SparkSession, *, half_width: float, spacing: float, circle: bool = True, ratio: float = 1.0, margin: bool = False, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(label, x, y): the lattice of one sample, see ``grids``."""
+    given = spark.range(1).select(*[F.lit(v).alias(n) for n, v in (("half_width", float(half_width)), ("spacing", float(spacing)), ("ratio", float(ratio)), ("circle", circle), ("margin", margin), ("cx", float(centre[0])), ("cy", float(centre[1])))])
+    return grids(given, []).select("label", "x", "y")
 
 
 def grid_offset(cycle: Column, min_distance: float, spacing: float) -> tuple[Column, Column]:

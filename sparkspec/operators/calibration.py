@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..physics.solve import fit_bounded
-
 
 def calibration_of(table: DataFrame, microscope: str, mode: str) -> DataFrame:
     """The latest row of a calibration table (microscope, mode, valid_from, ...) for an instrument and mode; no row where the mode is not calibrated."""
@@ -34,22 +31,69 @@ def lorentzian(x: np.ndarray, height: float, center: float, width: float) -> np.
     return height * width**2 / ((x - center) ** 2 + width**2)
 
 
-def lorentzian_of_histogram(bins: DataFrame, key: list[str]) -> DataFrame:
-    """(key, height, center, width): a Lorentzian through the middles of histogram bins (key, lo, hi, n); width is half of that at half height. A histogram has some dozen bins."""
-    kinds = dict(bins.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", height double, center double, width double"
-
-    def run(ids, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("lo")
-        x, y = ((rows["lo"] + rows["hi"]) / 2).to_numpy(float), rows["n"].to_numpy(float)
-        span = max(float(x.max() - x.min()), 1e-9)
-        if len(x) < 3 or y.max() <= 0:
-            return pd.DataFrame([[*ids, None, None, None]])
-        low, high = np.array([0, x.min() - 1e-9, span / 1000]), np.array([4 * y.max(), x.max() + 1e-9, 2 * span])
-        p, _ = fit_bounded(lambda p: lorentzian(x, *p) - y, np.array([y.max(), x[y.argmax()], span / 10]), low, high, tol=1e-8, rounds=200)
-        return pd.DataFrame([[*ids, *map(float, p)]])
+def lorentzian_of_histogram(bins: DataFrame, key: list[str], *, rounds: int = 100, tol: float = 1e-10) -> DataFrame:
+    """(key, height, center, width, rounds): a Lorentzian through the middles of histogram bins (key, lo, hi, n); width is half of that at half height.
 
-    return bins.groupBy(*key).applyInPandas(run, schema)
+    Damped Gauss-Newton: a round sums the normal equations of the three
+    parameters over the bins, takes the step if squares shrink and else damps
+    it more, until no parameter moves by more than ``tol`` of its size. A
+    histogram's bins are an array, and the rounds an ``aggregate``: all groups
+    take all rounds in one job. Null counts are no bins; fewer than three
+    bins, or none with a positive count, give nulls.
+    """
+    point = F.struct(((F.col("lo") + F.col("hi")) / 2).cast("double").alias("x"), F.col("n").cast("double").alias("n"))
+    groups = bins.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull() & F.col("n").isNotNull(), point))).alias("b"))
+    b = F.col("b")
+    bind = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))
+    total = lambda rows, of: F.aggregate(rows, F.lit(0.0), lambda s, r: s + of(r))
+    squares = lambda p: F.aggregate(b, F.lit(0.0), lambda s, x: s + F.pow(p["a"] / (1 + F.pow((x["x"] - p["c"]) / p["w"], 2)) - x["n"], 2))
+    parameters = lambda a, c, w: F.struct(a.alias("a"), c.alias("c"), w.alias("w"))
+
+    def slopes(p: Column) -> Column:
+        def row(x: Column) -> Column:
+            q = (x["x"] - p["c"]) / p["w"]
+            s = 1 / (1 + q * q)
+            return F.struct(s.alias("a"), (2 * p["a"] * s * s * q / p["w"]).alias("c"), (2 * p["a"] * s * s * q * q / p["w"]).alias("w"), (p["a"] * s - x["n"]).alias("r"))
+
+        return F.transform(b, row)
+
+    def equations(rows: Column) -> Column:
+        pairs = [(i, j) for i in "acw" for j in "acwr" if i <= j or j == "r"]
+        return F.struct(*[total(rows, lambda r, i=i, j=j: r[i] * r[j]).alias(i + j) for i, j in dict.fromkeys((min(p), max(p)) if "r" not in p else p for p in pairs)])
+
+    def step(now: Column, e: Column) -> Column:
+        """Cramer's rule for the damped equations."""
+        m = 1 + now["damp"]
+        aa, cc, ww, ac, aw, cw = e["aa"] * m, e["cc"] * m, e["ww"] * m, e["ac"], e["aw"], e["cw"]
+        det = aa * (cc * ww - cw * cw) - ac * (ac * ww - cw * aw) + aw * (ac * cw - cc * aw)
+        ra, rc, rw = e["ar"], e["cr"], e["wr"]
+        da = ra * (cc * ww - cw * cw) - ac * (rc * ww - cw * rw) + aw * (rc * cw - cc * rw)
+        dc = aa * (rc * ww - cw * rw) - ra * (ac * ww - cw * aw) + aw * (ac * rw - rc * aw)
+        dw = aa * (cc * rw - rc * cw) - ac * (ac * rw - rc * aw) + ra * (ac * cw - cc * aw)
+        p = now["p"]
+        return F.when(det != 0, parameters(F.greatest(F.lit(0.0), p["a"] - da / det), p["c"] - dc / det, F.greatest(F.lit(1e-12), F.abs(p["w"] - dw / det)))).otherwise(p)
+
+    def turn(now: Column, _: Column) -> Column:
+        def judged(new: Column) -> Column:
+            def taken(sse: Column) -> Column:
+                better = sse < now["sse"]
+                p = now["p"]
+                size = lambda k: F.abs(new[k] - p[k]) <= tol * F.greatest(F.abs(p[k]), F.lit(1e-9))
+                still = size("a") & size("c") & size("w")
+                return F.struct(F.when(better, new).otherwise(p).alias("p"), F.when(better, sse).otherwise(now["sse"]).alias("sse"), F.when(better, now["damp"] / 10).otherwise(now["damp"] * 10).alias("damp"), (now["rounds"] + 1).alias("rounds"), (still | (now["damp"] > 1e12)).alias("done"))
+
+            return bind(squares(new), taken)
+
+        solved = bind(bind(slopes(now["p"]), equations), lambda e: step(now, e))
+        return F.when(now["done"], now).otherwise(bind(solved, judged))
+
+    top = F.array_max(F.transform(b, lambda x: x["n"]))
+    span = F.greatest(F.element_at(b, -1)["x"] - F.element_at(b, 1)["x"], F.lit(1e-9))
+    first = parameters(top, F.get(F.filter(b, lambda x: x["n"] == top), F.lit(0))["x"], span / 10)
+    ready = groups.select(*key, b, F.when((F.size(b) >= 3) & (top > 0), first).alias("p0"))
+    start = F.struct(F.col("p0").alias("p"), squares(F.col("p0")).alias("sse"), F.lit(0.001).alias("damp"), F.lit(0).alias("rounds"), F.lit(False).alias("done"))
+    fitted = ready.select(*key, F.when(F.col("p0").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn)).alias("f"))
+    return fitted.select(*key, F.col("f.p.a").alias("height"), F.col("f.p.c").alias("center"), F.col("f.p.w").alias("width"), F.col("f.rounds").alias("rounds"))
 
 
 def accuracy(rows: DataFrame, key: list[str], *, flags: tuple[int, ...] = (0, -1), max_err: float = 0.05, least_fr: float = 0.0) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.chemistry import pretty_formula
 from .cluster import spread
-from .shared import small
+from .cluster_large import with_sample
+from .shared import cut, small
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -46,26 +47,69 @@ def mixture_confidence(error: Column, known: bool = False) -> Column:
     return value if known else F.when(error < 2, value)
 
 
-def fit_pairs(points: DataFrame, refs: DataFrame, key: list[str], *, known: bool = False) -> DataFrame:
-    """Every pair of references as a mixture for the points (key, fr) of each cluster.
+def possible_pairs(points: DataFrame, refs: DataFrame, key: list[str], *, most_error: float = 2.0, block: int = 1000) -> DataFrame:
+    """(key, ref1, ref2, h1, h2, w1, w2, f1, f2): the pairs of phases whose error in a cluster may be under ``most_error``; no point is compared with a phase for it.
+
+    exp(15 |x|) - 1 is convex, so a pair's error is at least that of the
+    cluster's centroid at some place of the segment between both phases. Under
+    the limit no feature of that place is farther than t = ln(limit * m + 1) / 15
+    from the centroid's, nor is the place farther than D, where
+    15 D + 112.5 D^2 = limit * m, for m features. Hence a phase takes a share of
+    at most min((centroid + t) / phase) over its features, where fractions are
+    not negative, and the shares of a pair must reach one: pairs meet by bands
+    of that share. Then both phases together must cover each feature, and the
+    segment must pass within D.
+    """
+    m = F.size("mu")
+    long = points.select(*key, F.posexplode("fr").alias("_i", "_x")).groupBy(*key, "_i").agg(F.avg("_x").alias("_m"), F.min("_x").alias("_low"))
+    centres = long.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("mu"), (F.min("_low") >= 0).alias("plain"))  # as many numbers as features
+    phases = refs.select("ref_idx", F.col("fr").alias("h"), F.col("mix_weight").alias("w"), F.col("formula").alias("f"))
+    blocks = max(1, -(-phases.count() // block))
+    # every cluster with every block of phases, a row each: what a cluster may hold is judged phase by phase
+    near = centres.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(phases.withColumn("_b", F.pmod(F.xxhash64("ref_idx"), F.lit(blocks)).cast("int")), "_b")
+    near = near.withColumns({"t": F.log(most_error * m + 1) / 15, "D": (F.sqrt(225 + 450 * most_error * m) - 15) / 225})
+    share = F.array_min(F.zip_with("mu", "h", lambda x, y: F.when(y > 0, (x + F.col("t")) / y).otherwise(1.0)))
+    plain = F.col("plain") & F.forall("h", lambda x: x >= 0)
+    near = near.withColumn("share", F.when(plain, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))).otherwise(1.0))
+    slack = 1e-9
+    band = lambda x: F.floor(x * 20).cast("int")
+    one = near.select(*key, "mu", "t", "D", "plain", *[F.col(c).alias(n) for c, n in (("ref_idx", "ref1"), ("h", "h1"), ("w", "w1"), ("f", "f1"), ("share", "s1"))], band(F.greatest(F.lit(0.0), 1 - F.col("share") - slack)).alias("_band"))
+    two = near.select(*key, *[F.col(c).alias(n) for c, n in (("ref_idx", "ref2"), ("h", "h2"), ("w", "w2"), ("f", "f2"), ("share", "s2"))], F.explode(F.sequence(F.lit(0), band(F.col("share") + slack))).alias("_band"))
+    met = one.join(two, [*key, "_band"]).where((F.col("ref1") < F.col("ref2")) & (F.col("s1") + F.col("s2") >= 1 - slack))
+    covered = F.forall(F.zip_with("mu", F.zip_with("h1", "h2", lambda x, y: F.greatest(x, y)), lambda x, y: y + F.col("t") + slack >= x), lambda ok: ok)
+    place = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(mixing_share(F.col("mu"), F.col("h1"), F.col("h2")), F.lit(0.0))))
+    apart = lambda w: F.aggregate(F.zip_with("mu", F.zip_with("h1", "h2", lambda a, b: a * w + b * (1 - w)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, e: s + e)
+    met = met.where(covered).withColumn("_w", place)
+    return met.where(apart(F.col("_w")) <= F.pow(F.col("D"), 2) + slack).select(*key, "ref1", "ref2", "h1", "h2", "w1", "w2", "f1", "f2")
+
+
+def fit_pairs(points: DataFrame, refs: DataFrame, key: list[str], *, known: bool = False, every: bool = False) -> DataFrame:
+    """Pairs of references as mixtures for the points (key, fr) of each cluster: those of an error under 2, which alone have a confidence; ``known`` or ``every``: all pairs.
 
     Rows decouple, so each point's share has a closed form. Columns: ref1,
     ref2, name (both formulas), n, error, conf, molar_fr_mean, molar_fr_std (n)
-    and mol_ratio. ``refs`` is the user's list of phases; the pairs' number is
-    checked before they are broadcast.
+    and mol_ratio. Pairs are bounded from the centroid before points meet them
+    (``possible_pairs``), for any number of phases; all pairs are for a list of
+    known ones, whose number is checked.
     """
-    few = small(refs, 500)
-    a = few.select(F.col("ref_idx").alias("ref1"), F.col("fr").alias("h1"), F.col("mix_weight").alias("w1"), F.col("formula").alias("f1"))
-    b = few.select(F.col("ref_idx").alias("ref2"), F.col("fr").alias("h2"), F.col("mix_weight").alias("w2"), F.col("formula").alias("f2"))
-    pairs = a.join(b, F.col("ref1") < F.col("ref2"))
-    each = points.join(F.broadcast(pairs), F.lit(True)).withColumn("share", mixing_share(F.col("fr"), F.col("h1"), F.col("h2"))).where("share is not null")
+    if known or every:
+        few = small(refs, 500)
+        a = few.select(F.col("ref_idx").alias("ref1"), F.col("fr").alias("h1"), F.col("mix_weight").alias("w1"), F.col("formula").alias("f1"))
+        b = few.select(F.col("ref_idx").alias("ref2"), F.col("fr").alias("h2"), F.col("mix_weight").alias("w2"), F.col("formula").alias("f2"))
+        met = points.join(F.broadcast(a.join(b, F.col("ref1") < F.col("ref2"))), F.lit(True))
+    else:
+        own = points.select(*key, "fr", F.xxhash64("fr").alias("_point"))
+        pairs = cut(possible_pairs(own, refs, key))
+        first = refs.select(F.size("fr").alias("n")).first()
+        met = with_sample(own, pairs, key, "_point", 2 * first.n + 8 if first else 8)
+    each = met.withColumn("share", mixing_share(F.col("fr"), F.col("h1"), F.col("h2"))).where("share is not null")
     each = each.withColumns({
         "_e": reconstruction_error(F.col("fr"), F.col("h1"), F.col("h2"), F.col("share")), "_k": F.size("fr"),
         "_m": molar_fraction(F.col("share"), F.col("w1"), F.col("w2")),
     })
     out = each.groupBy(*key, "ref1", "ref2", F.concat_ws(", ", "f1", "f2").alias("name")).agg(F.count(F.lit(1)).alias("n"), (F.sum("_e") / F.sum("_k")).alias("error"), F.avg("_m").alias("molar_fr_mean"), F.stddev_pop("_m").alias("molar_fr_std"))
     out = out.withColumn("conf", mixture_confidence(F.col("error"), known))
-    return out.withColumn("mol_ratio", F.col("molar_fr_mean") / (1 - F.col("molar_fr_mean")))
+    return (out if known or every else out.where("conf is not null")).withColumn("mol_ratio", F.col("molar_fr_mean") / F.nullif(1 - F.col("molar_fr_mean"), F.lit(0.0)))
 
 
 def ranked_mixtures(fits: DataFrame, key: list[str], digits: int = 2) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.chemistry import formula_mass, mass_fractions_of, parse_formula
-from .shared import small
 
 
 def reference_phases(spark: SparkSession, formulas: list[str], elements: list[str], *, by_mass: bool = False) -> tuple[DataFrame, list[str]]:
@@ -38,17 +37,51 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def _pivots(refs: DataFrame, n: int = 3, sample: int = 1000) -> list[list[float]]:
+    """A few reference phases far from each other, of ``sample`` of them at most; any pivots give the same matches."""
+    some = [r.fr for r in refs.orderBy(F.xxhash64("ref_idx"), "ref_idx").select("fr").limit(sample).collect() if r.fr]
+    kept = some[:1]
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    while len(kept) < min(n, len(some)):
+        kept.append(max(some, key=lambda p: min(gap(p, q) for q in kept)))
+    return kept
+
+
+def near_references(centroids: DataFrame, refs: DataFrame, *, reach: float = 0.1, times_rms: float = 5.0) -> DataFrame:
+    """``centroids`` (fr, rms, ...) with each phase of ``refs`` under max(reach, times_rms * rms), and its ``distance``: an equi-join, for any number of phases.
+
+    By the triangle inequality a phase within t of a centroid is, from any
+    pivot, at most t nearer or farther than the centroid. Distances to three
+    pivots, in bands as wide as t or wider, are the join's keys: widths are
+    ``reach`` times a power of two, and a centroid looks into at most three
+    bands a pivot. Exact distances decide.
+    """
+    pivots = [F.array(*[F.lit(float(x)) for x in p]) for p in _pivots(refs)]
+    t = F.greatest(F.lit(reach), F.col("rms") * times_rms)
+    level = F.greatest(F.lit(0.0), F.ceil(F.log2(t / reach))).cast("int")
+    width = lambda: F.lit(reach) * F.pow(F.lit(2.0), F.col("_level"))
+    around = centroids.withColumns({"_t": t, "_level": level})
+    levels = sorted(r[0] for r in around.select("_level").distinct().collect() if r[0] is not None)  # a few powers of two
+    for i, pivot in enumerate(pivots):
+        far = F.coalesce(distance(F.col("fr"), pivot), F.lit(0.0))
+        room = F.col("_t") * (1 + 1e-9) + 1e-12
+        around = around.withColumn(f"_b{i}", F.explode(F.sequence(F.floor((far - room) / width()), F.floor((far + room) / width()))))
+    keys = ["_level", *[f"_b{i}" for i in range(len(pivots))]]
+    phases = refs.select("ref_idx", "formula", F.col("fr").alias("ref_fr")).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    for i, pivot in enumerate(pivots):
+        phases = phases.withColumn(f"_b{i}", F.floor(distance(F.col("ref_fr"), pivot) / width()))
+    met = around.join(phases, keys).withColumn("distance", distance(F.col("fr"), F.col("ref_fr")))
+    return met.where(F.col("distance") < F.col("_t")).drop("_t", *keys)
+
+
 def match_references(centroids: DataFrame, refs: DataFrame, key: list[str], *, sigma: float = 0.03, ambiguity: float = 0.3, reach: float = 0.1, times_rms: float = 5.0) -> DataFrame:
     """References near each centroid (key, fr, rms): distance, raw and ambiguity-normalised confidence.
 
     A reference is near under max(reach, times_rms * rms). The raw confidence
     is c = exp(-d^2 / 2 sigma^2); w = exp(-(1 - c)^2 / 2 ambiguity^2), scaled
     to a sum of one over the cluster's references, multiplies it.
-    ``refs`` is a list of phases given by the user; its size is checked before
-    it is broadcast.
     """
-    near = centroids.join(small(refs.select("ref_idx", "formula", F.col("fr").alias("ref_fr"))), F.lit(True)).withColumn("distance", distance(F.col("fr"), F.col("ref_fr")))
-    near = near.where(F.col("distance") < F.greatest(F.lit(reach), F.col("rms") * times_rms))
+    near = near_references(centroids, refs, reach=reach, times_rms=times_rms)
     raw = F.exp(-F.col("distance") * F.col("distance") / (2 * sigma * sigma))
     near = near.withColumn("raw_conf", raw).withColumn("_w", F.exp(-F.pow(1 - F.col("raw_conf"), 2) / (2 * ambiguity * ambiguity)))
     return near.withColumn("conf", F.col("raw_conf") * F.col("_w") / F.sum("_w").over(W.partitionBy(*key))).drop("_w", "ref_fr")

@@ -125,10 +125,12 @@ round(quantile_cont(diameter, 0.1), 6) AS d10, round(quantile_cont(diameter, 0.2
     "particle_histogram": f"""WITH {_D}, e AS (SELECT min(diameter) AS a, max(diameter) AS b, (max(diameter) - min(diameter)) / 20 AS w FROM ar),
 c AS (SELECT least(19, floor((diameter - a) / w))::INT AS bin, count(*) AS n FROM ar CROSS JOIN e GROUP BY 1)
 SELECT i::INT AS bin, round(a + i * w, 6) AS lo, round(a + (i + 1) * w, 6) AS hi, coalesce(n, 0) AS n FROM range(20) r(i) CROSS JOIN e LEFT JOIN c ON c.bin = i""",
-    "grid_frames": """WITH g AS (SELECT 'circle' AS shape, 13 AS nx, 17 AS ny, 0.25 AS s, 0.75 AS r, 3.0 - 0.25 * sqrt(1 + 0.75 * 0.75) AS h, 0.0 AS cx, 0.0 AS cy UNION ALL SELECT 'square', 5, 5, 0.5, 1.0, 2.0, 1.0, -1.0),
-p AS (SELECT shape, nx, ny, i - nx AS i, j - ny AS j, s, r, h, cx, cy FROM g CROSS JOIN range(100) a(i) CROSS JOIN range(100) b(j) WHERE i <= 2 * nx AND j <= 2 * ny)
-SELECT CASE WHEN i + nx < 26 THEN chr((65 + i + nx)::INT) ELSE 'A' || chr((65 + i + nx - 26)::INT) END || (j + ny) AS label, round((i * s + cx)::DOUBLE, 6) AS x, round((j * s * r + cy)::DOUBLE, 6) AS y, shape FROM p
-WHERE CASE WHEN shape = 'circle' THEN (i * s) ** 2 + (j * s * r) ** 2 < h * h ELSE abs(i * s) <= h AND abs(j * s * r) <= h * r END""",
+    "grid_frames": """WITH c AS (SELECT c_custkey, (1.5 + c_custkey % 4 * 0.5)::DOUBLE AS hw, (0.25 + c_custkey % 3 * 0.25)::DOUBLE AS s, CASE WHEN c_custkey % 2 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS r, c_custkey % 2 = 0 AS circle, c_custkey % 10 AS cx, -(c_custkey % 7) AS cy FROM customer),
+g AS (SELECT *, CASE WHEN circle THEN hw - s * sqrt(1 + r * r) ELSE hw END AS h, floor(hw / s)::INT + 1 AS nx, floor(hw / (s * r))::INT + 1 AS ny FROM c),
+i AS (SELECT *, unnest(range(-nx, nx + 1)) AS i FROM g),
+p AS (SELECT *, unnest(range(-ny, ny + 1)) AS j FROM i)
+SELECT c_custkey, CASE WHEN i + nx < 26 THEN chr((65 + i + nx)::INT) ELSE 'A' || chr((65 + i + nx - 26)::INT) END || (j + ny) AS label, round((i * s + cx)::DOUBLE, 6) AS x, round((j * (s * r) + cy)::DOUBLE, 6) AS y FROM p
+WHERE CASE WHEN circle THEN (i * s) * (i * s) + (j * (s * r)) * (j * (s * r)) < h * h ELSE abs(i * s) <= h AND abs(j * (s * r)) <= h * r END""",
     "frame_coordinates": """WITH p AS (SELECT p_partkey, (p_size * 10.0)::DOUBLE AS px, (p_partkey % 700 * 1.0)::DOUBLE AS py FROM part)
 SELECT p_partkey, px, py, round(px / 1024 - 0.5, 6) AS rx, round((py / 768 - 0.5) * 0.75, 6) AS ry, px AS bx, py AS by FROM p""",
     "excel_letters": """WITH o AS (SELECT o_orderkey, (o_orderkey % 20000)::INT AS i FROM orders)
@@ -154,8 +156,25 @@ UNION ALL SELECT s_nationkey, 'mean', round(avg(s_acctbal), 5) FROM supplier GRO
     "eligible_lines": f"""WITH {_LINES}, s AS (SELECT * FROM li WHERE 15.0 / e > greatest(0.99 * 15.0 / 11.0, 1.2) AND e > 0.3 - 3 * 0.03),
 k AS (SELECT element, line, e, w, 'line' AS kind, e AS kev FROM s UNION ALL SELECT element, line, e, w, 'escSiKa', e - 1.74 FROM s WHERE w > 0.3 AND e > 1.74 UNION ALL SELECT element, line, e, w, 'pileup', 2 * e FROM s WHERE w > 0.3 AND 2 * e < 11)
 SELECT element, line, kind, round(kev, 6) AS energy_kev, w AS weight FROM k""",
-    "reference_lines": """SELECT element, line, has_la1, CASE left(line, 1) WHEN 'K' THEN 'Ka1' WHEN 'L' THEN CASE WHEN has_la1 THEN 'La1' ELSE 'Ll' END ELSE CASE WHEN element IN ('Pb', 'Pr') THEN 'Ma1' ELSE 'Mz1' END END AS ref
-FROM (VALUES ('Fe'), ('Pb'), ('Ba'), ('Ca'), ('Ce'), ('Pr')) a(element) CROSS JOIN (VALUES ('Kb1'), ('Lb1'), ('Mb'), ('N4')) b(line) CROSS JOIN (VALUES (true), (false)) c(has_la1)""",
+    "reference_lines": """WITH p AS (SELECT p_partkey, ['Fe', 'Pb', 'Ba', 'Ca', 'Ce', 'Pr'][p_partkey % 6 + 1] AS element, ['Kb1', 'Lb1', 'Mb', 'N4'][p_size % 4 + 1] AS line, p_partkey % 5 < 2 AS has_la1 FROM part)
+SELECT *, CASE left(line, 1) WHEN 'K' THEN 'Ka1' WHEN 'L' THEN CASE WHEN has_la1 THEN 'La1' ELSE 'Ll' END ELSE CASE WHEN element IN ('Pb', 'Pr') THEN 'Ma1' ELSE 'Mz1' END END AS ref FROM p""",
+    "histogram_fit": """WITH RECURSIVE v AS (SELECT label, floor(x::DOUBLE * 50)::BIGINT AS i FROM (SELECT label, unnest(embedding) AS x FROM embeddings WHERE label IS NOT NULL) WHERE x IS NOT NULL AND NOT isnan(x)),
+h AS (SELECT label, i, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
+g AS (SELECT label, list({'x': (i / 50.0::DOUBLE + (i + 1) / 50.0::DOUBLE) / 2, 'n': n} ORDER BY i) AS b, max(n) AS top, arg_max((i / 50.0::DOUBLE + (i + 1) / 50.0::DOUBLE) / 2, (n, -i)) AS c0, greatest((max(i) - min(i)) / 50.0::DOUBLE, 1e-9) / 10 AS w0 FROM h GROUP BY label HAVING count(*) >= 3),
+r AS (
+  SELECT label, b, top AS a, c0 AS c, w0 AS w, list_sum([(top / (1 + ((p.x - c0) / w0) ** 2) - p.n) ** 2 FOR p IN b]) AS sse, 0.001::DOUBLE AS damp, 0 AS rounds, false AS done FROM g
+  UNION ALL
+  SELECT label, b, CASE WHEN s2 < sse THEN na ELSE a END, CASE WHEN s2 < sse THEN nc ELSE c END, CASE WHEN s2 < sse THEN nw ELSE w END, CASE WHEN s2 < sse THEN s2 ELSE sse END, CASE WHEN s2 < sse THEN damp / 10 ELSE damp * 10 END, rounds + 1,
+    (abs(na - a) <= 1e-10 * greatest(abs(a), 1e-9) AND abs(nc - c) <= 1e-10 * greatest(abs(c), 1e-9) AND abs(nw - w) <= 1e-10 * greatest(abs(w), 1e-9)) OR damp > 1e12
+  FROM (SELECT *, list_sum([(na / (1 + ((p.x - nc) / nw) ** 2) - p.n) ** 2 FOR p IN b]) AS s2
+  FROM (SELECT *, greatest(0, a - (ra * (cc * ww - cw * cw) - ac * (rc * ww - cw * rw) + aw * (rc * cw - cc * rw)) / det) AS na, c - (aa * (rc * ww - cw * rw) - ra * (ac * ww - cw * aw) + aw * (ac * rw - rc * aw)) / det AS nc,
+    greatest(1e-12, abs(w - (aa * (cc * rw - rc * cw) - ac * (ac * rw - rc * aw) + ra * (ac * cw - cc * aw)) / det)) AS nw
+  FROM (SELECT *, aa * (cc * ww - cw * cw) - ac * (ac * ww - cw * aw) + aw * (ac * cw - cc * aw) AS det
+  FROM (SELECT *, list_sum([x.a * x.a FOR x IN j]) * (1 + damp) AS aa, list_sum([x.c * x.c FOR x IN j]) * (1 + damp) AS cc, list_sum([x.w * x.w FOR x IN j]) * (1 + damp) AS ww, list_sum([x.a * x.c FOR x IN j]) AS ac, list_sum([x.a * x.w FOR x IN j]) AS aw,
+    list_sum([x.c * x.w FOR x IN j]) AS cw, list_sum([x.a * x.r FOR x IN j]) AS ra, list_sum([x.c * x.r FOR x IN j]) AS rc, list_sum([x.w * x.r FOR x IN j]) AS rw
+  FROM (SELECT *, [{'a': q.s, 'c': 2 * a * q.s * q.s * q.q / w, 'w': 2 * a * q.s * q.s * q.q * q.q / w, 'r': a * q.s - q.n} FOR q IN [{'q': (p.x - c) / w, 's': 1 / (1 + ((p.x - c) / w) ** 2), 'n': p.n} FOR p IN b]] AS j FROM r WHERE NOT done AND rounds < 100)))))),
+f AS (SELECT * FROM r QUALIFY rounds = max(rounds) OVER (PARTITION BY label))
+SELECT label, round(a, 5) AS height, round(c, 5) AS center, round(w, 5) AS width FROM f""",
     "zaf_factors": f"""WITH {_C}, {_LINES}, w AS (SELECT l_suppkey, element, z, mass AS a, w_fr AS w, ln(11.5 * z / 1000) AS lj, (-52.3791 + 150.48371 * z - 1.67373 * z ** 2 + 0.00716 * z ** 3) * 1e-4 * (1 + (-1112.8 + 30.289 * z - 0.15498 * z ** 2) * 1e-4 * ln(15.0 / 20)) AS eta FROM c),
 m AS (SELECT l_suppkey, sum(w * z ** 1.75 / a) / sum(w * z ** 0.75 / a) AS zm, sum(w * z / a) AS m, sum(w * z / a * lj) / sum(w * z / a) AS lj, sum(w * (0.05 + 0.001 * z)) AS beta, sum(w * eta) AS eta, sum(w * 3000.0 * z ** 1.5 / 100) AS mu FROM w GROUP BY l_suppkey),
 r AS (SELECT w.l_suppkey, w.element, e, zm, m.m AS mm, m.lj AS mlj, beta, m.eta, mu / e ** 2 AS mu, w.z AS z, w.a AS a, w.lj AS lj, 15.0 / e AS u FROM w JOIN m USING (l_suppkey) JOIN li ON li.element = w.element AND li.line = 'Ka1'),

@@ -248,7 +248,7 @@ def convergence_by_sample(spark, d):
 
 def pairwise_mixture_fit(spark, d):
     pts = points(spark, d, 0.03)
-    fits = mixtures.fit_pairs(pts, _phases(pts), ["label"])
+    fits = mixtures.fit_pairs(pts, _phases(pts), ["label"], every=True)
     return _round(fits.select("label", "ref1", "ref2", "n", "error", "conf", "molar_fr_mean", "molar_fr_std"), 5)
 
 
@@ -411,8 +411,10 @@ def fwhm_sigma(spark, d):
 
 
 def grid_frames(spark, d):
-    round_ = geometry.grid(spark, half_width=3.0, spacing=0.25, ratio=0.75, margin=True).withColumn("shape", F.lit("circle"))
-    return _round(round_.unionByName(geometry.grid(spark, half_width=2.0, spacing=0.5, circle=False, centre=(1.0, -1.0)).withColumn("shape", F.lit("square"))))
+    """Frames of the grid of each customer's sample: even ones are round with a margin, odd ones square, with sizes, spacings and centres of their own."""
+    key = F.col("c_custkey")
+    given = _t(spark, d, "customer").select("c_custkey", (F.lit(1.5) + key % 4 * 0.5).alias("half_width"), (F.lit(0.25) + key % 3 * 0.25).alias("spacing"), F.when(key % 2 == 0, 0.75).otherwise(1.0).alias("ratio"), (key % 2 == 0).alias("circle"), (key % 2 == 0).alias("margin"), (key % 10 * 1.0).alias("cx"), (key % 7 * -1.0).alias("cy"))
+    return _round(geometry.grids(given, ["c_custkey"]))
 
 
 def frame_coordinates(spark, d):
@@ -488,7 +490,10 @@ def eligible_lines(spark, d):
 
 
 def reference_lines(spark, d):
-    rows = spark.createDataFrame([(e, l, has) for e in ("Fe", "Pb", "Ba", "Ca", "Ce", "Pr") for l in ("Kb1", "Lb1", "Mb", "N4") for has in (True, False)], "element string, line string, has_la1 boolean")
+    """The line to which a part's line is tied, where parts name an element, a line and whether there is a La1."""
+    of = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+    k = F.col("p_partkey")
+    rows = _t(spark, d, "part").select("p_partkey", of(["Fe", "Pb", "Ba", "Ca", "Ce", "Pr"], k % 6).alias("element"), of(["Kb1", "Lb1", "Mb", "N4"], F.col("p_size") % 4).alias("line"), (k % 5 < 2).alias("has_la1"))
     return rows.select("*", lines.reference_line(F.col("element"), F.col("line"), F.col("has_la1")).alias("ref"))
 
 
@@ -554,8 +559,11 @@ def shuffled_frames(spark, d):
 
 
 def histogram_fit(spark, d):
-    bins = stats.histogram(_areas(spark, d), "diameter").withColumn("k", F.lit(1))
-    return _round(calibration.lorentzian_of_histogram(bins, ["k"]), 3)
+    """A Lorentzian through the histogram of all components of each label's vectors."""
+    v = _t(spark, d, "embeddings").where("label is not null").select("label", F.explode("embedding").alias("x"))
+    bins = v.where("x is not null and not isnan(x)").groupBy("label", F.floor(F.col("x").cast("double") * 50).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    bins = bins.select("label", (F.col("i") / 50).alias("lo"), ((F.col("i") + 1) / 50).alias("hi"), "n")
+    return _round(calibration.lorentzian_of_histogram(bins, ["label"]).drop("rounds"), 5)
 
 
 def kmeans_labels(spark, d):
