@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkspec.llm import langid, licenses, minhash
 from sparkspec.llm.components import components, roots
-from sparkspec.llm.langid import ContextTrees, identify, learn
+from sparkspec.llm.langid import ContextTrees, gram_counts, identify, learn
 from sparkspec.llm.licenses import scan
 from sparkspec.llm.lines import dedup_lines
 from sparkspec.llm.minhash import drop_near_duplicates, near_duplicates
@@ -341,23 +341,43 @@ def brute_ppm(sample, text, order):
     return total
 
 
+def trees_of(sample, order=3, **how):
+    joined = lambda texts: gram_counts(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64), order)
+    return ContextTrees({name: joined(texts) for name, texts in sample.items()}, order, **how)
+
+
 @pytest.mark.parametrize("order", [0, 1, 3, 6])
 def test_code_lengths_equal_brute_force(order):
     rng = random.Random(order)
     sample = {"a": [b"the cat sat on the mat", b"The dog", b"a"], "b": ["été après la pluie".encode(), b"le chat"], "c": [bytes(rng.randrange(256) for _ in range(300))], "d": []}
-    trees = ContextTrees(sample, **({} if order == 3 else {"order": order}))
+    trees = trees_of(sample, order)
     texts = [b"the cat", "été".encode(), b"T", b"", b"le the 12", "привет, 日本".encode(), b"mat", bytes(range(256)), b"\x00\xff"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
     got = trees.lengths(data, offsets)
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx([brute_ppm(sample[n], t, order) for n in "abcd"], rel=1e-5)
-    with pytest.raises(ValueError):
-        ContextTrees(sample, most_bytes=100)
+    small = trees_of(sample, order, most_bytes=100)  # too little even for order 0, which is what is left
+    assert small.order == 0 and small.lowered == order
+    assert small.lengths(data, offsets)[1] == pytest.approx([brute_ppm(sample[n], texts[1], 0) for n in "abcd"], rel=1e-5)
+
+
+def test_many_languages_lower_the_order():
+    """A hundred languages of letters of their own: tables stay within their bytes, and every language is told."""
+    rng = np.random.default_rng(9)
+    alphabets = [rng.permutation(26)[:12] + 97 for _ in range(100)]
+    sample = {f"l{i:02d}": [rng.choice(a, 4000).astype(np.uint8).tobytes()] for i, a in enumerate(alphabets)}
+    whole, small = trees_of(sample), trees_of(sample, most_bytes=1 << 20)
+    assert (whole.order, small.order, small.lowered) == (3, 1, 2)
+    for trees in (whole, small):
+        assert trees.grams.values.nbytes + trees.escapes.values.nbytes <= 128 << 20
+        tests = [rng.choice(a, 200).astype(np.uint8).tobytes() for a in alphabets]
+        lengths = trees.lengths(np.frombuffer(b"".join(tests), np.uint8), np.arange(101) * 200)
+        assert (lengths.argmin(axis=1) == np.arange(100)).all()
 
 
 def test_language_scores_tell_mixed_texts():
     sample = {"a": [b"the cat sat on the mat and the dog ran to the house " * 5], "b": ["été après la pluie le chat dort dans la maison ".encode() * 5]}
-    trees = ContextTrees(sample)
+    trees = trees_of(sample)
     shared = type("Shared", (), {"value": trees})
     rows = ["the dog and the cat ran " * 4, ("the dog ran to the house " + "le chat dort dans la pluie ") * 3, "zq7 xx ## kj " * 9]
     batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["t"])
@@ -366,15 +386,24 @@ def test_language_scores_tell_mixed_texts():
 
 
 def test_learning_is_bounded(spark):
-    rows = [(1, "en", "the cat")] * 900 + [(i, "fr" if i % 3 else "en", f"le chat {i}") for i in range(2, 4000)]
-    trees = []
+    rows = [(1, "en", "the cat sat.")] * 900 + [(i, "fr" if i % 3 else "en", f"le chat {i:04d}") for i in range(2, 4000)]
+    made = []
     real = langid.ContextTrees
     try:
-        langid.ContextTrees = lambda texts, order: trees.append(texts)
+        langid.ContextTrees = type("Seen", (), {"__init__": lambda self, counts, order: made.append(counts), "_grams": staticmethod(real._grams)})
         learn(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4))
     finally:
         langid.ContextTrees = real
-    assert {k: len(v) for k, v in trees[0].items()} == {"en": 300, "fr": 300} and len(set(trees[0]["en"])) == 300
+    assert {k: int(n.sum()) for k, (_, n) in made[0].items()} == {"en": 300 * 12, "fr": 300 * 12}
+
+
+def test_learning_gathers_grams_not_texts(spark):
+    """Long texts reach no driver: what is gathered is as many rows as there are different grams."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"), F.repeat(F.when(F.col("id") % 2 == 0, F.lit("abc abd ")).otherwise(F.lit("xyz xyw ")), 200_000).alias("text"))
+    trees = learn(docs)
+    assert len(trees.grams.keys) < 120
+    got = identify(docs.select("doc_id", "text"), trees)
+    assert {(r.doc_id % 2, r.lang_pred) for r in got.collect()} == {(0, "a"), (1, "b")}
 
 
 def test_language_id_rows(spark):

@@ -151,10 +151,17 @@ def test_pipeline_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     odd = spark.createDataFrame([(900, None, None, "src1", 0), (901, "12 34", "en", None, 5), (902, "the and of the is", None, "src0", 17)], "doc_id long, text string, lang string, source string, n_chars long")
+    # of no learned language, and held out so that they teach none; the last three stay: two languages in turn, numbers in a text, a short foreign one
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 4
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 4
+    sides = [r.text for lang in ("de", "en") for r in docs.where(f"lang = '{lang}' and n_chars > 400").orderBy("doc_id").limit(1).collect()]
+    free = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    planted = [(free[0], finnish, None), (free[1], russian, "en"), (free[2], sides[0][:400] + " " + sides[1][:400], None), (free[3], "call +1 (168) 555-5254 or 8316107434564120 with key 9dd3c80004c73dc9e548fee51 " + sides[1][:150], "en"), (free[4], "да", None)]
+    odd = odd.unionAll(spark.createDataFrame([(i, t, lang, "src1", len(t)) for i, t, lang in planted], odd.schema))
     now = docs.select(*p.COLUMNS).unionByName(odd).persist()
     one = p.language_id(spark, now, d).persist()
     ids = {r.doc_id for r in one.collect()}
-    assert ids == {r.doc_id for r in now.collect()} - {900, 901} and one.where("doc_id = 902").first().lang == "en"
+    assert ids == {r.doc_id for r in now.collect()} - {900, 901, free[0], free[1]} and one.where("doc_id = 902").first().lang == "en"
     two = p.line_dedup(spark, one, d).persist()
     key = lambda l: l.strip(" \t\n\x0b\x0c\r").translate(LOW)
     held = {}
