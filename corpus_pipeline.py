@@ -20,19 +20,21 @@ from sparkspec.llm.mixing import mix, mixed_documents
 from sparkspec.llm.work import Work, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Texts in two languages score about a half; under this no language explains a text better than the others.
-LEAST_SCORE = 0.3
+#: Nats that the best language may cost a text beyond plain bytes: more, and the text is in none of the learned languages.
+MOST_LOST = 100.0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language or with a score under ``LEAST_SCORE``; a missing ``lang`` is filled in.
+    """Drop documents without a language, and those in none of the learned ones; a missing ``lang`` is filled in.
 
-    A null or empty text, and one without a letter, has no language and goes.
+    A text is in none where the best language's code is longer than its plain
+    bytes by ``MOST_LOST``. The rule looks at no other language, so it works
+    for any number of them; a text in two learned languages stays. A null or empty text, and one without a letter, has no language and goes.
     Rows that repeat, or have no doc_id, are judged each by their text.
     """
     docs = docs.select(*COLUMNS)
-    named = identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    named = identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("saved") > -MOST_LOST))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
