@@ -229,6 +229,8 @@ g AS (SELECT s, k, i, sum(n * m) / sum(n) AS gm FROM m4 GROUP BY ALL),
 b AS (SELECT m4.s, m4.k, sum(n * (m - gm) ** 2) AS between_ FROM m4 JOIN g USING (s, k, i) GROUP BY ALL),
 h AS (SELECT s, k, any_value(between_) / sum(inertia) * (sum(n) - count(*)) / (count(*) - 1) AS ch FROM t JOIN b USING (s, k) GROUP BY ALL)
 SELECT s AS sample_id, k, cluster::INT AS cluster, n, round(inertia, 6) AS inertia, round(ch, 6) AS calinski_harabasz FROM t JOIN h USING (s, k)""",
+    "spectra_source": """SELECT label::VARCHAR AS sample_id, vec_id AS spectrum_id, (vec_id % 7 - 1)::INT AS quant_flag, CASE WHEN vec_id % 100 >= 0 THEN round((vec_id % 100) / 100.0::DOUBLE, 6) END AS fe,
+  list_sum([floor(abs(x::DOUBLE) * 1000) FOR x IN embedding]) AS total FROM embeddings WHERE label IN (1, 4, 7)""",
     "latest_version": "SELECT doc_id, 1 - quality AS quality, count(*) OVER () AS n_rows FROM labels WHERE doc_id IS NOT NULL",
     "image_regions": """WITH RECURSIVE e AS (SELECT floor(vec_id / 64)::BIGINT AS image, vec_id % 64 AS y, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings),
 p AS (SELECT image, y, x, image * 100000 + y * 1000 + x AS id FROM e WHERE v::DOUBLE > 0.08::DOUBLE),

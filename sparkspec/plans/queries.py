@@ -17,7 +17,7 @@ from ..operators import calibration, cluster, cluster_large, corrections, interp
 from ..operators.fitting import quantified
 from ..operators.images import segment_particles
 from ..physics.fit import Instrument, Tables, simulate
-from ..sources import writers
+from ..sources import formats, writers
 from ..sources.versions import Versions
 from ..operators.shared import shared_folder
 from ..streaming.acquisition import particles_until as until
@@ -642,6 +642,19 @@ def particles_in_images(spark, d):
     return segment_particles(images, least_um2=1.0)
 
 
+def spectra_source(spark, d):
+    """Vectors as spectra tables, a directory for each label, read back by their format with a filter that opens the directories of three labels."""
+    v = _t(spark, d, "embeddings").where("label is not null")
+    counts = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("double"))
+    rows = v.select(F.col("label").cast("string").alias("sample_id"), F.col("vec_id").alias("spectrum_id"), (F.col("vec_id") % 7 - 1).cast("int").alias("quant_flag"), F.create_map(F.lit("Fe"), (F.col("vec_id") % 100) / 100).alias("w_fr"), counts.alias("counts"))
+    at = shared_folder(spark, "spectra")
+    keyed = rows.select("sample_id", F.col("spectrum_id").alias("Spectrum #"), F.bround(F.element_at("w_fr", "Fe") * 100, 2).alias("Fe_w%"), F.col("quant_flag").alias("Quant_flag"), F.concat(F.lit("["), F.array_join(F.transform("counts", lambda x: x.cast("string")), ","), F.lit("]")).alias("Spectrum"))
+    keyed.write.partitionBy("sample_id").option("header", True).option("escape", '"').csv(f"{at}/tables")
+    read = formats.load(spark, "spectra_csv", f"{at}/tables", "sample_id string, spectrum_id long, quant_flag int, w_fr map<string,double>, counts array<double>")
+    some = read.where(F.col("sample_id").isin("1", "4", "7"))
+    return _round(some.select("sample_id", "spectrum_id", "quant_flag", F.element_at("w_fr", "Fe").alias("fe"), F.aggregate("counts", F.lit(0.0), lambda s, x: s + x).alias("total")))
+
+
 def latest_version(spark, d):
     """Quality labels written as three versions, the last of them cut off before its manifest: what a reader sees, with the number of rows that the manifest states."""
     rows = _t(spark, d, "labels").where("doc_id is not null")
@@ -692,5 +705,5 @@ QUERIES = {f.__name__: f for f in (
     element_frequency, fit_summary_rows, eligible_lines, reference_lines, zaf_factors, zaf_fixed_point, formulas_read, pretty_formulas,
     width_calibration, calibration_lookup, convergence_by_sample, fit_quality, post_fit_flag_strict, reference_background, background_comments, peak_windows, element_sets, mixture_ranking, known_mixture,
     single_phase, clusters_csv, spectra_csv, particle_table, standard_results, standards_for_formulas, missing_reference, edge_particles, particles_until, stage_coordinates, grid_offsets, fwhm_sigma,
-    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, kmeans_rounds, free_mixture, fit_peaks, particles_in_images, image_regions, latest_version, acquisition_rounds, flagship,
+    sample_accuracy, shuffled_frames, histogram_fit, kmeans_labels, k_selection, kmeans_rounds, free_mixture, fit_peaks, particles_in_images, image_regions, latest_version, spectra_source, acquisition_rounds, flagship,
 )}

@@ -18,17 +18,12 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators import refs
 from ..operators.shared import ship
+from ..sources.formats import filesystem
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PHASES = "sample_id string, round int, admitted long, n_results long, ended boolean, cluster_id long, n_points long, fr array<double>, rms double"
 
 
-def _filesystem(store: str) -> tuple[fs.FileSystem, str]:
-    if store.startswith("file:") or ":" not in store:
-        return fs.LocalFileSystem(), "/" + store.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(store)
-
-
 def _names(system: fs.FileSystem, at: str) -> list[fs.FileInfo]:
     return [f for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True)) if not f.base_name.startswith(("_", "."))]
 
@@ -65,14 +60,14 @@ class QuotaReader(DataSourceStreamReader):
         return {"round": 0}
 
     def latestOffset(self) -> dict:
-        system, root = _filesystem(self.store)
+        system, root = filesystem(self.store)
         ended = _committed(system, root)
         more = not ended or ended[-1]["open"] > 0
         there = system.get_file_info(f"{root}/queue/round={len(ended)}").type == fs.FileType.Directory
         return {"round": len(ended) + (1 if more and there else 0)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        system, root = _filesystem(self.store)
+        system, root = filesystem(self.store)
         out = []
         for r in range(start["round"], end["round"]):
             for part in _names(system, f"{root}/queue/round={r}"):
@@ -80,7 +75,7 @@ class QuotaReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: InputPartition) -> Iterator:
-        system, root = _filesystem(self.store)
+        system, root = filesystem(self.store)
         still = None
         if partition.round:
             # an open sample had rows in the round before, and a verdict
@@ -235,7 +230,7 @@ class Rounds:
         out = f"{self.store}/verdicts/batch={batch_id}"
         judged.withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(self.parts)).cast("int")).write.mode("overwrite").partitionBy("part").parquet(out)
         still = self.spark.read.parquet(out).where("not done").count()
-        system, root = _filesystem(self.store)
+        system, root = filesystem(self.store)
         system.create_dir(f"{root}/rounds", recursive=True)
         with system.open_output_stream(f"{root}/rounds/{batch_id}.json") as file:
             file.write(json.dumps({"round": batch_id, "open": still}).encode())
@@ -266,7 +261,7 @@ class Rounds:
             query.stop()
 
     def ended(self) -> bool:
-        system, root = _filesystem(self.store)
+        system, root = filesystem(self.store)
         done = _committed(system, root)
         return bool(done) and (done[-1]["open"] == 0 or system.get_file_info(f"{root}/queue/round={len(done)}").type == fs.FileType.NotFound)
 

@@ -1,10 +1,13 @@
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from sparkspec.config import Clustering
 from sparkspec.operators import standards
-from sparkspec.sources import readers, writers
+from sparkspec.sources import formats, readers, writers
 
 
 def test_spectra_csv_round_trip(spark, tmp_path):
@@ -111,3 +114,58 @@ def test_images(spark):
         images.register_model("threshold_bright", lambda i, s: i)
     df = spark.createDataFrame([(1, float(x), float(y)) for y, x in pts], "p int, x double, y double")
     assert images.select_spots(df, ["p"], n=3, method="even").count() == 3
+
+
+def _files(tmp_path):
+    rng = np.random.default_rng(3)
+    for s in ("S1", "S2", "S3"):
+        (tmp_path / "m" / s).mkdir(parents=True)
+        for i in range(4):
+            head = "#FORMAT : EMSA\n#npoints : 5\n#OFFSET : -0.5\n#XPERCHAN : 10\n#TITLE : a : b\n#TITLE : last\n" if i else "no header\n"
+            body = "".join(f"{rng.integers(0, 9)},\n" for _ in range(3 + i)) + "foo\n1_0\n 2.5e1 \r\n"
+            (tmp_path / "m" / s / f"{i}.msa").write_text(head + "#SPECTRUM : data\n" + body + "#ENDOFDATA :\n")
+    (tmp_path / "m" / "S1" / "notes.txt").write_text("x")
+    return f"file://{tmp_path}/m"
+
+
+def test_emsa_format_equals_the_reader(spark, tmp_path):
+    root = _files(tmp_path)
+    got = formats.load(spark, "emsa", root)
+    want = {r.path.split("file:")[-1].lstrip("/"): (r.meta, r.energy, r.counts) for r in readers.read_msa(spark, f"{root}/*/*.msa").collect()}
+    rows = got.collect()
+    assert len(rows) == 12 and {r.path.lstrip("/"): (r.meta, r.energy, r.counts) for r in rows} == want
+    some = got.where("sample_id in ('S1', 'S3') and spectrum_id = '2' and size(counts) > 1")
+    assert sorted((r.sample_id, r.spectrum_id) for r in some.collect()) == [("S1", "2"), ("S3", "2")]
+    narrow = formats.load(spark, "emsa", root, "spectrum_id string, meta map<string,string>").where("spectrum_id = '1'")
+    assert [r.meta["TITLE"] for r in narrow.collect()] == ["last"] * 3 and narrow.columns == ["spectrum_id", "meta"]
+
+
+def test_filters_choose_the_files(tmp_path):
+    """Files that a filter by key leaves out are in no partition, and those of other filters are left to Spark."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    root = _files(tmp_path)
+    schema = StructType([StructField(c, StringType()) for c in ("sample_id", "spectrum_id")])
+    reader = formats.EmsaReader(schema, {"path": root})
+    other = EqualTo(("meta",), "x")
+    assert list(reader.pushFilters([In(("sample_id",), ("S1", "S3")), EqualTo(("sample_id",), "S3"), EqualTo(("spectrum_id",), "2"), other, EqualTo(("spectrum_id", "x"), "1")])) == [other, EqualTo(("spectrum_id", "x"), "1")]
+    parts = reader.partitions()
+    assert [p[1:] for part in parts for p in part.paths] == [("S3", "2")] and list(reader.read(parts[0])) == [("S3", "2")]
+    small = formats.EmsaReader(schema, {"path": root, "bytes": "200"})
+    assert 3 < len(small.partitions()) <= 12 and sum(len(p.paths) for p in small.partitions()) == 12
+    none = formats.EmsaReader(schema, {"path": root})
+    list(none.pushFilters([EqualTo(("sample_id",), "S9")]))
+    assert list(none.read(none.partitions()[0])) == []
+
+
+def test_spectra_format_equals_the_reader(spark, tmp_path):
+    for s, extra in (("S1", ""), ("S2", "Background,")):
+        (tmp_path / s).mkdir()
+        head = f"Spectrum #,Frame ID,Particle #,x,y,Fe_at%,O_at%,Fe_w%,O_w%,An er w%,r_squared,redchi_sq,Quant_flag,Comments,{extra}Spectrum\n"
+        more = '"[1,2]",' if extra else ""
+        (tmp_path / s / "Data.csv").write_text(head + f'1,A0,,0.100,0.200,40.12,59.88,70.0,30.0,-1.5,0.99,1.2,0,"ok, ""fine""\nand more",{more}"[0,1,2.5]"\n2,A0,3.0,0.1,0.2,,,nan,,,,,2,,{more}"[]"\n3,,,,,,,,,,,,,,{"," if extra else ""}\n')
+    got = formats.load(spark, "spectra_csv", f"file://{tmp_path}")
+    for s in ("S1", "S2"):
+        want = readers.read_spectra(spark, f"file://{tmp_path}/{s}").select(*got.columns).orderBy("spectrum_id").collect()
+        assert got.where(F.col("sample_id") == s).orderBy("spectrum_id").collect() == want
+    assert got.select("comments").where("spectrum_id = 1 and sample_id = 'S2'").first().comments == 'ok, "fine"\nand more'
