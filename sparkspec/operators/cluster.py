@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .shared import cut
@@ -209,14 +210,46 @@ def k_vote(choices: DataFrame, key: list[str], *, last_round: bool = False) -> D
     return out.select(*key, "top_k", F.when(F.col("clear"), F.col("top_k")).otherwise(other).cast("int").alias("accepted_k"))
 
 
-def exact_silhouettes(points: DataFrame, key: list[str], point: str, cluster: str, vector: str, blocks: int = 8) -> DataFrame:
-    """(key, point, cluster, silhouette) by comparing all pairs of each sample, as silhouettes ask for: samples are cut into ``blocks``, and each pair of blocks is a task of its own."""
-    block, all_ = F.pmod(F.xxhash64(point), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    a = points.select(*key, F.col(point).alias("_p"), F.col(cluster).alias("_c"), F.col(vector).alias("_v"), block.alias("_i"), all_.alias("_j"))
-    b = points.select(*key, F.col(point).alias("_q"), F.col(cluster).alias("_d"), F.col(vector).alias("_u"), block.alias("_j"), all_.alias("_i"))
-    d = F.sqrt(F.aggregate(F.zip_with("_v", "_u", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, [*key, "_i", "_j"]).where(F.col("_p") != F.col("_q"))
-    means = pairs.groupBy(*key, "_p", "_c", "_d").agg(F.avg(d).alias("m"))
-    rows = means.groupBy(*key, "_p", "_c").agg(F.max(F.when(F.col("_c") == F.col("_d"), F.col("m"))).alias("own"), F.min(F.when(F.col("_c") != F.col("_d"), F.col("m"))).alias("near"))
+def exact_silhouettes(points: DataFrame, key: list[str], point: str, cluster: str, vector: str, *, block: int = 2048) -> DataFrame:
+    """(key, point, cluster, silhouette), as silhouettes ask for by the distances of all pairs of each sample.
+
+    A sample is cut into blocks of about ``block`` points, and each pair of
+    blocks is a task, which sums the distances of a point to each cluster. So
+    a point is sent once for each block and comes back once for each block
+    and cluster; pairs are never rows. A cluster of one, or without another, has 0.
+    """
+    from .cluster_large import with_sample
+
+    rows = points.select(*key, F.col(point).alias("_p"), F.col(cluster).alias("_c"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    parts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    placed = with_sample(rows, cut(parts), key, "_p", 1).withColumn("_s", F.pmod(F.xxhash64("_p"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*key, "_p", "_c"]) + f", _d {kinds['_c']}, n long, total double"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, flat = table["_s"].to_numpy(), table["_v"].combine_chunks()
+        x = np.asarray(flat.flatten()).reshape(len(side), -1) if len(side) else np.zeros((0, 1))
+        names = table["_c"].combine_chunks().dictionary_encode()
+        of, kinds_ = np.asarray(names.indices), len(names.dictionary)
+        i, j = table["_i"][0].as_py(), table["_j"][0].as_py()
+        out = []
+        for a, b in [(i, j)] if i == j else [(i, j), (j, i)]:
+            left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
+            member = (of[right][:, None] == np.arange(kinds_)).astype(float)
+            d = np.sqrt(np.maximum(0, (x[left] ** 2).sum(1)[:, None] + (x[right] ** 2).sum(1) - 2 * x[left] @ x[right].T))
+            if a == b:
+                np.fill_diagonal(d, 0)
+            total, n = d @ member, np.repeat(member.sum(0, dtype=np.int64)[None].astype(np.int64), len(left), axis=0)
+            if a == b:
+                n[np.arange(len(left)), of[left]] -= 1
+            r, c = np.nonzero(n)
+            rows_ = table.take(pa.array(left[r])).select([*key, "_p", "_c"])
+            out.append(rows_.append_column("_d", names.dictionary.take(pa.array(c))).append_column("n", pa.array(n[r, c].astype(np.int64))).append_column("total", pa.array(total[r, c])))
+        return pa.concat_tables(out)
+
+    pairs = placed.select(*key, "_p", "_c", "_v", "_s", F.least("_s", "_o").alias("_i"), F.greatest("_s", "_o").alias("_j"))
+    means = pairs.groupBy(*key, "_i", "_j").applyInArrow(run, schema).groupBy(*key, "_p", "_c", "_d").agg((F.sum("total") / F.sum("n")).alias("m"))
+    done = means.groupBy(*key, "_p", "_c").agg(F.max(F.when(F.col("_c") == F.col("_d"), F.col("m"))).alias("own"), F.min(F.when(F.col("_c") != F.col("_d"), F.col("m"))).alias("near"))
     score = F.when(F.col("own").isNull() | F.col("near").isNull(), 0.0).otherwise((F.col("near") - F.col("own")) / F.greatest("near", "own"))
-    return rows.select(*key, F.col("_p").alias(point), F.col("_c").alias(cluster), score.alias("silhouette"))
+    return done.select(*key, F.col("_p").alias(point), F.col("_c").alias(cluster), score.alias("silhouette"))

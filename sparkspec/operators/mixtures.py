@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.chemistry import pretty_formula
+from ..functions.formulas import pretty_of
 from .cluster import spread
 from .cluster_large import with_sample
 from .shared import cut, small
@@ -154,24 +155,77 @@ def factor_two(x: np.ndarray, seed: int = 0, tol: float = 1e-3, rounds: int = 10
     return w, h
 
 
-def free_mixture(points: DataFrame, key: list[str], elements: list[str], *, seed: int = 0) -> DataFrame:
+def _ordered(h: np.ndarray, w: np.ndarray | None = None):
+    """Both phases with the one first that comes first by its fractions, descending."""
+    swap = tuple(h[0]) < tuple(h[1])
+    return (h[::-1] if swap else h), (w[:, ::-1] if swap and w is not None else w)
+
+
+def _large_factors(points: DataFrame, key: list[str], *, tol: float = 1e-3, rounds: int = 200) -> DataFrame:
+    """(key, h1, h2) for clusters of any number of points (key, fr, _point): a round sums, over all partitions, what the update of the phases needs of shares and points."""
+    kinds = dict(points.dtypes)
+    dims = points.select(F.size("fr").alias("n")).first().n
+    start = points.groupBy(*key).agg(F.min(F.struct("_point", "fr"))["fr"].alias("h1"), F.max(F.struct("_point", "fr"))["fr"].alias("h2"))
+    now = cut(start)
+    x = [F.col("fr")[i] for i in range(dims)]
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", h1 array<double>, h2 array<double>, moved double"
+
+    def step(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                h = np.array([r.h1, r.h2], float)
+                g, wx = np.array([[r.g11, r.g12], [r.g12, r.g22]]), np.array([[getattr(r, f"a{i}") for i in range(dims)], [getattr(r, f"b{i}") for i in range(dims)]])
+                new = h
+                for _ in range(5):
+                    new = simplex(new - (g @ new - wx) / max(float(np.linalg.eigvalsh(g)[-1]), 1e-12))
+                out.append([*[getattr(r, k) for k in key], new[0].tolist(), new[1].tolist(), float(np.abs(new - h).max())])
+            yield pd.DataFrame(out, columns=[*key, "h1", "h2", "moved"])
+
+    for _ in range(rounds):
+        near = with_sample(points, now, key, "_point", 2 * dims).withColumn("w", F.coalesce(mixing_share(F.col("fr"), F.col("h1"), F.col("h2")), F.lit(0.5)))
+        w, v = F.col("w"), 1 - F.col("w")
+        sums = near.groupBy(*key).agg(F.sum(w * w).alias("g11"), F.sum(w * v).alias("g12"), F.sum(v * v).alias("g22"), *[F.sum(w * c).alias(f"a{i}") for i, c in enumerate(x)], *[F.sum(v * c).alias(f"b{i}") for i, c in enumerate(x)])
+        new = cut(sums.join(now, key).mapInPandas(step, schema))
+        now = new.drop("moved")
+        if new.where(F.col("moved") >= tol).isEmpty():
+            break
+    return now
+
+
+def free_mixture(points: DataFrame, key: list[str], elements: list[str], *, seed: int = 0, most: int = 10_000) -> DataFrame:
     """Two unknown phases for the points (key, fr) of each cluster: formulas, error, confidence, mean share and its deviation (n).
 
-    A cluster is one sample's cluster of at most some hundred spectra, which
-    is what a group holds in one task.
+    A cluster of one sample is some hundred spectra, which one task holds.
+    Those of more than ``most`` points are factored by sums over all
+    partitions, round by round, from their points of least and greatest hash.
     """
     kinds = dict(points.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", formula1 string, formula2 string, error double, conf double, share_mean double, share_std double"
+    named = ", ".join(f"{k} {kinds[k]}" for k in key)
+    schema = f"{named}, formula1 string, formula2 string, error double, conf double, share_mean double, share_std double"
+    formula = lambda row: pretty_formula(dict(zip(elements, row)))
 
     def run(ids, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.array(rows["fr"].tolist(), float)
         x = x[np.lexsort(x.T[::-1])]
         w, h = factor_two(x, seed)
-        if tuple(h[0]) < tuple(h[1]):
-            w, h = w[:, ::-1], h[::-1]
+        h, w = _ordered(h, w)
         error = float((np.exp(15 * np.abs(x - w @ h)) - 1).mean())
-        names = [pretty_formula(dict(zip(elements, row))) for row in h]
         conf = float(np.exp(-(error**2) / 0.5)) if error < 2 else None
-        return pd.DataFrame([[*ids, *names, error, conf, float(w[:, 0].mean()), float(w[:, 0].std())]])
-
-    return spread(points.select(*key, "fr"), key).groupBy(*key).applyInPandas(run, schema)
+        return pd.DataFrame([[*ids, *map(formula, h), error, conf, float(w[:, 0].mean()), float(w[:, 0].std())]])
+
+    rows = points.select(*key, "fr")
+    sizes = cut(rows.groupBy(*key).agg((F.count(F.lit(1)) > most).alias("_large")))
+    if sizes.where("_large").isEmpty():
+        return spread(rows, key).groupBy(*key).applyInPandas(run, schema)
+    sized = rows.join(sizes, key)
+    done = spread(sized.where("not _large").drop("_large"), key).groupBy(*key).applyInPandas(run, schema)
+    many = sized.where("_large").drop("_large").withColumn("_point", F.xxhash64("fr"))
+    swap = F.col("h1") < F.col("h2")
+    found = cut(_large_factors(many, key).select(*key, F.when(swap, F.col("h2")).otherwise(F.col("h1")).alias("h1"), F.when(swap, F.col("h1")).otherwise(F.col("h2")).alias("h2")))
+    each = with_sample(many, found, key, "_point", 2 * 64).withColumn("share", F.coalesce(mixing_share(F.col("fr"), F.col("h1"), F.col("h2")), F.lit(0.5)))
+    each = each.withColumns({"_e": reconstruction_error(F.col("fr"), F.col("h1"), F.col("h2"), F.col("share")), "_k": F.size("fr")})
+    out = each.groupBy(*key).agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), (F.sum("_e") / F.sum("_k")).alias("error"), F.avg("share").alias("share_mean"), F.stddev_pop("share").alias("share_std"))
+    names = F.array(*[F.lit(e) for e in elements])
+    text = lambda c: pretty_of(F.map_from_arrays(names, F.col(c)))
+    return done.unionByName(out.select(*key, text("h1").alias("formula1"), text("h2").alias("formula2"), "error", mixture_confidence(F.col("error")).alias("conf"), "share_mean", "share_std"))

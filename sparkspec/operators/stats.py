@@ -28,10 +28,10 @@ def standards_of_lines(long: DataFrame, key: list[str], value: str = "pb", *, le
 
 def with_summary_rows(wide: DataFrame, key: list[str], label: str, values: list[str]) -> DataFrame:
     """``wide`` and for each group a row labelled ``mean`` and one ``std`` (n - 1)."""
-    mean = wide.groupBy(*key).agg(*[F.avg(v).alias(v) for v in values]).withColumn(label, F.lit("mean"))
-    std = wide.groupBy(*key).agg(*[F.stddev_samp(v).alias(v) for v in values]).withColumn(label, F.lit("std"))
+    both = wide.groupBy(*key).agg(F.array(
+        F.struct(F.lit("mean").alias(label), *[F.avg(v).alias(v) for v in values]), F.struct(F.lit("std").alias(label), *[F.stddev_samp(v).alias(v) for v in values])).alias("_r"))
     rows = wide.select(*key, F.col(label).cast("string").alias(label), *values)
-    return rows.unionByName(mean).unionByName(std)
+    return rows.unionByName(both.select(*key, F.explode("_r").alias("_r")).select(*key, "_r.*"))
 
 
 def particle_statistics(particles: DataFrame, key: list[str], diameter: str = "diameter") -> DataFrame:

@@ -128,6 +128,32 @@ def test_sums_of_a_salted_side(spark):
         assert cluster_large.with_sample(df, side, ["sample_id"], "spectrum_id", 1, most).count() == 80
 
 
+@pytest.mark.parametrize("block", [2048, 9])
+def test_silhouettes_by_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    rows = [(s, i, int(rng.integers(0, 3)) if s == "a" else 0 if i else 7, rng.normal(0, 1, 3).tolist()) for s, n in (("a", 60), ("b", 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "sample_id string, p long, c int, v array<double>").repartition(3)
+    got = {(r.sample_id, r.p): r.silhouette for r in cluster.exact_silhouettes(df, ["sample_id"], "p", "c", "v", block=block).collect()}
+    for s in "ab":
+        mine = [r for r in rows if r[0] == s]
+        want = cluster.silhouettes(np.array([r[3] for r in mine]), np.array([r[2] for r in mine]))
+        assert [got[s, r[1]] for r in mine] == pytest.approx(want.tolist(), abs=1e-7)
+    assert len(got) == 65
+
+
+def test_free_mixture_of_many_points(spark):
+    """The same cluster as one group and by sums over partitions finds the same phases."""
+    rng = np.random.default_rng(2)
+    w = rng.uniform(0, 1, (400, 1))
+    x = w * np.array([[0.6, 0.4, 0.0]]) + (1 - w) * np.array([[0.0, 0.3, 0.7]])
+    df = spark.createDataFrame([(k, r.tolist()) for k in (1, 2) for r in (x if k == 1 else x[:30])], "cluster_id int, fr array<double>").repartition(4)
+    one = {r.cluster_id: r for r in mixtures.free_mixture(df, ["cluster_id"], ["Fe", "O", "Si"]).collect()}
+    two = {r.cluster_id: r for r in mixtures.free_mixture(df, ["cluster_id"], ["Fe", "O", "Si"], most=100).collect()}
+    assert set(two) == {1, 2} and tuple(two[2]) == tuple(one[2])
+    assert two[1].error < 0.2 and two[1].conf > 0.9 and one[1].error < 0.2
+    assert two[1].share_mean == pytest.approx(float(w.mean()), abs=0.12) and two[1].formula1 != two[1].formula2
+
+
 def test_a_bad_sample_is_reported(spark):
     df = _blobs(spark, 2).unionAll(spark.createDataFrame([(9, i, [0.5, None] if i else [0.5]) for i in range(8)], "sample_id long, spectrum_id long, fr array<double>"))
     rows = cluster.cluster_samples(df, ["sample_id"]).collect()
