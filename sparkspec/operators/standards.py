@@ -28,6 +28,15 @@ def means_for_formulas(standards: DataFrame, formulas: list[str], key: list[str]
     return means, standards.select(*key).distinct().join(means.select(*key), key, "left_anti")
 
 
+def library_for(standards: DataFrame, formulas: list[str] | None = None) -> dict[tuple[str, str], float]:
+    """The mean ratio of each line (element, line) for quantification: over the standards of ``formulas`` where a line has any, as for a mixture of known phases, else over all in use. A library holds some hundred lines."""
+    means = standard_means(standards, ["el_line"]).select("el_line", "mean_pb")
+    if formulas:
+        own, _ = means_for_formulas(standards, formulas, ["el_line"])
+        means = means.join(own.select("el_line", F.col("mean_pb").alias("_own")), "el_line", "left").select("el_line", F.coalesce("_own", "mean_pb").alias("mean_pb"))
+    return {tuple(r.el_line.split("_", 1)): r.mean_pb for r in means.collect()}
+
+
 def with_standard(peaks: DataFrame, means: DataFrame, key: list[str]) -> DataFrame:
     """Peaks with k_ratio = pb / mean_pb and an ``error``: ``no standard`` or ``standard not positive``, in which cases k_ratio is null."""
     out = peaks.join(means.select(*key, "mean_pb"), key, "left")

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import Clustering
+from ..config import Clustering, default_clustering
+from ..functions.chemistry import parse_formula
 from ..operators import cluster, mixtures, refs, select, standards, stats
 from ..operators.fitting import fit_parameters, peak_rows, quantified
 from ..operators.shared import cut
@@ -31,16 +32,20 @@ class Analysis:
     failed: DataFrame
 
 
-def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, undetectable: float = 0.0, labels: DataFrame | None = None, least: int = 5, keep=None) -> Analysis:
+def analyze(results: DataFrame, elements: list[str], settings: Clustering | None = None, *, undetectable: float = 0.0, labels: DataFrame | None = None, least: int = 5, known_mixture: bool = False, keep=None) -> Analysis:
     """Analyse all samples of ``results`` (sample_id, spectrum_id, at_fr, w_fr, quant_flag, an_err) in one job.
 
     Samples with fewer than ``least`` good spectra drop out. ``labels``
     (sample_id, spectrum_id, cluster_id) replaces the clustering if given.
+    Without ``settings`` those stand that the elements suggest. With
+    ``known_mixture`` the samples are mixtures of the reference phases, and all
+    their pairs are ranked, whatever their error.
     A sample that cannot be clustered is in ``failed`` with its error, and in
     no other table but the report. ``keep`` cuts lineage of the labels, which cost most to make again
     (default: a checkpoint).
     """
     spark = results.sparkSession
+    settings = settings or default_clustering(elements)
     fr = F.col(settings.features)
     limit = None if settings.max_analytical_error_percent is None else settings.max_analytical_error_percent / 100
     named = results.withColumn("reason", select.selection_reason(F.col("quant_flag"), F.col("an_err"), fr.isNotNull(), max_err=limit, undetectable=undetectable, accepted=settings.quant_flags_accepted))
@@ -72,7 +77,7 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering, *, un
     mixed = judged.where(~F.coalesce(mixtures.is_single_phase(F.col("rms"), F.col("max_conf"), F.col("n_points"), True), F.lit(False))).select(*KEY)
     suspects = points.join(mixed, KEY, "left_semi")
     if found is not None and len(settings.ref_formulae) > 1:
-        mix = mixtures.ranked_mixtures(mixtures.fit_pairs(suspects, phases, KEY), KEY)
+        mix = mixtures.ranked_mixtures(mixtures.fit_pairs(suspects, phases, KEY, known=known_mixture), KEY)
         explained = mix.where("conf >= 0.5").select(*KEY).distinct()
         suspects = suspects.join(explained, KEY, "left_anti")
     free = mixtures.free_mixture(suspects, KEY, elements, seed=settings.seed)
@@ -122,6 +127,30 @@ def build_standards(spectra: DataFrame, formula: str, std_id: str, references: D
                       F.col("mean_pb").alias("measured_pb"), standards.corrected_pb(F.col("mean_pb"), F.col("zaf"), F.col("w")).alias("corrected_pb"), F.col("std_pb").alias("stdev_pb"), "n_spectra", F.lit(True).alias("use_for_mean"))
 
 
+def build_all_standards(spectra: DataFrame, compounds: dict[str, tuple[str, str]], references: DataFrame, instrument: Instrument, tables: Tables, zaf: dict[str, dict[tuple[str, str], float]], **how) -> tuple[DataFrame | None, dict[str, str]]:
+    """Standard entries of many compounds at once, and the reason for each that gave none.
+
+    ``compounds`` names the formula and the standard's id for each sample_id of
+    ``spectra``, ``zaf`` the factors of its reference lines. Compounds, tens of
+    them, are one plan each, since each has its own elements to fit; all run in
+    one job. ``references`` (element, line) are cut to a compound's elements.
+    """
+    made, failed = None, {}
+    for sample, (formula, std_id) in compounds.items():
+        try:
+            elements = list(parse_formula(formula))
+        except ValueError as e:
+            failed[sample] = str(e)
+            continue
+        if not zaf.get(sample):
+            failed[sample] = "no matrix factors are given"
+            continue
+        own = references.where(F.col("element").isin(elements))
+        entries = build_standards(spectra.where(F.col("sample_id") == sample), formula, std_id, own, instrument, tables, zaf[sample], **how).withColumn("sample_id", F.lit(sample))
+        made = entries if made is None else made.unionByName(entries)
+    return made, failed
+
+
 def fit_summary(results: DataFrame, key: list[str], label: str = "spectrum_id") -> DataFrame:
     """All fit parameters of each spectrum (``fit_parameters``) with mean and deviation rows for each sample."""
     wide = fit_parameters(results, [*key, label])

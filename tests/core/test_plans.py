@@ -153,6 +153,43 @@ def test_standards_from_spectra(spark):
     assert {r.el_line for r in got} == {"Fe_Ka1", "O_Ka1"} and all(r.n_spectra == 3 and r.measured_pb > 10 for r in got)
 
 
+def test_many_standards_at_once(spark):
+    """Two compounds in one call; one that cannot be read, and one without factors, are named and end nothing."""
+    made = {"a": {"Fe": 0.7773, "O": 0.2227}, "b": {"Si": 0.4674, "O": 0.5326}}
+    df = spark.createDataFrame([(s, i, simulate(m, STDS, I, T, 50000.0).tolist()) for s, m in made.items() for i in range(2)], "sample_id string, spectrum_id long, counts array<double>")
+    lines = spark.createDataFrame([(e, "Ka1") for e in ("Fe", "O", "Si")], "element string, line string")
+    one = lambda *es: {(e, "Ka1"): 1.0 for e in es}
+    from sparkspec.operators.standards import library_for
+    from sparkspec.plans.analyze import build_all_standards, fit_summary
+
+    got, failed = build_all_standards(df, {"a": ("FeO", "FeO_1"), "b": ("SiO2", "SiO2_1"), "c": ("Fe(O", "bad"), "d": ("MgO", "MgO_1")}, lines, I, T, {"a": one("Fe", "O"), "b": one("Si", "O"), "c": one("Fe")}, mode="point", beam_kev=15.0, target=50000.0)
+    rows = got.collect()
+    assert {(r.sample_id, r.el_line, r.std_id) for r in rows} == {("a", "Fe_Ka1", "FeO_1"), ("a", "O_Ka1", "FeO_1"), ("b", "Si_Ka1", "SiO2_1"), ("b", "O_Ka1", "SiO2_1")}
+    assert set(failed) == {"c", "d"} and "incomplete" in failed["c"]
+    entries = spark.createDataFrame([(r.el_line, r.std_id, r.formula, r.corrected_pb, True) for r in rows], "el_line string, std_id string, formula string, corrected_pb double, use_for_mean boolean")
+    every, mixed = library_for(entries), library_for(entries, ["O2Si"])
+    by = {(r.std_id, r.el_line): r.corrected_pb for r in rows}
+    assert every["O", "Ka1"] == pytest.approx((by["FeO_1", "O_Ka1"] + by["SiO2_1", "O_Ka1"]) / 2)
+    assert mixed["O", "Ka1"] == pytest.approx(by["SiO2_1", "O_Ka1"]) and mixed["Fe", "Ka1"] == every["Fe", "Ka1"]
+    fits = fitting.quantified(df.where("sample_id = 'a'"), ["Fe", "O"], I, T, None, key=["sample_id", "spectrum_id"], target=50000.0)
+    summary = {r.spectrum_id: r for r in fit_summary(fits, ["sample_id"]).collect()}
+    assert set(summary) == {"0", "1", "mean", "std"} and summary["mean"].Fe_Ka1_pb == pytest.approx((summary["0"].Fe_Ka1_pb + summary["1"].Fe_Ka1_pb) / 2)
+
+
+def test_known_mixtures_and_settings_by_elements(spark, tmp_path):
+    """Samples that are known mixtures rank all pairs of phases; without settings the elements choose them; a sample that fails is named."""
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    rng = np.random.default_rng(4)
+    rows = [("m", i, {"Fe": 0.2 + 0.02 * i, "O": 0.5, "Si": 0.3 - 0.02 * i}) for i in range(12)] + [("x", i, {"Fe": float("nan") if i == 3 else 0.4, "O": 0.6, "Si": 0.0}) for i in range(6)]
+    df = spark.createDataFrame([(s, i, f, f, 0, float(rng.normal(0, 0.001))) for s, i, f in rows], "sample_id string, spectrum_id long, at_fr map<string,double>, w_fr map<string,double>, quant_flag int, an_err double")
+    plain = analyze(df, ["Fe", "O", "Si"], Clustering(k=1, ref_formulae=("Fe2O3", "SiO2", "FeO")))
+    known = analyze(df, ["Fe", "O", "Si"], Clustering(k=1, ref_formulae=("Fe2O3", "SiO2", "FeO")), known_mixture=True)
+    assert known.mixtures.where("sample_id = 'm'").count() == 3 >= plain.mixtures.where("sample_id = 'm'").count()
+    (bad,) = plain.failed.collect()
+    assert bad.sample_id == "x" and "non-finite" in bad.error and {r.sample_id for r in plain.verdict.collect()} == {"m"}
+    assert analyze(df.where("sample_id = 'm'"), ["Fe", "O", "Si"]).clusters.count() >= 1
+
+
 def _results(spark):
     rng = np.random.default_rng(9)
     rows = []
