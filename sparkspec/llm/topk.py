@@ -60,16 +60,17 @@ class ImpactIndex:
         self.length = np.sqrt((size**2).sum(axis=1)).max(initial=0)
         self.stops = np.zeros(self.levels + 1, np.int64)
 
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int, batch: int = 128):
-        """For each query the ids and scores of the k best (ties to the smaller id), its own id left out."""
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, batch: int = 128, floors: np.ndarray | None = None):
+        """For each query the ids and scores of the k best (ties to the smaller id), its own id left out; with ``floors`` only rows that can reach a query's floor are looked for."""
+        floors = np.full(len(own), -np.inf) if floors is None else floors
         for at in range(0, len(own), batch):
-            yield from self._batch(own[at : at + batch], queries[at : at + batch], k)
+            yield from self._batch(own[at : at + batch], queries[at : at + batch], k, floors[at : at + batch])
 
     def _exact(self, some: np.ndarray, query: np.ndarray) -> np.ndarray:
         wide = self.top * float(np.abs(query.astype(float)).max(initial=0)) * max(1, self.dims) >= 1 << 62
         return self.vectors[some].astype(object) @ query.astype(object) if wide and len(some) else self.vectors[some] @ query
 
-    def _batch(self, own, queries, k):
+    def _batch(self, own, queries, k, floors):
         n, real = len(self.ids), queries.astype(float)
         most = max(self.top, float(np.abs(real).max(initial=0)))
         kind = np.float32 if most * most * max(1, self.dims) < 1 << 24 else np.float64
@@ -84,7 +85,7 @@ class ImpactIndex:
         # one column a query, so that a posting adds to a run of neighbours
         score, spent = np.zeros((n, len(open_)), kind), np.zeros((n, len(open_)), kind)
         score[place[open_[mine[open_]]], np.flatnonzero(mine[open_])] = -np.inf
-        asked, least = real[open_].T.astype(kind), np.full(len(open_), -np.inf)
+        asked, least = real[open_].T.astype(kind), floors[open_].copy()
         for level in range(self.levels):
             if not len(open_):
                 break
@@ -123,16 +124,16 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def _search(k: int):
-    """Streams sorted rows (dim, b, side, vec_id, v): the vectors of a block become an index, and its queries run over it as they come."""
+    """Streams sorted rows (dim, b, side, vec_id, floor, v): the vectors of a block become an index, and its queries run over it as they come; rows under a query's floor are left out."""
 
     def run(batches):
         key, held, index = None, [], None
         limits = np.iinfo(np.int64)
         for batch in batches:
-            dims, blocks, sides, ids = (batch.column(i).to_numpy() for i in range(4))
+            dims, blocks, sides, ids, floors = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             turn = np.flatnonzero(np.r_[True, (np.diff(dims) != 0) | (np.diff(blocks) != 0) | (np.diff(sides) != 0)]) if len(ids) else np.zeros(0, np.int64)
             for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(ids)]):
-                part = _matrix(pa.chunked_array([batch.column(4).slice(a, b - a)]), b - a)
+                part = _matrix(pa.chunked_array([batch.column(5).slice(a, b - a)]), b - a)
                 if (dims[a], blocks[a]) != key:
                     key, held, index = (dims[a], blocks[a]), [], None
                 if sides[a] == 0:
@@ -142,8 +143,11 @@ def _search(k: int):
                     index, held = ImpactIndex(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])), []
                 if index is None:
                     continue
-                found = list(index.search(ids[a:b], part, k))
+                floor = floors[a:b]
+                found = list(index.search(ids[a:b], part, k, floors=np.where(floor > limits.min, floor.astype(float), -np.inf)))
                 exact = [np.array([min(limits.max, max(limits.min, int(x))) for x in s], np.int64) if s.dtype == object else s for _, s in found]
+                found = [(i[s >= f], s[s >= f]) for (i, _), s, f in zip(found, exact, floor.tolist())]
+                exact = [s for _, s in found]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(ids[a:b], [len(s) for s in exact])), pa.array(np.concatenate([i for i, _ in found]).astype(np.int64)), pa.array(np.concatenate(exact).astype(np.int64)),
                 ], names=["query_id", "vec_id", "score"])
@@ -151,7 +155,7 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20, block: int = 32_768) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose vec_id is divisible by ``every`` its k best other vectors.
 
     Components become floor(scale * x), x as double; the score is the integer
@@ -162,18 +166,33 @@ def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20,
     empty table gives an empty result. A score beyond a long ends at its
     limits. Other columns are not read.
 
-    The index is built in blocks of about ``block`` vectors, each once; all
-    queries stream through every block, so a task holds one block's index and
-    one batch of queries.
+    The index is built in blocks of at most about ``block`` vectors, smaller
+    ones where that would leave cores idle. A query first searches one block;
+    the k-th score it finds there is a proven floor, with which it streams
+    through the others: they stop as soon as no row can reach it, and most
+    return nothing. A task holds one block's index and one batch of queries.
     """
     spark = vectors.sparkSession
     work = Work(spark)
     whole = one_row_each(vectors.where(usable(F.col("embedding"))), "embedding")
     ints = work.table(whole.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")), "vectors")
-    n_blocks = max(1, -(-ints.count() // block))
-    rows = ints.withColumns({"dim": F.size("v"), "b": F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n_blocks)).cast("int"), "side": F.lit(0)})
-    asked = ints.where(F.col("vec_id") % every == 0).withColumns({"dim": F.size("v"), "b": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))), "side": F.lit(1)})
+    n = ints.count()
+    n_blocks = max(1, -(-n // block), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
+    none = F.lit(-(1 << 63))
+    own = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n_blocks)).cast("int")
+    rows = ints.select(F.size("v").alias("dim"), own.alias("b"), F.lit(0).alias("side"), "vec_id", none.alias("floor"), "v")
+    queries = ints.where(F.col("vec_id") % every == 0).select(F.size("v").alias("dim"), own.alias("b"), F.lit(1).alias("side"), "vec_id", none.alias("floor"), "v")
     order = ["dim", "b", "side", "vec_id"]
-    dealt = rows.select(*order, "v").unionAll(asked.select(*order, "v")).repartition(n_blocks, "dim", "b").sortWithinPartitions(*order)
+
+    def searched(asked: DataFrame) -> DataFrame:
+        dealt = rows.unionAll(asked).repartition(n_blocks, "dim", "b").sortWithinPartitions(*order)
+        return dealt.mapInArrow(_search(k), _OUT)
+
+    first = work.table(searched(queries), "first")
+    found = first
+    if n_blocks > 1:
+        floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor"))
+        known = queries.join(floors, queries.vec_id == floors.query_id, "left").withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).where("_o <> b")
+        found = first.unionAll(searched(known.select("dim", F.col("_o").alias("b"), "side", "vec_id", F.coalesce("_floor", none).alias("floor"), "v")))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return dealt.mapInArrow(_search(k), _OUT).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -41,6 +41,23 @@ def test_top_k_equals_brute_force(spark, block):
     assert len(got) <= len(want) and top_k(df.limit(0)).count() == 0
 
 
+def test_floors_prune_and_lose_nothing():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-40, 40, (3000, 16))
+    index = ImpactIndex(np.arange(3000), v)
+    asked, own = v[:40], np.arange(40)
+    whole = list(index.search(own, asked, 20))
+    before = index.stops.copy()
+    floors = np.array([s[9] for _, s in whole], float)
+    some = list(index.search(own, asked, 20, floors=floors))
+    for (i, s), (j, t), f in zip(whole, some, floors):
+        assert [(a, b) for a, b in zip(i, s) if b >= f] == [(a, b) for a, b in zip(j, t) if b >= f]
+    index.stops[:] = 0
+    none = list(index.search(own, asked, 20, floors=np.full(40, 1e9)))
+    first = -(-index.levels // 2)  # the first level at which proofs are tried
+    assert sum(len(i) for i, _ in none) == 0 and before.sum() == 40 and index.stops[first] == 40
+
+
 def test_index_alone():
     rng = np.random.default_rng(3)
     for n, top in ((1, 4), (2, 4), (20, 4), (21, 4), (22, 4), (400, 4), (400, 90000), (5000, 40)):
