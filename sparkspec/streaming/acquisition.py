@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Clustering
+from ..operators.shared import cut
 from ..plans.analyze import analyze
+from ..sources.formats import filesystem
 
 
 class Acquisition:
@@ -30,11 +33,27 @@ class Acquisition:
     def results(self) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.store}/results").parquet(f"{self.store}/results").drop("batch", "part")
 
+    def _judged(self, before: int | None = None) -> list[int]:
+        """Batches (before one) whose verdicts are whole, ascending."""
+        system, root = filesystem(self.store)
+        dirs = system.get_file_info(fs.FileSelector(f"{root}/verdicts", allow_not_found=True))
+        found = sorted(int(d.base_name.partition("=")[2]) for d in dirs if d.base_name.startswith("batch=") and system.get_file_info(f"{d.path}/_SUCCESS").type == fs.FileType.File)
+        return [n for n in found if before is None or n < before]
+
     def verdicts(self) -> DataFrame:
-        """The last verdict of each sample."""
-        rows = self.spark.read.option("basePath", f"{self.store}/verdicts").parquet(f"{self.store}/verdicts")
-        rest = [c for c in rows.columns if c != "sample_id"]
-        return rows.groupBy("sample_id").agg(F.max_by(F.struct(*rest), "batch").alias("v")).select("sample_id", "v.*")
+        """The last verdict of each sample: the newest batch's file holds those of all samples."""
+        return self.spark.read.parquet(f"{self.store}/verdicts/batch={self._judged()[-1]}")
+
+    def _keep_verdicts(self, judged: DataFrame, batch_id: int) -> None:
+        """Write the verdicts of a batch with the last ones of all other samples, so that no reader goes through all batches; of older files the one before stays for a batch that runs again."""
+        older = self._judged(before=batch_id)
+        if older:
+            last = self.spark.read.parquet(f"{self.store}/verdicts/batch={older[-1]}")
+            judged = judged.unionByName(last.join(judged.select("sample_id"), "sample_id", "left_anti"), allowMissingColumns=True)
+        judged.write.mode("overwrite").parquet(f"{self.store}/verdicts/batch={batch_id}")
+        system, root = filesystem(self.store)
+        for n in older[:-1]:
+            system.delete_dir(f"{root}/verdicts/batch={n}")
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
         own = self.prepare(df).withColumns({"part": F.pmod(F.xxhash64("sample_id"), F.lit(self.parts)).cast("int"), "batch": F.lit(batch_id)})
@@ -46,7 +65,7 @@ class Acquisition:
         verdict = analyze(mine, self.elements, self.settings).verdict
         counts = mine.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_results"))
         judged = counts.join(verdict, "sample_id", "left").withColumn("done", (F.coalesce("converged", F.lit(False)) & (F.col("n_results") >= self.least)) | (F.col("n_results") >= self.most))
-        judged.write.mode("overwrite").parquet(f"{self.store}/verdicts/batch={batch_id}")
+        self._keep_verdicts(cut(judged), batch_id)
         if self.stop_when and self.verdicts().where("done").count() >= self.stop_when:
             self.stopped = True
 

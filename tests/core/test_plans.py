@@ -220,6 +220,7 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     df.where("spectrum_id >= 12").coalesce(1).write.mode("append").parquet(src)
     after = make()
     after.run(spectra_stream(spark, src, schema, files_per_batch=1))
+    assert len(list((tmp_path / "store/verdicts").glob("batch=*"))) == 2  # the newest, and the one before it
     assert after.results().count() == 48 == after.results().select("sample_id", "spectrum_id").distinct().count()
     batch = {r.sample_id: (r.n_clusters, round(r.max_rms, 9)) for r in analyze(df, ["Fe", "O"], Clustering(k=2)).verdict.collect()}
     assert {r.sample_id: (r.n_clusters, round(r.max_rms, 9)) for r in after.verdicts().collect()} == batch and after.verdicts().where("done").count() == 2
