@@ -106,7 +106,7 @@ class QuotaSource(DataSource):
         return QuotaReader(self.options["path"])
 
 
-def enqueue(points: DataFrame, store: str, *, quota: int = 10, least: int = 50, most: int = 100, parts: int = 16) -> None:
+def enqueue(points: DataFrame, store: str, *, quota: int = 10, least: int = 50, most: int = 100, parts: int = 8) -> None:
     """Write points (sample_id, spectrum_id, cluster_id, fr) as rounds of min(``quota``, ``least``) spectra a sample, the last one what is left up to ``most``.
 
     A sample's spectra come in order of spectrum_id; no more than ``most`` of
@@ -213,11 +213,12 @@ def verdicts_of(phases: DataFrame, references: DataFrame | None, *, least: int,
 class Rounds:
     """Runs the rounds of a store that ``enqueue`` filled until no sample is open; may be stopped and run again.
 
-    State is kept by RocksDB and checkpointed in the store; a round's phases
-    and verdicts replace their own folder, and its marker comes last.
+    State is kept by RocksDB in ``parts`` partitions and checkpointed in the
+    store; a round's phases and verdicts replace their own folder, and its
+    marker comes last. ``parts`` is that of ``enqueue``.
     """
 
-    def __init__(self, spark: SparkSession, store: str, *, least: int = 50, most: int = 100, references: DataFrame | None = None, parts: int = 16):
+    def __init__(self, spark: SparkSession, store: str, *, least: int = 50, most: int = 100, references: DataFrame | None = None, parts: int = 8):
         self.spark, self.store, self.least, self.most, self.references, self.parts = spark, store.rstrip("/"), least, most, references, parts
         self.rounds = 0
 
@@ -241,13 +242,16 @@ class Rounds:
         self.spark.dataSource.register(QuotaSource)
         schema = "sample_id string, spectrum_id long, cluster_id long, fr array<double>, last boolean, turn int"
         points = self.spark.readStream.format("sample_quota").option("path", self.store).option("schema", schema).load()
-        name = "spark.sql.streaming.stateStore.providerClass"
-        before = self.spark.conf.get(name)
-        self.spark.conf.set(name, _ROCKS)
+        # state has as many partitions as the queue has parts; a query keeps the settings it starts with
+        own = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.shuffle.partitions": str(self.parts)}
+        before = {name: self.spark.conf.get(name) for name in own}
+        for name, value in own.items():
+            self.spark.conf.set(name, value)
         try:
             return running_phases(points).writeStream.outputMode("update").foreachBatch(self.judge).option("checkpointLocation", f"{self.store}/checkpoint").start()
         finally:
-            self.spark.conf.set(name, before)
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
 
     def run(self, most_rounds: int | None = None, poll_s: float = 0.1) -> None:
         """All rounds, or about ``most_rounds`` of them; what is left stays for the next run."""

@@ -169,3 +169,31 @@ def test_spectra_format_equals_the_reader(spark, tmp_path):
         want = readers.read_spectra(spark, f"file://{tmp_path}/{s}").select(*got.columns).orderBy("spectrum_id").collect()
         assert got.where(F.col("sample_id") == s).orderBy("spectrum_id").collect() == want
     assert got.select("comments").where("spectrum_id = 1 and sample_id = 'S2'").first().comments == 'ok, "fine"\nand more'
+
+
+def test_clusters_of_an_analysis_folder(spark, tmp_path):
+    (tmp_path / "Clusters.csv").write_text(",n_points,Fe_at%\n0,42,3.07\n1,1,0.36\n")
+    at = f"file://{tmp_path}/Clusters.csv"
+    (one,) = readers.read_clusters(spark, at, ignore=(1,)).collect()
+    assert one.cluster_id == 0 and one.n_points == "42"
+    with pytest.raises(ValueError):
+        readers.read_clusters(spark, at)
+
+
+def test_particles_of_image_files(spark, tmp_path):
+    """Image files become rows, their particles sizes and statistics; a bright core is found inside a particle."""
+    from sparkspec.operators.images import bright_regions
+    from sparkspec.plans.analyze import particle_sizes
+
+    image = np.zeros((80, 100), np.uint8)
+    image[10:30, 10:30] = 200
+    image[40:70, 50:90] = 180
+    image[0:5, 0:5] = 250  # at the border
+    (tmp_path / "i.raw").write_bytes(image.tobytes())
+    rows = readers.read_images(spark, f"file://{tmp_path}/i.raw", 100, 80, 0.5)
+    r = particle_sizes(rows).first()
+    assert r.n == 2 and r.min == pytest.approx(2 * np.sqrt(400 * 0.25 / np.pi), rel=0.1) and r.max == pytest.approx(2 * np.sqrt(1200 * 0.25 / np.pi), rel=0.1)
+    grain = np.full((90, 90), 50, np.uint8)
+    grain[40:50, 40:50] = 220
+    labels = bright_regions(grain, np.ones((90, 90), np.uint8), threshold=150, pixel_um=0.1, margin_um=1.0)
+    assert labels.max() == 1 and (labels > 0).sum() == 100 and (labels[40:50, 40:50] > 0).all()
