@@ -151,6 +151,15 @@ def _chosen(found: DataFrame, key: list[str], kinds: dict, method: str, given: i
     return found.groupBy(*key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in key) + ", k int")
 
 
+def k_profile(points: DataFrame, key: list[str], *, point: str = "spectrum_id", max_k: int = 6, seed: int = 0, rounds: int = 50) -> DataFrame:
+    """(key, k, n, inertia, total, calinski_harabasz) for each k from 1 that a sample has points for: the curve behind an elbow plot, of all samples in one pass a round."""
+    given = cut(points.select(*key, point, F.transform("fr", lambda x: x.cast("double")).alias("fr")))
+    first = given.select(F.size("fr").alias("n")).first()
+    dims = first.n if first else 1
+    centres = lloyd(given, seeds(given, key, point, dims, list(range(1, max_k + 1)), seed=seed), key, point, dims, rounds=rounds)
+    return scores(lloyd_sums(given, centres, key, point, dims), key)
+
+
 def cluster_large(points: DataFrame, key: list[str], *, point: str = "spectrum_id", k: int | None = None, max_k: int = 6, method: str = "silhouette", seed: int = 0, rounds: int = 50) -> DataFrame:
     """(key, point, cluster_id, k) for samples of any number of points (key, point, fr).
 

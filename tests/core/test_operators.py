@@ -120,6 +120,17 @@ def test_a_sample_of_many_points(spark):
     assert "Python" not in plan and "Pandas" not in plan and "collect_list" not in plan
 
 
+def test_profile_over_k(spark):
+    """Inertia and score of each k equal those of the points themselves; more clusters never cost more on clear blobs."""
+    df = _blobs(spark, 3)
+    rows = {(r.sample_id, r.k): r for r in cluster_large.k_profile(df, ["sample_id"], max_k=4).collect()}
+    x = np.array([r.fr for r in df.where("sample_id = 1").collect()])
+    assert rows[1, 1].n == 60 and rows[1, 1].inertia == pytest.approx(((x - x.mean(axis=0)) ** 2).sum()) == pytest.approx(rows[1, 3].total)
+    assert rows[1, 1].inertia > rows[1, 2].inertia > rows[1, 3].inertia and max((rows[1, k].calinski_harabasz, k) for k in (2, 3, 4))[1] == 3
+    labels, _ = cluster.kmeans(x, 3, np.random.default_rng(0))
+    assert rows[1, 3].inertia == pytest.approx(cluster.inertia(x, cluster.canonical(x, x.argmax(axis=1))), rel=1e-9) and labels.max() == 2
+
+
 def test_sums_of_a_salted_side(spark):
     df = _blobs(spark, 2)
     side = df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
