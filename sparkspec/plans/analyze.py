@@ -41,8 +41,8 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering | None
     ``known_mixture`` the samples are mixtures of the reference phases, and all
     their pairs are ranked, whatever their error.
     A sample that cannot be clustered is in ``failed`` with its error, and in
-    no other table but the report. ``keep`` cuts lineage of the labels, which cost most to make again
-    (default: a checkpoint).
+    no other table but the report. ``keep`` cuts lineage of what is read several times, the labels, clusters
+    and points of mixtures (default: a checkpoint).
     """
     spark = results.sparkSession
     settings = settings or default_clustering(elements)
@@ -64,7 +64,8 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering | None
     features, rows = stats.cluster_statistics(long, KEY)
     means = F.map_from_entries(F.collect_list(F.struct("element", "mean")))
     centres = features.groupBy(*KEY).agg(means.alias("m")).select(*KEY, select.filled(F.col("m"), elements).alias("fr"))
-    clusters = rows.join(centres, KEY)
+    # a row a cluster, and the points of clusters that are no single phase: later steps come back to both several times
+    clusters = (keep or cut)(rows.join(centres, KEY))
     found = mix = free = None
     if settings.ref_formulae:
         phases, _ = refs.reference_phases(spark, list(settings.ref_formulae), elements, by_mass=settings.features == "w_fr")
@@ -75,7 +76,7 @@ def analyze(results: DataFrame, elements: list[str], settings: Clustering | None
     judged = clusters.join(best, KEY, "left")
     # without references the published rule lets a tight cluster of any size pass to the free mixture
     mixed = judged.where(~F.coalesce(mixtures.is_single_phase(F.col("rms"), F.col("max_conf"), F.col("n_points"), True), F.lit(False))).select(*KEY)
-    suspects = points.join(mixed, KEY, "left_semi")
+    suspects = (keep or cut)(points.join(mixed, KEY, "left_semi"))
     if found is not None and len(settings.ref_formulae) > 1:
         mix = mixtures.ranked_mixtures(mixtures.fit_pairs(suspects, phases, KEY, known=known_mixture), KEY)
         explained = mix.where("conf >= 0.5").select(*KEY).distinct()
