@@ -47,7 +47,12 @@ def sigmoid_parameter(energy: Column, base: float, height: float, middle: float,
 
 
 def two_point_calibration(width: Column, offset: Column, measured: list[Column], true: list[Column]) -> tuple[Column, Column]:
-    """New channel width and offset from two reference lines: where they were measured with the old axis, and where they are."""
-    i, j = ((m - offset) / width for m in measured)
-    new = (true[1] - true[0]) / (j - i)
-    return new, true[0] - i * new
+    """New channel width and offset from two reference lines: where they were measured with the old axis, and where they are.
+
+    Two lines in one channel have no width between them: it is infinite, as in
+    IEEE arithmetic, not an error. Decimal places keep equal lines equal.
+    """
+    i, j = ((m - offset).cast("double") / width for m in measured)
+    span, gap = (true[1] - true[0]).cast("double"), j - i
+    per = lambda n: F.when(gap == 0, n * F.lit(float("inf"))).otherwise(n / gap)
+    return per(span), true[0].cast("double") - per(i * span)

@@ -8,7 +8,7 @@ from sparkspec.physics import background as bg
 from sparkspec.physics.fit import Instrument, simulate
 from sparkspec.physics.peaks import charge_loss, find_peaks, gaussian, peak
 from sparkspec.physics.solve import fit_bounded, nnls
-from sparkspec.plans import queries
+from sparkspec.plans import oracles, queries
 from sparkspec.plans.analyze import analyze, build_standards, quantify_and_analyze
 from sparkspec.plans.queries import ELEMENTS, demo_tables
 from sparkspec.streaming.acquisition import Acquisition, particles_until, spectra_stream
@@ -368,3 +368,13 @@ def test_depth_integral_against_a_fine_sum():
     for path in ({}, {"offset": 2e-4, "slope": 1.5}):
         few, many = (bg.attenuation(f.e, mu, fr, z, a, j, 15.0, 28.5, points=n, **path) for n in (48, 600))
         assert np.allclose(few, many, rtol=1e-6, atol=1e-9) and (few <= 1).all()
+
+
+def test_two_point_calibration_where_both_lines_meet(spark, tmp_path):
+    """A supplier whose lines fall into one channel, and its neighbours, as DuckDB has them."""
+    import duckdb
+
+    spark.createDataFrame([(6600, 0), (6601, 0), (6599, 0), (6610, 1), (6839, 24), (3, 7)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    want = duckdb.sql(oracles.ORACLE_SQL["two_point_calibration"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in queries.two_point_calibration(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (6600, float("inf"), float("-inf")) in got
