@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chemistry import reduced_formula
@@ -61,11 +63,18 @@ def corrected_pb(mean_pb: Column, zaf: Column, w_fr: Column) -> Column:
 
 
 def missing_reference_flag(peaks: DataFrame, references: DataFrame, key: list[str]) -> DataFrame:
-    """(key, quant_flag): 10 for a standard's spectrum without one of the reference lines (element, line), else 0."""
-    want = references.select("element", "line").distinct()
-    n = want.count()  # lines of one standard
-    found = peaks.where("area > 0").join(want, ["element", "line"], "left_semi").groupBy(*key).agg(F.countDistinct("element", "line").alias("_n"))
-    return peaks.select(*key).distinct().join(found, key, "left").select(*key, F.when(F.coalesce("_n", F.lit(0)) < n, 10).otherwise(0).alias("quant_flag"))
+    """(key, quant_flag): 10 for a standard's spectrum without one of the reference lines (element, line), else 0.
+
+    The lines that a spectrum has are bits of a number, so one partial
+    aggregation does it. A reference line with a null is never found.
+    """
+    want = [tuple(r) for r in references.select("element", "line").distinct().collect()]  # lines of one standard
+    parts = [want[i : i + 63] for i in range(0, len(want), 63)]
+    bit = lambda row, i: F.when((F.col("element") == row[0]) & (F.col("line") == row[1]), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    seen = lambda part: F.when(F.col("area") > 0, reduce(lambda a, b: a.bitwiseOR(b), [bit(row, i) for i, row in enumerate(part)])).otherwise(F.lit(0).cast("long"))
+    found = peaks.select(*key, *[seen(part).alias(f"_{i}") for i, part in enumerate(parts)]).groupBy(*key).agg(F.lit(0).alias("_"), *[F.bit_or(f"_{i}").alias(f"_{i}") for i in range(len(parts))])
+    missing = reduce(lambda a, b: a | b, [F.col(f"_{i}") != F.lit((1 << len(part)) - 1).cast("long") for i, part in enumerate(parts)], F.lit(False))
+    return found.select(*key, F.when(missing, 10).otherwise(0).alias("quant_flag"))
 
 
 def latest_calibration(table: DataFrame, key: list[str], name: str = "file_name") -> DataFrame:

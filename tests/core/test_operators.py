@@ -228,3 +228,18 @@ def test_config_round_trip():
         Sample(elements=("Xx",))
     with pytest.raises(ValueError):
         Clustering(method="dbscan")
+
+
+def test_missing_reference_in_one_exchange(spark):
+    """Many lines, lines that are null, spectra without any and one whose id is null; counted once a spectrum."""
+    names = [(f"E{i}", "Ka1") for i in range(70)]
+    rows = [("all", e, l, 1.0) for e, l in names] + [("most", e, l, 1.0) for e, l in names[:-1]] + [("zero", e, l, float(e != "E3")) for e, l in names] + [("none", "X", "Ka1", 1.0)] + [(None, e, l, 1.0) for e, l in names]
+    peaks = spark.createDataFrame(rows, "s string, element string, line string, area double")
+    wanted = spark.createDataFrame(names + names[:2], "element string, line string")
+    found = standards.missing_reference_flag(peaks, wanted, ["s"])
+    assert {r.s: r.quant_flag for r in found.collect()} == {"all": 0, "most": 10, "zero": 10, "none": 10, None: 0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Join" not in plan
+    with_null = wanted.unionAll(spark.createDataFrame([(None, "Ka1")], wanted.schema))
+    assert {r.quant_flag for r in standards.missing_reference_flag(peaks, with_null, ["s"]).collect()} == {10}
+    assert {r.quant_flag for r in standards.missing_reference_flag(peaks, wanted.limit(0), ["s"]).collect()} == {0}
