@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.shared import spread
 from .text import excel_letters
 
 
@@ -33,15 +34,18 @@ def grids(given: DataFrame, key: list[str]) -> DataFrame:
     Rows are ``ratio`` (frame height by width) times the spacing apart. Points
     lie strictly inside the circle, or in the rectangle with its border. With
     ``margin`` a frame's diagonal, spacing * sqrt(1 + ratio**2), is kept free.
+    A row gives many frames, so rows are dealt out first.
     """
+    given = spread(given, key) if key else given
     step, tall = F.col("spacing"), F.col("spacing") * F.col("ratio")
     reach = F.col("half_width") - F.when(F.col("margin"), step * F.sqrt(1 + F.col("ratio") * F.col("ratio"))).otherwise(0.0)
     number = lambda size: (F.floor(F.col("half_width") / size) + 1).cast("int")
     wide = given.withColumns({"_reach": reach, "_nx": number(step), "_ny": number(tall)}).withColumn("_i", F.explode(F.sequence(-F.col("_nx"), F.col("_nx"))))
+    wide = wide.withColumns({"_letters": excel_letters(F.col("_i") + F.col("_nx")), "_dx": F.col("_i") * step})  # once a column of the lattice
     at = wide.withColumn("_j", F.explode(F.sequence(-F.col("_ny"), F.col("_ny"))))
-    dx, dy = F.col("_i") * step, F.col("_j") * tall
+    dx, dy = F.col("_dx"), F.col("_j") * tall
     inside = F.when(F.col("circle"), dx * dx + dy * dy < F.col("_reach") * F.col("_reach")).otherwise((F.abs(dx) <= F.col("_reach")) & (F.abs(dy) <= F.col("_reach") * F.col("ratio")))
-    return at.where(inside).select(*key, F.concat(excel_letters(F.col("_i") + F.col("_nx")), (F.col("_j") + F.col("_ny")).cast("string")).alias("label"), (dx + F.col("cx")).alias("x"), (dy + F.col("cy")).alias("y"))
+    return at.where(inside).select(*key, F.concat("_letters", (F.col("_j") + F.col("_ny")).cast("string")).alias("label"), (dx + F.col("cx")).alias("x"), (dy + F.col("cy")).alias("y"))
 
 
 def grid(spark: SparkSession, *, half_width: float, spacing: float, circle: bool = True, ratio: float = 1.0, margin: bool = False, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:

@@ -243,3 +243,9 @@ def test_missing_reference_in_one_exchange(spark):
     with_null = wanted.unionAll(spark.createDataFrame([(None, "Ka1")], wanted.schema))
     assert {r.quant_flag for r in standards.missing_reference_flag(peaks, with_null, ["s"]).collect()} == {10}
     assert {r.quant_flag for r in standards.missing_reference_flag(peaks, wanted.limit(0), ["s"]).collect()} == {0}
+
+
+def test_grids_of_few_rows_are_many_tasks(spark):
+    given = spark.createDataFrame([(i, 1.0, 0.5, 1.0, True, False, 0.0, 0.0) for i in range(64)], "k int, half_width double, spacing double, ratio double, circle boolean, margin boolean, cx double, cy double").coalesce(1)
+    frames = geometry.grids(given, ["k"]).select("k", F.spark_partition_id().alias("p")).collect()
+    assert len(frames) == 64 * 9 and len({r.p for r in frames}) > 4
