@@ -26,7 +26,8 @@ def window_counts(counts: Column, start: int, stop: int) -> Column:
 
 def box_smooth(values: Column) -> Column:
     """Mean of three neighbours; beyond the ends there are zeros."""
-    return F.transform(values, lambda x, i: (F.coalesce(F.get(values, i - 1), F.lit(0.0)) + x + F.coalesce(F.get(values, i + 1), F.lit(0.0))) / 3)
+    one = lambda v: F.transform(v, lambda x, i: (F.coalesce(F.get(v, i - 1), F.lit(0.0)) + x + F.coalesce(F.get(v, i + 1), F.lit(0.0))) / 3)
+    return F.get(F.transform(F.array(values), one), F.lit(0))  # bound to a variable, else each element would compute all values anew
 
 
 def low_background(counts: Column, energies: Column, least: float, below_kev: float = 2.0, n: int = 20) -> Column:

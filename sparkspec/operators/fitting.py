@@ -60,24 +60,27 @@ def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument,
     base = ", ".join(f"`{c}` {k}" for c, k in spectra.dtypes)
     names, particles = spectra.columns, "is_particle" in spectra.columns
 
-    def one(counts, flag, particle):
+    def one(counts, flag, particle, model):
         if flag is not None and flag == flag:
             return {"quant_flag": int(flag)}
         try:
             if standards is None:
-                fit = SpectrumFit(counts, elements, instrument, tables, substrate)
+                fit = model.again(counts)
                 got = fit.solve(fit.shape({e: 1 / len(elements) for e in elements}))
                 out = {"r_squared": got["r2"], "redchi_sq": got["redchi"], "quant_flag": 0 if got["ok"] else -1, "peaks": fit.peaks(got), "background": got["background"].tolist()}
             else:
-                out = quantify(counts, elements, instrument, tables, standards, substrate, particle=particle is not None and bool(particle))
+                out = quantify(counts, elements, instrument, tables, standards, substrate, particle=particle is not None and bool(particle), model=model)
         except Exception as error:  # a row's failure is that row's result
             return {"quant_flag": 9, "comments": f"{type(error).__name__}: {error}"[:500]}
         out["peaks"] = [{k: p[k] for k in _FIELDS} for p in out["peaks"]]
         return out
 
     def run(batches):
+        model = None
         for rows in batches:
-            done = pd.DataFrame([one(None if c is None else np.asarray(c, float), f, p) for c, f, p in zip(rows["counts"], rows["quant_flag"], rows["is_particle"] if particles else [None] * len(rows))], index=rows.index, columns=["w_fr", "at_fr", "an_err", "r_squared", "redchi_sq", "quant_flag", "comments", "peaks", "background", "absorbed"])
+            if model is None and len(rows):
+                model = SpectrumFit(np.zeros(instrument.stop), elements, instrument, tables, substrate)
+            done = pd.DataFrame([one(None if c is None else np.asarray(c, float), f, p, model) for c, f, p in zip(rows["counts"], rows["quant_flag"], rows["is_particle"] if particles else [None] * len(rows))], index=rows.index, columns=["w_fr", "at_fr", "an_err", "r_squared", "redchi_sq", "quant_flag", "comments", "peaks", "background", "absorbed"])
             done = done.astype(object).where(done.notna(), None)
             yield pd.concat([rows[names], done], axis=1)
 

@@ -378,3 +378,32 @@ def test_two_point_calibration_where_both_lines_meet(spark, tmp_path):
     want = duckdb.sql(oracles.ORACLE_SQL["two_point_calibration"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")).fetchall()
     got = [tuple(r) for r in queries.two_point_calibration(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and (6600, float("inf"), float("-inf")) in got
+
+
+def test_slopes_of_a_fit_are_those_of_its_residual():
+    """Derivatives by variable projection against differences, with escape peaks held at their limit and free; a shared model changes no result."""
+    from sparkspec.physics.fit import SpectrumFit, quantify
+
+    y = simulate({"Fe": 0.3, "Si": 0.3, "O": 0.4}, STDS, I, T, 50000.0)
+    model = SpectrumFit(np.zeros(2048), ELEMENTS, I, T)
+    fit = model.again(y)
+    shape = fit.shape({e: 1 / 6 for e in ELEMENTS})
+    at = lambda p: (a := fit.design(fit.columns(*p), shape), fit.linear(a))
+    p = np.array([0.0005, 1.0003, 1.01])
+    residual = lambda p: (lambda a, x: (a @ x - fit.y) * fit.weight)(*at(p))
+    r, j = residual(p), fit.slopes(p, *at(p))
+    numeric = np.stack([(residual(p + s) - residual(p - s)) / 2e-6 for s in np.eye(3) * 1e-6], 1)
+    assert np.allclose(j.T @ r, numeric.T @ r, rtol=1e-3, atol=1e-3 * np.abs(numeric.T @ r).max())
+    alone, shared = quantify(y, ELEMENTS, I, T, STDS), quantify(y, ELEMENTS, I, T, STDS, model=model)
+    assert alone["w_fr"] == shared["w_fr"] and alone["peaks"] == shared["peaks"]
+
+
+def test_smoothing_computes_its_values_once(spark):
+    """The values that are smoothed may be an expression: it is bound, not computed again for each neighbour."""
+    from sparkspec.functions.spectra import box_smooth
+
+    df = spark.range(1).select(box_smooth(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: i * 1.0)).alias("s"))
+    assert df.first().s == pytest.approx([1, 2, 3, 7 / 3])
+    assert spark.range(1).select(box_smooth(F.lit(None).cast("array<double>")).alias("s")).first().s is None
+    plan = spark.range(1).select(box_smooth(F.filter(F.transform(F.sequence(F.lit(1), F.col("id") + 4), lambda i: i * 1.0), lambda x: x > 1)).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") == 1
