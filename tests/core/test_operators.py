@@ -249,3 +249,15 @@ def test_grids_of_few_rows_are_many_tasks(spark):
     given = spark.createDataFrame([(i, 1.0, 0.5, 1.0, True, False, 0.0, 0.0) for i in range(64)], "k int, half_width double, spacing double, ratio double, circle boolean, margin boolean, cx double, cy double").coalesce(1)
     frames = geometry.grids(given, ["k"]).select("k", F.spark_partition_id().alias("p")).collect()
     assert len(frames) == 64 * 9 and len({r.p for r in frames}) > 4
+
+
+def test_silhouettes_send_a_point_a_bounded_number_of_times(spark, monkeypatch):
+    """Sixteen times at most, however many points there are (20 by blocks of 2,048 here); strips give the same."""
+    sent = []
+    monkeypatch.setattr(cluster, "spread", lambda df, key: sent.append(df) or df)
+    df = spark.range(40_000).select(F.lit(1).alias("s"), "id", (F.col("id") % 3).alias("c"), F.array(F.sin("id")).alias("v"))
+    cluster.exact_silhouettes(df, ["s"], "id", "c", "v")
+    assert sent[0].count() == 16 * 40_000
+    some = df.where("id < 700")
+    one, two = (sorted(map(tuple, cluster.exact_silhouettes(some, ["s"], "id", "c", "v", strip=n).select("id", F.round("silhouette", 7)).collect())) for n in (50, 1024))
+    assert one == two and len(one) == 700
