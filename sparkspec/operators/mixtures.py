@@ -214,13 +214,13 @@ def free_mixture(points: DataFrame, key: list[str], elements: list[str], *, seed
         conf = float(np.exp(-(error**2) / 0.5)) if error < 2 else None
         return pd.DataFrame([[*ids, *map(formula, h), error, conf, float(w[:, 0].mean()), float(w[:, 0].std())]])
 
-    rows = points.select(*key, "fr")
+    rows = cut(points.select(*key, "fr"))
     sizes = cut(rows.groupBy(*key).agg((F.count(F.lit(1)) > most).alias("_large")))
     if sizes.where("_large").isEmpty():
         return spread(rows, key).groupBy(*key).applyInPandas(run, schema)
     sized = rows.join(sizes, key)
     done = spread(sized.where("not _large").drop("_large"), key).groupBy(*key).applyInPandas(run, schema)
-    many = sized.where("_large").drop("_large").withColumn("_point", F.xxhash64("fr"))
+    many = cut(sized.where("_large").drop("_large").withColumn("_point", F.xxhash64("fr")))  # each round reads it
     swap = F.col("h1") < F.col("h2")
     found = cut(_large_factors(many, key).select(*key, F.when(swap, F.col("h2")).otherwise(F.col("h1")).alias("h1"), F.when(swap, F.col("h1")).otherwise(F.col("h2")).alias("h2")))
     each = with_sample(many, found, key, "_point", 2 * 64).withColumn("share", F.coalesce(mixing_share(F.col("fr"), F.col("h1"), F.col("h2")), F.lit(0.5)))

@@ -261,3 +261,18 @@ def test_silhouettes_send_a_point_a_bounded_number_of_times(spark, monkeypatch):
     some = df.where("id < 700")
     one, two = (sorted(map(tuple, cluster.exact_silhouettes(some, ["s"], "id", "c", "v", strip=n).select("id", F.round("silhouette", 7)).collect())) for n in (50, 1024))
     assert one == two and len(one) == 700
+
+
+def test_free_mixture_reads_its_points_once(spark):
+    """However many rounds it takes: a checkpoint computes them twice at most."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    w = np.random.default_rng(2).uniform(0, 1, (300, 1))
+    x = w * np.array([[0.6, 0.4, 0.0]]) + (1 - w) * np.array([[0.0, 0.3, 0.7]])
+    df = spark.createDataFrame([(1, r.tolist()) for r in x], "cluster_id int, fr array<double>").mapInPandas(made, "cluster_id int, fr array<double>")
+    assert mixtures.free_mixture(df, ["cluster_id"], ["Fe", "O", "Si"], most=100).count() == 1 and seen.value <= 600
