@@ -407,3 +407,19 @@ def test_smoothing_computes_its_values_once(spark):
     assert spark.range(1).select(box_smooth(F.lit(None).cast("array<double>")).alias("s")).first().s is None
     plan = spark.range(1).select(box_smooth(F.filter(F.transform(F.sequence(F.lit(1), F.col("id") + 4), lambda i: i * 1.0), lambda x: x > 1)).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(") == 1
+
+
+def test_images_are_drawn_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Each image is that of discs drawn one by one, and few bytes of events make many tasks."""
+    spark.createDataFrame([(u, 10.0 * (u % 61)) for u in range(90) for _ in range(u % 14 + 1)], "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(queries, "segment_particles", lambda images, **how: seen.append(images) or images)
+    rows = queries.particles_in_images(spark, str(tmp_path)).select("*", F.spark_partition_id().alias("task")).collect()
+    y, x = np.mgrid[:196, :320]
+    for r in rows:
+        u, want = int(r.image_id), np.zeros((196, 320), np.uint8)
+        for i in range(61):
+            n = u % 14 + 1 if i == u % 61 else 0
+            want[(x - 16 - 32 * (i % 10)) ** 2 + (y - 14 - 28 * (i // 10)) ** 2 <= min(11, n) ** 2] = 200
+        assert (r.height, r.width) == (196, 320) and bytes(r.pixels) == want.tobytes()
+    assert len(rows) == 90 and len({r.task for r in rows}) > 8
