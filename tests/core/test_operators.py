@@ -276,3 +276,25 @@ def test_free_mixture_reads_its_points_once(spark):
     x = w * np.array([[0.6, 0.4, 0.0]]) + (1 - w) * np.array([[0.0, 0.3, 0.7]])
     df = spark.createDataFrame([(1, r.tolist()) for r in x], "cluster_id int, fr array<double>").mapInPandas(made, "cluster_id int, fr array<double>")
     assert mixtures.free_mixture(df, ["cluster_id"], ["Fe", "O", "Si"], most=100).count() == 1 and seen.value <= 600
+
+
+def test_clusterings_are_judged_without_all_distances(monkeypatch):
+    """The best of the runs is that of trying one by one, with copies among the points; no matrix of all distances is made."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (4, 5))[rng.integers(0, 4, 150)] + rng.normal(0, 0.5, (150, 5))
+    x[:20] = x[20:40]
+    for k, runs, tries in ((2, 10, 1), (3, 6, 8), (4, 6, 8)):
+        draw, best, score = np.random.default_rng(0), None, -np.inf
+        for _ in range(runs):
+            for _ in range(tries):
+                labels, _ = cluster.kmeans(x, k, draw)
+                s = cluster.silhouettes(x, labels)
+                if (s > 0).all():
+                    break
+            if s.mean() > score:
+                best, score = labels, s.mean()
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "distances", lambda x: pytest.fail("all distances at once"))
+            got, mean = cluster.best_clustering(x, k, np.random.default_rng(0), runs, tries)
+            cluster.k_once(x, 6, "silhouette", np.random.default_rng(1))
+        assert (got == best).all() and mean == pytest.approx(score, abs=1e-9)
