@@ -120,6 +120,34 @@ def test_a_sample_of_many_points(spark):
     assert "Python" not in plan and "Pandas" not in plan and "collect_list" not in plan
 
 
+def test_rounds_over_blocks(spark):
+    """Blocks of points give the sums that rows give, equal centres and points between two centres included; no block holds two samples."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "sample_id int, spectrum_id long, fr array<double>").repartition(5)
+    tries = [[[0.0] * 5], [[1.0] * 5, [1.0] * 5, [-1.0] * 5, [0.5, 0.0, 0.0, 0.0, 0.0]]]
+    centres = spark.createDataFrame([(s, tries) for s in range(3)], "sample_id int, tries array<array<array<double>>>")
+    blocks = cluster_large.blocked(df, ["sample_id"], "spectrum_id")
+    assert sorted((r.sample_id, p) for r in blocks.collect() for p in r._p) == sorted((r[0], r[1]) for r in rows) and blocks.count() < 200
+    both = [{(r.sample_id, r.k, r.cluster): r for r in one.collect()} for one in (cluster_large.block_sums(blocks, centres, ["sample_id"], 5), cluster_large.lloyd_sums(df, centres, ["sample_id"], "spectrum_id", 5))]
+    assert both[0].keys() == both[1].keys() and len(both[0]) == 12
+    for name, r in both[1].items():
+        assert both[0][name].n == r.n and both[0][name].inertia == pytest.approx(r.inertia) and both[0][name].centre == pytest.approx(r.centre)
+
+
+def test_samples_beside_a_large_one(spark):
+    """A sample without a name is kept beside a large one, whatever its size, and a large one with a null is told as failed."""
+    near = lambda i: [0.2 + 0.5 * (i % 2) + 0.001 * (i % 7), 0.3]
+    rows = [(s, n + i, near(i)) for n, (s, size) in enumerate([(1, 60), (None, 20), (2, 60), (3, 20)]) for i in range(0, size * 10, 10)]
+    rows = [(s, p, [None, 0.3] if s == 2 and p == 32 else x) for s, p, x in rows]
+    df = spark.createDataFrame(rows, "sample_id int, spectrum_id long, fr array<double>")
+    for most in (15, 40):
+        got = cluster.cluster_samples(df, ["sample_id"], k=2, most=most).collect()
+        assert sorted((str(r.sample_id), r.spectrum_id) for r in got if r.error is None) == sorted((str(s), p) for s, p, _ in rows if s != 2)
+        failed = [(r.sample_id, r.spectrum_id, r.k) for r in got if r.error]
+        assert failed == [(2, None, None)]
+
+
 def test_profile_over_k(spark):
     """Inertia and score of each k equal those of the points themselves; more clusters never cost more on clear blobs."""
     df = _blobs(spark, 3)
