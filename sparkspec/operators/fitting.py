@@ -13,6 +13,8 @@ from .select import background_comment, fit_quality, post_fit_flag, spectrum_fla
 
 _PEAK = "array<struct<element:string,line:string,energy_kev:double,center:double,sigma:double,fwhm:double,area:double,intensity:double,background:double,pb:double>>"
 RESULT = f"w_fr map<string,double>, at_fr map<string,double>, an_err double, r_squared double, redchi_sq double, quant_flag int, comments string, peaks {_PEAK}, background array<double>, absorbed double"
+#: Spectra whose results a task holds at once.
+_AT_ONCE = 64
 _FIELDS = ("element", "line", "energy_kev", "center", "sigma", "fwhm", "area", "intensity", "background", "pb")
 
 
@@ -77,12 +79,14 @@ def quantified(spectra: DataFrame, elements: list[str], instrument: Instrument,
 
     def run(batches):
         model = None
-        for rows in batches:
-            if model is None and len(rows):
+        for whole in batches:
+            if model is None and len(whole):
                 model = SpectrumFit(np.zeros(instrument.stop), elements, instrument, tables, substrate)
-            done = pd.DataFrame([one(None if c is None else np.asarray(c, float), f, p, model) for c, f, p in zip(rows["counts"], rows["quant_flag"], rows["is_particle"] if particles else [None] * len(rows))], index=rows.index, columns=["w_fr", "at_fr", "an_err", "r_squared", "redchi_sq", "quant_flag", "comments", "peaks", "background", "absorbed"])
-            done = done.astype(object).where(done.notna(), None)
-            yield pd.concat([rows[names], done], axis=1)
+            for at in range(0, len(whole), _AT_ONCE):
+                rows = whole.iloc[at : at + _AT_ONCE]
+                done = pd.DataFrame([one(None if c is None else np.asarray(c, float), f, p, model) for c, f, p in zip(rows["counts"], rows["quant_flag"], rows["is_particle"] if particles else [None] * len(rows))], index=rows.index, columns=["w_fr", "at_fr", "an_err", "r_squared", "redchi_sq", "quant_flag", "comments", "peaks", "background", "absorbed"])
+                done = done.astype(object).where(done.notna(), None)
+                yield pd.concat([rows[names], done], axis=1)
 
     done = rows.mapInPandas(run, f"{base}, {RESULT}")
     return done if standards is None else judged(done, instrument, min_background, list(substrate), strict=strict)

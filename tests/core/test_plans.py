@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,35 @@ def test_k_selection_reads_the_table(spark, tmp_path):
     assert len(groups) == 5 == len({(s, c) for s, _, c in groups})
 
 
+def test_spectra_are_fitted_a_few_at_a_time(spark, monkeypatch):
+    """A task never holds the results of a whole Arrow batch."""
+    held = []
+    df = spark.createDataFrame([(1, [0.0] * 2048)], "spectrum_id long, counts array<double>")
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: held.append(f) or spark.createDataFrame([], schema))
+    fitting.quantified(df, queries.ELEMENTS, Instrument(), queries.demo_tables(), None, key=["spectrum_id"], target=1.0)
+    rows = pd.DataFrame({"spectrum_id": range(200), "counts": [np.zeros(2048)] * 200, "quant_flag": 1.0})
+    out = list(held[0](iter([rows, rows[:0]])))
+    assert max(map(len, out)) <= 64 and [i for part in out for i in part["spectrum_id"]] == list(range(200))
+    assert all((part["quant_flag"] == 1).all() for part in out)
+
+
+@pytest.mark.parametrize(("depth", "offset", "slope"), [(1e-3, 0.0, 0.0), (2e-4, 1e-5, 0.4), (1e-1, 0.0, -0.5)])
+def test_attenuation_is_its_sum_over_depth(depth, offset, slope):
+    """Whether ionisation ends within the depth or not, the share is the sum over the nodes of each energy."""
+    e, z, a, w, beam = np.arange(0.14, 11, 0.05), np.array([26.0, 8.0]), np.array([55.8, 16.0]), np.array([0.7, 0.3]), 15.0
+    j, mu, room = z * 0.0115, 2000 / e**2.7, (beam - e)[:, None]
+    u, at = beam / e, w / a / (w / a).sum()
+    lift, back = u * np.log(u) / (u - 1), float((w * bg.eta(z, beam)).sum())
+    alpha = (at * 2.14e5 * z**1.16 / (a * beam**1.25) * np.sqrt(np.log(1.166 * beam / j) / room)).sum(1)
+    beta = (at * 1.1e5 * z**1.5 / (room * a)).sum(1)
+    node, weight = np.polynomial.legendre.leggauss(48)
+    rz = np.minimum(depth, 4 / alpha)[:, None] * (node + 1) / 2
+    phi = weight * np.exp(-((alpha[:, None] * rz) ** 2)) * (((1 + back) * lift)[:, None] - ((1 + back) * lift - 1 - back * lift)[:, None] * np.exp(-beta[:, None] * rz))
+    want = (phi * np.exp(-mu[:, None] * (rz * (1 + slope) + offset) / np.sin(np.deg2rad(28.5)))).sum(1) / phi.sum(1)
+    got = bg.attenuation(e, mu, w, z, a, j, beam, 28.5, offset=offset, slope=slope, depth=depth)
+    assert np.allclose(got, np.minimum(want, 1), rtol=0, atol=1e-13)
+
+
 def _detected(energies, lines, continuum, rng, *, tail=(0.0, 1.0), loss=(0.0, 1.0, 1.0), escape=0.0, pileup=0.0, photons=400000):
     """Photons one by one, without code of the fit: charge lost near the face, exponential tails, escape, pile-up, resolution; then counted."""
     width, out = energies[1] - energies[0], []
